@@ -85,20 +85,24 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         at = end
 
 
+def byte_runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each maximal run of the table's bytes; runs don't cross from text to text."""
+    inside = table[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    cuts = offsets[(offsets > 0) & (offsets < len(data))]
+    first[cuts] = inside[cuts]
+    last[cuts - 1] = inside[cuts - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
 class Words:
     """The words of a batch of texts: byte spans, 64-bit hashes, and where each text's words begin."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, word: np.ndarray):
         self.data, n = LOWER[data], len(data)
-        inside = word[self.data]
-        first = inside.copy()
-        first[1:] &= ~inside[:-1]
-        last = inside.copy()
-        last[:-1] &= ~inside[1:]
-        cuts = offsets[(offsets > 0) & (offsets < n)]  # texts touch here, words don't
-        first[cuts] = inside[cuts]
-        last[cuts - 1] = inside[cuts - 1]
-        self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.start, self.end = byte_runs(self.data, offsets, word)
         self.at = np.searchsorted(self.start, offsets)  # word number of each text's first word, and the total
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_TABLE[self.data] * _power("up", n), out=total[1:])

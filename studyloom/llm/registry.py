@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["decontaminate"]
+MODULES = ["token_count", "secrets", "decontaminate"]
 
 
 def queries() -> dict[str, Callable]:
