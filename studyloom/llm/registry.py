@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["token_count", "secrets", "packing", "decontaminate"]
+MODULES = ["token_count", "secrets", "packing", "line_dedup", "nearest", "decontaminate"]
 
 
 def queries() -> dict[str, Callable]:
