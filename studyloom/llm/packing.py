@@ -23,7 +23,7 @@ table has no pieces.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from studyloom.llm._store import keep, rows_of
-from studyloom.llm._text import LOWER, byte_class, slices, spread, text_bytes
+from studyloom.llm._text import NOT_SPACE, Words, byte_class, slices, spread, text_bytes
 
 CAPACITY = 2048
 END = 0
@@ -46,7 +46,7 @@ LARGE_SHARE = 5
 #: Sequences whose room after step 3 is less than this, but not 0, are undone: no document may be short enough for it.
 LEAST_ROOM = 256
 #: Words that an encoder remembers; beyond, it starts anew.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_000_000
 SALT_ROWS = 20_000
 
 _LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A))
@@ -64,68 +64,118 @@ class WordEncoder:
     """Ids of whole texts by a tokenizer that drops white space and lower-cases, so that each word can be encoded once.
 
     Words are what ASCII white space separates; a single full stop or comma after an
-    ASCII letter is a word of its own. The tokenizer splits at both places as well. Texts
-    that may name special tokens are encoded whole.
+    ASCII letter is a word of its own. The tokenizer splits at both places as well. Known
+    words are found by their 64-bit hash. Texts that may name special tokens are encoded
+    whole.
     """
 
     def __init__(self, vocabulary: str, end: int = END):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end = Tokenizer.from_file(vocabulary), end
-        self.special = re.compile(rb"<\|")
+        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)  # ids that end a pre-token
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.pool, self.at, self.n_ids = np.empty(1 << 20, np.uint32), np.zeros(1 << 16, np.int64), 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        ids = [x.ids for x in encoded]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
-        n, total = len(self.number), self.n_ids + len(flat)
-        while total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while n + len(words) + 1 > len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        self.pool[self.n_ids : total] = flat
-        self.at[n + 1 : n + 1 + len(words)] = self.n_ids + np.cumsum(lengths)
-        self.n_ids = total
-        self.number.update(zip(words, range(n, n + len(words)), strict=True))
+        self.known, self.code = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted hashes, and their numbers
+        self.fresh, self.fresh_code = self.known, self.code  # what came since they were last merged
+        self.pool, self.n_ids = np.empty(1 << 16, np.uint32), 0
+        self.at, self.n = np.zeros(1 << 16, np.int64), 0
+
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and how many each has."""
+        if all(map(str.isalpha, words)):  # each is one pre-token, as long as lower-casing keeps it letters
+            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(words):
+                return ids, np.diff(ends, prepend=0)
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for x in each for i in x], np.uint32), np.array(list(map(len, each)), np.int64)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        for kind in (np.flatnonzero(plain), np.flatnonzero(~plain)):
+            for part in (kind[i : i + 2000] for i in range(0, len(kind), 2000)):
+                ids, lengths = self._ids([words[i] for i in part])
+                n, total = self.n + len(part), self.n_ids + len(ids)
+                while total > len(self.pool):
+                    self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+                while n >= len(self.at):
+                    self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+                self.pool[self.n_ids : total] = ids
+                self.at[self.n + 1 : n + 1] = self.n_ids + np.cumsum(lengths)
+                self.fresh = np.concatenate([self.fresh, hashes[part]])
+                self.fresh_code = np.concatenate([self.fresh_code, np.arange(self.n, n)])
+                self.n, self.n_ids = n, total
+        if len(self.fresh) > len(self.known) // 8:
+            self.known, self.code = np.concatenate([self.known, self.fresh]), np.concatenate([self.code, self.fresh_code])
+            self.fresh, self.fresh_code = self.known[:0], self.code[:0]
+            order = np.argsort(self.known)
+            self.known, self.code = self.known[order], self.code[order]
+        else:
+            order = np.argsort(self.fresh)
+            self.fresh, self.fresh_code = self.fresh[order], self.fresh_code[order]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The words' numbers, -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        for known, code in ((self.known, self.code), (self.fresh, self.fresh_code)):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                out = np.where(known[at] == hashes, code[at], out)
+        return out
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id, and n + 1 offsets."""
         n = len(offsets) - 1
-        whole = [t for t in range(n) if b"<|" in data[offsets[t] : offsets[t + 1]].tobytes()] if self.special.search(data.tobytes()) else []
+        mark = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|"))) if len(data) else np.empty(0, np.int64)
+        whole = set((np.searchsorted(offsets, mark, "right") - 1).tolist())
         stop = np.flatnonzero(_STOP[data])
         before, after = np.maximum(stop - 1, 0), np.minimum(stop + 1, len(data) - 1)
         first, last = np.isin(stop, offsets[:-1]), np.isin(stop + 1, offsets)
         stop = stop[_LETTER[data[before]] & ~first & (_SPACE[data[after]] | last)]
-        text = np.insert(LOWER[data], stop, 32)
-        bounds = offsets + np.searchsorted(stop, offsets)
-        raw, words, counts = text.tobytes(), [], np.zeros(n, np.int64)
-        skip = set(whole)
-        for t in range(n):
-            if t not in skip:
-                mine = raw[bounds[t] : bounds[t + 1]].split()
-                counts[t] = len(mine)
-                words += mine
-        if len(self.number) > KNOWN_WORDS:
+        text = np.insert(data, stop, 32)
+        words = Words(text, offsets + np.searchsorted(stop, offsets), NOT_SPACE)
+        if self.n > KNOWN_WORDS:
             self._forget()
-        if new := list(set(words) - self.number.keys()):
-            self._learn(new)
-        code = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        distinct, of = np.unique(words.hash, return_inverse=True)
+        code = self._find(distinct)
+        if len(new := np.flatnonzero(code < 0)):
+            example = np.empty(len(distinct), np.int64)
+            example[of] = np.arange(len(of))
+            raw = words.data.tobytes()
+            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(words.start[example[new]].tolist(), words.end[example[new]].tolist(), strict=True)])
+            code = self._find(distinct)
+        code = code[of]
         length = self.at[code + 1] - self.at[code]
-        ids = self.pool[spread(self.at[code], length)]
-        total = np.concatenate([[0], np.cumsum(length)])
-        edge = total[np.concatenate([[0], np.cumsum(counts)])]
-        parts = []
-        for t in range(n):
-            parts.append(np.array(self.tokenizer.encode(data[offsets[t] : offsets[t + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32) if t in skip else ids[edge[t] : edge[t + 1]])
-            parts.append(np.array([self.end], np.uint32))
-        sizes = np.array([len(p) for p in parts], np.int64).reshape(n, 2).sum(1)
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32), np.concatenate([[0], np.cumsum(sizes)])
+        edge = np.concatenate([[0], np.cumsum(length)])[words.at]
+        sizes = np.diff(edge) + 1
+        other = {t: np.array(self.tokenizer.encode(data[offsets[t] : offsets[t + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32) for t in whole}
+        for t, ids in other.items():
+            sizes[t] = len(ids) + 1
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.full(at[-1], self.end, np.uint32)
+        if not other:
+            place = np.ones(len(out), bool)
+            place[at[1:] - 1] = False
+            out[place] = self.pool[spread(self.at[code], length)]
+        else:
+            ids = self.pool[spread(self.at[code], length)]
+            for t in range(n):
+                out[at[t] : at[t + 1] - 1] = other[t] if t in other else ids[edge[t] : edge[t + 1]]
+        return out, at
+
+
+_encoders: dict[tuple[str, int], WordEncoder] = {}
+
+
+def encoder(vocabulary: str, end: int = END) -> WordEncoder:
+    """The Python worker's encoder, which keeps what it has learned from task to task."""
+    if (vocabulary, end) not in _encoders:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _encoders[vocabulary, end] = WordEncoder(vocabulary, end)
+    return _encoders[vocabulary, end]
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -134,10 +184,9 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary)
         for whole in batches:
             for batch in slices(whole, "text"):
-                tokens, at = encoder.encode(*text_bytes(batch.column("text")))
+                tokens, at = encoder(vocabulary).encode(*text_bytes(batch.column("text")))
                 n_pieces = -(-np.diff(at) // capacity)
                 doc = np.repeat(np.arange(batch.num_rows), n_pieces)
                 piece = spread(np.zeros(batch.num_rows, np.int64), n_pieces)
