@@ -104,9 +104,13 @@ class Words:
         self.data, n = LOWER[data], len(data)
         self.start, self.end = byte_runs(self.data, offsets, word)
         self.at = np.searchsorted(self.start, offsets)  # word number of each text's first word, and the total
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[self.data] * _power("up", n), out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * _power("down", n + 1)[self.start] + (self.end - self.start).astype(np.uint64) * _STEP)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_TABLE[self.data] * _power("up", n), out=self.total[1:])
+        self.hash = self.span_hash(self.start, self.end)
+
+    def span_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans, by their lower-cased bytes alone."""
+        return mix((self.total[end] - self.total[start]) * _power("down", len(self.total))[start] + (end - start).astype(np.uint64) * _STEP)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.at)
