@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,12 +118,21 @@ def _runs(hit: np.ndarray, at: np.ndarray) -> list[list[int]]:
     return out
 
 
+def _items(benchmark: DataFrame, pass_words: int) -> tuple[DataFrame, int]:
+    """Items with an id, and in how many passes they fit the bound of a broadcast."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    weight = items.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0.0))).first()[0]  # a word takes two characters or more, with its end
+    return items, max(1, int(-(-weight // pass_words)))
+
+
+def _part(items: DataFrame, p: int, passes: int) -> list:
+    return items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()
+
+
 def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, spans (word numbers start, end, start, end ...) and items (sorted distinct ids as strings)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
-    weight = items.agg(F.coalesce(F.sum(F.length("text") / 2 + 1), F.lit(0.0))).first()[0]
-    passes = max(1, int(-(-weight // pass_words)))  # a word takes two characters or more, with its end
+    items, passes = _items(benchmark, pass_words)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
@@ -145,9 +155,9 @@ def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, window: int = WI
 
         return docs.mapInArrow(scan, f"doc_id {id_type}, n_words long, spans array<long>, items array<string>")
 
+    parts = [one(_part(items, p, passes)) for p in range(passes)]
     if passes == 1:
-        return one(items.collect())
-    parts = [one(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p).collect()) for p in range(passes)]
+        return parts[0]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
@@ -181,10 +191,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents in which no benchmark window occurs, with all their columns."""
-    bad = contamination(docs, benchmark, window).where("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
+    """The documents in which no benchmark window occurs, with all their columns; each pass filters on, without a join."""
+    items, passes = _items(benchmark, pass_words)
+    columns = docs.columns
+    for p in range(passes):
+        held = docs.sparkSession.sparkContext.broadcast(build([r.text for r in _part(items, p, passes)], window))
+        docs = _clean(docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text")), held)
+    return docs
+
+
+def _clean(docs: DataFrame, held: Broadcast) -> DataFrame:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                hit_text = np.zeros(batch.num_rows, bool)
+                hit_text[_scan(batch, held.value)[2]] = True
+                yield batch.select(["row"]).filter(pa.array(~hit_text))
+
+    return docs.mapInArrow(clean, docs.select("row").schema).select("row.*")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from studyloom.llm._store import rows_of
 from studyloom.llm._text import ALNUM, Words, byte_class, mix, slices, text_bytes
 
-LABELLED, POOL = 6000, 2000
+LABELLED, POOL = 5000, 1500
 ROUNDS = 3
 SURE = 0.97
 #: First bytes of words that are features of their own, beside whole words.
@@ -46,7 +46,7 @@ class View:
     """Rows of features that are present (row numbers, ascending, and column numbers) beside dense ones."""
 
     def __init__(self, row: np.ndarray, column: np.ndarray, dense: np.ndarray, width: int):
-        self.row, self.column, self.dense, self.width = row, column, dense, width
+        self.row, self.column, self.dense, self.width = row.astype(np.int32), column.astype(np.int32), dense, width
         self.by_column: tuple | None = None
         # each row's features share a fixed length, so that long texts don't outweigh short ones
         self.weight = 4 / np.sqrt(np.maximum(np.bincount(row, minlength=len(dense)), 1))[row]
