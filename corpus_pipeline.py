@@ -1,17 +1,56 @@
-"""The corpus pipeline: filter, de-duplicate, decontaminate and pack a table of documents."""
+"""The corpus pipeline: filter, de-duplicate, decontaminate and pack a table of documents.
 
-from __future__ import annotations
+Each stage takes (spark, docs, sf_dir) and returns documents with the columns it got;
+the last returns packed pieces. A driver writes what a stage returns and reads it again
+for the next one; ``run`` does the same in the shared folder.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from studyloom.llm import decontaminate, jaccard, line_dedup, packing, quality
+from studyloom.llm._store import keep, rows_of
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier keeps."""
+    return quality.keep_good(docs, quality.train(docs, rows_of(spark, sf_dir, "labels")))
+
+
+def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of line runs; those with nothing else in them go."""
+    had = F.trim(F.translate("text", "\n\t\r", "   ")) != ""
+    deduped = line_dedup.dedup_lines(docs.withColumn("_had", F.coalesce(had, F.lit(False))))
+    left = F.coalesce(F.trim(F.translate("text", "\n\t\r", "   ")) != "", F.lit(False))
+    return deduped.where(~F.col("_had") | left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five words, similarity 0.8 or more."""
+    return jaccard.drop_similar(docs, 5, 80)
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark window occurs."""
+    return decontaminate.drop_contaminated(docs, rows_of(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces and their places in sequences."""
+    return packing.pack(docs)
+
 
-STAGES: list[tuple[str, Callable]] = []
+STAGES = [("quality classifier", quality_filter), ("line dedup", line_filter), ("n-gram Jaccard join", near_copies), ("benchmark decontamination", benchmark_filter), ("best-fit packing", packed)]
+#: The classifier, the packing and the order of near copies aren't SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = rows_of(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = keep(docs)
     return docs
