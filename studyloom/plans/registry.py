@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: list[str] = ["learner"]
+MODULES: list[str] = ["text", "learner"]
 
 
 def queries() -> dict[str, Callable]:
