@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: list[str] = ["text", "structure", "learner", "graph"]
+MODULES: list[str] = ["text", "structure", "concepts", "learner", "graph"]
 
 
 def queries() -> dict[str, Callable]:
