@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 U64 = np.uint64
@@ -77,7 +78,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
     """The batch in consecutive parts of up to ``most`` bytes of the column, one longer text at least."""
     if batch.num_rows == 0:
         return
-    _, offsets = text_bytes(batch.column(column))
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)

@@ -35,10 +35,11 @@ from studyloom.llm._text import chain, mix, slices, spread, text_bytes
 
 LENGTH = 50
 GRAM = 20
-PIECE = 1 << 22
-FLUSH = 2_000_000
-BUCKET_ENTRIES = 2_000_000
-SHARD_BYTES = 6 << 20
+PIECE = 1 << 20
+FLUSH = 400_000
+BUCKET_ENTRIES = 1_000_000
+SLICE = 1 << 20
+SHARD_BYTES = 4 << 20
 #: Anchors in more than this share of all documents (and HOT_LEAST documents) are dealt by window. A
 #: document has a bounded number of anchors per byte, so there are few: their number follows from the share.
 HOT_SHARE, HOT_LEAST = 0.005, 4096
@@ -97,7 +98,9 @@ class Anchors:
         new = np.ones(len(at), bool)
         new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
-        return at[first] + lo, np.diff(np.append(first, len(at))), gram[(least[first] & np.uint64((1 << 24) - 1)).astype(np.int64)]
+        anchor = gram[(least[first] & np.uint64((1 << 24) - 1)).astype(np.int64)]
+        # the smallest of many hashes is small: mixed again, so that buckets are even
+        return at[first] + lo, np.diff(np.append(first, len(at))), mix(anchor + np.uint64(7))
 
 
 def span_hashes(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,16 +129,21 @@ class Segments:
     def __init__(self, key: np.ndarray, data: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray):
         """A string's key, place and size in data, its document and its start there, for each occurrence."""
         h = span_hashes(_words(data), at, size)
-        order = np.lexsort((start, doc, h[1], h[0]))
+        order = np.argsort(h[0], kind="stable")
         a, b = h[0][order], h[1][order]
-        new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        group = np.cumsum(new) - 1
-        first = order[new]
-        same = doc[order] == doc[first][group]
+        new = np.append(True, a[1:] != a[:-1]) if len(a) else np.empty(0, bool)
+        if len(a) and (b != b[np.flatnonzero(new)][np.cumsum(new) - 1]).any():  # one hash alike, the other not
+            order = np.lexsort((h[1], h[0]))
+            a, b = h[0][order], h[1][order]
+            new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+        begin = np.flatnonzero(new)
+        group, sorted_doc = np.cumsum(new) - 1, doc[order]
+        least = np.minimum.reduceat(sorted_doc, begin) if len(begin) else sorted_doc
+        same = sorted_doc == least[group]
         stays, gone = order[same], order[~same]
+        first = order[begin]  # any of the equal strings
         self.key, self.size = key[first], size[first]
-        self.data, self.owner = _bytes(data, at[first], size[first]), doc[first]
+        self.data, self.owner = _bytes(data, at[first], size[first]), least
         self.of, self.doc, self.start = group[same], doc[stays], start[stays]
         self.covered = doc[gone], start[gone], size[gone]
 
@@ -165,30 +173,30 @@ def shared_anchors(docs: DataFrame, n_bytes: int, hot: int, length: int) -> Data
     names = ["bucket", "sig", "number", "doc", "text", "several", "count"]
 
     def emit(held: list) -> Iterator[pa.RecordBatch]:
-        sig, doc, text, number = (np.concatenate(x) for x in zip(*held, strict=True))
-        copies = np.lexsort((doc, text))  # equal texts: the smallest document's anchors will do
-        t = text[copies]
-        new = np.ones(len(t), bool)
-        new[1:] = t[1:] != t[:-1]
-        keep_doc = np.empty(len(doc), np.int64)
-        keep_doc[copies] = doc[copies][new][np.cumsum(new) - 1]
-        on = doc == keep_doc
-        sig, doc, text, number = sig[on], doc[on], text[on], number[on]
-        order = np.lexsort((number, doc, sig))
-        sig, doc, text, number = sig[order], doc[order], text[order], number[order]
+        """One entry per anchor to its bucket where several documents of this task have it, and those as they are."""
+        ids, texts = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+        by = np.lexsort((ids, texts))  # equal texts: the smallest document's anchors will do
+        new = np.append(True, texts[by][1:] != texts[by][:-1])
+        chosen = np.zeros(len(ids), bool)
+        chosen[by[new]] = True
+        base = np.cumsum([0, *[len(h[0]) for h in held]])
+        sig, number = np.concatenate([h[2] for h in held]), np.concatenate([h[4] for h in held])
+        of = np.concatenate([h[3] + n for h, n in zip(held, base, strict=False)])
+        on = np.flatnonzero(chosen[of])
+        order = on[np.argsort(sig[on], kind="stable")]  # a document's entries stay together
+        sig, number, doc, text = sig[order], number[order], ids[of[order]], texts[of[order]]
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
         group, begin = np.cumsum(first) - 1, np.flatnonzero(first)
-        end = np.append(begin[1:], len(sig)) - 1
-        several = doc[begin] != doc[end]
         new_doc = first.copy()
         new_doc[1:] |= doc[1:] != doc[:-1]
         count = np.bincount(group, new_doc, len(begin)).astype(np.int64)
+        several = count > 1
         rows = []
         met = np.flatnonzero(several[group])
         for k, part in enumerate(np.array_split(met, max(1, len(met) // 200_000))):
             if len(part):
-                rows.append((-1 - k % 64, sig[:0], number[part], doc[part], text[part], begin[:0], begin[:0]))
+                rows.append((-1 - (int(doc[part[0]]) + k) % buckets, sig[:0], number[part], doc[part], text[part], begin[:0], begin[:0]))
         on = np.flatnonzero(~several[group] | first)
         sig, doc, text, number, lead = sig[on], doc[on], text[on], number[on], np.flatnonzero(first[on])
         cuts = np.searchsorted(sig, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)) if buckets > 1 else np.empty(0, np.int64)
@@ -212,15 +220,15 @@ def shared_anchors(docs: DataFrame, n_bytes: int, hot: int, length: int) -> Data
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 data, offsets = text_bytes(batch.column("text"))
                 a = Anchors(data, offsets, length)
                 text = np.array([int.from_bytes(hashlib.blake2b(data[x:y], digest_size=8).digest(), "little") for x, y in zip(offsets[:-1], offsets[1:], strict=True)], np.uint64)
-                held.append((a.hash, batch.column("doc_id").to_numpy()[a.text], text[a.text], a.number))
-                if sum(len(x[0]) for x in held) > FLUSH:
+                held.append((batch.column("doc_id").to_numpy(), text, a.hash, a.text, a.number))
+                if sum(len(x[2]) for x in held) > FLUSH:
                     yield from emit(held)
                     held = []
-        if sum(len(x[0]) for x in held):
+        if sum(len(x[2]) for x in held):
             yield from emit(held)
 
     def meet(table: pa.Table) -> pa.Table:
@@ -240,7 +248,7 @@ def shared_anchors(docs: DataFrame, n_bytes: int, hot: int, length: int) -> Data
         doc, number, common = np.concatenate(doc), np.concatenate(number), np.empty(0, np.uint64)
         if table.column("bucket")[0].as_py() >= 0:
             sig, text, count = np.concatenate(sig), np.concatenate(text), np.concatenate(count)
-            order = np.lexsort((text, sig))
+            order = np.argsort(sig, kind="stable")
             sig, doc, text, number, count = sig[order], doc[order], text[order], number[order], count[order]
             first = np.ones(len(sig), bool)
             first[1:] = sig[1:] != sig[:-1]
@@ -248,7 +256,7 @@ def shared_anchors(docs: DataFrame, n_bytes: int, hot: int, length: int) -> Data
             new = first.copy()
             new[1:] |= text[1:] != text[:-1]
             total = np.bincount(group, np.maximum(new, count), len(begin))
-            shared = total > 1
+            shared = np.logical_or.reduceat((text != text[begin][group]) | (count > 1), begin)
             common = sig[begin[total > hot]]
             doc, number = doc[shared[group]], number[shared[group]]
         order = np.argsort(doc, kind="stable")
