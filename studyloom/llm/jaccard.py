@@ -171,7 +171,7 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, largest: int, shing
         first[1:] = sig[1:] != sig[:-1]
         several = ~first
         several[:-1] |= ~first[1:]
-        rows = [(-1 - k % 64, sig[p], doc[p], doc[p]) for k, p in enumerate(np.array_split(np.flatnonzero(several), max(1, np.count_nonzero(several) // 100_000))) if len(p)]
+        rows = [(-1 - (int(doc[p[0]]) + k) % buckets, sig[p], doc[p], doc[p]) for k, p in enumerate(np.array_split(np.flatnonzero(several), max(1, np.count_nonzero(several) // 100_000))) if len(p)]
         sig, doc, set_of = sig[first], doc[first], set_of[first]
         cuts = np.searchsorted(sig, (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets)[1:-1].astype(np.uint64)) if buckets > 1 else np.empty(0, np.int64)
         rows += [(b, s, d, h) for b, (s, d, h) in enumerate(zip(np.split(sig, cuts), np.split(doc, cuts), np.split(set_of, cuts), strict=True)) if len(s)]
