@@ -1,0 +1,223 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from studyloom.llm import packing, token_count
+from studyloom.llm.chat import preference_pairs, reply_pairs
+from studyloom.llm.decontaminate import contamination, drop_contaminated
+from studyloom.llm.nearest import nearest
+from studyloom.llm.packing import pack, plan_blocks
+from studyloom.llm.quality import keep_good, score_documents, train
+from studyloom.llm.secrets import KINDS, entropy_runs, find_secrets, secret_digest
+from studyloom.llm.token_count import count_tokens, scan_blocks, token_counts
+
+TEXTS = ["", None, "One two. Three, four!", "it's <|endoftext|> here", "é à́ ﬁ\n\n x", "word " * 3000, "a,b .c d."]
+DOCS = "doc_id long, text string, n_tokens string, spans string"
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "x", "y") for i, t in enumerate(texts)], DOCS)
+
+
+def test_token_counts(spark, monkeypatch):
+    monkeypatch.setattr(token_count, "FILE_DOCS", 2)
+    texts = TEXTS * 3
+    encoder = token_count._encoder(token_count.default_vocabulary())
+    got = token_counts(frame(spark, texts).repartition(2).transform(token_count.keep)).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {i: len(encoder.encode_ordinary(t or "")) for i, t in enumerate(texts)}
+    assert token_counts(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 7, 100])
+def test_separator_scan_stitches_blocks(spark, block):
+    rng = random.Random(block)
+    files = {f"f{k}": np.array([rng.choice([0, 1, 2, 3]) for _ in range(rng.randint(0, 40))], "<u2") for k in range(5)}
+    df = spark.createDataFrame([(k, bytearray(v.tobytes())) for k, v in files.items()], "path string, content binary")
+    got = sorted((r.path, r.document, r.start_word, r.n_tokens, r.closed) for r in count_tokens(scan_blocks(df, 0, block)).collect())
+    want = []
+    for name, words in files.items():
+        start, nth = 0, 0
+        for i, w in enumerate(words):
+            if w == 0:
+                want.append((name, nth, start, i - start, True))
+                start, nth = i + 1, nth + 1
+        if start < len(words):
+            want.append((name, nth, start, len(words) - start, False))
+    assert got == sorted(want)
+
+
+def base_spans(text):
+    out = [(m.start(), "assign", m.end()) for m in re.finditer(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.I | re.A) if len(m[2]) >= 6]
+    out += [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[0], KINDS.index(s[1])))
+
+
+def test_secrets(spark):
+    rng = random.Random(2)
+    parts = ["password", "=", "é", " ", '"', "AKIA", "ABCDEFGH12345678", "deadbeef01", "abc", "TOKEN : ", "api_key", "ſecret=abcdefgh", "x" * 7, "日本", "'", "\n"]
+    texts = [None, "", *["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(300)]]
+    df = frame(spark, texts)
+    for r in find_secrets(df).collect():
+        assert [(s.start, s.kind, s.end) for s in r.spans if s.kind in KINDS[:3]] == base_spans(texts[r.doc_id] or "")
+    for r in secret_digest(df).collect():
+        spans = base_spans(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, k, b in spans).encode()).hexdigest()
+    assert find_secrets(frame(spark, [])).count() == 0
+
+
+def test_entropy():
+    key = b"q8Zr3vKp1LxT7mWc9YbN2dHs5"
+    assert entropy_runs(key) == [("entropy_mixed", 0, len(key))]
+    assert entropy_runs(b"internationalization/of/ordinary/words") == []
+    assert entropy_runs(b"0f8fad5b-d9cb-469f-a165-70867728950e") == []
+    assert entropy_runs(b"aaaaaaaaaaaaaaaaaaaaaaaa1B") == []
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_vocabulary())
+    texts = [*TEXTS, *[" ".join(["pack", "tokens,"] * n) for n in range(1, 400, 7)]]
+    ids = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    rows = pack(frame(spark, texts)).collect()
+    used = {}
+    for r in rows:
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert r.start == 2048 * r.piece and len(piece) == r.length and r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes())
+        used.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in used.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(map(len, ids.values()))
+    assert sum(r.length for r in rows) == total and len(used) <= -(-total // 2048) + 1
+    assert pack(frame(spark, [])).count() == 0
+
+
+def test_plan_is_near_the_bound():
+    rng = np.random.default_rng(4)
+    counts = np.bincount(np.minimum(rng.gamma(1.5, 400, 20_000).astype(int) + 1, 2048), minlength=2049)
+    blocks = plan_blocks(counts, 2048)
+    seen = np.zeros(2049, int)
+    for b in blocks:
+        assert b.room == 2048 - sum(length for length, _ in b.parts) >= 0
+        for length, _ in b.parts:
+            seen[length] += b.n
+    assert (seen == counts).all()
+    assert sum(b.n for b in blocks) <= -(-int((counts * np.arange(2049)).sum()) // 2048) * 1.002
+
+
+def test_preference_pairs(spark):
+    turns = "pair_id long, turn long, role string, text string, extra int"
+    good = [(1, 0, "user", "hi", 0), (1, 1, "assistant", "yes", 0), (1, 2, "user", None, 0), (2, 0, "user", "a", 0), (3, 0, "user", "b", 0), (4, 0, None, "x", 0), (4, 0, None, "x", 0), (None, 0, "user", "x", 0)]
+    bad = [(1, 0, "user", "hi", 0), (1, 1, "assistant", "no", 0), (2, 0, "user", "a", 0), (4, 0, "user", "x", 0), (4, 1, "assistant", "z", 0)]
+    rows = {r.pair_id: r for r in preference_pairs(spark.createDataFrame(good, turns), spark.createDataFrame(bad, turns)).collect()}
+    assert sorted(rows) == [1, 2, 4]
+    assert rows[1].n_common == 1 and rows[1].prompt == "<|user|>\nhi<|end|>\n"
+    assert rows[1].chosen == "<|assistant|>\nyes<|end|>\n<|user|>\n<|end|>\n" and rows[1].rejected == "<|assistant|>\nno<|end|>\n"
+    assert [rows[1].chosen[s.start : s.end] for s in rows[1].chosen_loss] == ["yes<|end|>\n"]
+    assert rows[2].chosen == rows[2].rejected == "" and rows[2].n_common == 1
+    assert rows[4].prompt == "<|user|>\nx<|end|>\n" and rows[4].rejected == "<|assistant|>\nz<|end|>\n"
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert preference_pairs(*reply_pairs(empty)).count() == 0
+
+
+def words(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+
+
+@pytest.mark.parametrize("pass_words", [10**6, 20])
+def test_decontamination(spark, pass_words, monkeypatch):
+    from studyloom.llm import decontaminate
+
+    rng = random.Random(8)
+    some = lambda n: " ".join(rng.choice(["A", "b", "Ç", "d1", "e"]) for _ in range(n))
+    items = [(i, some(rng.choice([0, 1, 4, 10, 12, 25]))) for i in range(12)] + [(3, None), (None, "b b"), (5, some(11))]
+    texts = [None, "", *[some(rng.randint(0, 30)) for _ in range(30)], *[f"{some(5)}, {t}. {some(3)}" for _, t in items if t], " ".join(t for _, t in items if t), some(900)]
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", pass_words)
+    df = frame(spark, texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_benchmark_words(df, bench, 10, pass_words)
+    patterns = {}
+    for i, t in items:
+        w = words(t)
+        if i is not None and w:
+            m = min(10, len(w))
+            for k in range(len(w) - m + 1):
+                patterns.setdefault(tuple(w[k : k + m]), set()).add(str(i))
+    for r in found.collect():
+        w, hit, ids = words(texts[r.doc_id]), set(), set()
+        for m in {len(p) for p in patterns}:
+            for k in range(len(w) - m + 1):
+                if tuple(w[k : k + m]) in patterns:
+                    hit |= set(range(k, k + m))
+                    ids |= patterns[tuple(w[k : k + m])]
+        got = {p for a, b in zip(r.spans[::2], r.spans[1::2], strict=True) for p in range(a, b)}
+        assert (r.n_words, got, r.items) == (len(w), hit, sorted(ids))
+    clean = {r.doc_id for r in contamination(df, bench).collect() if not r.contaminated}
+    kept = drop_contaminated(df, bench, 10, pass_words)
+    assert {r.doc_id for r in kept.collect()} == clean and kept.columns == df.columns
+    none = bench.where("false")
+    assert contamination(df, none).where("contaminated").count() == 0 and contamination(frame(spark, []), bench).count() == 0
+
+
+@pytest.mark.parametrize("shard_rows", [40, 10_000])
+def test_nearest(spark, shard_rows):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(300, 8)).astype(np.float32).tolist()
+    base += base[:30]
+    odd = [None, [0.0] * 8, [1.0, None, *[0.0] * 6], [math.nan] * 8, [math.inf] * 8]
+    vectors = [*base, *odd]
+    df = spark.createDataFrame([(i, v, "q") for i, v in enumerate(vectors)], "id long, vector array<float>, score string")
+    query = df.where("id % 20 = 0")
+    good = {i: [float(np.float32(x)) for x in v] for i, v in enumerate(base)}
+
+    def brute(q):
+        return sorted((math.sqrt(sum((a - b) ** 2 for a, b in zip(good[q], v, strict=True))), i) for i, v in good.items() if i != q)[:10]
+
+    got = {}
+    for r in nearest(df, query, shard_rows=shard_rows).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.score, r.id))
+    want = {q: brute(q) for q in good if q % 20 == 0}
+    assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
+    assert all(abs(a - b) < 1e-12 for q in want for (a, _), (b, _) in zip(got[q], want[q], strict=True))
+    loose = {(r.query_id, r.id) for r in nearest(df, query, relax=1.3, shard_rows=shard_rows).collect()}
+    assert len(loose & {(q, i) for q, v in want.items() for _, i in v}) >= 0.9 * 10 * len(want)
+    assert nearest(df.where("false"), query).count() == 0
+
+
+def test_quality(spark):
+    rng = random.Random(9)
+    plain = [f"w{i}" for i in range(200)]
+    rows, labels = [], []
+    for d in range(600):
+        kind = d % 4
+        text = " ".join(rng.choice(plain) for _ in range(60))
+        if kind == 1:
+            text = text.replace(" ", "### ")
+        if kind == 2:
+            text += " vile nasty" + rng.choice(["", " awful"])
+        rows.append((d, text, "en", "bad.example" if kind == 1 else "good.example", len(text), "k"))
+        if d < 300:
+            labels.append((d, int(kind != 1), int(kind == 2)))
+    rows += [(600, None, None, None, None, "k"), (601, "", "en", "good.example", 0, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, keep string")
+    known = spark.createDataFrame(labels + [(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
+    models = train(docs, known, 300, 100)
+    scored = {r.doc_id: r.keep for r in score_documents(docs, models).collect()}
+    held = [d for d in range(300, 600)]
+    assert len(scored) == 602 and sum(scored[d] == (d % 4 in (0, 3)) for d in held) >= 0.97 * len(held)
+    kept = keep_good(docs, models)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, k in scored.items() if k}
+    alike = train(docs, known.where("quality = 1 and toxic = 0"), 50, 20)
+    assert score_documents(docs, alike).where(~F.col("keep")).count() == 0
+    assert score_documents(docs.where("false"), models).count() == 0
