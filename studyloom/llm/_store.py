@@ -1,27 +1,12 @@
-"""Where jobs cut their lineage: the shared folder that the cluster names in spark.checkpoint.dir."""
+"""The shared store of iterative jobs, and the driver's tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from studyloom.sources.store import keep, new_path, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; only where none is set, as in tests, a new local one."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = tempfile.mkdtemp(prefix="studyloom-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Write the rows once to the shared folder and go on from there; survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/studyloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["keep", "new_path", "rows_of", "shared_dir"]
 
 
 def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
