@@ -26,3 +26,12 @@ def keep(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Like keep, as a table in buckets of a key, so that joins by the key don't shuffle it again."""
+    spark = df.sparkSession
+    path, buckets = new_path(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"studyloom_{path.rpartition('/')[2]}"
+    df.write.bucketBy(buckets, key).sortBy(key).format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
