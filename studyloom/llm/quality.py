@@ -30,13 +30,16 @@ from pyspark.sql import functions as F
 from studyloom.llm._store import rows_of
 from studyloom.llm._text import ALNUM, Words, byte_class, mix, slices, text_bytes
 
-LABELLED, POOL = 5000, 1500
+LABELLED, POOL = 4000, 1000
+#: Features of fewer labelled documents aren't learned.
+LEAST_DOCS = 3
 ROUNDS = 3
 SURE = 0.97
 #: First bytes of words that are features of their own, beside whole words.
 STEMS = (5, 6, 7)
 HELD_OUT = 5
 WORD_BITS, META_BITS = 18, 12
+SLICE = 1 << 20
 _META = ("lang", "source")
 _KINDS = [byte_class((0x41, 0x5A)), byte_class((0x61, 0x7A)), byte_class((0x30, 0x39)), byte_class((0x20, 0x20)), byte_class((0x0A, 0x0A)), byte_class((0x80, 0xFF)), np.isin(np.arange(256), list(b".,;:!?'\"")), np.isin(np.arange(256), list(b"|")), np.isin(np.arange(256), list(b"#$%&*@<>{}[]\\^~"))]
 DENSE = len(_KINDS) + 4
@@ -49,7 +52,7 @@ class View:
         self.row, self.column, self.dense, self.width = row.astype(np.int32), column.astype(np.int32), dense, width
         self.by_column: tuple | None = None
         # each row's features share a fixed length, so that long texts don't outweigh short ones
-        self.weight = 4 / np.sqrt(np.maximum(np.bincount(row, minlength=len(dense)), 1))[row]
+        self.weight = (4 / np.sqrt(np.maximum(np.bincount(row, minlength=len(dense)), 1))[row]).astype(np.float32)
 
     def logits(self, w: np.ndarray) -> np.ndarray:
         upto = np.concatenate([[0.0], np.cumsum(self.weight * w[self.column])])
@@ -64,13 +67,29 @@ class View:
         upto = np.concatenate([[0.0], np.cumsum(weight * d[row])])
         return np.concatenate([np.diff(upto[at]), self.dense.T @ d, [d.sum()]])
 
+    def columns(self, wanted: np.ndarray) -> View:
+        """Only the wanted features; the others keep their part in a row's length."""
+        on = wanted[self.column]
+        out = View(self.row[on], self.column[on], self.dense, self.width)
+        out.weight = self.weight[on]
+        return out
+
     def rows(self, which: np.ndarray) -> View:
         number = np.full(len(self.dense), -1)
         number[which] = np.arange(len(which))
         on = number[self.row] >= 0
-        row, column = number[self.row[on]], self.column[on]
+        row = number[self.row[on]]
         order = np.argsort(row, kind="stable")
-        return View(row[order], column[order], self.dense[which], self.width)
+        out = View(row[order], self.column[on][order], self.dense[which], self.width)
+        out.weight = self.weight[on][order]
+        return out
+
+    def followed_by(self, more: View) -> View:
+        if not len(more.dense):
+            return self
+        out = View(np.concatenate([self.row, more.row + len(self.dense)]), np.concatenate([self.column, more.column]), np.concatenate([self.dense, more.dense]), self.width)
+        out.weight = np.concatenate([self.weight, more.weight])
+        return out
 
 
 def text_view(batch: pa.RecordBatch) -> View:
@@ -148,9 +167,7 @@ class CoTrained:
         for r in range(rounds):
             before, self.models = self.models or [None, None], []
             for v, p, (rows, labels), start in zip(known, pool, added, before, strict=True):
-                more = p.rows(rows)
-                both = View(np.concatenate([v.row, more.row + len(v.dense)]), np.concatenate([v.column, more.column]), np.concatenate([v.dense, more.dense]), v.width)
-                self.models.append(fit_logistic(both, np.concatenate([y[fit], labels]), start))
+                self.models.append(fit_logistic(v.followed_by(p.rows(rows)), np.concatenate([y[fit], labels]), start))
             if r + 1 < rounds and len(pool[0].dense):
                 sure = [1 / (1 + np.exp(-p.logits(w))) for p, w in zip(pool, self.models, strict=True)]
                 for k, s in enumerate(sure):
@@ -184,7 +201,7 @@ def _views(rows: DataFrame) -> tuple[np.ndarray, tuple[View, View]]:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 views = [text_view(batch), meta_view(batch)]
                 lists = []
                 for v in views:
@@ -215,8 +232,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     spare = spark.createDataFrame([(r.doc_id,) for r in first.collect()], f"doc_id {kind}")
     ids, views = _views(docs.join(F.broadcast(id_rows), "doc_id", "left_semi"))  # both sides bounded by the parameters
     by_id = np.argsort(ids, kind="stable")  # partitions come in any order
-    views = (views[0].rows(by_id), views[1].rows(by_id))
-    _, unlabelled = _views(docs.join(F.broadcast(spare), "doc_id", "left_semi"))
+    seen = [np.bincount(v.column, minlength=v.width) >= min(LEAST_DOCS, len(ids)) for v in views]
+    views = tuple(v.columns(k).rows(by_id) for v, k in zip(views, seen, strict=True))
+    unlabelled = tuple(v.columns(k) for v, k in zip(_views(docs.join(F.broadcast(spare), "doc_id", "left_semi"))[1], seen, strict=True))
     targets = np.array([y[i] for i in ids[by_id].tolist()], float).reshape(-1, 2)
     return {name: CoTrained(views, targets[:, k], unlabelled) for k, name in enumerate(("quality", "toxic"))}
 
@@ -233,7 +251,7 @@ def score_documents(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 quality, toxic = _scores(batch, held.value)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(quality), pa.array(toxic), pa.array((quality >= 0.5) & (toxic < 0.5))], ["doc_id", "p_quality", "p_toxic", "keep"])
 
@@ -248,7 +266,7 @@ def keep_good(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SLICE):
                 quality, toxic = _scores(batch, held.value)
                 yield batch.select(["row"]).filter(pa.array((quality >= 0.5) & (toxic < 0.5)))
 
