@@ -14,7 +14,6 @@ table are ignored. Empty tables give no rows, an empty benchmark no hits.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
