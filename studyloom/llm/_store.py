@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from studyloom.sources.store import keep, new_path, shared_dir
+from studyloom.sources.store import keep, keep_bucketed, new_path, shared_dir
 
-__all__ = ["keep", "new_path", "rows_of", "shared_dir"]
+__all__ = ["keep", "keep_bucketed", "new_path", "rows_of", "shared_dir"]
 
 
 def rows_of(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

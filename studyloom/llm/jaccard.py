@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm._store import keep, rows_of
+from studyloom.llm._store import keep, keep_bucketed, rows_of
 from studyloom.llm._text import NOT_SPACE, Words, chain, mix, slices, spread, text_bytes
 from studyloom.llm.components import components
 
@@ -186,7 +186,6 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, largest: int, shing
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        seen: set[tuple[int, int]] = set()
         for batch, sets in _batches(batches, k):
             doc = batch.column("doc_id").to_numpy()
             for above in (False, True):
@@ -195,7 +194,6 @@ def shared_signatures(docs: DataFrame, k: int, percent: int, largest: int, shing
             if sum(len(x[0]) for x in held) > FLUSH_ENTRIES:
                 yield from emit(*once(held))
                 held = []
-        del seen
         if held:
             yield from emit(*once(held))
 
@@ -254,8 +252,12 @@ def _may_link(n_a: np.ndarray, n_b: np.ndarray, a: np.ndarray, b: np.ndarray, pe
     return (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent) & (differ * (100 + percent) <= (n_a + n_b) * (100 - percent))
 
 
-def _fold(sketch: bytes, size: int) -> np.ndarray:
-    return np.frombuffer(sketch, np.uint8).reshape(-1, size) if len(sketch) >= size else None
+def _with_both(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """The pairs (a, b) with columns of both sets; the table of sets is in buckets and stays where it is."""
+    for side in ("a", "b"):
+        mine = sets.select("doc_id", *[F.col(c).alias(f"{c}_{side}") for c in columns])
+        pairs = pairs.withColumnRenamed(side, "doc_id").join(mine, "doc_id").withColumnRenamed("doc_id", side)
+    return pairs
 
 
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,9 +270,7 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             on = [len(s) != len(t) or bool(_may_link(n_a[i], n_b[i], np.frombuffer(s, np.uint8), np.frombuffer(t, np.uint8), percent)) for i, (s, t) in enumerate(zip(x, y, strict=True))]
             yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long")
+    return _with_both(pairs, sets, ["n", "sketch"]).mapInArrow(check, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -287,9 +287,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 on.append(100 * shared >= percent * (len(both) - shared))
             yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(check, "a long, b long")
+    return _with_both(pairs, sets, ["words"]).mapInArrow(check, "a long, b long")
 
 
 def cross_pairs(members: DataFrame, labels: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -336,7 +334,8 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     sizes = keep(set_sizes(docs, k).groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s")).select("doc_id", "s.*"))
     most = sizes.agg(F.max("n"), F.sum("n")).first()
-    classes = sizes.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    # a table of its own, so that the join with it can split a large class
+    classes = keep(sizes.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
     rep = sizes.join(classes, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("rep"))
     if not most[0]:
         return rep.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
@@ -346,7 +345,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     pivots = keep(members.groupBy("signature").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size"))
     stars = members.join(pivots, "signature").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     involved = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = keep(set_table(docs.join(involved, "doc_id", "left_semi"), k, percent).dropDuplicates(["doc_id"]))
+    sets = keep_bucketed(set_table(docs.join(involved, "doc_id", "left_semi"), k, percent), "doc_id")
     first = keep(verified(likely(stars, sets, percent), sets, percent))
     labels = components(first)
     second = verified(cross_pairs(members.join(pivots, "signature", "left_semi"), labels, pivots, sets, percent), sets, percent)
