@@ -259,15 +259,26 @@ def shared_anchors(docs: DataFrame, n_bytes: int, hot: int, length: int) -> Data
             shared = np.logical_or.reduceat((text != text[begin][group]) | (count > 1), begin)
             common = sig[begin[total > hot]]
             doc, number = doc[shared[group]], number[shared[group]]
+        part = (mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(1, buckets))
+        rows = [(p, d.tobytes(), n.tobytes()) for p, (d, n) in enumerate(zip(np.split(doc[order], cut), np.split(number[order], cut), strict=True)) if len(d)]
+        rows += [(-1, b"", common.tobytes())] if len(common) else []
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "docs", "numbers"])
+
+    def by_document(table: pa.Table) -> pa.Table:
+        numbers = b"".join(table.column("numbers").to_pylist())
+        if table.column("part")[0].as_py() < 0:
+            return pa.table([pa.array([None], pa.int64()), pa.array([numbers], pa.binary())], names=["doc_id", "numbers"])
+        doc, number = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64), np.frombuffer(numbers, np.int32)
         order = np.argsort(doc, kind="stable")
         doc, number = doc[order], number[order]
-        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
-        numbers = [x.tobytes() for x in np.split(number, cut[1:])] if len(cut) else []
-        ids = doc[cut].tolist()
-        return pa.table([pa.array([*ids, None], pa.int64()), pa.array([*numbers, common.tobytes()], pa.binary())], names=["doc_id", "numbers"])
+        cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        return pa.table([pa.array(doc[cut]), pa.array([x.tobytes() for x in np.split(number, cut[1:])], pa.binary())], names=["doc_id", "numbers"])
 
     blobs = docs.mapInArrow(index, "bucket long, " + ", ".join(f"{n} binary" for n in _BLOBS))
-    return blobs.groupBy("bucket").applyInArrow(meet, "doc_id long, numbers binary").where("doc_id is not null or length(numbers) > 0")
+    met = blobs.groupBy("bucket").applyInArrow(meet, "part long, docs binary, numbers binary")
+    return met.groupBy("part").applyInArrow(by_document, "doc_id long, numbers binary")
 
 
 _BLOBS = ["sig", "number", "doc", "known", "texts", "several", "count"]
@@ -461,7 +472,7 @@ def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).where("doc_id is not null")
     digest = F.sha2("text", 256)
     sizes = keep(docs.groupBy("doc_id").agg(F.min(F.struct(digest.alias("h"), F.octet_length("text").alias("n"))).alias("x")).select("doc_id", "x.*"))
-    first = sizes.groupBy("h").agg(F.min("doc_id").alias("rep"))
+    first = keep(sizes.groupBy("h").agg(F.min("doc_id").alias("rep")))  # its own table: the join can split a large class
     classes = keep(sizes.join(first, "h").select("doc_id", "rep", "n"))
     total = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     found = keep(shared_anchors(docs, total[1], max(HOT_LEAST, int(HOT_SHARE * total[0])), length))
