@@ -39,7 +39,7 @@ PIECE = 1 << 20
 FLUSH = 400_000
 BUCKET_ENTRIES = 1_000_000
 SLICE = 1 << 20
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Anchors in more than this share of all documents (and HOT_LEAST documents) are dealt by window. A
 #: document has a bounded number of anchors per byte, so there are few: their number follows from the share.
 HOT_SHARE, HOT_LEAST = 0.005, 4096
@@ -426,7 +426,7 @@ def bounded_prefixes(text: np.ndarray, order: np.ndarray, length: int, stop: int
     n = len(order)
     byte = text[order - 1]  # of suffix 0 too: it comes after the last byte, a stop
     byte[order == 0] = stop
-    back = np.empty(n, np.int64)
+    back = np.empty(n, np.int32)
     back[np.argsort(byte, kind="stable")] = np.arange(n)
     prefix = np.full(n + 1, -1, np.int32)
     prefix[0] = prefix[n] = 0
