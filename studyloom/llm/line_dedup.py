@@ -41,8 +41,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(named: DataFrame, names: list[str]) -> DataFrame:
-    """Rows whose name occurs twice or more."""
-    many = named.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    """Rows whose name occurs twice or more; the names are a table of their own, so that the join can split a common one."""
+    many = keep(named.groupBy(*names).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
     return named.join(many, names)
 
 
