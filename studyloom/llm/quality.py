@@ -8,9 +8,13 @@ calibrated on held-out labels, and a last logistic model on the calibrated views
 the score of every document. A document is kept if it is likelier good than bad and
 likelier harmless than toxic.
 
-Only the fit is bounded: ``LABELLED`` labelled and ``POOL`` unlabelled documents with the
-smallest hashes of their ids. Whole texts of all documents are scored, one batch after
-another, without a shuffle.
+Only labelled documents are sampled: the ``LABELLED`` ones with the smallest hashes of
+their ids. Every other document takes part in each round. Tasks score it by both views
+and sum, by hashed column, the gradient of its loss and a bound on its curvature; Spark
+adds the tasks' sums up, and the driver fits the labelled documents' loss together with
+the quadratic that these sums give, which lies nowhere under the true loss. Together, the
+documents labelled by a view weigh at most as much as those with labels. Whole texts are
+read one batch after another, without a shuffle.
 
 Null text is empty, null metadata is a value of its own. Several labels of a document
 count as the worst one, null labels not at all. A target whose labels are all alike (or
@@ -20,6 +24,7 @@ missing) is taken as met. Repeated rows get equal scores, other columns pass thr
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,7 @@ from pyspark.sql import functions as F
 from studyloom.llm._store import rows_of
 from studyloom.llm._text import ALNUM, Words, byte_class, mix, slices, text_bytes
 
-LABELLED, POOL = 4000, 1000
+LABELLED = 6000
 #: Features of fewer labelled documents aren't learned.
 LEAST_DOCS = 3
 ROUNDS = 3
@@ -38,6 +43,10 @@ SURE = 0.97
 #: First bytes of words that are features of their own, beside whole words.
 STEMS = (5, 6, 7)
 HELD_OUT = 5
+#: Tasks' sums are whole numbers of 1 / UNIT, so that the order in which they are added doesn't matter.
+UNIT = 1 << 20
+#: Columns in a row of a task's sums.
+BLOCK = 256
 WORD_BITS, META_BITS = 18, 12
 SLICE = 1 << 20
 _META = ("lang", "source")
@@ -84,12 +93,22 @@ class View:
         out.weight = self.weight[on][order]
         return out
 
-    def followed_by(self, more: View) -> View:
-        if not len(more.dense):
-            return self
-        out = View(np.concatenate([self.row, more.row + len(self.dense)]), np.concatenate([self.column, more.column]), np.concatenate([self.dense, more.dense]), self.width)
-        out.weight = np.concatenate([self.weight, more.weight])
-        return out
+    def sums(self, d: np.ndarray) -> np.ndarray:
+        """The gradient for a view that is used once: nothing is sorted."""
+        return np.concatenate([np.bincount(self.column, self.weight * d[self.row], self.width), self.dense.T @ d, [d.sum()]])
+
+    def bounds(self, on: np.ndarray) -> np.ndarray:
+        """By column, a bound on the curvature of the loss of the rows that are on: no logit's is over 1/4."""
+        size = (np.bincount(self.row, self.weight, len(self.dense)) + np.abs(self.dense).sum(1) + 1) * on / 4
+        return np.concatenate([np.bincount(self.column, self.weight * size[self.row], self.width), np.abs(self.dense).T @ size, [size.sum()]])
+
+
+class Pseudo(NamedTuple):
+    """What one view learns from the documents that the other is sure of."""
+
+    gradient: np.ndarray
+    curvature: np.ndarray
+    n: float
 
 
 def text_view(batch: pa.RecordBatch) -> View:
@@ -124,14 +143,21 @@ def meta_view(batch: pa.RecordBatch) -> View:
     return View(row[order], column[order], size[:, None] / 16, 1 << META_BITS)
 
 
-def fit_logistic(view: View, y: np.ndarray, start: np.ndarray | None = None, l2: float = 1e-4, steps: int = 120) -> np.ndarray:
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def fit_logistic(view: View, y: np.ndarray, start: np.ndarray | None = None, pseudo: Pseudo | None = None, l2: float = 1e-4, steps: int = 120) -> np.ndarray:
     """Adam over all rows; deterministic. From a start, a quarter of the steps will do."""
     w = np.zeros(view.width + view.dense.shape[1] + 1) if start is None else start.copy()
     steps = steps if start is None else steps // 4
-    m, v, n = np.zeros_like(w), np.zeros_like(w), len(y)
+    share = min(1.0, len(y) / pseudo.n) if pseudo and pseudo.n else 0.0
+    m, v, n = np.zeros_like(w), np.zeros_like(w), len(y) + (share * pseudo.n if share else 0)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(view.logits(w), -30, 30)))
-        g = view.gradient(p - y) / n
+        g = view.gradient(_sigmoid(view.logits(w)) - y)
+        if share:
+            g += share * (pseudo.gradient + pseudo.curvature * (w - start))
+        g /= n
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= 0.15 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -149,40 +175,47 @@ def _small_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3) -> np.ndarra
     return w
 
 
+class Split:
+    """The views of the labelled documents, and the parts to fit and to calibrate on; all targets share them."""
+
+    def __init__(self, views: tuple[View, View]):
+        self.views = views
+        self.held = np.arange(len(views[0].dense)) % HELD_OUT == 0
+        self.fit, self.out = ([v.rows(np.flatnonzero(on)) for v in views] for on in (~self.held, self.held))
+
+
 class CoTrained:
     """Both views' models of one target, their calibration, and the model that joins them."""
 
-    def __init__(self, views: tuple[View, View], y: np.ndarray, pool: tuple[View, View], rounds: int = ROUNDS):
+    def __init__(self, split: Split, y: np.ndarray):
         self.models: list[np.ndarray] = []
+        #: Unlabelled documents that were scored in each round, and those that each view learned from.
+        self.scored: list[int] = []
+        self.learned: list[tuple[int, int]] = []
         if len(np.unique(y)) < 2:
             return
-        held = np.arange(len(y)) % HELD_OUT == 0
-        if len(np.unique(y[held])) < 2 or len(np.unique(y[~held])) < 2:
-            held = np.ones(len(y), bool)
-            fit = np.arange(len(y))
-        else:
-            fit = np.flatnonzero(~held)
-        known = [v.rows(fit) for v in views]
-        added: list[list] = [[np.empty(0, np.int64), np.empty(0)] for _ in views]  # pool rows and labels, from the other view
-        for r in range(rounds):
-            before, self.models = self.models or [None, None], []
-            for v, p, (rows, labels), start in zip(known, pool, added, before, strict=True):
-                self.models.append(fit_logistic(v.followed_by(p.rows(rows)), np.concatenate([y[fit], labels]), start))
-            if r + 1 < rounds and len(pool[0].dense):
-                sure = [1 / (1 + np.exp(-p.logits(w))) for p, w in zip(pool, self.models, strict=True)]
-                for k, s in enumerate(sure):
-                    rows = np.flatnonzero((s > SURE) | (s < 1 - SURE))
-                    added[1 - k] = [rows, (s[rows] > 0.5).astype(float)]
-        out = np.flatnonzero(held)
-        raw = [v.rows(out).logits(w) for v, w in zip(views, self.models, strict=True)]
-        self.calibration = [_small_logistic(x[:, None], y[out]) for x in raw]
-        self.joined = _small_logistic(np.stack([a * x + b for x, (a, b) in zip(raw, self.calibration, strict=True)], 1), y[out])
+        apart = all(len(np.unique(y[on])) == 2 for on in (split.held, ~split.held))
+        self.fit, self.out = (split.fit, split.out) if apart else (split.views, split.views)
+        self.y, self.y_out = (y[~split.held], y[split.held]) if apart else (y, y)
+        self.models = [fit_logistic(v, self.y) for v in self.fit]
+
+    def learn(self, pseudo: tuple[Pseudo, Pseudo]) -> None:
+        self.models = [fit_logistic(v, self.y, w, p) for v, w, p in zip(self.fit, self.models, pseudo, strict=True)]
+
+    def calibrate(self) -> None:
+        """The last step; the labelled documents aren't needed any more."""
+        if not self.models:
+            return
+        raw = [v.logits(w) for v, w in zip(self.out, self.models, strict=True)]
+        self.calibration = [_small_logistic(x[:, None], self.y_out) for x in raw]
+        self.joined = _small_logistic(np.stack([a * x + b for x, (a, b) in zip(raw, self.calibration, strict=True)], 1), self.y_out)
+        del self.fit, self.out, self.y, self.y_out
 
     def score(self, views: tuple[View, View]) -> np.ndarray:
         if not self.models:
             return np.full(len(views[0].dense), np.nan)
         x = [a * v.logits(w) + b for v, w, (a, b) in zip(views, self.models, self.calibration, strict=True)]
-        return 1 / (1 + np.exp(-np.clip(np.stack(x, 1) @ self.joined[:-1] + self.joined[-1], -30, 30)))
+        return _sigmoid(np.stack(x, 1) @ self.joined[:-1] + self.joined[-1])
 
 
 def _features(docs: DataFrame) -> list[Column]:
@@ -220,23 +253,91 @@ def _views(rows: DataFrame) -> tuple[np.ndarray, tuple[View, View]]:
     return got.column("doc_id").to_numpy(), (views[0], views[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> dict[str, CoTrained]:
+def _lists(rows: np.ndarray) -> pa.Array:
+    """A list a row."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
+
+def exchange(rest: DataFrame, models: list[list[np.ndarray]], seen: list[np.ndarray]) -> tuple[int, list[tuple[Pseudo, Pseudo]]]:
+    """How many unlabelled documents there are, and by target what each view learns from the other.
+
+    ``models`` has both views' weights by target. A task's sums have a row for each ``BLOCK``
+    learned columns, whatever its documents, and so has what comes to the driver.
+    """
+    held = rest.sparkSession.sparkContext.broadcast((models, seen))
+    sizes, targets = [(1 << WORD_BITS) + DENSE + 1, (1 << META_BITS) + 2], range(len(models))
+    # the learned columns, those that aren't hashed, and the counts of documents learned from and of all
+    places = [np.concatenate([np.flatnonzero(k), np.arange(len(k), size + 1)]) for k, size in zip(seen, sizes, strict=True)]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, seen = held.value
+        total = [np.zeros((2 * len(models), size + 1)) for size in sizes]
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                views = [v.columns(k) for v, k in zip((text_view(batch), meta_view(batch)), seen, strict=True)]
+                for t, weights in enumerate(models):
+                    p = [_sigmoid(v.logits(w)) for v, w in zip(views, weights, strict=True)]
+                    for k, v in enumerate(views):
+                        other = p[1 - k]
+                        sure = (other > SURE) | (other < 1 - SURE)
+                        total[k][2 * t, :-1] += v.sums(np.where(sure, p[k] - (other > 0.5), 0.0))
+                        total[k][2 * t + 1, :-1] += v.bounds(sure)
+                        total[k][2 * t : 2 * t + 2, -1] += sure.sum(), batch.num_rows
+        for k, (sums, at) in enumerate(zip(total, places, strict=True)):
+            blocks = -(-len(at) // BLOCK)
+            whole = np.zeros((len(sums), blocks * BLOCK), np.int64)
+            whole[:, : len(at)] = np.rint(sums[:, at] * UNIT)
+            rows = whole.reshape(len(sums), blocks, BLOCK).swapaxes(0, 1).reshape(blocks, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(blocks, k), pa.int32()), pa.array(np.arange(blocks), pa.int32()), _lists(rows)], ["view", "block", "sums"])
+
+    def together(table: pa.Table) -> pa.Table:
+        rows = table.column("sums").combine_chunks()
+        whole = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).sum(0)
+        return pa.table([table.column("view")[:1], table.column("block")[:1], pa.chunked_array([_lists(whole[None])])], names=["view", "block", "sums"])
+
+    schema = "view int, block int, sums array<bigint>"
+    got = rest.select("text", *_META, "n_chars").mapInArrow(add_up, schema).groupBy("view", "block").applyInArrow(together, schema).toArrow().sort_by("block")
+    total = [np.zeros((2 * len(models), size + 1)) for size in sizes]
+    for k, at in enumerate(places):
+        mine = got.filter(pc.equal(got.column("view"), k))
+        if mine.num_rows:
+            rows = pc.list_flatten(mine.column("sums")).to_numpy().reshape(mine.num_rows, -1, BLOCK)
+            total[k][:, at] = rows.swapaxes(0, 1).reshape(2 * len(models), -1)[:, : len(at)] / UNIT
+    held.unpersist()
+    return int(total[0][1, -1]), [tuple(Pseudo(s[2 * t, :-1], s[2 * t + 1, :-1], float(s[2 * t, -1])) for s in total) for t in targets]
+
+
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int | None = None, rounds: int = ROUNDS) -> dict[str, CoTrained]:
+    """Models by target. ``pool`` is for trials: it leaves all but so many unlabelled documents out."""
     docs = _inputs(docs).where("doc_id is not null")
     worst = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = worst.orderBy(order, "doc_id").limit(labelled).collect()  # bounded by the parameter
     y = {r.doc_id: (r.quality, r.toxic) for r in chosen}
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
-    id_rows = spark.createDataFrame([(k,) for k in y], f"doc_id {kind}")
-    first = docs.select("doc_id").distinct().orderBy(order, "doc_id").limit(2 * pool + labelled).join(worst, "doc_id", "left_anti").orderBy(order, "doc_id").limit(pool)
-    spare = spark.createDataFrame([(r.doc_id,) for r in first.collect()], f"doc_id {kind}")
-    ids, views = _views(docs.join(F.broadcast(id_rows), "doc_id", "left_semi"))  # both sides bounded by the parameters
+    id_rows = F.broadcast(spark.createDataFrame([(k,) for k in y], f"doc_id {kind}"))  # bounded by the parameter
+    ids, views = _views(docs.join(id_rows, "doc_id", "left_semi"))
     by_id = np.argsort(ids, kind="stable")  # partitions come in any order
     seen = [np.bincount(v.column, minlength=v.width) >= min(LEAST_DOCS, len(ids)) for v in views]
-    views = tuple(v.columns(k).rows(by_id) for v, k in zip(views, seen, strict=True))
-    unlabelled = tuple(v.columns(k) for v, k in zip(_views(docs.join(F.broadcast(spare), "doc_id", "left_semi"))[1], seen, strict=True))
+    split = Split(tuple(v.columns(k).rows(by_id) for v, k in zip(views, seen, strict=True)))
     targets = np.array([y[i] for i in ids[by_id].tolist()], float).reshape(-1, 2)
-    return {name: CoTrained(views, targets[:, k], unlabelled) for k, name in enumerate(("quality", "toxic"))}
+    del views
+    models = {name: CoTrained(split, targets[:, k]) for k, name in enumerate(("quality", "toxic"))}
+    fitted = [m for m in models.values() if m.models]
+    # labels beyond the sample aren't used, so their documents are as good as unlabelled
+    rest = docs.join(id_rows, "doc_id", "left_anti")
+    if pool is not None:
+        first = rest.select("doc_id").distinct().orderBy(order, "doc_id").limit(pool)
+        rest = rest.join(F.broadcast(first), "doc_id", "left_semi")
+    for _ in range(rounds - 1 if fitted else 0):
+        n, pseudo = exchange(rest, [m.models for m in fitted], seen)
+        for m, p in zip(fitted, pseudo, strict=True):
+            m.scored.append(n)
+            m.learned.append((int(p[0].n), int(p[1].n)))
+            m.learn(p)
+    for m in models.values():
+        m.calibrate()
+    return models
 
 
 def _scores(batch: pa.RecordBatch, models: dict[str, CoTrained]) -> tuple[np.ndarray, np.ndarray]:

@@ -221,3 +221,42 @@ def test_quality(spark):
     alike = train(docs, known.where("quality = 1 and toxic = 0"), 50, 20)
     assert score_documents(docs, alike).where(~F.col("keep")).count() == 0
     assert score_documents(docs.where("false"), models).count() == 0
+
+
+def test_quality_learns_from_every_unlabelled_document(spark):
+    from studyloom.llm import quality
+
+    rng = random.Random(10)
+    rows = []
+    for d in range(3200):
+        bad = d % 3 == 0
+        text = " ".join(rng.choice(["vile", "nasty"] if bad and rng.random() < 0.4 else ["fair", "plain", "calm", "even"]) for _ in range(12))
+        rows.append((d, text, "en", "bad.example" if bad else "good.example", len(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    known = spark.createDataFrame([(d, int(d % 3 != 0), 0) for d in range(200)], "doc_id long, quality int, toxic int")
+    model = train(docs, known)["quality"]
+    assert model.scored == [3000] * (quality.ROUNDS - 1)  # all without a label, in every round
+    assert all(min(n) > 2000 for n in model.learned)
+
+    # labels for most documents don't end the exchange either
+    most = spark.createDataFrame([(d, int(d % 3 != 0), 0) for d in range(3100)], "doc_id long, quality int, toxic int")
+    assert train(docs, most)["quality"].scored == [100] * (quality.ROUNDS - 1)
+
+    # the tasks' sums are those of one plain pass over all rows
+    rest = quality._inputs(docs).where("doc_id >= 200")
+    batch = rest.toArrow().combine_chunks().to_batches()[0]
+    views = quality.text_view(batch), quality.meta_view(batch)
+    n, ((text, meta),) = quality.exchange(rest, [model.models], [np.ones(v.width, bool) for v in views])
+    p = [1 / (1 + np.exp(-v.logits(w))) for v, w in zip(views, model.models, strict=True)]
+    assert n == 3000
+    for got, v, mine, other in ((text, views[0], p[0], p[1]), (meta, views[1], p[1], p[0])):
+        sure = (other > quality.SURE) | (other < 1 - quality.SURE)
+        assert got.n == sure.sum()
+        assert np.allclose(got.gradient, v.gradient(np.where(sure, mine - (other > 0.5), 0.0)), atol=1e-3)
+        # the quadratic lies nowhere under the loss of these rows
+        label, step = (other > 0.5).astype(float), np.random.default_rng(3)
+        loss = lambda w, v=v, sure=sure, label=label: float((np.logaddexp(0, v.logits(w)) - label * v.logits(w))[sure].sum())
+        w = model.models[0] if v is views[0] else model.models[1]
+        for size in (0.01, 0.1, 1.0):
+            move = step.normal(size=len(w)) * size
+            assert loss(w + move) <= loss(w) + got.gradient @ move + got.curvature @ (move * move) / 2 + 0.1
