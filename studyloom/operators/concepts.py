@@ -65,11 +65,13 @@ def mentions(sentences: DataFrame, concepts: DataFrame) -> DataFrame:
     """doc_id, pos, concept_id, at: sentences (doc_id, pos, sentence) that name a concept (concept_id, name).
 
     Token windows of 1 to NGRAM words, plural tolerant, meet concepts by an equi-join; lengths
-    that no concept has are never made.
+    that no concept has are never made. Longer names meet by their first NGRAM words, and the
+    rest is compared where those stand.
     """
     key = F.array_join(_stem(F.split(fn.norm_key(F.col("name")), " ")), " ")
-    named = concepts.select("concept_id", key.alias("gram")).where("gram <> ''").withColumn("n", F.size(F.split("gram", " "))).where(F.col("n") <= NGRAM)
-    lengths = sorted(r.n for r in named.select("n").distinct().collect())  # NGRAM values at most
+    named = concepts.select("concept_id", key.alias("gram")).where("gram <> ''").withColumn("n", F.size(F.split("gram", " ")))
+    named = named.withColumn("head", F.array_join(F.slice(F.split("gram", " "), 1, NGRAM), " "))
+    lengths = sorted(r.n for r in named.select(F.least("n", F.lit(NGRAM)).alias("n")).distinct().collect())  # NGRAM values at most
     words = sentences.select("doc_id", "pos", _stem(F.split(fn.norm_key(F.col("sentence")), " ")).alias("w"))
     grams = None
     for n in lengths:
@@ -78,7 +80,11 @@ def mentions(sentences: DataFrame, concepts: DataFrame) -> DataFrame:
         grams = one if grams is None else grams.unionByName(one)
     if grams is None:
         grams = words.select("doc_id", "pos", F.lit(0).alias("at"), F.lit("").alias("gram"))
-    return grams.join(named.select("concept_id", "gram"), "gram").groupBy("doc_id", "pos", "concept_id").agg(F.min("at").alias("at"))
+    met = grams.withColumnRenamed("gram", "head").join(named.select("concept_id", "gram", "head", "n"), "head")
+    short = met.where(F.col("n") <= NGRAM).select("doc_id", "pos", "concept_id", "at")
+    whole = F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ") == F.col("gram")
+    long = met.where(F.col("n") > NGRAM).join(words, ["doc_id", "pos"]).where(whole).select("doc_id", "pos", "concept_id", "at")
+    return short.unionByName(long).groupBy("doc_id", "pos", "concept_id").agg(F.min("at").alias("at"))
 
 
 def _window_of(n: int):

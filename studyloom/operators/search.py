@@ -11,6 +11,7 @@ from studyloom.operators.text import terms
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
+BLOCK_QUERIES = 32
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame
     q = prepared(queries).select(F.col("vec_id").alias("query_id"), F.col("e").alias("q"), F.col("norm").alias("q_norm"))
     v = prepared(vectors)
     # every vector meets every query; queries are dealt to blocks, so neither side is broadcast unchecked
-    blocks = 8
+    blocks = max(8, -(-queries.count() // BLOCK_QUERIES))
     v = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pairs = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).join(v, "block").where("query_id <> vec_id")
     dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)

@@ -98,6 +98,12 @@ def g2_cosine_top(spark, d):
     return df.select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"))
 
 
+def g2_cosine_top_hundredth(spark, d):
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    df = search.cosine_top(v.where("vec_id % 100 = 0"), v)
+    return df.select("query_id", "rank", "vec_id", F.round("score", 9).alias("score"))
+
+
 def g5_jaccard(spark, d):
     s = table(spark, d, "part").select("p_partkey", fn.norm_key(F.col("p_name")).alias("a"), fn.norm_key(F.col("p_type")).alias("b"))
     return s.select("p_partkey", F.round(fn.jaccard(F.col("a"), F.col("b")), 9).alias("jaccard"), F.round(fn.max_overlap(F.col("a"), F.col("b")), 9).alias("g6_overlap"))
@@ -112,7 +118,7 @@ def m1_text_quality(spark, d):
     return df.select("doc_id", *[F.round(c, 9).alias(c) for c in ("repeated", "readability", "length_score", "structure")])
 
 
-QUERIES = {f.__name__: f for f in (b2_content_hash, b8_document_stats, b11_document_complexity, b13_token_estimate, b23_strip_marks, c1_sentences, c2_norm_key, c7_term_frequency, c25_top_keywords, c26_concept_doc_frequency, c27_frequent_terms, f1_build_index, f2_query_tokens, f3_bm25, f4_recent, f5_snippet, f11_fuse, g2_cosine_top, g5_jaccard, g9_edit_class, m1_text_quality)}
+QUERIES = {f.__name__: f for f in (b2_content_hash, b8_document_stats, b11_document_complexity, b13_token_estimate, b23_strip_marks, c1_sentences, c2_norm_key, c7_term_frequency, c25_top_keywords, c26_concept_doc_frequency, c27_frequent_terms, f1_build_index, f2_query_tokens, f3_bm25, f4_recent, f5_snippet, f11_fuse, g2_cosine_top, g2_cosine_top_hundredth, g5_jaccard, g9_edit_class, m1_text_quality)}
 
 _KEY = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _WORDS = r"len(regexp_extract_all({0}, '\S+'))"
@@ -151,6 +157,7 @@ SELECT doc_id, CASE WHEN sc < 1 THEN 'easy' WHEN sc < 1.8 THEN 'moderate' WHEN s
     "f5_snippet": f"SELECT doc_id, CASE WHEN f = '' THEN 'Empty result' WHEN h < 0 THEN f[:180] || CASE WHEN length(f) > 180 THEN '...' ELSE '' END ELSE CASE WHEN h > 48 THEN '...' ELSE '' END || substring(f, greatest(0, h - 48) + 1, least(length(f), h + 132) - greatest(0, h - 48)) || CASE WHEN h + 132 < length(f) THEN '...' ELSE '' END END AS snippet FROM (SELECT doc_id, {_FLAT} AS f, instr(lower({_FLAT}), 'that') - 1 AS h FROM documents)",
     "f11_fuse": f"WITH {_BM}, h AS (SELECT query_id, doc_id AS hit_id, score, 'lexical' AS source FROM bm WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, round(score / 2 + 3, 6), 'graph' FROM bm WHERE rank <= 10 AND doc_id % 2 = 0), g AS (SELECT query_id, hit_id, max(score) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM h GROUP BY ALL), r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hit_id))::int AS rank FROM g) SELECT * FROM r WHERE rank <= 5",
     "g2_cosine_top": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (q.norm * v.norm) AS score FROM n q JOIN n v ON q.vec_id <> v.vec_id WHERE q.vec_id < 10), r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id))::int AS rank, vec_id, round(score, 9) AS score FROM s) SELECT * FROM r WHERE rank <= 10",
+    "g2_cosine_top_hundredth": "WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS e FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / (q.norm * v.norm) AS score FROM n q JOIN n v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vec_id))::int AS rank, vec_id, round(score, 9) AS score FROM s) SELECT * FROM r WHERE rank <= 10",
     "g5_jaccard": f"WITH {_P} SELECT p_partkey, round(CASE WHEN a = '' OR b = '' THEN 0 WHEN a = b THEN 1 WHEN contains(a, b) OR contains(b, a) THEN greatest(0.82::double, c / (len(x) + len(y) - c)::double) ELSE c / (len(x) + len(y) - c)::double END, 9) AS jaccard, round(CASE WHEN a = '' OR b = '' THEN 0 ELSE c / greatest(len(x), len(y))::double END, 9) AS g6_overlap FROM z",
     "g9_edit_class": "WITH p AS (SELECT p_partkey, p_name AS a, p_name || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN '!' ELSE p_type END AS b, p_type AS t FROM part) SELECT p_partkey, CASE WHEN trim(a) = trim(b) THEN NULL WHEN levenshtein(trim(a), trim(b)) / greatest(length(trim(a)), length(trim(b)), 1)::double <= 0.25 THEN 'lightlyEdited' ELSE 'heavilyEdited' END AS edit, coalesce(list_max(list_filter(range(1, least(length(a), length(t)) + 1), lambda i: a[:i] = t[:i])), 0)::int AS g10_prefix FROM p",
     "m1_text_quality": f"""WITH s AS (SELECT doc_id, t, {_SENT.format('t')} AS s, string_split(t, chr(10)) AS l FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),

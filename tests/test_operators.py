@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from studyloom.functions import text as fn
+from studyloom.operators import concepts as concept_rules
 from studyloom.operators import graph, learner, planning, search, signals
 from studyloom.streaming import events as streaming
 
@@ -118,3 +119,22 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == want
     sessions = streaming.drain(streaming.study_sessions(stream, "60 minutes")).groupBy("user_id").count().collect()
     assert {r.user_id: r["count"] for r in sessions} == dict.fromkeys(range(4), 50)
+
+
+def test_names_of_many_words(spark):
+    text = "one two three four five six seven eights nine"
+    sentences = spark.createDataFrame([(1, 0, f"so {text}"), (2, 0, "one two three four five six other"), (3, 0, f"{text} and {text}")], "doc_id long, pos int, sentence string")
+    named = spark.createDataFrame([(7, "One two three four five six seven eight"), (8, "five six"), (9, text + " ten")], "concept_id long, name string")
+    got = {(r.doc_id, r.concept_id, r["at"]) for r in concept_rules.mentions(sentences, named).collect()}
+    assert got == {(1, 7, 1), (1, 8, 5), (2, 8, 4), (3, 7, 0), (3, 8, 4)}
+
+
+def test_cosine_of_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 3)
+    rng = random.Random(5)
+    v = {i: [rng.gauss(0, 1) for _ in range(4)] for i in range(400)}
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): r.vec_id for r in search.cosine_top(df.where("vec_id % 10 = 0"), df, 3).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    want = {(q, k + 1): i for q in range(0, 400, 10) for k, i in enumerate(sorted((i for i in v if i != q), key=lambda i: -cos(v[q], v[i]))[:3])}
+    assert got == want
