@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 from studyloom.sources.store import keep
 
 DEPTH_MOST = 8
+#: Levels of a chain between two looks for cycles.
+CHECK_LEVELS = 16
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -71,17 +73,27 @@ def prerequisite_edges(edges: DataFrame) -> DataFrame:
     return edges.where(kind.contains("require") | kind.contains("depend") | kind.contains("prereq"))
 
 
-def prerequisite_chain(edges: DataFrame, targets: DataFrame, levels: int = 16) -> DataFrame:
-    """target, node, distance, place: what to learn before a target, farthest first; bounded levels end cycles."""
+def prerequisite_chain(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """target, node, distance, place: what to learn before a target, farthest first.
+
+    The distance is that of the longest way. No way without a cycle has more edges than the
+    target has nodes, so longer ones aren't followed; that ends cycles and nothing else.
+    """
     steps = keep(prerequisite_edges(edges).select(F.col("source_id").alias("node"), F.col("target_id").alias("next")).distinct())
     front = targets.select(F.col("concept_id").alias("target"), F.col("concept_id").alias("node")).distinct()
-    every = None
-    for level in range(1, levels + 1):
+    every, level = None, 0
+    while True:
+        level += 1
         front = keep(front.join(steps, "node").select("target", F.col("next").alias("node")).where("node <> target").distinct())
         if front.isEmpty():
             break
         here = front.withColumn("distance", F.lit(level))
         every = here if every is None else every.unionByName(here)
+        if level % CHECK_LEVELS == 0:
+            # whoever has at least as many levels as nodes has met all its nodes: each level up to the last new node has one
+            n = every.groupBy("target").agg(F.countDistinct("node").alias("n"))
+            every = keep(every.join(n, "target").where("distance <= n").groupBy("target", "node").agg(F.max("distance").alias("distance")))
+            front = keep(front.join(n.where(F.col("n") > level), "target", "left_semi"))
     if every is None:
         every = front.withColumn("distance", F.lit(0))
     last = every.groupBy("target", "node").agg(F.max("distance").alias("distance"))

@@ -121,6 +121,17 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {r.user_id: r["count"] for r in sessions} == dict.fromkeys(range(4), 50)
 
 
+def test_chains_of_any_length(spark):
+    schema = "edge_id int, source_id long, target_id long, relation string, confidence double"
+    line = [(i, i, i + 1, "REQUIRES", 1.0) for i in range(19)]
+    detour = [(30, 0, 40, "REQUIRES", 1.0), (31, 40, 2, "REQUIRES", 1.0), (32, 0, 19, "REQUIRES", 1.0)]
+    cycle = [(50, 100, 101, "REQUIRES", 1.0), (51, 101, 102, "REQUIRES", 1.0), (52, 102, 101, "REQUIRES", 1.0)]
+    edges = spark.createDataFrame(line + detour + cycle, schema)
+    targets = spark.createDataFrame([(0,), (100,)], "concept_id long")
+    got = {(r.target, r.node): r.distance for r in graph.prerequisite_chain(edges, targets).collect()}
+    assert got == {**{(0, i): i for i in range(1, 20)}, (0, 40): 1, (100, 101): 1, (100, 102): 2}
+
+
 def test_names_of_many_words(spark):
     text = "one two three four five six seven eights nine"
     sentences = spark.createDataFrame([(1, 0, f"so {text}"), (2, 0, "one two three four five six other"), (3, 0, f"{text} and {text}")], "doc_id long, pos int, sentence string")
