@@ -4,7 +4,7 @@ Candidates are runs of 20 or more base64 or URL-safe characters. A window of 20
 characters moves over each; counts by character change by one in and one out, and the
 Shannon entropy follows from the sum of c * log2(c). The threshold depends on the
 window's character class. An allow-list silences words, identifiers and well-known
-dummies; runs of good windows that no base span covers become spans of their own.
+dummies, each part between separators by itself; runs of good windows that no base span covers become spans of their own.
 
 A null text is empty: no spans. Documents without an id are skipped, repeated rows give
 a row each, other columns are ignored. Offsets are code points, ends exclusive.
@@ -26,20 +26,18 @@ from studyloom.llm._text import byte_class, byte_runs, slices, text_bytes
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed", "entropy_lower", "entropy_upper")
 BASE_KINDS = KINDS[:3]
 
 WINDOW = 20
-#: Least bits a character by class: a random window of 20 has about 3.5 of hex digits and 4.1 of mixed ones.
-LEAST_BITS = {"entropy_hex": 3.0, "entropy_mixed": 3.7}
+#: Least bits a character by class: a random window of 20 has about 3.5 of hex digits, 3.8 of letters of one case and digits, and 4.1 of mixed ones.
+LEAST_BITS = {"entropy_hex": 3.0, "entropy_mixed": 3.7, "entropy_lower": 3.4, "entropy_upper": 3.4}
 
-# Strings that look random and are none.
-ALLOWED = re.compile(
-    rb"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"  # UUIDs
-    rb"|.*(?:example|sample|dummy|placeholder|changeme|0123456789|abcdefghij|xxxxxx).*"
-    rb"|[a-z]+(?:[-_/][a-z]+)*[0-9]{0,4}",  # words, paths and slugs
-    re.I,
-)
+# Strings that look random and are none. UUIDs and a key of the manuals, wherever they stand
+ALLOWED = re.compile(rb"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", re.I)
+WORDS = re.compile(rb"[a-z]+(?:[-_/][a-z]+)*[0-9]{0,4}", re.I)  # words, paths and slugs
+PART = re.compile(rb"[^+/_=-]+")
+DUMMY = re.compile(rb"example|sample|dummy|placeholder|changeme|0123456789|abcdefghij|xxxxxx", re.I)
 
 _HEX = byte_class((0x30, 0x39), (0x61, 0x66))
 _ACCESS = byte_class((0x30, 0x39), (0x41, 0x5A))
@@ -49,10 +47,22 @@ _HEX_SET, _DIGITS = frozenset(b"0123456789abcdefABCDEF"), frozenset(b"0123456789
 _C_LOG_C = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 
+def _silent(text: bytes) -> np.ndarray:
+    """Whether a character belongs to an allowed part: the parts between separators count by themselves."""
+    out = np.zeros(len(text), bool)
+    for m in ALLOWED.finditer(text):
+        out[m.start() : m.end()] = True
+    for m in PART.finditer(text):
+        if DUMMY.search(m[0]) or (len(m[0]) >= WINDOW and WORDS.fullmatch(m[0])):
+            out[m.start() : m.end()] = True
+    return out
+
+
 def entropy_runs(text: bytes, window: int = WINDOW) -> list[tuple[str, int, int]]:
     """Kind, start and end of the maximal stretches whose windows pass their class's threshold."""
-    if len(text) < window or ALLOWED.fullmatch(text):
+    if len(text) < window or WORDS.fullmatch(text):
         return []
+    silent = np.concatenate([[0], np.cumsum(_silent(text))]).tolist()
     counts, total, n_hex, n_digit, n_upper, n_lower = [0] * 256, 0.0, 0, 0, 0, 0
     terms = _C_LOG_C if window == WINDOW else [0.0] + [c * log2(c) for c in range(1, window + 1)]
     out: list[tuple[str, int, int]] = []
@@ -66,8 +76,15 @@ def entropy_runs(text: bytes, window: int = WINDOW) -> list[tuple[str, int, int]
             n_lower += step * (97 <= x <= 122)
         if i + 1 < window or not n_digit or n_digit == window:
             continue
-        kind = "entropy_hex" if n_hex == window else "entropy_mixed"
-        if kind == "entropy_mixed" and not (n_upper and n_lower):
+        if silent[i + 1] > silent[i + 1 - window]:
+            continue
+        if n_hex == window:
+            kind = "entropy_hex"
+        elif n_upper and n_lower:
+            kind = "entropy_mixed"
+        elif n_digit + n_lower + n_upper == window:
+            kind = "entropy_lower" if n_lower else "entropy_upper"
+        else:
             continue
         if log2(window) - total / window >= LEAST_BITS[kind]:
             if out and out[-1][0] == kind and out[-1][2] >= i + 1 - window:
