@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _MIX1, _MIX2, _STEP = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53), U64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -54,11 +54,15 @@ def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _power(kind: str, n: int) -> np.ndarray:
-    if kind not in _powers or len(_powers[kind]) < n:
-        step = np.full(max(n, SLICE_BYTES + 1), _BASE if kind == "up" else _BASE_INV, np.uint64)
-        step[0] = 1
-        _powers[kind] = np.multiply.accumulate(step)
-    return _powers[kind][:n]
+    """Powers of the base or its inverse; only those that a slice of usual size needs are kept for the next one."""
+    if kind in _powers and len(_powers[kind]) >= n:
+        return _powers[kind][:n]
+    step = np.full(max(n, SLICE_BYTES + 1), _BASE if kind == "up" else _BASE_INV, np.uint64)
+    step[0] = 1
+    np.multiply.accumulate(step, out=step)
+    if n <= SLICE_BYTES + 1:
+        _powers[kind] = step
+    return step[:n]
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,6 +89,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, end - at)
         at = end
+    pa.default_memory_pool().release_unused()  # a worker lives on; what its batches took goes back to the system
 
 
 def byte_runs(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -193,10 +193,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns; each pass filters on, without a join."""
     items, passes = _items(benchmark, pass_words)
-    columns = docs.columns
     for p in range(passes):
         held = docs.sparkSession.sparkContext.broadcast(build([r.text for r in _part(items, p, passes)], window))
-        docs = _clean(docs.select(F.struct(*columns).alias("row"), F.col("text").cast("string").alias("text")), held)
+        docs = _clean(docs, held)
     return docs
 
 
@@ -206,9 +205,9 @@ def _clean(docs: DataFrame, held: Broadcast) -> DataFrame:
             for batch in slices(whole, "text"):
                 hit_text = np.zeros(batch.num_rows, bool)
                 hit_text[_scan(batch, held.value)[2]] = True
-                yield batch.select(["row"]).filter(pa.array(~hit_text))
+                yield batch.filter(pa.array(~hit_text))
 
-    return docs.mapInArrow(clean, docs.select("row").schema).select("row.*")
+    return docs.mapInArrow(clean, docs.schema)  # each text goes to the task once
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,8 +41,8 @@ from studyloom.llm._text import NOT_SPACE, Words, chain, mix, slices, spread, te
 from studyloom.llm.components import components
 
 SMALL_SET = 64
-FLUSH_ENTRIES = 2_000_000
-BUCKET_ENTRIES = 2_000_000
+FLUSH_ENTRIES = 600_000
+BUCKET_ENTRIES = 1_000_000
 BLOCK_ROWS = 2048
 SKETCH = 256
 

@@ -225,6 +225,14 @@ def _features(docs: DataFrame) -> list[Column]:
     return [F.col("text").cast("string").alias("text"), *meta, (F.col("n_chars").cast("long") if "n_chars" in have else F.length("text").cast("long")).alias("n_chars")]
 
 
+def _arrow_features(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The same columns of a batch that holds whole documents."""
+    text = batch.column("text").cast(pa.string())
+    meta = [batch.column(c).cast(pa.string()) if c in batch.schema.names else pa.nulls(batch.num_rows, pa.string()) for c in _META]
+    size = batch.column("n_chars").cast(pa.int64()) if "n_chars" in batch.schema.names else pc.utf8_length(text).cast(pa.int64())
+    return pa.RecordBatch.from_arrays([text, *meta, size], ["text", *_META, "n_chars"])
+
+
 def _inputs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *_features(docs))
 
@@ -362,16 +370,15 @@ def score_documents(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
 
 def keep_good(docs: DataFrame, models: dict[str, CoTrained]) -> DataFrame:
     """The documents to keep, with all their columns, in one pass over them."""
-    held, columns = docs.sparkSession.sparkContext.broadcast(models), docs.columns
-    wide = docs.select(F.struct(*columns).alias("row"), *_features(docs))
+    held = docs.sparkSession.sparkContext.broadcast(models)
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", SLICE):
-                quality, toxic = _scores(batch, held.value)
-                yield batch.select(["row"]).filter(pa.array((quality >= 0.5) & (toxic < 0.5)))
+                quality, toxic = _scores(_arrow_features(batch), held.value)
+                yield batch.filter(pa.array((quality >= 0.5) & (toxic < 0.5)))
 
-    return wide.mapInArrow(choose, wide.select("row").schema).select("row.*")
+    return docs.mapInArrow(choose, docs.schema)  # each text goes to the task once
 
 
 def op10_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
