@@ -8,8 +8,10 @@ of text advance together, so each step is one numpy operation.
 
 Nulls: a null text has no words (n_words 0, not contaminated), a null item text has no
 windows, items without an id are skipped, and so are documents without an id. Repeated
-document rows give a row each; repeated item ids count once. Other columns of either
-table are ignored. Empty tables give no rows, an empty benchmark no hits.
+document rows give a row each, also where rows with one id have different texts; repeated
+item ids count once. Other columns of either table are ignored. Empty tables give no
+rows, an empty benchmark no hits. Texts of any length are searched whole, by stretches.
+A benchmark of any size gives the same result: larger ones only take more passes.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm._store import rows_of
+from studyloom.llm._store import keep, rows_of
 from studyloom.llm._text import ALNUM, Words, chain, mix, slices, spread, text_bytes
 
 WINDOW = 10
@@ -135,7 +137,8 @@ def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, window: int = WI
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id is not null")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def one(rows: list) -> DataFrame:
+    def one(docs: DataFrame, rows: list) -> tuple[DataFrame, Broadcast]:
+        other = [c for c in docs.columns if c not in ("doc_id", "text")]
         held = spark.sparkContext.broadcast(([r.item_id for r in rows], build([r.text for r in rows], window)))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,20 +151,25 @@ def find_benchmark_words(docs: DataFrame, benchmark: DataFrame, window: int = WI
                         found[t].add(names[i])
                     spans = _runs(hit, words.at) if hit.any() else [[]] * batch.num_rows
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id"), pa.array(words.counts(), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
-                        ["doc_id", "n_words", "spans", "items"],
+                        [batch.column("doc_id"), pa.array(words.counts(), pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array([sorted(x) for x in found], pa.list_(pa.string())), *[batch.column(c) for c in other]],
+                        ["doc_id", "n_words", "spans", "items", *other],
                     )
 
-        return docs.mapInArrow(scan, f"doc_id {id_type}, n_words long, spans array<long>, items array<string>")
+        return docs.mapInArrow(scan, f"doc_id {id_type}, n_words long, spans array<long>, items array<string>" + "".join(f", {c} string" for c in other)), held
 
-    parts = [one(_part(items, p, passes)) for p in range(passes)]
     if passes == 1:
-        return parts[0]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    grouped = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return grouped.mapInArrow(_merge, f"doc_id {id_type}, n_words long, spans array<long>, items array<string>")
+        return one(docs, _part(items, 0, 1))[0]
+    # rows are told apart by id and text; a pass is written and its search table released before the next one
+    every = None
+    for p in range(passes):
+        found, held = one(docs.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256)), _part(items, p, passes))
+        found = keep((found if p == 0 else found.where("size(spans) > 0")).withColumn("rows", F.lit(int(p == 0))))
+        held.destroy()
+        every = found if every is None else every.unionByName(found)
+    lists = F.collect_set("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
+    grouped = every.groupBy("doc_id", "digest").agg(F.max("n_words").alias("n_words"), F.sum("rows").alias("rows"), *lists)
+    merged = grouped.mapInArrow(_merge, f"doc_id {id_type}, n_words long, spans array<long>, items array<string>, rows long")
+    return merged.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("row", "rows")
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,26 +184,32 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     out += [lo, hi]
             merged.append(out)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(merged, pa.list_(pa.int64())), batch.column("items")], ["doc_id", "n_words", "spans", "items"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(merged, pa.list_(pa.int64())), batch.column("items"), batch.column("rows")], ["doc_id", "n_words", "spans", "items", "rows"])
 
 
 def _hit(spans) -> object:
     return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
     """The digest of find_benchmark_words: counts, hash of the item ids, and the verdict."""
-    found = find_benchmark_words(docs, benchmark, window)
+    found = find_benchmark_words(docs, benchmark, window, pass_words)
     n_hit = _hit(F.col("spans"))
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_words: int = PASS_WORDS) -> DataFrame:
-    """The documents in which no benchmark window occurs, with all their columns; each pass filters on, without a join."""
+    """The documents in which no benchmark window occurs, with all their columns.
+
+    Each pass filters on, without a join; of several, each is written before the next one's search table is made.
+    """
     items, passes = _items(benchmark, pass_words)
     for p in range(passes):
         held = docs.sparkSession.sparkContext.broadcast(build([r.text for r in _part(items, p, passes)], window))
         docs = _clean(docs, held)
+        if passes > 1:
+            docs = keep(docs)
+            held.destroy()
     return docs
 
 

@@ -16,8 +16,10 @@ windows in a row with one anchor are a segment of at most 80 bytes. Then
 4. spans meet their document again, and what they cover is removed.
 
 Later copies of whole texts (``length`` bytes or more) are covered without any of this.
-Strings are judged on the input; null text is empty; rows without an id are skipped; of
-rows that repeat an id one counts; other columns pass through ``dedup_substrings``.
+Strings are judged on the input; null text is empty; rows without an id are skipped. Of
+rows that repeat an id the one with the smallest text is the document, and so are equal
+ones; others with that id are no source and stay whole. Other columns are ignored. A
+text of any length is cut piece by piece; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm._store import keep, rows_of
+from studyloom.llm._store import first_texts, keep, rows_of
 from studyloom.llm._text import chain, mix, slices, spread, text_bytes
 
 LENGTH = 50
@@ -470,8 +472,8 @@ def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, text (binary), copy (of an earlier text), starts and sizes (lists of binary; null without spans)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")).where("doc_id is not null")
-    digest = F.sha2("text", 256)
-    sizes = keep(docs.groupBy("doc_id").agg(F.min(F.struct(digest.alias("h"), F.octet_length("text").alias("n"))).alias("x")).select("doc_id", "x.*"))
+    every, (docs, again) = docs, first_texts(docs)
+    sizes = keep(docs.select("doc_id", F.sha2("text", 256).alias("h"), F.octet_length("text").alias("n")))
     first = keep(sizes.groupBy("h").agg(F.min("doc_id").alias("rep")))  # its own table: the join can split a large class
     classes = keep(sizes.join(first, "h").select("doc_id", "rep", "n"))
     total = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -483,7 +485,12 @@ def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spans = covered_spans(marked, np.concatenate([np.empty(0, np.uint64), *common]), shards, length)
     grouped = spans.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("sizes").alias("sizes"))
     copies = classes.where("doc_id <> rep").select("doc_id", F.lit(True).alias("copy"))
-    return docs.join(grouped.join(copies, "doc_id", "full"), "doc_id", "left")
+    found = grouped.join(copies, "doc_id", "full")
+    if again is None:
+        return docs.join(found, "doc_id", "left")
+    rows = every.join(again.withColumnRenamed("text", "first"), "doc_id", "left").join(found, "doc_id", "left")
+    own = F.col("first").isNull() | (F.col("first") == F.col("text"))
+    return rows.select("doc_id", "text", *[F.when(own, F.col(c)).alias(c) for c in ("copy", "starts", "sizes")])
 
 
 def _removed(batch: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:

@@ -55,6 +55,7 @@ def test_matches_brute_force(spark, monkeypatch, k, percent):
     monkeypatch.setattr(jaccard, "FLUSH_ENTRIES", 500)
     monkeypatch.setattr(jaccard, "BUCKET_ENTRIES", 300)
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(jaccard, "VERIFY_ROWS", 3)
     df = spark.createDataFrame([(d, t, "x") for d, t in docs], SCHEMA).repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(df, k, percent).collect()}
     assert got == brute(docs, k, percent)
@@ -67,3 +68,13 @@ def test_drop_similar_and_edges(spark):
     assert kept.columns == df.columns
     assert sorted(r.n_shingles for r in kept.collect()) == ["a", "a", "c", "d", "e"]
     assert similar_components(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_that_repeat_an_id(spark):
+    long, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, long), (2, other), (2, long), (3, other), (4, long), (4, None), (5, long)]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(df, 5, 80).collect()}
+    # 2 is its smaller text, which is that of 3; 4 is its null
+    assert got == {1: (36, 1), 2: (36, 2), 3: (36, 2), 4: (0, 4), 5: (36, 1)}
+    assert sorted(r.doc_id for r in drop_similar(df, 5, 80).collect()) == [1, 2, 2, 4, 4]

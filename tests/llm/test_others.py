@@ -180,6 +180,16 @@ def test_decontamination(spark, pass_words, monkeypatch):
     assert contamination(df, none).where("contaminated").count() == 0 and contamination(frame(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("pass_words", [10**6, 12])
+def test_decontamination_of_rows_that_repeat_an_id(spark, pass_words):
+    a, b = (" ".join(f"{c}{i}" for i in range(12)) for c in "ab")
+    rows = [(1, f"x {a}"), (1, f"x {a}"), (2, f"{a} y"), (2, f"z z {b}"), (2, None)]
+    bench = spark.createDataFrame([(7, a), (8, b), (9, "never asked")], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in contamination(frame(spark, [None]).where("false").select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string")), bench, 10, pass_words).collect())
+    assert got == [(1, 13, 12, 1), (1, 13, 12, 1), (2, 0, 0, 0), (2, 13, 12, 1), (2, 14, 12, 1)]
+    assert drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench, 10, pass_words).collect() == [(2, None)]
+
+
 @pytest.mark.parametrize("shard_rows", [40, 10_000])
 def test_nearest(spark, shard_rows):
     rng = np.random.default_rng(6)

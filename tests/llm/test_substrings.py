@@ -54,6 +54,15 @@ def test_interface_and_edges(spark):
     assert removal_digest(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_different_texts_under_one_id(spark):
+    passage, other = "".join(chr(97 + i % 26) + str(i) for i in range(40)), "".join(chr(65 + i % 26) + str(i * i) for i in range(40))
+    rows = [(1, passage), (2, "zz " + passage), (2, other), (3, other), (3, other), (4, "yy" + other)]
+    df = spark.createDataFrame([(d, t, "", 1) for d, t in rows], SCHEMA)
+    got = sorted((r.doc_id, bytes(r.kept)) for r in dedup_substrings(df).collect())
+    # document 2 is its smaller text, "other"; its row with the passage stays whole
+    assert got == sorted([(1, passage.encode()), (2, b"zz " + passage.encode()), (2, other.encode()), (3, b""), (3, b""), (4, b"yy")])
+
+
 def test_bounded_prefixes():
     rng = np.random.default_rng(1)
     text = np.full(300 + 72, 0xFF, np.uint8)
