@@ -51,6 +51,9 @@ WORD_BITS, META_BITS = 18, 12
 SLICE = 1 << 20
 _META = ("lang", "source")
 _KINDS = [byte_class((0x41, 0x5A)), byte_class((0x61, 0x7A)), byte_class((0x30, 0x39)), byte_class((0x20, 0x20)), byte_class((0x0A, 0x0A)), byte_class((0x80, 0xFF)), np.isin(np.arange(256), list(b".,;:!?'\"")), np.isin(np.arange(256), list(b"|")), np.isin(np.arange(256), list(b"#$%&*@<>{}[]\\^~"))]
+_KIND_OF = np.full(256, len(_KINDS))  # no byte is of two kinds
+for _k, _table in enumerate(_KINDS):
+    _KIND_OF[_table] = _k
 DENSE = len(_KINDS) + 4
 
 
@@ -111,19 +114,26 @@ class Pseudo(NamedTuple):
     n: float
 
 
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """Sorted, each once; sorts in place."""
+    numbers.sort()
+    return numbers[np.append(True, numbers[1:] != numbers[:-1])] if len(numbers) else numbers
+
+
 def text_view(batch: pa.RecordBatch) -> View:
     data, offsets = text_bytes(batch.column("text"))
     words, n = Words(data, offsets, ALNUM), batch.num_rows
-    text = np.repeat(np.arange(n, dtype=np.uint64), words.counts()) << np.uint64(WORD_BITS)
-    mask, found = np.uint64((1 << WORD_BITS) - 1), [text | (words.hash & np.uint64((1 << WORD_BITS) - 1))]
+    kind = np.uint32 if n < 1 << (32 - WORD_BITS) else np.uint64  # row and column in one number
+    text, mask = np.repeat(np.arange(n, dtype=kind), words.counts()) << kind(WORD_BITS), np.uint64((1 << WORD_BITS) - 1)
+    found = [text | (words.hash & mask).astype(kind)]
     for k in STEMS:
         long = words.end - words.start >= k
-        found.append(text[long] | (mix(words.span_hash(words.start[long], words.start[long] + k) + np.uint64(k)) & mask))
-    pairs = np.unique(np.concatenate([np.unique(x) for x in found]))
-    row, column = (pairs >> np.uint64(WORD_BITS)).astype(np.int64), (pairs & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
+        found.append(text[long] | (mix(words.span_hash(words.start[long], words.start[long] + k) + np.uint64(k)) & mask).astype(kind))
+    pairs = _distinct(np.concatenate(found))
+    row, column = (pairs >> kind(WORD_BITS)).astype(np.int64), (pairs & kind((1 << WORD_BITS) - 1)).astype(np.int64)
     size, count = np.maximum(np.diff(offsets), 1), np.maximum(words.counts(), 1)
-    total = [np.concatenate([[0], np.cumsum(k[data])]) for k in _KINDS]
-    dense = [(t[offsets[1:]] - t[offsets[:-1]]) / size for t in total]
+    kinds = np.bincount(np.repeat(np.arange(n) * (len(_KINDS) + 1), np.diff(offsets)) + _KIND_OF[data], minlength=n * (len(_KINDS) + 1)).reshape(n, -1)
+    dense = [kinds[:, k] / size for k in range(len(_KINDS))]
     dense += [np.bincount(row, minlength=n) / count, np.log1p(words.counts()) / 10, size / count / 20, words.counts() == 0]
     return View(row, column, np.stack(dense, 1).astype(float) * 4, 1 << WORD_BITS)
 
