@@ -19,11 +19,13 @@ Candidates are settled in two rounds, both exact: each member against its signat
 smallest member first; then, where a signature's members are not yet in one component,
 all pairs from different components, in blocks. Sketches (a byte for each of many finer
 segments) give a lower bound of the difference that dismisses most pairs; the others
-are verified on whole sets.
+are verified on whole sets, which come together once for all pairs of a block.
 
 Documents without words have no set and no links. Rows without an id are skipped; rows
-that repeat an id are one document. Other columns are ignored; an empty table stays so.
-Shingles are 64-bit hashes; sets are compared on 48 bits of them.
+that repeat an id are one document, with the smallest of their texts. Other columns are
+ignored; an empty table stays so. A very long text is one set, held by one task at a time.
+Shingles are 64-bit hashes; sets are compared on 48 bits of them: of two unequal shingles
+of a pair of sets with 10,000 each, two agree by chance once in 2.8 million pairs.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from studyloom.llm._store import keep, keep_bucketed, rows_of
+from studyloom.llm._store import first_texts, keep, keep_bucketed, rows_of
 from studyloom.llm._text import NOT_SPACE, Words, chain, mix, slices, spread, text_bytes
 from studyloom.llm.components import components
 
@@ -44,6 +46,8 @@ SMALL_SET = 64
 FLUSH_ENTRIES = 600_000
 BUCKET_ENTRIES = 1_000_000
 BLOCK_ROWS = 2048
+#: Sets that come together to be verified: bytes and number of each of the two blocks.
+VERIFY_BYTES, VERIFY_ROWS = 4 << 20, 1024
 SKETCH = 256
 
 
@@ -261,33 +265,51 @@ def _with_both(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFra
 
 
 def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their sketches don't rule out."""
+    """The pairs (key, a, b) that their sketches don't rule out, with the larger set's size."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
             n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
             on = [len(s) != len(t) or bool(_may_link(n_a[i], n_b[i], np.frombuffer(s, np.uint8), np.frombuffer(t, np.uint8), percent)) for i, (s, t) in enumerate(zip(x, y, strict=True))]
-            yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
+            found = pa.RecordBatch.from_arrays([batch.column("key"), batch.column("a"), batch.column("b"), pa.array(np.maximum(n_a, n_b))], ["key", "a", "b", "n"])
+            yield found.filter(pa.array(on, pa.bool_()))
 
-    return _with_both(pairs, sets, ["n", "sketch"]).mapInArrow(check, "a long, b long")
+    return _with_both(pairs, sets, ["n", "sketch"]).mapInArrow(check, "key long, a long, b long, n long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar, by their whole sets."""
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            on = []
-            for x, y in zip(batch.column("words_a"), batch.column("words_b"), strict=True):
-                x, y = _eight(x.as_py()), _eight(y.as_py())
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                on.append(100 * shared >= percent * (len(both) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
-
-    return _with_both(pairs, sets, ["words"]).mapInArrow(check, "a long, b long")
+    """The pairs (key, a, b, n) that are similar, as a, b, by their whole sets.
+
+    Pairs of one key have sets in common. A key's sets are dealt to blocks of bounded size,
+    and each two blocks meet in a task, so that a set travels once for all its pairs there.
+    """
+    pairs = keep(pairs)
+    sized = pairs.groupBy("key").agg(F.max("n").alias("n"), (F.approx_count_distinct("a") + F.approx_count_distinct("b")).alias("docs"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("docs") / VERIFY_ROWS), F.ceil(F.col("docs") * F.col("n") * 6 / VERIFY_BYTES)).cast("int")
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks")).cast("int")
+    dealt = pairs.drop("n").join(sized.select("key", blocks.alias("blocks")), "key")
+    dealt = keep(dealt.select("key", F.least(block("a"), block("b")).alias("i"), F.greatest(block("a"), block("b")).alias("j"), "a", "b"))
+    ends = dealt.select("key", "i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    words = ends.join(sets.select("doc_id", "words"), "doc_id").toDF("doc_id", "of_key", "of_i", "of_j", "words")
+
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        order = np.argsort(ids := right.column("doc_id").to_numpy())
+        ids, held = ids[order], right.column("words").combine_chunks()
+        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+        on, last, x = np.zeros(len(a), bool), -1, np.empty(0, np.uint64)
+        at = [order[np.searchsorted(ids, c)] for c in (a, b)]
+        for p in np.argsort(at[0], kind="stable"):
+            if at[0][p] != last:
+                last = at[0][p]
+                x = _eight(held[int(last)].as_py())
+            both = np.concatenate([x, _eight(held[int(at[1][p])].as_py())])
+            both.sort()
+            shared = int(np.count_nonzero(both[1:] == both[:-1]))
+            on[p] = 100 * shared >= percent * (len(both) - shared)
+        return pa.table([pa.array(a[on]), pa.array(b[on])], names=["a", "b"])
+
+    return dealt.groupBy("key", "i", "j").cogroup(words.groupBy("of_key", "of_i", "of_j")).applyInArrow(check, "a long, b long")
 
 
 def cross_pairs(members: DataFrame, labels: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -324,15 +346,18 @@ def cross_pairs(members: DataFrame, labels: DataFrame, pivots: DataFrame, sets:
                 a.append(np.full(len(y), doc[x]))
                 b.append(doc[y])
         a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-        return pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+        key = np.full(len(a), table.column("signature")[0].as_py())
+        return pa.table([pa.array(key, pa.int64()), pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(np.full(len(a), n.max()), pa.int64())], names=["key", "a", "b", "n"])
 
-    return dealt.select("signature", "i", "j", "own", "doc_id", "n", "label", "pivot", "sketch").groupBy("signature", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    found = dealt.select("signature", "i", "j", "own", "doc_id", "n", "label", "pivot", "sketch").groupBy("signature", "i", "j").applyInArrow(compare, "key long, a long, b long, n long")
+    # signatures that share a pair: it stays with the smallest, so that the pairs of similar sets stay together
+    return found.groupBy("a", "b").agg(F.min(F.struct("key", "n")).alias("x")).select("x.key", "a", "b", "x.n")
 
 
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    sizes = keep(set_sizes(docs, k).groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s")).select("doc_id", "s.*"))
+    docs, _ = first_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null"))
+    sizes = keep(set_sizes(docs, k))
     most = sizes.agg(F.max("n"), F.sum("n")).first()
     # a table of its own, so that the join with it can split a large class
     classes = keep(sizes.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")))
@@ -343,7 +368,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     found = shared_signatures(docs, k, percent, most[0], most[1]).join(rep.select("doc_id", "rep"), "doc_id").select("signature", F.col("rep").alias("doc_id")).distinct()
     members = keep(found)
     pivots = keep(members.groupBy("signature").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size"))
-    stars = members.join(pivots, "signature").where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = members.join(pivots, "signature").where("doc_id <> pivot").select(F.col("pivot").alias("key"), F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     involved = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
     sets = keep_bucketed(set_table(docs.join(involved, "doc_id", "left_semi"), k, percent), "doc_id")
     first = keep(verified(likely(stars, sets, percent), sets, percent))
