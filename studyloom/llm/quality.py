@@ -57,27 +57,33 @@ for _k, _table in enumerate(_KINDS):
 DENSE = len(_KINDS) + 4
 
 
+def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of consecutive parts that begin at the offsets; empty ones are 0."""
+    out, full = np.zeros(len(at) - 1), at[1:] > at[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, at[:-1][full])
+    return out
+
+
 class View:
     """Rows of features that are present (row numbers, ascending, and column numbers) beside dense ones."""
 
     def __init__(self, row: np.ndarray, column: np.ndarray, dense: np.ndarray, width: int):
         self.row, self.column, self.dense, self.width = row.astype(np.int32), column.astype(np.int32), dense, width
         self.by_column: tuple | None = None
+        self.at = np.searchsorted(self.row, np.arange(len(dense) + 1))
         # each row's features share a fixed length, so that long texts don't outweigh short ones
         self.weight = (4 / np.sqrt(np.maximum(np.bincount(row, minlength=len(dense)), 1))[row]).astype(np.float32)
 
     def logits(self, w: np.ndarray) -> np.ndarray:
-        upto = np.concatenate([[0.0], np.cumsum(self.weight * w[self.column])])
-        at = np.searchsorted(self.row, np.arange(len(self.dense) + 1))
-        return np.diff(upto[at]) + self.dense @ w[self.width : -1] + w[-1]
+        return _sums(self.weight * w.astype(np.float32)[self.column], self.at) + self.dense @ w[self.width : -1] + w[-1]
 
     def gradient(self, d: np.ndarray) -> np.ndarray:
         if self.by_column is None:
             order = np.argsort(self.column, kind="stable")
             self.by_column = self.row[order], self.weight[order], np.searchsorted(self.column[order], np.arange(self.width + 1))
         row, weight, at = self.by_column
-        upto = np.concatenate([[0.0], np.cumsum(weight * d[row])])
-        return np.concatenate([np.diff(upto[at]), self.dense.T @ d, [d.sum()]])
+        return np.concatenate([_sums(weight * d.astype(np.float32)[row], at), self.dense.T @ d, [d.sum()]])
 
     def columns(self, wanted: np.ndarray) -> View:
         """Only the wanted features; the others keep their part in a row's length."""
@@ -321,7 +327,7 @@ def exchange(rest: DataFrame, models: list[list[np.ndarray]], seen: list[np.ndar
         if mine.num_rows:
             rows = pc.list_flatten(mine.column("sums")).to_numpy().reshape(mine.num_rows, -1, BLOCK)
             total[k][:, at] = rows.swapaxes(0, 1).reshape(2 * len(models), -1)[:, : len(at)] / UNIT
-    held.unpersist()
+    held.destroy()
     return int(total[0][1, -1]), [tuple(Pseudo(s[2 * t, :-1], s[2 * t + 1, :-1], float(s[2 * t, -1])) for s in total) for t in targets]
 
 
@@ -341,6 +347,8 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     targets = np.array([y[i] for i in ids[by_id].tolist()], float).reshape(-1, 2)
     del views
     models = {name: CoTrained(split, targets[:, k]) for k, name in enumerate(("quality", "toxic"))}
+    del split  # the parts that the models need are theirs
+    pa.default_memory_pool().release_unused()
     fitted = [m for m in models.values() if m.models]
     # labels beyond the sample aren't used, so their documents are as good as unlabelled
     rest = docs.join(id_rows, "doc_id", "left_anti")
