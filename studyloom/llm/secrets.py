@@ -7,13 +7,16 @@ window's character class. An allow-list silences words, identifiers and well-kno
 dummies, each part between separators by itself; runs of good windows that no base span covers become spans of their own.
 
 A null text is empty: no spans. Documents without an id are skipped, repeated rows give
-a row each, other columns are ignored. Offsets are code points, ends exclusive.
+a row each, other columns are ignored. Offsets are code points, ends exclusive. Time
+follows the text's length, however long it is and however many spans it has.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from math import log2
 
 import numpy as np
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from studyloom.llm._store import rows_of
-from studyloom.llm._text import byte_class, byte_runs, slices, text_bytes
+from studyloom.llm._text import byte_class, byte_runs, slices, spread, text_bytes
 
 ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I)
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
@@ -43,8 +46,11 @@ _HEX = byte_class((0x30, 0x39), (0x61, 0x66))
 _ACCESS = byte_class((0x30, 0x39), (0x41, 0x5A))
 _CANDIDATE = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)) | np.isin(np.arange(256), list(b"+/_=-"))
 _SIGN = byte_class((0x3A, 0x3A), (0x3D, 0x3D))
-_HEX_SET, _DIGITS = frozenset(b"0123456789abcdefABCDEF"), frozenset(b"0123456789")
-_C_LOG_C = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
+_DIGIT, _UPPER, _LOWER = byte_class((0x30, 0x39)), byte_class((0x41, 0x5A)), byte_class((0x61, 0x7A))
+_HEX_DIGIT = byte_class((0x30, 0x39), (0x41, 0x46), (0x61, 0x66))
+_ENTROPY = tuple(LEAST_BITS)
+#: Windows of a candidate that are counted one after another; longer ones are cut.
+LANE = 256
 
 
 def _silent(text: bytes) -> np.ndarray:
@@ -58,42 +64,81 @@ def _silent(text: bytes) -> np.ndarray:
     return out
 
 
-def entropy_runs(text: bytes, window: int = WINDOW) -> list[tuple[str, int, int]]:
-    """Kind, start and end of the maximal stretches whose windows pass their class's threshold."""
-    if len(text) < window or WORDS.fullmatch(text):
+def window_bits(data: np.ndarray, start: np.ndarray, n: np.ndarray, window: int) -> np.ndarray:
+    """Entropy in bits a character of the n windows from each start on, end to end.
+
+    Candidates are cut into lanes of at most ``LANE`` windows that move on together: a step takes
+    one character out of each lane's counts and another one in.
+    """
+    terms = np.array([0.0] + [c * log2(c) for c in range(1, window + 1)])
+    lanes = -(-n // LANE)
+    part = spread(np.zeros(len(n), np.int64), lanes)
+    first = np.repeat(start, lanes) + part * LANE
+    size = np.minimum(LANE, np.repeat(n, lanes) - part * LANE)
+    place = np.cumsum(size) - size
+    order = np.argsort(-size, kind="stable")
+    first, size, place = first[order], size[order], place[order]
+    counts, total, row = np.zeros((len(first), 256), np.uint8 if window < 256 else np.int32), np.zeros(len(first)), np.arange(len(first))
+    out = np.empty(int(n.sum()))
+
+    def count(at: np.ndarray, step: int) -> None:
+        on = row[: len(at)]
+        symbol = data[at]
+        c = counts[on, symbol].astype(np.int64)
+        total[: len(at)] += terms[c + step] - terms[c]
+        counts[on, symbol] = c + step
+
+    for j in range(window):
+        count(first + j, 1)
+    out[place] = total
+    for t in range(1, int(size.max(initial=0))):
+        on = int(np.searchsorted(-size, -t, "left"))  # lanes with more than t windows
+        count(first[:on] + t - 1, -1)
+        count(first[:on] + t + window - 1, 1)
+        out[place[:on] + t] = total[:on]
+    return log2(window) - out / window
+
+
+def entropy_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, window: int = WINDOW) -> list[tuple[str, int, int]]:
+    """Kind, start and end of the maximal stretches of candidates (byte spans) whose windows pass their class's threshold."""
+    on = end - start >= window
+    start, end = start[on], end[on]
+    if not len(start):
         return []
-    silent = np.concatenate([[0], np.cumsum(_silent(text))]).tolist()
-    counts, total, n_hex, n_digit, n_upper, n_lower = [0] * 256, 0.0, 0, 0, 0, 0
-    terms = _C_LOG_C if window == WINDOW else [0.0] + [c * log2(c) for c in range(1, window + 1)]
+    n = end - start - window + 1
+    bits, at, of = window_bits(data, start, n, window), spread(start, n), np.repeat(np.arange(len(start)), n)
+
+    def within(table: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(table[data], dtype=np.int32)])
+        return upto[at + window] - upto[at]
+
+    n_hex, n_digit, n_upper, n_lower = (within(t) for t in (_HEX_DIGIT, _DIGIT, _UPPER, _LOWER))
+    kind = np.where(n_hex == window, 0, np.where((n_upper > 0) & (n_lower > 0), 1, np.where(n_digit + n_lower + n_upper == window, np.where(n_lower > 0, 2, 3), -1)))
+    least = np.array([*LEAST_BITS.values(), np.inf])
+    passed = np.flatnonzero((n_digit > 0) & (n_digit < window) & (bits >= least[kind]))
     out: list[tuple[str, int, int]] = []
-    for i, c in enumerate(text):
-        for x, step in ((c, 1),) if i < window else ((text[i - window], -1), (c, 1)):
-            total += terms[counts[x] + step] - terms[counts[x]]
-            counts[x] += step
-            n_hex += step * (x in _HEX_SET)
-            n_digit += step * (x in _DIGITS)
-            n_upper += step * (65 <= x <= 90)
-            n_lower += step * (97 <= x <= 122)
-        if i + 1 < window or not n_digit or n_digit == window:
-            continue
-        if silent[i + 1] > silent[i + 1 - window]:
+    cuts = np.flatnonzero(np.append(True, of[passed][1:] != of[passed][:-1])) if len(passed) else []
+    for mine in np.split(passed, cuts[1:]) if len(passed) else []:  # by candidate that has any
+        lo, hi = int(start[of[mine[0]]]), int(end[of[mine[0]]])
+        text = data[lo:hi].tobytes()
+        if WORDS.fullmatch(text):
             continue
-        if n_hex == window:
-            kind = "entropy_hex"
-        elif n_upper and n_lower:
-            kind = "entropy_mixed"
-        elif n_digit + n_lower + n_upper == window:
-            kind = "entropy_lower" if n_lower else "entropy_upper"
-        else:
-            continue
-        if log2(window) - total / window >= LEAST_BITS[kind]:
-            if out and out[-1][0] == kind and out[-1][2] >= i + 1 - window:
-                out[-1] = (kind, out[-1][1], i + 1)
+        silent = np.concatenate([[0], np.cumsum(_silent(text))])
+        mine = mine[silent[at[mine] - lo + window] == silent[at[mine] - lo]]
+        begin = len(out)
+        for p, k in zip(at[mine].tolist(), kind[mine].tolist(), strict=True):
+            if len(out) > begin and out[-1][0] == _ENTROPY[k] and out[-1][2] >= p:
+                out[-1] = (out[-1][0], out[-1][1], p + window)
             else:
-                out.append((kind, i + 1 - window, i + 1))
+                out.append((_ENTROPY[k], p, p + window))
     return out
 
 
+def entropy_runs(text: bytes, window: int = WINDOW) -> list[tuple[str, int, int]]:
+    """The spans of one candidate."""
+    return entropy_spans(np.frombuffer(text, np.uint8), np.array([0]), np.array([len(text)]), window)
+
+
 def scan_bytes(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, str, int]]]:
     """By text, the spans (start, kind, end) in bytes of all texts end to end, in order."""
     found: list[list[tuple[int, str, int]]] = [[] for _ in range(len(offsets) - 1)]
@@ -116,10 +161,15 @@ def scan_bytes(data: np.ndarray, offsets: np.ndarray) -> list[list[tuple[int, st
             found[t].append((lo + at, "access", hi))
     for t, lo, hi in long_runs(_HEX, HEX_LEAST):
         found[t].append((lo, "hex", hi))
-    for t, lo, hi in long_runs(_CANDIDATE, WINDOW):
-        for kind, a, b in entropy_runs(data[lo:hi].tobytes()):
-            if not any(x <= lo + a and lo + b <= y for x, k, y in found[t] if k in BASE_KINDS):
-                found[t].append((lo + a, kind, lo + b))
+    base: dict[int, tuple[list[int], list[int]]] = {}  # by text: starts in order, and the farthest end up to each
+    spans = entropy_spans(data, *byte_runs(data, offsets, _CANDIDATE))
+    for t, (kind, lo, hi) in zip(owner(np.array([s[1] for s in spans], np.int64)), spans, strict=True):
+        if t not in base:
+            known = sorted((a, b) for a, _, b in found[t])
+            base[t] = [a for a, _ in known], list(accumulate((b for _, b in known), max))
+        at = bisect_right(base[t][0], lo)
+        if not at or base[t][1][at - 1] < hi:
+            found[t].append((lo, kind, hi))
     for spans in found:
         spans.sort(key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
     return found

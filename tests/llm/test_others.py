@@ -90,6 +90,44 @@ def test_entropy_of_one_case_and_of_parts():
         assert entropy_runs(none) == []
 
 
+def test_entropy_by_brute_force(monkeypatch):
+    from collections import Counter
+
+    from studyloom.llm import secrets
+
+    monkeypatch.setattr(secrets, "LANE", 7)
+    rng, w = random.Random(5), secrets.WINDOW
+    pools = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcXYZ0123456789+/", "ab1", "abcdefghij-_="]
+    for _ in range(300):
+        text = "".join("".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for pool in rng.sample(pools, 2)) + rng.choice(["", "-example-k3v9x0q7m2z8t5w1p4h6"])
+        want, raw = [], text.encode()
+        silent = secrets._silent(raw)
+        for i in range(len(text) - w + 1 if not secrets.WORDS.fullmatch(raw) else 0):
+            piece = text[i : i + w]
+            bits = -sum(c / w * math.log2(c / w) for c in Counter(piece).values())
+            digits = sum(c.isdigit() for c in piece)
+            case = any(c.isupper() for c in piece), any(c.islower() for c in piece)
+            kind = "entropy_hex" if re.fullmatch("[0-9a-fA-F]+", piece) else "entropy_mixed" if all(case) else ("entropy_lower" if case[1] else "entropy_upper") if piece.isalnum() else None
+            if kind and 0 < digits < w and not silent[i : i + w].any() and bits >= secrets.LEAST_BITS[kind] - 1e-9:
+                if want and want[-1][0] == kind and want[-1][2] >= i:
+                    want[-1] = (kind, want[-1][1], i + w)
+                else:
+                    want.append((kind, i, i + w))
+        assert entropy_runs(raw) == want
+
+
+def test_many_secrets_in_one_text():
+    from time import monotonic
+
+    from studyloom.llm.secrets import scan_bytes
+
+    rng = random.Random(6)
+    text = "".join(f"api_key='{''.join(rng.choice('abcdefghijkmnpqrstuvwxyz23456789') for _ in range(24))}' " for _ in range(20_000)).encode()
+    began = monotonic()
+    (spans,) = scan_bytes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    assert len(spans) == 20_000 and {k for _, k, _ in spans} == {"assign"} and monotonic() - began < 10
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
