@@ -14,8 +14,9 @@ the word limit make runs of at most ``least_words`` lines, so the rounds are few
 
 A line's words are its spaces between words plus one, a blank line counts as one. Null
 texts have no lines and stay null. Rows without an id stay as they are; rows that share
-a doc_id count as one document. Names are two 64-bit hashes. Other columns pass through
-``dedup_lines``; an empty table stays empty.
+a doc_id count as one document. Names are two 64-bit hashes. Other columns, of any name,
+pass through ``dedup_lines``; an empty table stays empty. A very long text is as many
+rows as it has lines, and its result one row.
 """
 
 from __future__ import annotations
@@ -97,18 +98,24 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 
 def _kept(lines: Column, runs: Column) -> Column:
-    return F.filter(lines, lambda x, i: ~F.exists(runs, lambda r: (r["first_line"] <= i) & (i < r["end_line"])))
+    """The lines between the runs, which are in order and apart: each line is looked at once."""
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.transform(runs, lambda r: r["end_line"]))
+    ends = F.concat(F.transform(runs, lambda r: r["first_line"].cast("long")), F.array(F.size(lines).cast("long")))
+    return F.flatten(F.zip_with(begins, ends, lambda a, b: F.slice(lines, (a + 1).cast("int"), (b - a).cast("int"))))
 
 
 def _with_runs(docs: DataFrame, least_words: int) -> DataFrame:
-    runs = repeated_runs(docs, least_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_line", "end_line"))).alias("_runs"))
-    return docs.join(runs, "doc_id", "left")
+    """doc_id, text, rest (a struct of the other columns, so that no name clashes) and runs, null where there are none."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).cast("int").alias("none")]
+    runs = repeated_runs(docs, least_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_line", "end_line"))).alias("runs"))
+    return docs.select("doc_id", "text", F.struct(*rest).alias("rest")).join(runs, "doc_id", "left")
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """The documents with later copies taken out of ``text``; everything else as it was."""
-    text = F.when(F.col("_runs").isNull(), F.col("text")).otherwise(F.array_join(_kept(F.split("text", "\n", -1), F.col("_runs")), "\n"))
-    return _with_runs(docs, least_words).withColumn("text", text).select(*docs.columns)
+    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(_kept(F.split("text", "\n", -1), F.col("runs")), "\n"))
+    own = {"doc_id": F.col("doc_id"), "text": text.alias("text")}
+    return _with_runs(docs, least_words).select(*[own.get(c, F.col(f"rest.`{c}`").alias(c)) for c in docs.columns])
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,11 +123,31 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = rows_of(spark, sf_dir, "documents").select("doc_id", "text")
     none = F.expr("cast(array() as array<struct<first_line: int, end_line: bigint>>)")
     split = F.when(F.col("text").isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.split("text", "\n", -1))
-    df = _with_runs(docs, LEAST_WORDS).withColumn("_lines", split).withColumn("_runs", F.coalesce(F.col("_runs"), none))
-    removed = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["end_line"] - r["first_line"])
-    kept = F.when(F.size("_runs") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(_kept(F.col("_lines"), F.col("_runs")), "\n"))
-    return df.select("doc_id", F.size("_lines").cast("long").alias("n_lines"), removed.alias("n_removed"), F.size("_runs").cast("long").alias("n_runs"), F.sha2(kept, 256).alias("kept_sha256"))
-
-
+    df = _with_runs(docs, LEAST_WORDS).withColumn("lines", split).withColumn("runs", F.coalesce(F.col("runs"), none))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["end_line"] - r["first_line"])
+    kept = F.when(F.size("runs") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(_kept(F.col("lines"), F.col("runs")), "\n"))
+    return df.select("doc_id", F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"), F.size("runs").cast("long").alias("n_runs"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+#: Runs of 50 words or more that are as short as can be, from each line on and up to each, by their text.
+SQL = """
+WITH l AS (SELECT doc_id, text, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS ls FROM documents),
+x AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM l WHERE doc_id IS NOT NULL),
+w AS (SELECT doc_id, pos, greatest(len(trim(line)) - len(replace(trim(line), ' ', '')) + 1, 1) AS n FROM x),
+c AS (SELECT doc_id, pos, n, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM w),
+f AS (SELECT a.doc_id, a.pos AS s, b.pos AS e FROM (SELECT doc_id, pos, upto - n + 50 AS goal FROM c) a ASOF JOIN c b ON a.doc_id = b.doc_id AND b.upto >= a.goal),
+t AS (SELECT a.doc_id, b.pos AS s, a.pos AS e FROM (SELECT doc_id, pos, upto - 50 AS goal FROM c) a ASOF JOIN (SELECT doc_id, pos, upto - n AS before FROM c) b ON a.doc_id = b.doc_id AND b.before <= a.goal),
+r AS (SELECT doc_id, s, e, md5(array_to_string(list_slice(ls, s + 1, e + 1), chr(10))) AS g FROM (SELECT * FROM f UNION SELECT * FROM t) JOIN l USING (doc_id)),
+o AS (SELECT g, e - s AS m, min((doc_id, s)) AS first FROM r GROUP BY ALL HAVING count(*) > 1),
+d AS (SELECT r.doc_id, s, e FROM r JOIN o ON o.g = r.g AND o.m = r.e - r.s WHERE (r.doc_id, r.s) <> first),
+k AS (SELECT doc_id, s, e, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM d),
+i AS (SELECT doc_id, s, e, sum(CASE WHEN s <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS run FROM k),
+m AS (SELECT doc_id, min(s) AS s, max(e) AS e FROM i GROUP BY doc_id, run),
+n AS (SELECT doc_id, sum(e - s + 1) AS n_removed, count(*) AS n_runs, list(s) AS ss, list(e) AS es FROM m GROUP BY doc_id),
+h AS (SELECT x.doc_id, string_agg(line, chr(10) ORDER BY pos) AS kept FROM x JOIN n ON n.doc_id = x.doc_id WHERE len(list_filter(list_zip(ss, es), lambda p: p[1] <= pos AND pos <= p[2])) = 0 GROUP BY x.doc_id)
+SELECT l.doc_id, len(ls)::bigint AS n_lines, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_runs, 0)::bigint AS n_runs,
+  sha256(CASE WHEN n.doc_id IS NULL THEN coalesce(text, '') ELSE coalesce(kept, '') END) AS kept_sha256
+FROM l LEFT JOIN n ON n.doc_id = l.doc_id LEFT JOIN h ON h.doc_id = l.doc_id
+"""
 QUERIES: dict[str, Callable] = {"op7_line_dedup": op7_line_dedup}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_line_dedup": SQL}

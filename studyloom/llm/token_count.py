@@ -11,7 +11,7 @@ input, and ``token_counts`` gives each document its place and length. It relies
 input having the same rows in the same order each time, as Parquet files or a
 checkpoint have. Null texts are documents without tokens. Repeated rows are documents
 of their own, rows without an id stay (with a null id), other columns are ignored; an
-empty table gives no rows. Words after a file's last separator are a document that
+empty table gives no rows. A file holds a bounded number of words, or one longer text. Words after a file's last separator are a document that
 isn't closed.
 """
 
@@ -32,8 +32,8 @@ from studyloom.llm._store import keep, rows_of, shared_dir
 
 SEPARATOR = 0
 BLOCK_WORDS = 1 << 20
-#: Documents in one file: a file is one row for Spark's reader.
-FILE_DOCS = 16_384
+#: Words of a part of a file, a single document at least, and parts in one file: a file is one row for Spark's reader.
+PART_WORDS, FILE_PARTS = 1 << 22, 8
 
 
 def default_vocabulary() -> str:
@@ -52,19 +52,30 @@ def _encoder(vocabulary: str):
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str | None = None) -> None:
-    """Flat token files of all documents in their order, FILE_DOCS a file."""
+    """Flat token files of all documents in their order; a file ends by its words, however many or long its documents are."""
     vocabulary = vocabulary or default_vocabulary()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
+        encoder, held, n = _encoder(vocabulary), [], 0
+        if encoder.max_token_value + 1 > np.iinfo(np.uint16).max:
+            raise ValueError("this vocabulary's ids don't fit 16 bits beside the separator")
+        row = lambda: pa.RecordBatch.from_arrays([pa.array([end_word.join(held)], pa.binary())], ["value"])
         for batch in batches:
-            for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
-                words = [(np.array(encoder.encode_ordinary(x or ""), np.uint16) + np.uint16(1)).astype("<u2").tobytes() for x in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], ["value"])
+            for text in batch.column(0):
+                words = (np.array(encoder.encode_ordinary(text.as_py() or ""), np.uint16) + np.uint16(1)).astype("<u2").tobytes()
+                if held and n + len(words) // 2 + 1 > part_words:
+                    yield row()
+                    held, n = [], 0
+                held.append(words)
+                n += len(words) // 2 + 1
+        if held:
+            yield row()
+
+    end_word, part_words = np.array([SEPARATOR], "<u2").tobytes(), PART_WORDS
 
     words = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(encode, "value binary")
     end = np.array([SEPARATOR], "<u2").tobytes().decode()  # Spark's text writer ends each row by it, and adds nothing else
-    words.select(F.col("value").cast("string")).write.option("lineSep", end).option("maxRecordsPerFile", FILE_DOCS).text(path)
+    words.select(F.col("value").cast("string")).write.option("lineSep", end).option("maxRecordsPerFile", FILE_PARTS).text(path)
 
 
 def scan_blocks(files: DataFrame, separator: int = SEPARATOR, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -116,7 +127,11 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     blocks = keep(scan_blocks(read_token_files(spark, path)))
     name = F.element_at(F.split("path", "/"), -1)
     part, nth = F.regexp_extract(name, r"^part-(\d+)", 1).cast("long"), F.regexp_extract(name, r"-c(\d+)\D*$", 1).cast("long")
-    counted = count_tokens(blocks).select(part.alias("part"), (nth * FILE_DOCS + F.col("document")).alias("document"), "start_word", "n_tokens")
+    # documents in a part's earlier files; there is a row a file
+    files = blocks.groupBy("path").agg(F.sum(F.size("ends")).alias("n")).select("path", part.alias("part"), nth.alias("nth"), "n")
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = files.select("path", "part", earlier.alias("earlier"))
+    counted = count_tokens(blocks).join(files, "path").select("part", (F.col("earlier") + F.col("document")).alias("document"), "start_word", "n_tokens")
     at = F.monotonically_increasing_id()
     order = docs.select("doc_id", at.alias("at")).select("doc_id", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND((1 << 33) - 1).alias("document"))
     return order.join(counted, ["part", "document"], "left").select("doc_id", "part", "document", "start_word", F.when(F.col("n_tokens").isNull(), F.raise_error(F.lit("the input's rows have changed")).cast("long")).otherwise(F.col("n_tokens")).alias("n_tokens"))

@@ -26,7 +26,8 @@ def frame(spark, texts):
 
 
 def test_token_counts(spark, monkeypatch):
-    monkeypatch.setattr(token_count, "FILE_DOCS", 2)
+    monkeypatch.setattr(token_count, "PART_WORDS", 6)
+    monkeypatch.setattr(token_count, "FILE_PARTS", 2)
     texts = TEXTS * 3
     encoder = token_count._encoder(token_count.default_vocabulary())
     got = token_counts(frame(spark, texts).repartition(2).transform(token_count.keep)).collect()
