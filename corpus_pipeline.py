@@ -21,10 +21,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of line runs; those with nothing else in them go."""
-    had = F.trim(F.translate("text", "\n\t\r", "   ")) != ""
-    deduped = line_dedup.dedup_lines(docs.withColumn("_had", F.coalesce(had, F.lit(False))))
-    left = F.coalesce(F.trim(F.translate("text", "\n\t\r", "   ")) != "", F.lit(False))
-    return deduped.where(~F.col("_had") | left).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    said = lambda c: F.coalesce(F.trim(F.translate(c, "\n\t\r", "   ")) != "", F.lit(False))
+    other = [c for c in docs.columns if c != "text"]
+    rows = docs.select("doc_id", "text", said("text").alias("had"), F.struct(*[F.col(f"`{c}`") for c in other]).alias("row"))  # a struct: no name clashes
+    left = line_dedup.dedup_lines(rows).where(~F.col("had") | said("text"))
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
+    return left.select(*[own.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
