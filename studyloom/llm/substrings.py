@@ -538,7 +538,8 @@ QUERIES: dict[str, Callable] = {"op2_substring_dedup": op2_substring_dedup}
 #: By hexadecimal digits: strings of 50 bytes, their smallest document, and the runs of those that begin elsewhere too.
 SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents WHERE doc_id IS NOT NULL),
-w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(len(h) // 2 - 49)) AS i FROM d)),
+q AS (SELECT doc_id, q, substr(h, 512 * q + 1, 610) AS h FROM (SELECT doc_id, h, unnest(range((len(h) // 2 - 50) // 256 + 1)) AS q FROM d WHERE len(h) >= 100)),
+w AS (SELECT doc_id, 256 * q + i AS i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, q, h, unnest(range(len(h) // 2 - 49)) AS i FROM q)),
 m AS (SELECT g, min(doc_id) AS first FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
 s AS (SELECT doc_id, i FROM w JOIN m USING (g) WHERE doc_id > first),
 o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM s),

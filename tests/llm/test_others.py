@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from studyloom.llm import packing, token_count
-from studyloom.llm.chat import preference_pairs, reply_pairs
+from studyloom.llm.chat import formatted, preference_pairs, reply_pairs
 from studyloom.llm.decontaminate import contamination, drop_contaminated
 from studyloom.llm.nearest import nearest
 from studyloom.llm.packing import pack, plan_blocks
@@ -177,7 +177,22 @@ def test_preference_pairs(spark):
     assert rows[2].chosen == rows[2].rejected == "" and rows[2].n_common == 1
     assert rows[4].prompt == "<|user|>\nx<|end|>\n" and rows[4].rejected == "<|assistant|>\nz<|end|>\n"
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert preference_pairs(*reply_pairs(empty)).count() == 0
+    assert formatted(reply_pairs(empty)).count() == 0
+
+
+def test_reply_pairs_skip_missing_ids(spark, monkeypatch):
+    from studyloom.llm import chat
+
+    monkeypatch.setattr(chat, "BUCKET_BITS", 2)
+    ids = [0, 2, 3, 9, 17, 64, 65, 300]
+    rows = [(i, t, role, f"{role}{i}{t}", "x") for i in ids for t, role in ((0, "user"), (1, "assistant"), (2, "user"), (3, "assistant"), (4, "user"))]
+    rows += [(5, 0, "user", "no reply", "x"), (17, 3, "assistant", "assistant173", "x")]
+    got = {r.pair_id: r for r in reply_pairs(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, good string")).collect()}
+    assert sorted(got) == ids
+    for i, after in zip(ids, [*ids[1:], None], strict=True):
+        assert [t.turn for t in got[i].good] == [0, 1, 2, 3]
+        assert [t.turn for t in got[i].bad] == ([0, 1, 2, 3] if i % 2 == 0 else [0, 1])
+        assert got[i].bad[-1].text == (f"assistant{after}3" if after else "")
 
 
 def words(text):
