@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from studyloom.operators.graph import prerequisite_chain, prerequisite_edges
+from studyloom.functions import text as fn
+from studyloom.operators.graph import prerequisite_chain, prerequisite_edges, traverse
 
 LOW, MISSED, WEAK_PREREQUISITE = "Low mastery", "Frequently missed in review", "Weak prerequisite for mastered dependent concept"
 TASK_MINUTES = 15
@@ -75,3 +76,144 @@ def pack_days(tasks: DataFrame, days: int, minutes: int) -> DataFrame:
 def plan_totals(tasks: DataFrame) -> DataFrame:
     """Tasks and minutes by day, and in total (day null)."""
     return tasks.rollup("day").agg(F.count("*").alias("n_tasks"), (F.count("*") * TASK_MINUTES).alias("minutes"))
+
+
+# --- recommendations and further plans ------------------------------------------------------
+
+
+def recommend_reviews(ranked: DataFrame, concepts: DataFrame, k: int = 8) -> DataFrame:
+    """ranked: learner_id, concept_id, place (from operators.learner.rank_learners or the like). The k first by name; unknown concepts go."""
+    named = ranked.join(concepts.select("concept_id", "name"), "concept_id")
+    rank = F.row_number().over(Window.partitionBy("learner_id").orderBy("place", "concept_id"))
+    return named.withColumn("rank", rank).where(F.col("rank") <= k).select("learner_id", "rank", "concept_id", "name")
+
+
+def review_dependencies(plan: DataFrame, below: float = 0.75) -> DataFrame:
+    """plan: that of prerequisite_plan. The prerequisites of each target that need a review, in order."""
+    return plan.where(F.col("mastery") < below).select("target", "place", "node", "mastery")
+
+
+def next_topics(strong: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame:
+    """strong: learner_id, concept_id, place. What depends on strong concepts within two steps, in the order of first mention."""
+    up = traverse(edges, strong.select("concept_id").distinct(), "in", 2).where("distance > 0")
+    found = strong.join(up.select(F.col("seed").alias("concept_id"), "node", "distance"), "concept_id")
+    first = found.groupBy("learner_id", "node").agg(F.min(F.struct("place", "distance")).alias("at"))
+    rank = F.row_number().over(Window.partitionBy("learner_id").orderBy("at", "node"))
+    return first.withColumn("rank", rank).where(F.col("rank") <= k).select("learner_id", "rank", "node")
+
+
+def learning_gaps(weak: DataFrame, edges: DataFrame, k: int = 6) -> DataFrame:
+    """weak: concept_id. Weak concepts that block others within four steps, and the first k of those."""
+    up = traverse(edges, weak.select("concept_id").distinct(), "in", 4).where("distance > 0")
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy("distance", "node"))
+    blocked = up.withColumn("rank", rank).where(F.col("rank") <= k)
+    return blocked.groupBy(F.col("seed").alias("concept_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "node"))), lambda x: x["node"]).alias("blocked"))
+
+
+def exam_tasks(chain: DataFrame, targets: DataFrame, mastery: DataFrame, days: int) -> DataFrame:
+    """chain: that of prerequisite_chain. A task for each prerequisite and the target: concept, priority, reason, depth."""
+    last = targets.select(F.col("concept_id").alias("target"), F.col("concept_id").alias("node"), F.lit(True).alias("last"))
+    steps = chain.select("target", "node", F.col("place") - 1, F.lit(False)).toDF("target", "node", "nth", "last")
+    n = chain.groupBy("target").agg(F.count("*").alias("n"))
+    every = steps.unionByName(last.join(n, "target", "left").select("target", "node", F.coalesce("n", F.lit(0)).alias("nth"), "last")).join(n, "target", "left")
+    scored = every.join(mastery.select(F.col("concept_id").alias("node"), "mastery"), "node", "left")
+    ahead = F.coalesce("n", F.lit(0)) - F.col("nth")
+    priority = 0.72 + (1.0 - F.coalesce("mastery", F.lit(0.5))) * 0.22 + ahead * 0.03 + (0.08 if days <= 7 else 0.0) - F.col("nth") * 0.01
+    return scored.select("target", F.col("node").cast("string").alias("concept"), priority.alias("priority"), F.when(F.col("last"), "examPreparation").otherwise("missingPrerequisite").alias("reason"), F.col("nth").cast("int").alias("depth"))
+
+
+def review_tasks(reviews: DataFrame) -> DataFrame:
+    """reviews: concept, urgency, place (from 1, in order of due dates). Tasks of a review plan."""
+    return reviews.select("concept", (0.95 + F.col("urgency") - (F.col("place") - 1) * 0.01).alias("priority"), F.lit("reviewDue").alias("reason"), F.lit(0).alias("depth"))
+
+
+def study_next(chain: DataFrame, edges: DataFrame, targets: DataFrame, k: int = 4) -> DataFrame:
+    """The k next things to learn for each target: its prerequisites, then what builds on it within two steps."""
+    before = chain.select("target", "node", (0.88 - (F.col("place") - 1) * 0.03).alias("priority"), F.lit("missingPrerequisite").alias("reason"), (F.col("place") - 1).alias("depth"))
+    up = traverse(edges, targets, "in", 2).where("distance > 0")
+    nth = F.row_number().over(Window.partitionBy("seed").orderBy("distance", "node"))
+    after = up.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("seed").alias("target"), "node", (0.58 - (F.col("nth") - 1) * 0.03).alias("priority"), F.lit("highDependencyConcept").alias("reason"), F.col("nth").alias("depth"))
+    key = F.struct(_rank(F.col("reason"), DUPLICATE_RANK), F.round("priority", 9))
+    best = before.unionByName(after).groupBy("target", "node").agg(F.max_by(F.struct("priority", "reason", "depth"), key).alias("t")).select("target", "node", "t.*")
+    order = Window.partitionBy("target").orderBy(_rank(F.col("reason"), ORDER_RANK).desc(), "depth", F.round("priority", 9).desc(), "node")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def merge_gaps(existing: DataFrame, detected: DataFrame, as_of: str) -> DataFrame:
+    """existing: note_id, title, priority, status, detected_at. detected: note_id, title, priority.
+
+    Detected gaps refresh title and priority of known ones and keep their status; new ones are active.
+    Gaps are the same where their keys are; of several rows with one key the most urgent counts.
+    """
+
+    def once(df: DataFrame, name: str) -> DataFrame:
+        rows = df.withColumn("key", fn.norm_key(F.col("title"))).where("key <> ''")
+        return rows.groupBy("note_id", "key").agg(F.max_by(F.struct(*df.columns), F.struct("priority", "title", *df.columns)).alias(name))
+
+    both = once(existing, "old").join(once(detected, "new"), ["note_id", "key"], "full")
+    return both.select(
+        "note_id", F.coalesce("new.title", "old.title").alias("title"), F.coalesce("new.priority", "old.priority").alias("priority"),
+        F.coalesce("old.status", F.lit("active")).alias("status"), F.coalesce("old.detected_at", F.lit(as_of).cast("timestamp")).alias("detected_at"),
+    )
+
+
+def corpus_gaps(keywords: DataFrame, notes: DataFrame, k: int = 10, most: int = 6) -> DataFrame:
+    """keywords: note_id, term. What two notes or more mention, of the k commonest terms, and a note doesn't: its gaps, most first."""
+    common = keywords.groupBy("term").agg(F.countDistinct("note_id").alias("n_notes")).where("n_notes >= 2").orderBy(F.desc("n_notes"), "term").limit(k)
+    every = notes.select("note_id").distinct().join(F.broadcast(common))  # k rows at most
+    rank = F.row_number().over(Window.partitionBy("note_id").orderBy(F.desc("n_notes"), "term"))
+    return every.join(keywords.select("note_id", "term").distinct(), ["note_id", "term"], "left_anti").withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+# What a topic needs.
+TOPIC_NEEDS = {
+    "neural networks": ("gradient descent", "backpropagation", "activation function", "loss function"),
+    "machine learning": ("training data", "loss function", "overfitting", "gradient descent"),
+    "regression": ("loss function", "feature", "prediction"),
+    "statistics": ("probability", "mean", "variance"),
+    "probability": ("distribution", "random variable", "expectation"),
+    "calculus": ("derivative", "chain rule", "gradient"),
+    "database": ("normalization", "index", "transaction"),
+    "operating system": ("process", "thread", "memory"),
+    "reinforcement learning": ("reward", "policy", "value function"),
+    "linear algebra": ("matrix", "vector", "eigenvalue"),
+}
+
+
+def mapped_gaps(notes: DataFrame, needs: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """notes: note_id, text. Needs of a note's topics that it doesn't mention but other notes do, and how many do."""
+    needs = TOPIC_NEEDS if needs is None else needs
+    text, wanted = F.lower(F.coalesce("text", F.lit(""))), sorted({n for v in needs.values() for n in v})
+    # both lists are fixed ones, so a note's topics and words are found within its row
+    has = F.array_compact(F.array(*[F.when(text.contains(n), F.lit(n)) for n in wanted]))
+    none = F.expr("cast(array() as array<struct<topic: string, need: string>>)")
+    lacks = F.flatten(F.array(*[F.when(text.contains(t), F.array(*[F.struct(F.lit(t).alias("topic"), F.lit(n).alias("need")) for n in v])).otherwise(none) for t, v in needs.items()]))
+    seen = notes.select("note_id", has.alias("has"), lacks.alias("lacks"))
+    counts = seen.select(F.explode("has").alias("need")).groupBy("need").agg(F.count("*").alias("n_notes"))
+    rows = seen.select("note_id", "has", F.explode("lacks").alias("l")).where(~F.array_contains("has", F.col("l.need"))).select("note_id", "l.topic", "l.need")
+    return rows.join(F.broadcast(counts), "need").select("note_id", "topic", "need", "n_notes")  # as many rows as needs are listed, at most
+
+
+def dedupe_gaps(gaps: DataFrame) -> DataFrame:
+    """gaps: note_id, title, priority. The most urgent of each key."""
+    keyed = gaps.withColumn("key", fn.norm_key(F.col("title"))).where("key <> ''")
+    return keyed.groupBy("note_id", "key").agg(F.max_by(F.struct("title", "priority"), F.struct("priority", "title")).alias("g")).select("note_id", "key", "g.*")
+
+
+# From where a concept to practise is taken first.
+PICK_ORDER = ("gap", "confusing", "weak", "lowMastery", "recommended", "manual")
+
+
+def practice_pick(candidates: DataFrame) -> DataFrame:
+    """candidates: learner_id, source, concept_id, score. One concept for each learner: by source, then score, then id."""
+    rank = F.array_position(F.array(*map(F.lit, PICK_ORDER)), F.col("source"))
+    best = F.min_by(F.struct("source", "concept_id"), F.struct(rank, -F.col("score"), "concept_id"))
+    return candidates.where(rank > 0).groupBy("learner_id").agg(best.alias("b")).select("learner_id", "b.*")
+
+
+def practice_sessions(answers: DataFrame) -> DataFrame:
+    """answers: session_id, nth, result. Complete with the first correct answer, or with the second one whatever it is; else a follow-up."""
+    ends = F.least(F.min(F.when(F.col("result") == "correct", F.col("nth"))), F.min(F.when(F.col("place") >= 2, F.col("nth"))))
+    placed = answers.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("nth")))
+    done = placed.groupBy("session_id").agg(ends.alias("ends"), F.count("*").alias("n"))
+    return done.select("session_id", F.when(F.col("ends").isNotNull(), "complete").otherwise("followUp").alias("state"), "ends", "n")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from studyloom.functions.text import edit_class
+
 # What a signal counts as, and what a count adds to mastery.
 COUNTED = {
     "accepted": "accept", "rejected": "reject", "heavilyEdited": "heavily_edited", "lightlyEdited": "lightly_edited", "requestedAgain": "requested_again",
@@ -54,3 +56,29 @@ def export_rows(events: DataFrame) -> DataFrame:
     meta = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("metadata"))))
     cells = [quoted(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in ("id", "schema_version", "timestamp", "event_type", "session_id", "note_id")]
     return events.select(F.concat_ws(",", *cells, quoted(meta)).alias("line"))
+
+
+def accept_signals(accepted: DataFrame) -> DataFrame:
+    """accepted: proposal_id, generated, final. The signal that an accepted text gives, by how much it was edited."""
+    kind = edit_class(F.col("generated"), F.col("final"))
+    delta = F.when(kind.isNull(), 0.05).when(kind == "lightlyEdited", 0.02).otherwise(-0.02)
+    return accepted.select("proposal_id", F.coalesce(kind, F.lit("accepted")).alias("signal_type"), delta.alias("confidence_delta"))
+
+
+def answer_metrics(questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """questions: question_id, asked. answers: question_id, answered, text, generated. Seconds (0 at least), characters, edit distance."""
+    both = answers.join(questions, "question_id")
+    seconds = F.greatest(F.lit(0), F.round(F.col("answered").cast("double") - F.col("asked").cast("double"))).cast("long")
+    return both.select("question_id", seconds.alias("seconds"), F.length("generated").alias("n_generated"), F.length("text").alias("n_accepted"), F.levenshtein("generated", "text").alias("distance"))
+
+
+def explode_gap_events(proposals: DataFrame) -> DataFrame:
+    """proposals: proposal_id, note_id, gaps (array). An event for each gap."""
+    return proposals.select("proposal_id", "note_id", F.posexplode("gaps").alias("nth", "concept"), F.lit("adaptiveContext").alias("heuristic"))
+
+
+def stale_proposals(proposals: DataFrame, current: DataFrame) -> DataFrame:
+    """proposals: proposal_id, note_id, content_hash, version. current: note_id, content_hash, version. Whether each still holds."""
+    now = current.select("note_id", F.col("content_hash").alias("now_hash"), F.col("version").alias("now_version"))
+    same = (F.col("content_hash") == F.col("now_hash")) | (F.col("version") == F.col("now_version"))
+    return proposals.join(now, "note_id", "left").select("proposal_id", (~F.coalesce(same, F.lit(False))).alias("stale"))
