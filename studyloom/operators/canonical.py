@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from studyloom.functions import text as fn
@@ -140,7 +141,7 @@ def fact_id(c: Column) -> Column:
     return F.concat(F.lit("fact-"), slug(c, 48))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """64-bit FNV-1a of the UTF-8 bytes, in hexadecimal; Spark has no such hash."""
     for series in texts:

@@ -64,7 +64,7 @@ def title_runs(sentence: Column) -> Column:
     """Runs of two or more words that begin with a capital or hold - or +, and single acronyms."""
     bare = F.transform(F.split(sentence, " "), lambda w: F.regexp_replace(w, r"^\p{P}+|\p{P}+$", ""))
     marked = F.transform(bare, lambda w: F.when(w.rlike(r"^\p{Lu}") | w.contains("-") | w.contains("+"), w).otherwise("\x01"))
-    runs = F.transform(F.split(F.array_join(marked, " "), "\x01"), F.trim)
+    runs = F.transform(F.split(F.array_join(marked, " "), "\x01"), lambda x: F.trim(x))
     acronym = lambda w: (w == F.upper(w)) & (F.regexp_count(w, F.lit(r"\p{L}")) >= 2) & (F.length(w) <= 8)
     return F.filter(runs, lambda r: (F.length(r) > 2) & (r.contains(" ") | acronym(r)))
 
@@ -143,8 +143,8 @@ def aliases(concepts: DataFrame, sentences: DataFrame) -> DataFrame:
     several = F.size(words) > 1
     own = F.array_compact(F.array(F.when(several, F.array_join(words, "-")), F.when(several, F.array_join(words, "_")), F.when(several, acronym(F.col("term")))))
     s = F.col("sentence")
-    inner = F.transform(F.regexp_extract_all(s, F.lit(r"\(([^()]{1,40})\)"), 1), F.trim)
-    slashed = F.when(s.contains("/"), F.filter(F.transform(F.split(s, "/"), F.trim), lambda x: (x != "") & is_meaningful(x))).otherwise(F.expr("cast(array() as array<string>)"))
+    inner = F.transform(F.regexp_extract_all(s, F.lit(r"\(([^()]{1,40})\)"), 1), lambda x: F.trim(x))
+    slashed = F.when(s.contains("/"), F.filter(F.transform(F.split(s, "/"), lambda x: F.trim(x)), lambda x: (x != "") & is_meaningful(x))).otherwise(F.expr("cast(array() as array<string>)"))
     said = _named_in(concepts, sentences).select("doc_id", "key", F.explode(F.concat(inner, slashed)).alias("alias"))
     rows = concepts.select("doc_id", "key", F.explode(own).alias("alias")).unionByName(said)
     rows = rows.withColumn("k", fn.norm_key(F.col("alias"))).where((F.col("k") != "") & (F.trim("alias") != "") & (F.col("alias") != "") & ((F.col("k") != F.col("key")) | F.lit(False)))
