@@ -6,11 +6,16 @@ lines; the windows partition by document.
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from studyloom.functions.text import n_words, token_estimate
+from studyloom.functions.text import n_words, norm_key, sentence_array, token_estimate
 
 _NUMBERED = r"^\d+(?:\.\d+)*[.)]?\s+"
 
@@ -107,3 +112,99 @@ def chunk_boundaries(blocks: DataFrame, target: int) -> DataFrame:
 def changed_only(docs: DataFrame, processed: DataFrame) -> DataFrame:
     """Documents whose content hash isn't among the processed ones."""
     return docs.join(processed.select("content_hash").distinct(), "content_hash", "left_anti")
+
+
+@F.pandas_udf(StringType())
+def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Unicode compatibility composition; Spark has no function for it."""
+    for series in texts:
+        yield series.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+@F.pandas_udf(StringType())
+def fold_diacritics(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Lower case without accents."""
+    for series in texts:
+        yield series.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not unicodedata.combining(c)))
+
+
+def fold_key(c: Column) -> Column:
+    """The normalised key of a text without accents."""
+    return norm_key(fold_diacritics(c))
+
+
+def normalize_text(c: Column, compose: bool = True) -> Column:
+    """Line ends, quotes, dashes, dots and bullets in ASCII, single spaces, no space before a mark, no runs of blank lines; code fences keep their inner spacing."""
+    t = F.regexp_replace(c, "\r\n?", "\n")
+    t = nfkc(t) if compose else t
+    t = F.translate(t, "“”‘’–—• \t", "\"\"''---  ")
+    t = F.replace(t, F.lit("…"), F.lit("..."))
+
+    def plain(p: Column) -> Column:
+        p = F.regexp_replace(F.regexp_replace(p, " +", " "), " ?\n ?", "\n")
+        return F.regexp_replace(F.regexp_replace(p, " ([,.;:!?])", "$1"), "\n{3,}", "\n\n")
+
+    parts = F.transform(F.split(t, "```", -1), lambda p, i: F.when(i % 2 == 1, p).otherwise(plain(p)))
+    return F.regexp_replace(F.array_join(parts, "```"), r"^[ \n]+|[ \n]+$", "")
+
+
+def section_slug(title: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(title)), r"[^\p{L}\p{N}]+", "-"), "^-|-$", "")
+
+
+def section_tree(docs: DataFrame) -> DataFrame:
+    """doc_id, section_id, line, level, title, parent_line: headings as a tree; the parent is the last one before of a smaller level (-1: none)."""
+    heads = lines(docs).where("kind = 'heading'").select("doc_id", F.col("line_no").alias("line"), F.trim("line").alias("t"))
+    heads = heads.select("doc_id", "line", F.least(F.lit(6), heading_level(F.col("t"))).alias("level"), heading_title(F.col("t")).alias("title"))
+    doc = Window.partitionBy("doc_id").orderBy("line")
+    before = doc.rowsBetween(Window.unboundedPreceding, -1)
+    # of each level the last heading so far; the nearest of those above is the parent
+    last = [F.last(F.when(F.col("level") == k, F.col("line")), ignorenulls=True).over(before) for k in range(1, 6)]
+    parent = F.array_max(F.array(*[F.when(F.col("level") > k, F.coalesce(at, F.lit(-1))).otherwise(-1) for k, at in enumerate(last, 1)]))
+    named = F.concat_ws("-", F.lit("section"), "level", F.row_number().over(doc), section_slug(F.col("title")))
+    return heads.select("doc_id", named.alias("section_id"), "line", "level", "title", parent.alias("parent_line"))
+
+
+def block_views(docs: DataFrame) -> DataFrame:
+    """doc_id, view, line, text: each heading, list item, equation, quote, table row and code line by itself."""
+    kept = F.col("kind").isin("heading", "bulletedList", "numberedList", "codeBlock", "equation", "table", "quote")
+    return lines(docs).where(kept & ~F.trim("line").startswith("```")).select("doc_id", F.col("kind").alias("view"), F.col("line_no").alias("line"), F.trim("line").alias("text"))
+
+
+def section_complexity(sectioned: DataFrame) -> DataFrame:
+    """sectioned: that of split_sections. Words, sentences, tokens, share of structured blocks and minutes of each section."""
+    signal = F.col("kind") != "paragraph"
+    sums = sectioned.groupBy("doc_id", "section_line").agg(F.sum(n_words(F.col("content"))).alias("n_words"), F.sum(F.size(sentence_array(F.col("content")))).alias("n_sentences"), F.sum("tokens").alias("tokens"), F.count_if(signal).alias("n_signals"), F.count("*").alias("n_blocks"))
+    return sums.withColumn("density", F.least(F.lit(1.0), F.col("n_signals") / F.greatest(F.lit(1), F.col("n_sentences")))).withColumn("minutes", F.greatest(F.lit(1), F.ceil(F.col("n_words") / 180.0)))
+
+
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """doc_id, first_line, last_line: runs of lines between blank ones; a speaker's name with a colon begins a new one."""
+    df = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    t = F.trim("line")
+    speaker = t.rlike(r"^\p{Lu}[^:]*:") & (F.length(t) < 80)
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    opens = (t == "") | speaker | (F.trim(F.lag("line").over(order)) == "")
+    marked = df.withColumn("run", F.sum(F.coalesce(opens, F.lit(True)).cast("int")).over(order)).where(F.trim("line") != "")
+    return marked.groupBy("doc_id", "run").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line")).drop("run")
+
+
+def validate_structure(blocks: DataFrame, tree: DataFrame) -> DataFrame:
+    """blocks: doc_id, block_id, start_line, end_line, tokens. tree: that of section_tree. doc_id, rule, n of each breach."""
+    count = lambda df, rule: df.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(rule).alias("rule"), "n")
+    order = Window.partitionBy("doc_id").orderBy("start_line", "block_id")
+    parents = tree.select("doc_id", F.col("line").alias("parent_line"), F.col("level").alias("above"))
+    linked = tree.where("parent_line >= 0").join(parents, ["doc_id", "parent_line"], "left")
+    rules = [
+        count(blocks.groupBy("doc_id", "block_id").count().where("count > 1"), "repeated block"),
+        count(blocks.where("end_line < start_line"), "lines out of order"),
+        count(blocks.withColumn("before", F.lag("end_line").over(order)).where("before >= start_line"), "overlapping blocks"),
+        count(blocks.where("tokens < 1 or tokens is null"), "no tokens"),
+        count(linked.where("above is null"), "unknown parent"),
+        count(linked.where("above >= level"), "parent not above"),
+        count(tree.groupBy("doc_id", "section_id").count().where("count > 1"), "repeated section"),
+    ]
+    out = rules[0]
+    for r in rules[1:]:
+        out = out.unionByName(r)
+    return out

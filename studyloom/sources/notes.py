@@ -93,3 +93,24 @@ def remap_ids(table: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
     """Ids by a mapping (old_id, new_id) where it has them; rows that become alike are one."""
     m = mapping.select(F.col("old_id").alias(column), F.col("new_id").alias("_new"))
     return table.join(m, column, "left").withColumn(column, F.coalesce("_new", column)).drop("_new").select(*table.columns).distinct()
+
+
+def notes_by_folder(folders: DataFrame, notes: DataFrame) -> DataFrame:
+    """folders: id, title, sort_order. notes: id, folder_id, title, note_order. One row a folder, its notes in order."""
+    inside = notes.groupBy(F.col("folder_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("note_order", F.col("id").alias("note_id"), "title"))).alias("notes"))
+    return folders.join(inside, "id", "left").select(F.col("id").alias("folder_id"), F.col("title").alias("folder"), "sort_order", "notes")
+
+
+def export_events_json(events: DataFrame, path: str) -> None:
+    """One JSON object a line, dates in ISO 8601."""
+    events.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss'Z'").json(path)
+
+
+def write_eval_run(results: DataFrame, path: str) -> None:
+    """results: run_id, run_at and the rest by note. A folder for each run; a run that is written again replaces its own."""
+    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def recent_runs(results: DataFrame, n: int) -> DataFrame:
+    """run_id, run_at, n_notes of the n latest runs."""
+    return results.groupBy("run_id").agg(F.max("run_at").alias("run_at"), F.count("*").alias("n_notes")).orderBy(F.desc("run_at"), "run_id").limit(n)
