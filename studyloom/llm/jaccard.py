@@ -15,9 +15,10 @@ segments tell apart. Signatures that two different sets share make candidates.
 
 Equal sets are one class from the start. A task sends a signature on once, whatever the
 number of its sets that share it; members that met inside a task are known to share it.
-Candidates are settled in two rounds, both exact: each member against its signature's
-smallest member first; then, where a signature's members are not yet in one component,
-all pairs from different components, in blocks. Sketches (a byte for each of many finer
+Candidates are settled in rounds, all exact: each member against its signature's smallest
+member first; where a signature's members are not yet in one component, those outside its
+largest one against a member of that, a few times, with another member each; and what is
+still apart by all pairs from different components, in blocks. Sketches (a byte for each of many finer
 segments) give a lower bound of the difference that dismisses most pairs; the others
 are verified on whole sets, which come together once for all pairs of a block.
 
@@ -45,9 +46,11 @@ from studyloom.llm.components import components
 SMALL_SET = 64
 FLUSH_ENTRIES = 600_000
 BUCKET_ENTRIES = 1_000_000
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
+#: Rounds of stars around other members before all pairs are compared; they change no result, only its cost.
+STAR_ROUNDS = 3
 #: Sets that come together to be verified: bytes and number of each of the two blocks.
-VERIFY_BYTES, VERIFY_ROWS = 4 << 20, 1024
+VERIFY_BYTES, VERIFY_ROWS = 1 << 20, 256
 SKETCH = 256
 
 
@@ -312,6 +315,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.groupBy("key", "i", "j").cogroup(words.groupBy("of_key", "of_i", "of_j")).applyInArrow(check, "a long, b long")
 
 
+def other_stars(members: DataFrame, labels: DataFrame, nth: int) -> DataFrame:
+    """key, a, b: members outside the largest component of their signature, each with one member of that."""
+    labelled = members.join(labels, members.doc_id == labels.node, "left").select("signature", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    parts = labelled.groupBy("signature", "label").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("doc_id", F.lit(nth)), "doc_id")).alias("p"))
+    homes = parts.groupBy("signature").agg(F.max(F.struct("n", (-F.col("label")).alias("l"), F.col("p.doc_id").alias("pivot"))).alias("h"), F.count("*").alias("k")).where("k > 1")
+    away = labelled.join(homes.select("signature", (-F.col("h.l")).alias("home"), "h.pivot"), "signature").where("label <> home")
+    return away.select(F.col("pivot").alias("key"), F.least("pivot", "doc_id").alias("a"), F.greatest("pivot", "doc_id").alias("b")).distinct()
+
+
 def cross_pairs(members: DataFrame, labels: DataFrame, pivots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that share a signature, are in different components, and may be similar by their sketches."""
     labelled = members.join(labels, members.doc_id == labels.node, "left").select("signature", "doc_id", F.coalesce("label", "doc_id").alias("label"))
@@ -372,9 +384,15 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     involved = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
     sets = keep_bucketed(set_table(docs.join(involved, "doc_id", "left_semi"), k, percent), "doc_id")
     first = keep(verified(likely(stars, sets, percent), sets, percent))
-    labels = components(first)
-    second = verified(cross_pairs(members.join(pivots, "signature", "left_semi"), labels, pivots, sets, percent), sets, percent)
-    labels = components(first.unionByName(second))
+    labels, links, several = components(first), first, keep(members.join(pivots, "signature", "left_semi"))
+    for nth in range(STAR_ROUNDS):
+        more = keep(verified(likely(other_stars(several, labels, nth), sets, percent), sets, percent))
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        labels = components(links)
+    rest = verified(cross_pairs(several, labels, pivots, sets, percent), sets, percent)
+    labels = components(links.unionByName(rest))
     return rep.join(labels, rep.rep == labels.node, "left").select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
 
 
