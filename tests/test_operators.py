@@ -149,3 +149,54 @@ def test_cosine_of_many_queries(spark, monkeypatch):
     cos = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
     want = {(q, k + 1): i for q in range(0, 400, 10) for k, i in enumerate(sorted((i for i in v if i != q), key=lambda i: -cos(v[q], v[i]))[:3])}
     assert got == want
+
+
+def test_evaluation_runs_and_event_files(spark, tmp_path):
+    from studyloom.sources import notes
+
+    path = str(tmp_path / "runs")
+    rows = lambda run, at, n: spark.createDataFrame([(run, at, i, 0.5) for i in range(n)], "run_id string, run_at string, note_id long, score double")
+    notes.write_eval_run(rows("a", "2024-01-01", 3), path)
+    notes.write_eval_run(rows("b", "2024-01-02", 2), path)
+    notes.write_eval_run(rows("a", "2024-01-03", 1), path)
+    found = notes.recent_runs(spark.read.parquet(path), 2).collect()
+    assert [(r.run_id, str(r.run_at)[:10], r.n_notes) for r in found] == [("a", "2024-01-03", 1), ("b", "2024-01-02", 2)]
+    events = spark.sql("select 1 as id, timestamp'2024-01-05 10:00:00' as ts")
+    notes.export_events_json(events, str(tmp_path / "events"))
+    assert spark.read.text(str(tmp_path / "events")).first()[0] == '{"id":1,"ts":"2024-01-05T10:00:00Z"}'
+
+
+def test_fnv1a_and_hashed_embedding(spark):
+    import math
+
+    import xxhash
+    from pyspark.sql import functions as F
+
+    from studyloom.operators import canonical, retrieval
+
+    got = spark.createDataFrame([("",), ("a",), ("foobar",), (None,)], "t string").select(canonical.fnv1a(F.col("t")).alias("h")).collect()
+    assert [r.h for r in got] == ["cbf29ce484222325", "af63dc4c8601ec8c", "85944171f73967e8", "cbf29ce484222325"]
+    text = "One two, two three"
+    want = [0.0] * 16
+    words = ["one", "two", "two", "three"]
+    for term, weight in [(w, 1.0) for w in words] + [(f"{a} {b}", 0.75) for a, b in zip(words, words[1:], strict=False)]:
+        h = xxhash.xxh64(term.encode(), seed=42).intdigest()
+        want[(h - (1 << 64) if h >> 63 else h) % 16] += weight
+    norm = math.sqrt(sum(x * x for x in want))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")
+    rows = {r.doc_id: r.embedding for r in retrieval.hashed_embedding(docs, 16).collect()}
+    assert all(abs(a - b / norm) < 1e-6 for a, b in zip(rows[1], want, strict=True)) and (rows[2] is None or not any(rows[2]))
+
+
+def test_normalized_text(spark):
+    from pyspark.sql import functions as F
+
+    from studyloom.operators import structure
+
+    cases = {
+        "Cell   membranes\r\n\r\n\r\n  regulate    transport\u2026": "Cell membranes\n\nregulate transport...",
+        "\u201cNeural\u201d \ufb01bers \u2013 and\u00a0non breaking .": '"Neural" fibers - and non breaking.',
+        "a  b\n```\nx   =  1\n```\n c ,d": "a b\n```\nx   =  1\n```\nc,d",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", structure.normalize_text(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in rows} == cases
