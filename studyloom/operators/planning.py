@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from studyloom.functions import text as fn
 from studyloom.operators.graph import prerequisite_chain, prerequisite_edges, traverse
+from studyloom.sources.store import keep
 
 LOW, MISSED, WEAK_PREREQUISITE = "Low mastery", "Frequently missed in review", "Weak prerequisite for mastered dependent concept"
 TASK_MINUTES = 15
@@ -60,11 +61,14 @@ def merge_tasks(tasks: DataFrame) -> DataFrame:
     best = tasks.groupBy(F.lower(F.trim("concept")).alias("key")).agg(F.max_by(F.struct("concept", "priority", "reason", "depth"), F.struct(high.cast("int"), _rank(F.col("reason"), DUPLICATE_RANK), "priority", "depth")).alias("t")).select("t.*")
     order = F.when(high, 6).otherwise(_rank(F.col("reason"), ORDER_RANK))
     ordered = best.withColumn("rank", order)
-    # ranks are few, so the order within each is counted apart and the earlier ranks' sizes are added
-    nth = F.row_number().over(Window.partitionBy("rank").orderBy("depth", F.desc("priority"), "reason", F.lower("concept"), "concept"))
-    sizes = ordered.groupBy("rank").agg(F.count("*").alias("n"))
-    before = sizes.select("rank", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("rank")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ordered.withColumn("nth", nth).join(F.broadcast(before), "rank").select("concept", "priority", "reason", "depth", (F.col("before") + F.col("nth")).alias("place"))
+    # parts of the whole order, each numbered in a task of its own, and the sizes of the parts before it
+    keys = [F.desc("rank"), F.col("depth"), F.desc("priority"), F.col("reason"), F.lower("concept"), F.col("concept")]
+    parts = int(best.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keep(ordered.repartitionByRange(parts, *keys).withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*keys))
+    return dealt.withColumn("nth", nth).join(F.broadcast(before), "part").select("concept", "priority", "reason", "depth", (F.col("before") + F.col("nth")).alias("place"))
 
 
 def pack_days(tasks: DataFrame, days: int, minutes: int) -> DataFrame:
@@ -127,6 +131,32 @@ def review_tasks(reviews: DataFrame) -> DataFrame:
     return reviews.select("concept", (0.95 + F.col("urgency") - (F.col("place") - 1) * 0.01).alias("priority"), F.lit("reviewDue").alias("reason"), F.lit(0).alias("depth"))
 
 
+def _first(df: DataFrame, k: int, *order: Column) -> DataFrame:
+    """The k first rows with their place from 0."""
+    return df.orderBy(*order).limit(k).withColumn("nth", F.row_number().over(Window.orderBy(*order)) - 1)
+
+
+def prioritized_tasks(overdue: DataFrame, due: DataFrame, weak: DataFrame, chain: DataFrame, reviews: DataFrame, bottlenecks: DataFrame, minutes: int, k: int = 8, most: int = 6) -> DataFrame:
+    """The tasks that fit in the minutes, in the order of a plan.
+
+    overdue, due: concept, urgency. weak, reviews: concept, mastery. chain: that of prerequisite_chain.
+    bottlenecks: concept, downstream, prerequisites. The k first (most first bottlenecks) of each count.
+    """
+    task = lambda df, concept, priority, reason, depth: df.select(F.col(concept).cast("string").alias("concept"), priority.alias("priority"), F.lit(reason).alias("reason"), depth.cast("int").alias("depth"))
+    nth, urgency = F.col("nth"), F.col("urgency")
+    late = task(_first(overdue, k, F.desc("urgency"), F.col("concept")), "concept", 1.2 + urgency - nth * 0.01, "reviewDue", F.lit(-1))
+    today = task(_first(due, k, F.desc("urgency"), F.col("concept")), "concept", 0.76 + urgency * 0.05 - nth * 0.01, "reviewDue", F.lit(-1))
+    weakest = _first(weak, k, F.col("mastery"), F.col("concept")).select(F.col("concept").alias("target"))
+    before = chain.join(F.broadcast(weakest), "target")
+    n = before.groupBy("target").agg(F.count("*").alias("n"))
+    first = task(before, "node", 0.95 - (F.col("place") - 1) * 0.01, "missingPrerequisite", F.col("place") - 1)
+    then = task(weakest.join(n, "target", "left"), "target", F.lit(0.9), "weakConcept", F.coalesce("n", F.lit(0)))
+    again = task(_first(reviews, k, F.col("mastery"), F.col("concept")), "concept", 0.74 - nth * 0.02, "reviewDue", F.lit(0))
+    narrow = task(_first(bottlenecks, most, F.desc("downstream"), F.desc("prerequisites"), F.col("concept")), "concept", 0.62 + F.least(F.lit(0.2), F.col("downstream") * 0.02), "highDependencyConcept", F.col("prerequisites"))
+    every = late.unionByName(today).unionByName(first).unionByName(then).unionByName(again).unionByName(narrow)
+    return merge_tasks(every).where(F.col("place") <= max(1, minutes // TASK_MINUTES))
+
+
 def study_next(chain: DataFrame, edges: DataFrame, targets: DataFrame, k: int = 4) -> DataFrame:
     """The k next things to learn for each target: its prerequisites, then what builds on it within two steps."""
     before = chain.select("target", "node", (0.88 - (F.col("place") - 1) * 0.03).alias("priority"), F.lit("missingPrerequisite").alias("reason"), (F.col("place") - 1).alias("depth"))

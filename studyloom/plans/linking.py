@@ -66,9 +66,10 @@ def c32_topic_tree(spark, d):
 
 
 def j4_visual_cues(spark, d):
-    """Pages as slides, PDFs and sound by turns."""
-    kind = F.element_at(F.array(F.lit("slides"), F.lit("pdf"), F.lit("audio")), (F.col("page_id") % 3 + 1).cast("int"))
-    df = op.visual_cues(table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), kind.alias("kind"), F.col("html").cast("string").alias("text")))
+    """Documents as slides, PDFs and sound by turns; lines of an even length speak of a table."""
+    kind = F.element_at(F.array(F.lit("slides"), F.lit("pdf"), F.lit("audio")), (F.col("doc_id") % 3 + 1).cast("int"))
+    said = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(F.length(x) % 2 == 0, F.concat(F.lit("• Table: "), x)).otherwise(x)), "\n")
+    df = op.visual_cues(table(spark, d, "documents").select("doc_id", kind.alias("kind"), said.alias("text")))
     return df.select("doc_id", F.col("line").alias("at_line"), F.md5("title").alias("title_md5"), "importance")
 
 
@@ -96,7 +97,7 @@ ORACLES = {
     "h19_link_items": f"WITH {_FOUND}, f AS (SELECT doc_id, pos, CASE WHEN doc_id % 3 = 0 THEN ['a general topic', 'another'] ELSE ['another'] END AS f FROM s), g AS (SELECT doc_id, pos, list(concept_id) AS c FROM m GROUP BY ALL) SELECT doc_id || '-' || pos AS item_id, array_to_string(list_sort(CASE WHEN c IS NULL THEN f ELSE c || f[1:1] END), ',') AS concept_ids FROM f LEFT JOIN g USING (doc_id, pos)",
     "c30_star_relationships": f"WITH {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY length(concept_id), concept_id) AS k FROM m), t AS (SELECT doc_id, pos, sentence || CASE WHEN pos % 4 = 0 THEN ' Leads to' ELSE '' END AS sentence FROM s), e AS (SELECT a.doc_id, a.pos, a.concept_id AS source_id, b.concept_id AS target_id, CASE {' '.join(f'WHEN {_ANY("lower(sentence)", cues)} THEN {k!r}' for k, cues in op.STAR_CUES.items())} ELSE 'relatedTo' END AS relation, CASE WHEN length(sentence) > 80 THEN 0.82 ELSE 0.68 END::double AS confidence FROM r a JOIN r b ON b.doc_id = a.doc_id AND b.pos = a.pos AND a.k = 1 AND b.k BETWEEN 2 AND 4 JOIN t ON t.doc_id = a.doc_id AND t.pos = a.pos) SELECT doc_id, source_id, target_id, relation, arg_min(confidence, pos) AS confidence FROM e GROUP BY ALL",
     "c32_topic_tree": f"WITH {EDGES}, c AS (SELECT p_partkey // 20 AS note_id, p_partkey AS concept_id, (row_number() OVER (PARTITION BY p_partkey // 20 ORDER BY p_size, p_partkey))::int AS place FROM part), n AS (SELECT concept_id, related_id, min(edge_id) AS e FROM (SELECT source_id AS concept_id, target_id AS related_id, edge_id FROM edges UNION ALL SELECT target_id, source_id, edge_id FROM edges) GROUP BY ALL), k AS (SELECT concept_id, related_id, (row_number() OVER (PARTITION BY concept_id ORDER BY e, related_id))::int AS related_place FROM n) SELECT note_id, place, c.concept_id, related_place, related_id FROM c LEFT JOIN k ON k.concept_id = c.concept_id AND related_place <= 3 WHERE place <= 6",
-    "j4_visual_cues": rf"WITH l AS (SELECT page_id AS doc_id, page_id % 3 AS k, unnest(range(len(x)))::int AS line, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS raw FROM (SELECT page_id, string_split_regex(html::varchar, '\r\n|\n|\r') AS x FROM pages WHERE page_id % 3 < 2)), v AS (SELECT *, regexp_replace(replace(raw, '•', ''), '^\s+|\s+$', '', 'g') AS b FROM l WHERE {_ANY(_KEY.format('raw'), op.VISUAL)}), t AS (SELECT doc_id, k, line, CASE WHEN length(b) <= 72 THEN b ELSE array_to_string(list_filter(string_split(b, ' '), lambda w: w <> '')[1:8], ' ') || '...' END AS title FROM v) SELECT doc_id, min(line) AS at_line, md5(arg_min(title, line)) AS title_md5, arg_min(CASE WHEN k = 0 THEN 1.4 ELSE 1.1 END::double, line) AS importance FROM t WHERE {_KEY.format('title')} <> '' GROUP BY doc_id, {_KEY.format('title')}",
+    "j4_visual_cues": rf"WITH l AS (SELECT doc_id, doc_id % 3 AS k, unnest(range(len(x)))::int AS line, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS raw FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda y: CASE WHEN length(y) % 2 = 0 THEN '• Table: ' || y ELSE y END) AS x FROM documents WHERE doc_id % 3 < 2)), v AS (SELECT *, regexp_replace(replace(raw, '•', ''), '^\s+|\s+$', '', 'g') AS b FROM l WHERE {_ANY(_KEY.format('raw'), op.VISUAL)}), t AS (SELECT doc_id, k, line, CASE WHEN length(b) <= 72 THEN b ELSE array_to_string(list_filter(string_split(b, ' '), lambda w: w <> '')[1:8], ' ') || '...' END AS title FROM v) SELECT doc_id, min(line) AS at_line, md5(arg_min(title, line)) AS title_md5, arg_min(CASE WHEN k = 0 THEN 1.4 ELSE 1.1 END::double, line) AS importance FROM t WHERE {_KEY.format('title')} <> '' GROUP BY doc_id, {_KEY.format('title')}",
     "j11_self_coverage": "SELECT p_brand, round(least(1::double, count(*) / greatest(1, count(*) + count(DISTINCT p_type))::double), 9) AS coverage FROM part GROUP BY p_brand",
     "d6_all_aliases": "SELECT concept_id, string_agg(alias, '|' ORDER BY alias) AS aliases FROM (SELECT p_partkey % 50 AS concept_id, p_name AS alias FROM part UNION SELECT p_partkey % 50, lower(p_type) FROM part) GROUP BY concept_id",
 }

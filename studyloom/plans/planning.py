@@ -36,6 +36,15 @@ def i5_learning_gaps(spark, d):
     return df.select("concept_id", F.array_join(F.transform("blocked", lambda x: x.cast("string")), ",").alias("blocked"))
 
 
+def i8_prioritized_tasks(spark, d):
+    m = mastery(spark, d).withColumnRenamed("concept_id", "concept")
+    due = m.withColumn("urgency", 1.0 - F.col("mastery"))
+    chain = graph.prerequisite_chain(edges(spark, d), concepts(spark, d).select("concept_id"))
+    narrow = table(spark, d, "part").select(F.col("p_partkey").alias("concept"), (F.col("p_size") % 13).alias("downstream"), (F.col("p_size") % 4).alias("prerequisites"))
+    df = planning.prioritized_tasks(due.where("mistake_count = 3"), due.where("mistake_count = 2"), m.where("mastery < 0.3"), chain, m.where("mastery >= 0.3 and mastery < 0.6"), narrow, 450)
+    return df.select("place", "concept", "reason", F.round("priority", 9).alias("priority"), "depth")
+
+
 def i10_exam_tasks(spark, d):
     targets = concepts(spark, d)
     chain = graph.prerequisite_chain(edges(spark, d), targets)
@@ -92,7 +101,7 @@ def i21_practice_sessions(spark, d):
     return planning.practice_sessions(a)
 
 
-QUERIES = {f.__name__: f for f in (i2_recommend_reviews, i3_review_dependencies, i4_next_topics, i5_learning_gaps, i10_exam_tasks, i11_review_plan, i12_study_next, i16_merge_gaps, i17_corpus_gaps, i18_mapped_gaps, i19_dedupe_gaps, i20_practice_pick, i21_practice_sessions)}
+QUERIES = {f.__name__: f for f in (i2_recommend_reviews, i3_review_dependencies, i4_next_topics, i5_learning_gaps, i8_prioritized_tasks, i10_exam_tasks, i11_review_plan, i12_study_next, i16_merge_gaps, i17_corpus_gaps, i18_mapped_gaps, i19_dedupe_gaps, i20_practice_pick, i21_practice_sessions)}
 
 _E = f"WITH RECURSIVE {EDGES}, {MASTERY}"
 _L = "l AS (SELECT *, concept_id // 25 AS learner_id, row_number() OVER (PARTITION BY concept_id // 25 ORDER BY mastery, concept_id) AS place FROM mastery)"
@@ -109,6 +118,7 @@ ORACLES = {
     "i3_review_dependencies": f"{_E}, {_PRE} SELECT target, place, node FROM pre LEFT JOIN mastery ON concept_id = node WHERE coalesce(mastery, 0.5) < 0.75",
     "i4_next_topics": f"{_E}, {_L}, {_up(2)}, f AS (SELECT learner_id, node, min((26 - place, distance)) AS a FROM l JOIN up ON seed = concept_id WHERE place > 17 GROUP BY ALL), r AS (SELECT learner_id, (row_number() OVER (PARTITION BY learner_id ORDER BY a, node))::int AS rank, node FROM f) SELECT * FROM r WHERE rank <= 8",
     "i5_learning_gaps": f"{_E}, {_up(4)}, r AS (SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS rank FROM up) SELECT seed AS concept_id, string_agg(node::varchar, ',' ORDER BY rank) AS blocked FROM r JOIN mastery ON concept_id = seed WHERE rank <= 6 AND mastery < 0.3 GROUP BY seed",
+    "i8_prioritized_tasks": f"{_E}, {_PRE}, m AS (SELECT concept_id AS id, mastery, mistake_count AS k, 1 - mastery AS u, p_size FROM mastery JOIN part ON p_partkey = concept_id), o AS (SELECT id, u, row_number() OVER (ORDER BY u DESC, id) - 1 AS n FROM m WHERE k = 3), d AS (SELECT id, u, row_number() OVER (ORDER BY u DESC, id) - 1 AS n FROM m WHERE k = 2), w AS (SELECT id FROM m WHERE mastery < 0.3 ORDER BY mastery, id LIMIT 8), v AS (SELECT id, row_number() OVER (ORDER BY mastery, id) - 1 AS n FROM m WHERE mastery >= 0.3 AND mastery < 0.6), b AS (SELECT id, p_size % 13 AS down, p_size % 4 AS pre FROM m ORDER BY down DESC, pre DESC, id LIMIT 6), t AS (SELECT id, 1.2::double + u - n * 0.01::double AS p, 'reviewDue' AS reason, -1 AS depth FROM o WHERE n < 8 UNION ALL SELECT id, 0.76::double + u * 0.05::double - n * 0.01::double, 'reviewDue', -1 FROM d WHERE n < 8 UNION ALL SELECT node, 0.95::double - (place - 1) * 0.01::double, 'missingPrerequisite', place - 1 FROM pre JOIN w ON id = target UNION ALL SELECT id, 0.9::double, 'weakConcept', (SELECT count(*) FROM pre WHERE target = id) FROM w UNION ALL SELECT id, 0.74::double - n * 0.02::double, 'reviewDue', 0 FROM v WHERE n < 8 UNION ALL SELECT id, 0.62::double + least(0.2::double, down * 0.02::double), 'highDependencyConcept', pre FROM b), h AS (SELECT *, reason = 'reviewDue' AND p >= 1 AS high, CASE reason WHEN 'missingPrerequisite' THEN 5 WHEN 'weakConcept' THEN 4 WHEN 'highDependencyConcept' THEN 2 ELSE 1 END AS dup, CASE reason WHEN 'missingPrerequisite' THEN 5 WHEN 'weakConcept' THEN 4 WHEN 'reviewDue' THEN 3 ELSE 1 END AS o FROM t), q AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY high DESC, dup DESC, p DESC, depth DESC) AS k FROM h), r AS (SELECT row_number() OVER (ORDER BY CASE WHEN high THEN 6 ELSE o END DESC, depth, p DESC, reason, id::varchar) AS place, id::varchar AS concept, reason, round(p, 9) AS priority, depth::int AS depth FROM q WHERE k = 1) SELECT * FROM r WHERE place <= 30",
     "i10_exam_tasks": f"{_E}, {_PRE}, n AS (SELECT target, count(*) AS n FROM pre GROUP BY target), s AS (SELECT target, node, place - 1 AS nth, false AS last FROM pre UNION ALL SELECT p_partkey, p_partkey, coalesce(n, 0), true FROM part LEFT JOIN n ON target = p_partkey) SELECT s.target, node::varchar AS concept, round(0.72::double + (1 - coalesce(mastery, 0.5)) * 0.22::double + (coalesce(n, 0) - nth) * 0.03::double + 0.08::double - nth * 0.01::double, 6) AS priority, CASE WHEN last THEN 'examPreparation' ELSE 'missingPrerequisite' END AS reason, nth::int AS depth FROM s LEFT JOIN n ON n.target = s.target LEFT JOIN mastery ON concept_id = node",
     "i11_review_plan": f"WITH {MASTERY} SELECT concept_id::varchar AS concept, round(0.95::double + 1 - mastery - (mistake_count * 10 - 1) * 0.01::double, 9) AS priority FROM mastery WHERE mistake_count > 0",
     "i12_study_next": f"{_E}, {_PRE}, {_up(2)}, a AS (SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS nth FROM up), t AS (SELECT target, node, 0.88::double - (place - 1) * 0.03::double AS priority, 'missingPrerequisite' AS reason, place - 1 AS depth, 5 AS o FROM pre UNION ALL SELECT seed, node, 0.58::double - (nth - 1) * 0.03::double, 'highDependencyConcept', nth, 1 FROM a WHERE nth <= 4), b AS (SELECT *, row_number() OVER (PARTITION BY target, node ORDER BY o DESC) AS k FROM t), r AS (SELECT target, (row_number() OVER (PARTITION BY target ORDER BY o DESC, depth, round(priority, 9) DESC, node))::int AS rank, node, reason, round(priority, 9) AS priority FROM b WHERE k = 1) SELECT * FROM r WHERE rank <= 4",
