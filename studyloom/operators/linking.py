@@ -128,3 +128,35 @@ def all_aliases(note: DataFrame, canonical: DataFrame) -> DataFrame:
     """Both: concept_id, alias. Every alias of a concept once, sorted."""
     both = note.select("concept_id", "alias").union(canonical.select("concept_id", "alias")).where("alias is not null")
     return both.groupBy("concept_id").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
+
+
+def unique_names(names: Column) -> Column:
+    """Trimmed names without blank ones, the first of those that differ in case only."""
+    said = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")
+    low = F.transform(said, F.lower)
+    return F.filter(said, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+
+
+def learner_summary(df: DataFrame) -> DataFrame:
+    """df with the arrays weak, strong, missing, gaps and n_sources: adds identified_gaps (3 at most), level, evidence and confidence (0 without evidence)."""
+    weak, strong, missing = unique_names(F.concat("weak", "gaps")), unique_names(F.col("strong")), unique_names(F.col("missing"))
+    n = F.size(weak) + F.size(strong) + F.size(missing) + F.least(F.lit(3), F.col("n_sources"))
+    level = F.when(F.size(missing) > 0, "Needs prerequisite support").when(F.size(weak) > 0, "Developing understanding").when(F.size(strong) > 0, "Ready for deeper explanation").when(F.col("n_sources") > 0, "Context available").otherwise("Unknown")
+    found = df.withColumn("identified_gaps", F.slice(unique_names(F.concat(missing, weak)), 1, 3)).withColumn("level", level).withColumn("evidence", n)
+    return found.withColumn("confidence", F.when(F.col("evidence") > 0, F.least(F.lit(0.85), 0.35 + F.col("evidence") * 0.1)).otherwise(0.0))
+
+
+def set_coverage(source: DataFrame, prerequisites: DataFrame, notes: DataFrame) -> DataFrame:
+    """source: lecture_id, concept_id, title, related (array); prerequisites: lecture_id, title; notes: lecture_id, title. Coverage by equal keys.
+
+    A concept is covered where its title or a related one is in the notes, and partial where only a related one is;
+    partial ones are thus covered too. Counts end at 6, 5 and 5.
+    """
+    known = notes.select("lecture_id", fn.norm_key(F.col("title")).alias("key")).distinct().withColumn("there", F.lit(True))
+    keyed = source.select("lecture_id", "concept_id", F.posexplode(F.concat(F.array("title"), "related")).alias("place", "name")).withColumn("key", fn.norm_key(F.col("name")))
+    met = keyed.join(known, ["lecture_id", "key"], "left").groupBy("lecture_id", "concept_id").agg(F.coalesce(F.bool_or(F.col("there") & (F.col("place") == 0)), F.lit(False)).alias("own"), F.coalesce(F.bool_or(F.col("there") & (F.col("place") > 0)), F.lit(False)).alias("near"))
+    counts = met.groupBy("lecture_id").agg(F.count("*").alias("n"), F.least(F.lit(6), F.count_if(F.col("own") | F.col("near"))).alias("covered"), F.least(F.lit(5), F.count_if(F.col("near") & ~F.col("own"))).alias("partial"))
+    lacking = prerequisites.select("lecture_id", fn.norm_key(F.col("title")).alias("key")).join(known, ["lecture_id", "key"], "left_anti").groupBy("lecture_id").agg(F.least(F.lit(5), F.count("*")).alias("missing"))
+    out = counts.join(lacking, "lecture_id", "left").withColumn("missing", F.coalesce("missing", F.lit(0)))
+    rest = F.greatest(F.lit(0), F.col("n") - F.col("covered") - F.col("partial") - F.col("missing"))
+    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("covered") + F.col("partial") * 0.55 + rest * 0.18) / F.col("n"))))

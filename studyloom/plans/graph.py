@@ -178,7 +178,7 @@ def p4_windowed_counts(spark, d):
 
 def p6_study_sessions(spark, d):
     df = streaming.drain(streaming.study_sessions(_stream(spark, d), "6 hours"))
-    return df.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
+    return df.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"), F.round(F.sum("minutes"), 3).alias("minutes"))
 
 
 QUERIES = {f.__name__: f for f in (e1_edges_of, e2_traverse, e3_ancestors, e4_shortest_paths, e5_prerequisite_edges, e6_prerequisite_chain, e7_explain_concepts, e8_subgraph, e12_graph_stats, e13_bottlenecks, i1_detect_gaps, i6_prerequisite_plan, i7_learning_path, i9_merge_tasks, i13_pack_days, i14_plan_totals, i15_unstarted, l1_dedupe_signals, l2_profiles, l3_profile_mastery, l4_history_flags, l6_event_statistics, l9_respect_opt_out, m9_run_summary, m10_compare_runs, m11_regressions, m12_rank_runs, m13_weaknesses, m17_model_comparison, m18_recommend_model, m19_throughput, p3_distinct_signals, p4_windowed_counts, p6_study_sessions)}
@@ -228,5 +228,5 @@ ORACLES = {
     "m19_throughput": f"WITH {_REC} SELECT run, round(avg(CASE WHEN latency > 0 THEN score * 100 / 4 / latency ELSE 0 END), 6) AS tokens_per_second FROM rec GROUP BY run",
     "p3_distinct_signals": "SELECT DISTINCT event_id // 2 AS proposal_id, event_type AS signal_type FROM events",
     "p4_windowed_counts": "SELECT strftime(ts::date, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
-    "p6_study_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS o FROM events), s AS (SELECT user_id, sum(o) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM c GROUP BY user_id",
+    "p6_study_sessions": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS o FROM events), s AS (SELECT user_id, ts, sum(o) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g), c AS (SELECT user_id, k, count(*) AS n, (epoch_us(max(ts)) - epoch_us(min(ts))) / 60e6::double AS m FROM s GROUP BY ALL) SELECT user_id, count(*) AS n_sessions, max(n) AS longest, round(sum(m), 3) AS minutes FROM c GROUP BY user_id",
 }

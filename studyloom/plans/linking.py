@@ -84,7 +84,24 @@ def d6_all_aliases(spark, d):
     return df.select("concept_id", F.array_join("aliases", "|").alias("aliases"))
 
 
-QUERIES = {f.__name__: f for f in (f6_keyword_score, f8_match_labels, g8_grade_explanations, h19_link_items, c30_star_relationships, c32_topic_tree, j4_visual_cues, j11_self_coverage, d6_all_aliases)}
+def f16_learner_summary(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    none = F.expr("cast(array() as array<string>)")
+    some = lambda n, *c: F.when(k % n == 0, F.array(*c)).otherwise(none)
+    df = p.select(k.alias("learner_id"), some(2, "p_name", F.upper("p_name")).alias("weak"), some(3, "p_type", F.lit(" ")).alias("strong"), some(5, F.concat(F.lit(" "), "p_name"), "p_brand").alias("missing"), some(7, "p_brand", "p_type").alias("gaps"), (k % 11 % 5).alias("n_sources"))
+    return op.learner_summary(df).select("learner_id", F.array_join("identified_gaps", "|").alias("gaps"), "level", F.round("confidence", 9).alias("confidence"))
+
+
+def j13_set_coverage(spark, d):
+    """A brand is a lecture: its parts are concepts with their types as related ones; the name or type of each 23rd part is in its notes."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    source = p.select(F.col("p_brand").alias("lecture_id"), k.alias("concept_id"), F.col("p_name").alias("title"), F.array("p_type").alias("related"))
+    before = p.where(k % 4 == 0).select(F.col("p_brand").alias("lecture_id"), F.upper("p_name").alias("title"))
+    notes = p.where(k % 23 == 0).select(F.col("p_brand").alias("lecture_id"), F.when(k % 2 == 0, F.col("p_name")).otherwise(F.col("p_type")).alias("title"))
+    return op.set_coverage(source, before, notes).select("lecture_id", "n", "covered", "partial", "missing", F.round("score", 9).alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (f6_keyword_score, f8_match_labels, g8_grade_explanations, h19_link_items, c30_star_relationships, c32_topic_tree, j4_visual_cues, j11_self_coverage, d6_all_aliases, f16_learner_summary, j13_set_coverage)}
 
 _TOKENS = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda w: length(w) > 2)"
 _ANY = lambda c, cues: "(" + " OR ".join(f"contains({c}, '{x}')" for x in cues) + ")"
@@ -100,4 +117,6 @@ ORACLES = {
     "j4_visual_cues": rf"WITH l AS (SELECT doc_id, doc_id % 3 AS k, unnest(range(len(x)))::int AS line, regexp_replace(unnest(x), '^\s+|\s+$', '', 'g') AS raw FROM (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda y: CASE WHEN length(y) % 2 = 0 THEN '• Table: ' || y ELSE y END) AS x FROM documents WHERE doc_id % 3 < 2)), v AS (SELECT *, regexp_replace(replace(raw, '•', ''), '^\s+|\s+$', '', 'g') AS b FROM l WHERE {_ANY(_KEY.format('raw'), op.VISUAL)}), t AS (SELECT doc_id, k, line, CASE WHEN length(b) <= 72 THEN b ELSE array_to_string(list_filter(string_split(b, ' '), lambda w: w <> '')[1:8], ' ') || '...' END AS title FROM v) SELECT doc_id, min(line) AS at_line, md5(arg_min(title, line)) AS title_md5, arg_min(CASE WHEN k = 0 THEN 1.4 ELSE 1.1 END::double, line) AS importance FROM t WHERE {_KEY.format('title')} <> '' GROUP BY doc_id, {_KEY.format('title')}",
     "j11_self_coverage": "SELECT p_brand, round(least(1::double, count(*) / greatest(1, count(*) + count(DISTINCT p_type))::double), 9) AS coverage FROM part GROUP BY p_brand",
     "d6_all_aliases": "SELECT concept_id, string_agg(alias, '|' ORDER BY alias) AS aliases FROM (SELECT p_partkey % 50 AS concept_id, p_name AS alias FROM part UNION SELECT p_partkey % 50, lower(p_type) FROM part) GROUP BY concept_id",
+    "f16_learner_summary": "WITH x AS (SELECT p_partkey AS learner_id, p_partkey AS k, p_name, p_type, p_brand FROM part), y AS (SELECT *, list_distinct((CASE WHEN k % 2 = 0 THEN [lower(p_name)] ELSE [] END) || (CASE WHEN k % 7 = 0 THEN [lower(p_brand), lower(p_type)] ELSE [] END)) AS w, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS s, CASE WHEN k % 5 = 0 THEN 2 ELSE 0 END AS m, CASE WHEN k % 5 = 0 THEN [p_name, p_brand] ELSE [] END || CASE WHEN k % 2 = 0 AND k % 5 > 0 THEN [p_name] ELSE [] END || CASE WHEN k % 7 = 0 THEN CASE WHEN k % 5 = 0 THEN [p_type] ELSE [p_brand, p_type] END ELSE [] END AS g FROM x), e AS (SELECT *, len(w) + s + m + least(3, k % 11 % 5) AS n FROM y) SELECT learner_id, array_to_string(g[1:3], '|') AS gaps, CASE WHEN m > 0 THEN 'Needs prerequisite support' WHEN len(w) > 0 THEN 'Developing understanding' WHEN s > 0 THEN 'Ready for deeper explanation' WHEN n > 0 THEN 'Context available' ELSE 'Unknown' END AS level, round(CASE WHEN n > 0 THEN least(0.85::double, 0.35::double + n * 0.1::double) ELSE 0 END, 9) AS confidence FROM e",
+    "j13_set_coverage": f"WITH k AS (SELECT DISTINCT p_brand AS b, {_KEY.format('CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END')} AS key FROM part WHERE p_partkey % 23 = 0), x AS (SELECT p_brand AS b, (p_brand, {_KEY.format('p_name')}) IN (SELECT (b, key) FROM k) AS own, (p_brand, {_KEY.format('p_type')}) IN (SELECT (b, key) FROM k) AS near, p_partkey FROM part), g AS (SELECT b AS lecture_id, count(*) AS n, least(6, count(*) FILTER (own OR near)) AS covered, least(5, count(*) FILTER (near AND NOT own)) AS partial, least(5, count(*) FILTER (NOT own AND p_partkey % 4 = 0)) AS missing FROM x GROUP BY b) SELECT *, round(greatest(0::double, least(1::double, (covered + partial * 0.55::double + greatest(0, n - covered - partial - missing) * 0.18::double) / n)), 9) AS score FROM g",
 }

@@ -31,8 +31,9 @@ def windowed_counts(events: DataFrame, width: str = "1 day", slide: str | None =
 
 
 def study_sessions(events: DataFrame, gap: str = "30 minutes", late: str = LATE) -> DataFrame:
-    """Runs of a user's events without a longer gap."""
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    """Runs of a user's events without a longer gap, with the minutes from the first to the last."""
+    w = F.session_window("ts", gap).alias("w")
+    return events.withWatermark("ts", late).groupBy(w, "user_id").agg(F.count("*").alias("n"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 60e6).alias("minutes"))
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
