@@ -368,7 +368,15 @@ def cross_pairs(members: DataFrame, labels: DataFrame, pivots: DataFrame, sets:
 
 def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
-    docs, _ = first_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null"))
+    return _components(_first_texts(docs)[0], k, percent)
+
+
+def _first_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    return first_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null"))
+
+
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """docs: one row a doc_id."""
     sizes = keep(set_sizes(docs, k))
     most = sizes.agg(F.max("n"), F.sum("n")).first()
     # a table of its own, so that the join with it can split a large class
@@ -397,9 +405,18 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
 
 def drop_similar(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; rows without an id stay."""
-    copies = similar_components(docs, k, percent).where("doc_id <> component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each component, with all its columns.
+
+    Rows without an id stay. Of rows that share an id with different texts the smallest text
+    is the document; rows with another text are compared with nothing, and stay.
+    """
+    one, again = _first_texts(docs)
+    copies = _components(one, k, percent).where("doc_id <> component_id").select("doc_id")
+    if again is None:
+        return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    gone = copies.join(again.select("doc_id", F.struct("text").alias("its")), "doc_id", "left").alias("gone")
+    same = F.col("gone.its").isNull() | F.col("kept.text").eqNullSafe(F.col("gone.its.text"))
+    return docs.alias("kept").join(gone, (F.col("kept.doc_id") == F.col("gone.doc_id")) & same, "left_anti")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,11 @@ A length between two powers of 2 is the two names that overlap in it. Lines shor
 the word limit make runs of at most ``least_words`` lines, so the rounds are few.
 
 A line's words are its spaces between words plus one, a blank line counts as one. Null
-texts have no lines and stay null. Rows without an id stay as they are; rows that share
-a doc_id count as one document. Names are two 64-bit hashes. Other columns, of any name,
-pass through ``dedup_lines``; an empty table stays empty. A very long text is as many
-rows as it has lines, and its result one row.
+texts have no lines and stay null. Rows without an id stay as they are. Of rows that share
+a doc_id with different texts, the smallest text is the document: the others are no source
+of copies and stay whole; rows with equal texts get equal results. Names are two 64-bit
+hashes. Other columns, of any name, pass through ``dedup_lines``; an empty table stays
+empty. A very long text is as many rows as it has lines, and its result one row.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from studyloom.llm._store import keep, rows_of
+from studyloom.llm._store import first_texts, keep, rows_of
 
 LEAST_WORDS = 50
 _NAME = ["a", "b"]
@@ -68,10 +69,8 @@ def _windows(lines: DataFrame, least_words: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Later copies as doc_id, first_line, end_line (exclusive): maximal stretches of lines to delete."""
-    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    one = _repeated(_lines(docs), _NAME).groupBy("doc_id", "pos").agg(F.min(F.struct("words", "a", "b")).alias("x")).select("doc_id", "pos", "x.*")
-    one = keep(one)
+    """docs: one row a doc_id. Later copies as doc_id, first_line, end_line (exclusive): maximal stretches of lines to delete."""
+    one = keep(_repeated(_lines(docs.select("doc_id", F.col("text").cast("string").alias("text"))), _NAME))
     windows = keep(_windows(one, least_words))
     longest = windows.agg(F.max("n")).first()[0] or 0
     level, length, found = one.select("doc_id", "pos", "a", "b"), 1, []
@@ -107,8 +106,14 @@ def _kept(lines: Column, runs: Column) -> Column:
 def _with_runs(docs: DataFrame, least_words: int) -> DataFrame:
     """doc_id, text, rest (a struct of the other columns, so that no name clashes) and runs, null where there are none."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(None).cast("int").alias("none")]
-    runs = repeated_runs(docs, least_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_line", "end_line"))).alias("runs"))
-    return docs.select("doc_id", "text", F.struct(*rest).alias("rest")).join(runs, "doc_id", "left")
+    one, again = first_texts(docs.where("doc_id is not null").select("doc_id", "text"))
+    runs = repeated_runs(one, least_words).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first_line", "end_line"))).alias("runs"))
+    rows = docs.select("doc_id", "text", F.struct(*rest).alias("rest")).join(runs, "doc_id", "left")
+    if again is None:
+        return rows
+    rows = rows.join(again.select("doc_id", F.struct("text").alias("again")), "doc_id", "left")
+    its_own = F.col("again").isNull() | F.col("text").eqNullSafe(F.col("again.text"))
+    return rows.withColumn("runs", F.when(its_own, F.col("runs"))).drop("again")
 
 
 def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:

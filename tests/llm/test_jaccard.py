@@ -78,3 +78,10 @@ def test_rows_that_repeat_an_id(spark):
     # 2 is its smaller text, which is that of 3; 4 is its null
     assert got == {1: (36, 1), 2: (36, 2), 3: (36, 2), 4: (0, 4), 5: (36, 1)}
     assert sorted(r.doc_id for r in drop_similar(df, 5, 80).collect()) == [1, 2, 2, 4, 4]
+
+
+def test_drop_similar_keeps_other_texts_of_an_id(spark):
+    text, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, text, "p"), (2, text, "q"), (2, other, "r"), (2, text, "s"), (None, text, "t")]
+    kept = drop_similar(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r.n_shingles for r in kept.collect()) == ["p", "r", "t"]

@@ -46,3 +46,12 @@ def test_edges(spark):
     assert sorted(out.collect(), key=str) == sorted([(1, long_line, 7), (2, None, 8), (3, "", 9), (None, long_line, 10), (5, "x\ny", 11), (5, "x\ny", 11)], key=str)
     empty = spark.createDataFrame([], SCHEMA)
     assert dedup_lines(empty).count() == 0 and repeated_runs(empty).count() == 0
+
+
+def test_rows_that_repeat_an_id(spark):
+    text = "\n".join(f"line {i} " + " ".join(f"w{i}x{j}" for j in range(20)) for i in range(6))
+    other = "\n".join(f"other {i} " + " ".join(f"v{i}x{j}" for j in range(20)) for i in range(7))
+    rows = [(1, text, 1), (2, text, 2), (2, other, 3), (3, other, 4), (3, other, 5), (4, None, 6), (4, text, 7)]
+    got = sorted((r.doc_id, r.words, r.text) for r in dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect())
+    # 2 is its smaller text, a copy of 1; its other row is no source, so that 3 is the first with that text; 4 is its null
+    assert got == [(1, 1, text), (2, 2, ""), (2, 3, other), (3, 4, other), (3, 5, other), (4, 6, None), (4, 7, text)]
