@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ["token_count", "substrings", "jaccard", "secrets", "packing", "chat", "line_dedup", "nearest", "decontaminate", "quality"]
+MODULES = ["token_count", "substrings", "jaccard", "secrets", "packing", "chat", "line_dedup", "nearest", "decontaminate", "quality", "hard_negatives", "vector_codes", "page_text"]
 
 
 def queries() -> dict[str, Callable]:
