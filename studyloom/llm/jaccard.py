@@ -4,14 +4,16 @@ Sets of at least one shingle go into bands by size, so that similar sets are in
 band or in neighbouring ones. In a band, J >= t leaves at most H different shingles. The
 universe of shingles is cut into m segments by hash:
 
-* m = H + 1 + e segments of which H can differ, so 1 + e are equal. e covers the empty
-  segments that a set of the band may have; only sets with more of them index those.
+* m = H + 1 + e segments of which H can differ, so 1 + e are equal, and a set may leave
+  out e. It leaves out its empty ones (with more than e of them, none), and then those
+  whose signatures cost most: the commonest over all sets, counted once they are known.
+  Of the equal segments of two similar sets the rarest is left out by neither.
 * Where sets are small, segments would be too, and (H + 1) / 2 segments with their
   one-deletion neighbourhoods cost less: H differences leave one segment with at most
   one, so a segment or its one-deletions meet.
 
-The choice is by the cost of a band: signatures per set against how little short
-segments tell apart. Signatures that two different sets share make candidates.
+Which of the two a band has is decided by its sizes. Signatures that two different sets
+share make candidates.
 
 Equal sets are one class from the start. A task sends a signature on once, whatever the
 number of its sets that share it; members that met inside a task are known to share it.
@@ -38,12 +40,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from studyloom.llm._store import first_texts, keep, keep_bucketed, rows_of
 from studyloom.llm._text import NOT_SPACE, Words, chain, mix, slices, spread, text_bytes
 from studyloom.llm.components import components
 
 SMALL_SET = 64
+#: Of so many segments that may differ, one more is added that a set may leave out.
+LEAVE_OUT = 8
 FLUSH_ENTRIES = 600_000
 BUCKET_ENTRIES = 1_000_000
 BLOCK_ROWS = 1024
@@ -69,7 +74,7 @@ class Bands:
         for b in np.flatnonzero(~self.deletes & (differ > 0)):
             for _ in range(4):  # more segments, more empty ones
                 empty = self.segments[b] * exp(-self.low[b] / self.segments[b])
-                self.spare[b] = ceil(empty + 3 * sqrt(empty))
+                self.spare[b] = ceil(empty + 3 * sqrt(empty)) + differ[b] // LEAVE_OUT
                 self.segments[b] = differ[b] + 1 + self.spare[b]
         self.low = np.array(self.low)
 
@@ -80,8 +85,8 @@ class Bands:
     def of(self, n: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.low, n, "right") - 1
 
-    def signatures(self, sets: Sets, above: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Signature and set number of all sets in their own band, or of those that reach into the next one above."""
+    def signatures(self, sets: Sets, above: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Signature, set number, and how many more signatures the set may leave out, of all sets in their own band, or of those that reach into the next one above."""
         n = sets.n
         band = self.of(n) + above
         which = np.flatnonzero((n > 0) & (band < len(self.segments)))
@@ -104,7 +109,9 @@ class Bands:
         on = (filled > 0) | (self.deletes[band] | (empty > self.spare[band]))[owner]
         less = np.flatnonzero(self.deletes[band][own])
         signature = [chain(total[on], place[on]), chain(total[slot[less]] - content[less], place[slot[less]])]
-        return np.concatenate(signature), which[np.concatenate([owner[on], own[less]])]
+        left = np.where(empty > self.spare[band], 0, self.spare[band] - empty).astype(np.int64)
+        by = np.concatenate([owner[on], own[less]])
+        return np.concatenate(signature), which[by], left[by]
 
 
 class Sets:
@@ -166,79 +173,91 @@ def _eight(data: bytes) -> np.ndarray:
 
 
 def shared_signatures(docs: DataFrame, k: int, percent: int, largest: int, shingles: int) -> DataFrame:
-    """signature, doc_id: members of signatures that two or more different sets have."""
+    """signature, doc_id, above, left: members of signatures that two or more different sets have.
+
+    above: whether of the band above the set's own; left: how many of its signatures there the set may leave out.
+    """
     bands = Bands(percent, largest)
     buckets = max(1, -(-int(shingles * 3 * (100 - percent) / (100 + percent) * 2) // BUCKET_ENTRIES))
 
-    def emit(sig: np.ndarray, doc: np.ndarray, set_of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def emit(sig: np.ndarray, doc: np.ndarray, set_of: np.ndarray, above: np.ndarray, left: np.ndarray) -> Iterator[pa.RecordBatch]:
         """One entry per signature to its bucket; all members of those with several, as they are."""
         order = np.lexsort((doc, sig))
-        sig, doc, set_of = sig[order], doc[order], set_of[order]
+        sig, doc, set_of, above, left = (x[order] for x in (sig, doc, set_of, above, left))
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
         several = ~first
         several[:-1] |= ~first[1:]
-        rows = [(-1 - (int(doc[p[0]]) + k) % buckets, sig[p], doc[p], doc[p]) for k, p in enumerate(np.array_split(np.flatnonzero(several), max(1, np.count_nonzero(several) // 100_000))) if len(p)]
-        sig, doc, set_of = sig[first], doc[first], set_of[first]
+        all_of = lambda p: (sig[p], doc[p], doc[p], above[p], left[p])
+        rows = [(-1 - (int(doc[p[0]]) + k) % buckets, *all_of(p)) for k, p in enumerate(np.array_split(np.flatnonzero(several), max(1, np.count_nonzero(several) // 100_000))) if len(p)]
+        sig, doc, set_of, above, left = (x[first] for x in (sig, doc, set_of, above, left))
         cuts = np.searchsorted(sig, (np.arange(buckets + 1, dtype=object) * (1 << 64) // buckets)[1:-1].astype(np.uint64)) if buckets > 1 else np.empty(0, np.int64)
-        rows += [(b, s, d, h) for b, (s, d, h) in enumerate(zip(np.split(sig, cuts), np.split(doc, cuts), np.split(set_of, cuts), strict=True)) if len(s)]
+        rows += [(b, *part) for b, part in enumerate(zip(*[np.split(x, cuts) for x in (sig, doc, set_of, above, left)], strict=True)) if len(part[0])]
         packed = []
-        for b, s, d, h in rows:
+        for b, s, d, h, up, le in rows:
             known, number = np.unique(d, return_inverse=True)
-            hashes = np.zeros(len(known), np.uint64)
+            hashes, may = np.zeros(len(known), np.uint64), np.zeros(2 * len(known), np.uint16)
             hashes[number] = h.view(np.uint64)
-            small = np.uint16 if len(known) <= 1 << 16 else np.uint32
-            packed.append((b, s.tobytes(), number.astype(small).tobytes(), known.tobytes(), hashes.tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int64()), *[pa.array([p[i] for p in packed], pa.binary()) for i in range(1, 5)]], ["bucket", "sig", "number", "known", "hashes"])
+            number = 2 * number + up
+            may[number] = le
+            small = np.uint16 if len(may) <= 1 << 16 else np.uint32
+            packed.append((b, s.tobytes(), number.astype(small).tobytes(), known.tobytes(), hashes.tobytes(), may.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in packed], pa.int64()), *[pa.array([p[i] for p in packed], pa.binary()) for i in range(1, 6)]], ["bucket", "sig", "number", "known", "hashes", "left"])
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         for batch, sets in _batches(batches, k):
             doc = batch.column("doc_id").to_numpy()
             for above in (False, True):
-                sig, own = bands.signatures(sets, above)
-                held.append((sig, doc[own], sets.hashes[0][own]))
+                sig, own, left = bands.signatures(sets, above)
+                held.append((sig, doc[own], sets.hashes[0][own], np.full(len(sig), above, np.int64), np.minimum(left, 65535)))
             if sum(len(x[0]) for x in held) > FLUSH_ENTRIES:
                 yield from emit(*once(held))
                 held = []
         if held:
             yield from emit(*once(held))
 
-    def once(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def once(held: list) -> tuple[np.ndarray, ...]:
         """All entries, each set by its smallest document only."""
-        sig, doc, set_of = (np.concatenate(x) for x in zip(*held, strict=True))
+        sig, doc, set_of, above, left = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((doc, set_of))
         first = np.ones(len(order), bool)
         first[1:] = set_of[order][1:] != set_of[order][:-1]
         least = np.repeat(doc[order][first], np.diff(np.append(np.flatnonzero(first), len(order))))
         on = np.empty(len(order), bool)
         on[order] = doc[order] == least
-        return sig[on], doc[on], set_of[on]
+        return sig[on], doc[on], set_of[on], above[on], left[on]
 
     def meet(table: pa.Table) -> pa.Table:
-        sig, doc, set_of = [], [], []
-        for s, number, known, hashes in zip(*[table.column(c).to_pylist() for c in ("sig", "number", "known", "hashes")], strict=True):
+        held: list[list[np.ndarray]] = [[], [], [], [], []]
+        for s, number, known, hashes, may in zip(*[table.column(c).to_pylist() for c in ("sig", "number", "known", "hashes", "left")], strict=True):
             s = np.frombuffer(s, np.uint64)
             number = np.frombuffer(number, np.uint16 if len(number) == 2 * len(s) else np.uint32)
-            sig.append(s)
-            doc.append(np.frombuffer(known, np.int64)[number])
-            set_of.append(np.frombuffer(hashes, np.uint64)[number])
-        sig, doc, set_of = np.concatenate(sig), np.concatenate(doc), np.concatenate(set_of)
+            for x, v in zip(held, (s, np.frombuffer(known, np.int64)[number // 2], np.frombuffer(hashes, np.uint64)[number // 2], (number % 2).astype(np.int8), np.frombuffer(may, np.uint16)[number]), strict=True):
+                x.append(v)
+        sig, doc, set_of, above, left = map(np.concatenate, held)
         if table.column("bucket")[0].as_py() >= 0:
             order = np.lexsort((doc, set_of, sig))
-            sig, doc, set_of = sig[order], doc[order], set_of[order]
+            sig, doc, set_of, above, left = (x[order] for x in (sig, doc, set_of, above, left))
             first = np.ones(len(sig), bool)
             first[1:] = (sig[1:] != sig[:-1]) | (set_of[1:] != set_of[:-1])
-            sig, doc = sig[first], doc[first]
+            sig, doc, above, left = sig[first], doc[first], above[first], left[first]
             same = sig[1:] == sig[:-1]
             on = np.zeros(len(sig), bool)
             on[1:] |= same
             on[:-1] |= same
-            sig, doc = sig[on], doc[on]
-        return pa.table([pa.array(sig.view(np.int64)), pa.array(doc)], names=["signature", "doc_id"])
+            sig, doc, above, left = sig[on], doc[on], above[on], left[on]
+        return pa.table([pa.array(sig.view(np.int64)), pa.array(doc), pa.array(above, pa.int8()), pa.array(left.astype(np.int32))], names=["signature", "doc_id", "above", "left"])
+
+    blobs = docs.mapInArrow(index, "bucket long, sig binary, number binary, known binary, hashes binary, left binary")
+    return blobs.groupBy("bucket").applyInArrow(meet, "signature long, doc_id long, above byte, left int")
+
 
-    blobs = docs.mapInArrow(index, "bucket long, sig binary, number binary, known binary, hashes binary")
-    return blobs.groupBy("bucket").applyInArrow(meet, "signature long, doc_id long")
+def rarest(members: DataFrame) -> DataFrame:
+    """signature, doc_id: members without each set's commonest signatures, as many as it may leave out."""
+    sizes = keep(members.groupBy("signature").agg(F.count("*").alias("size")).where("size > 1"))
+    order = Window.partitionBy("doc_id", "above").orderBy(F.desc("size"), "signature")
+    return members.join(sizes, "signature").withColumn("rank", F.row_number().over(order)).where(F.col("rank") > F.col("left")).select("signature", "doc_id")
 
 
 def set_table(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -385,8 +404,8 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if not most[0]:
         return rep.select("doc_id", "n_shingles", F.col("rep").alias("component_id"))
     rep = keep(rep)
-    found = shared_signatures(docs, k, percent, most[0], most[1]).join(rep.select("doc_id", "rep"), "doc_id").select("signature", F.col("rep").alias("doc_id")).distinct()
-    members = keep(found)
+    found = shared_signatures(docs, k, percent, most[0], most[1]).join(rep.select("doc_id", "rep"), "doc_id").select("signature", F.col("rep").alias("doc_id"), "above", "left").distinct()
+    members = keep(rarest(keep(found)))
     pivots = keep(members.groupBy("signature").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size"))
     stars = members.join(pivots, "signature").where("doc_id <> pivot").select(F.col("pivot").alias("key"), F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     involved = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
