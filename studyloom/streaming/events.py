@@ -36,14 +36,26 @@ def study_sessions(events: DataFrame, gap: str = "30 minutes", late: str = LATE)
     return events.withWatermark("ts", late).groupBy(w, "user_id").agg(F.count("*").alias("n"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 60e6).alias("minutes"))
 
 
-def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there and gives the rows of its sink, a table in the shared folder."""
+def drain(stream: DataFrame, mode: str = "complete", out: str | None = None, state: str | None = None) -> DataFrame:
+    """Runs a stream over what is there and gives the rows of its sink, a table in the shared folder.
+
+    out and state: the sink's and the checkpoint's folders, to go on where an earlier run ended; a batch that runs
+    again replaces its own rows. Modes but "complete" add the batch of each row.
+    """
     spark = stream.sparkSession
-    out, state = new_path(spark), new_path(spark)
+    out, state = out or new_path(spark), state or new_path(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    schema = stream.schema if mode == "complete" else stream.schema.add("batch", "long")
+    return spark.read.schema(schema).parquet(out)
+
+
+def latest(drained: DataFrame, key: list[str]) -> DataFrame:
+    """Of each key the row of its last batch."""
+    rest = [c for c in drained.columns if c not in key]
+    one = drained.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("x"))
+    return one.select(*key, *[f"x.{c}" for c in rest if c != "batch"])
