@@ -29,7 +29,7 @@ KINDS = {
 }
 # Sections of insights, by the name of their column; keys that don't end a section.
 INSIGHT_TITLES = {"keyConcepts": "key concepts", "importantConcepts": "important concepts", "potentialExamTopics": "potential exam topics", "knowledgeGaps": "knowledge gaps"}
-_SCAN = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}\[\]]', re.S)
+_SCAN = re.compile(r'"(?:[^"\\]++|\\.)*+(?:"|\\?\Z)|[{}\[\]]', re.S)  # a string that doesn't end goes on to the text's end
 
 
 def _balanced(text: str) -> str | None:
@@ -67,7 +67,7 @@ def repair_json(text: Column) -> Column:
     bare = F.regexp_replace(text, "```(?:json|JSON)?", "")
     outer = lambda a, b: F.nullif(F.regexp_extract(bare, rf"(?s)\{a}.*\{b}", 0), F.lit(""))
     cut = F.coalesce(balanced(bare), outer("{", "}"), outer("[", "]"))
-    return trimmed(F.replace(F.regexp_replace(cut, r'("(?:[^"\\]++|\\.)*+")|,(?=\s*[}\]])', "$1"), F.lit("\x00"), F.lit("")))
+    return trimmed(F.replace(F.regexp_replace(cut, r'("(?s:[^"\\]++|\\.)*+(?:"|\\?\z))|,(?=\s*[}\]])', "$1"), F.lit("\x00"), F.lit("")))
 
 
 def repaired(df: DataFrame, text: str = "text") -> DataFrame:
