@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from studyloom.functions import text as fn
 from studyloom.operators.graph import components
+from studyloom.sources.store import keep
 
 # Relation names by what they mean, for the six types and for the nine kinds.
 TYPES = {
@@ -73,20 +74,34 @@ def slug(c: Column, most: int = 48) -> Column:
 def canonicalize(new: DataFrame, canon: DataFrame) -> DataFrame:
     """new: concept_id, name, aliases. canon: canonical_id (string), name, aliases. The id of each new concept.
 
-    A known alias wins over a known name, then the smaller id. Others get a slug of their own
-    name, with -2, -3 ... where it is taken.
+    A known alias wins over a known name, then the smaller id. Others of one key are one new concept.
+    It gets the slug of its name ("concept" where that is empty) if no canonical id and no other new
+    concept has it: of several that would, the one with the smallest id does. The rest get -2, -3 ...,
+    each the first that is free.
     """
     none = F.expr("cast(array() as array<string>)")
     kinds = lambda: F.concat(F.transform(F.coalesce("aliases", none), lambda a: F.struct(F.lit(0).alias("rank"), fn.norm_key(a).alias("key"))), F.array(F.struct(F.lit(1).alias("rank"), fn.norm_key(F.col("name")).alias("key"))))
     known = canon.select("canonical_id", F.explode(kinds()).alias("k")).select("canonical_id", "k.*").where("key <> ''")
     asked = new.select("concept_id", F.explode(kinds()).alias("k")).select("concept_id", F.col("k.key").alias("key")).distinct()
     hit = asked.join(known, "key").groupBy("concept_id").agg(F.min(F.struct("rank", "canonical_id")).alias("h")).select("concept_id", F.col("h.canonical_id").alias("known_id"))
-    df = new.select("concept_id", slug(F.col("name")).alias("slug")).join(hit, "concept_id", "left")
-    fresh = df.where("known_id is null").withColumn("nth", F.row_number().over(Window.partitionBy("slug").orderBy("concept_id")))
-    taken = canon.select(F.col("canonical_id").alias("slug")).distinct().withColumn("taken", F.lit(1))
-    fresh = fresh.join(taken, "slug", "left").withColumn("nth", F.col("nth") + F.coalesce("taken", F.lit(0)))
-    made = fresh.select("concept_id", F.when(F.col("nth") == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.col("nth").cast("string"))).alias("canonical_id"), F.lit(True).alias("is_new"))
-    return df.where("known_id is not null").select("concept_id", F.col("known_id").alias("canonical_id"), F.lit(False).alias("is_new")).unionByName(made)
+    name = F.coalesce("name", F.lit(""))
+    df = keep(new.select("concept_id", fn.norm_key(name).alias("key"), F.coalesce(F.nullif(slug(name), F.lit("")), F.lit("concept")).alias("slug")).join(hit, "concept_id", "left"))
+    fresh = df.where("known_id is null").groupBy("key").agg(F.min_by("slug", "concept_id").alias("slug"), F.min("concept_id").alias("first"))
+    taken = canon.select(F.col("canonical_id").alias("slug")).distinct()
+    heads = fresh.groupBy("slug").agg(F.min("first").alias("first")).join(taken, "slug", "left_anti")
+    # numbers that canonical ids and bare slugs have taken already, by the slug before them
+    numbered = lambda i: F.regexp_extract("slug", "^(.*)-([1-9][0-9]{0,8})$", i)
+    used = taken.unionByName(heads.select("slug")).select(numbered(1).alias("slug"), numbered(2).alias("n")).where("n <> ''")
+    used = used.groupBy("slug").agg(F.collect_set(F.col("n").cast("int")).alias("used"))
+    rest = fresh.join(heads, ["slug", "first"], "left_anti")
+    numbers = rest.groupBy("slug").agg(F.count("*").cast("int").alias("m")).join(used, "slug", "left").withColumn("used", F.coalesce("used", F.expr("cast(array() as array<int>)")))
+    free = F.slice(F.array_except(F.sequence(F.lit(2), F.col("m") + F.size("used") + 1), "used"), F.lit(1), F.col("m"))
+    numbers = numbers.select("slug", F.posexplode(free).alias("at", "n"))
+    ranked = rest.withColumn("at", F.row_number().over(Window.partitionBy("slug").orderBy("first")) - 1)
+    made = ranked.join(numbers, ["slug", "at"]).select("key", F.concat_ws("-", "slug", F.col("n").cast("string")).alias("made"))
+    made = fresh.join(heads, ["slug", "first"], "left_semi").select("key", F.col("slug").alias("made")).unionByName(made)
+    out = df.where("known_id is null").join(made, "key").select("concept_id", F.col("made").alias("canonical_id"), F.lit(True).alias("is_new"))
+    return df.where("known_id is not null").select("concept_id", F.col("known_id").alias("canonical_id"), F.lit(False).alias("is_new")).unionByName(out)
 
 
 def sanitize_extraction(concepts: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -111,22 +111,41 @@ def _holds(key: Column, sentence_key: Column) -> Column:
     return F.concat(F.lit(" "), sentence_key, F.lit(" ")).contains(F.concat(F.lit(" "), key, F.lit(" ")))
 
 
-def _named_in(concepts: DataFrame, sentences: DataFrame) -> DataFrame:
-    """A document's concepts (doc_id, key, term; a bounded number each) with those of its sentences that name them."""
+def _names(concepts: DataFrame, known: DataFrame | None) -> DataFrame:
+    """doc_id, key, term, name: a concept's key and the keys of its aliases (known: doc_id, key, aliases)."""
+    own = concepts.select("doc_id", "key", "term", F.col("key").alias("name"))
+    if known is None:
+        return own
+    more = concepts.select("doc_id", "key", "term").join(known.select("doc_id", "key", "aliases"), ["doc_id", "key"])
+    more = more.select("doc_id", "key", "term", F.explode(F.array_distinct(F.transform("aliases", fn.norm_key))).alias("name"))
+    return own.unionByName(more.where("name <> '' and name <> key"))
+
+
+def _named_in(concepts: DataFrame, sentences: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """A document's concepts (doc_id, key, term; a bounded number each) with those of its sentences that hold one of their names; name tells which."""
     s = sentences.withColumn("sentence_key", fn.norm_key(F.col("sentence")))
-    return concepts.select("doc_id", "key", "term").join(s, "doc_id").where(_holds(F.col("key"), F.col("sentence_key")))
+    return _names(concepts, known).join(s, "doc_id").where(_holds(F.col("name"), F.col("sentence_key")))
 
 
-def definitions(concepts: DataFrame, sentences: DataFrame) -> DataFrame:
-    """doc_id, key, definition: what follows the first trigger after the concept in the first such sentence, else the first sentence that names it."""
-    lower, found = F.lower(F.col("sentence")), []
+def _trigger_at(sentence: Column, trigger: str) -> Column:
+    """Where the trigger stands in the text itself, whatever the case of its letters; 0 for nowhere."""
+    before = F.regexp_extract(sentence, rf"(?is)^(.*?) {trigger} ", 1)
+    return F.when(sentence.rlike(rf"(?i) {trigger} "), F.length(before) + 1).otherwise(0)
+
+
+def definitions(concepts: DataFrame, sentences: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """doc_id, key, definition: what follows the first trigger after a name of the concept in the first such sentence, else the first sentence that names it.
+
+    known: doc_id, key, aliases, which are names too.
+    """
+    found = []
     for i, t in enumerate(DEFINITION_TRIGGERS):
-        at = F.instr(lower, f" {t} ")
+        at = _trigger_at(F.col("sentence"), t)
         head = fn.norm_key(F.substring(F.col("sentence"), F.lit(1), at - 1))
-        fits = (at > 0) & (head.startswith(F.col("key")) | ((head != "") & F.col("key").startswith(head)))
+        fits = (at > 0) & (head.startswith(F.col("name")) | ((head != "") & F.col("name").startswith(head)))
         found.append(F.when(fits, F.struct(F.lit(i).alias("i"), fn.fragment(F.trim(F.substring(F.col("sentence"), at + len(t) + 2, F.length("sentence")))).alias("tail"))))
-    rows = _named_in(concepts, sentences).withColumn("hit", F.array_min(F.array_compact(F.array(*found))))
-    best = rows.groupBy("doc_id", "key").agg(F.min(F.struct(F.col("hit").isNull().alias("none"), "pos", F.coalesce("hit.tail", fn.fragment(F.col("sentence"))).alias("text"))).alias("b"))
+    rows = _named_in(concepts, sentences, known).withColumn("hit", F.array_min(F.array_compact(F.array(*found))))
+    best = rows.groupBy("doc_id", "key").agg(F.min(F.struct(F.col("hit").isNull().alias("none"), "pos", F.col("hit.i").alias("i"), F.coalesce("hit.tail", fn.fragment(F.col("sentence"))).alias("text"))).alias("b"))
     out = concepts.select("doc_id", "key", "term").join(best, ["doc_id", "key"], "left")
     return out.select("doc_id", "key", F.coalesce("b.text", "term").alias("definition"), F.coalesce(~F.col("b.none"), F.lit(False)).alias("explicit"))
 
@@ -152,10 +171,16 @@ def aliases(concepts: DataFrame, sentences: DataFrame) -> DataFrame:
     return once.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
 
 
-def evidence(concepts: DataFrame, sentences: DataFrame, k: int = 2) -> DataFrame:
-    """doc_id, key, nth, pos: the first k sentences that name each concept."""
+def evidence(concepts: DataFrame, sentences: DataFrame, k: int = 2, known: DataFrame | None = None) -> DataFrame:
+    """doc_id, key, nth, pos: the first k sentences that name each concept, by its key or an alias (known: doc_id, key, aliases).
+
+    A concept that no sentence names has one row without a position: it is its own evidence.
+    """
+    once = _named_in(concepts, sentences, known).select("doc_id", "key", "pos").distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("pos"))
-    return _named_in(concepts, sentences).withColumn("nth", nth).where(F.col("nth") <= k).select("doc_id", "key", "nth", "pos")
+    found = once.withColumn("nth", nth).where(F.col("nth") <= k).select("doc_id", "key", "nth", "pos")
+    none = concepts.select("doc_id", "key").distinct().join(found, ["doc_id", "key"], "left_anti")
+    return found.unionByName(none.select("doc_id", "key", F.lit(1).alias("nth"), F.lit(None).cast("int").alias("pos")))
 
 
 def classify_sentences(sentences: DataFrame) -> DataFrame:

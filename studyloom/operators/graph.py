@@ -51,21 +51,29 @@ def traverse(edges: DataFrame, seeds: DataFrame, direction: str = "out", depth:
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 4) -> DataFrame:
-    """pairs: source, target. Undirected shortest path with up to depth edges; of equal ones the smallest node list."""
+    """pairs: source, target. source, target, path, edges, length of an undirected shortest path with up to depth edges.
+
+    Of equally short ones the smallest list of nodes; of parallel edges the smallest id. A pair of equal ends is a path of one node.
+    """
     steps = keep(_steps(edges, "both"))
-    front = pairs.select("source", "target", F.col("source").alias("node"), F.array("source").alias("path")).distinct()
-    found, seen = None, front.select("source", "target", "node")
+    start = pairs.select("source", "target", F.col("source").alias("node"), F.array("source").alias("path")).where("source is not null and target is not null").distinct()
+    found, front = start.where("source = target"), start.where("source <> target")
+    seen = front.select("source", "target", "node")
     for _ in range(depth):
-        nxt = front.where("node <> target").join(steps, "node").select("source", "target", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
+        nxt = front.join(steps, "node").select("source", "target", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
         nxt = nxt.join(seen, ["source", "target", "node"], "left_anti").groupBy("source", "target", "node").agg(F.min("path").alias("path"))
-        front = keep(nxt)
-        hit = front.where("node = target")
-        found = hit if found is None else found.unionByName(hit)
-        done = hit.select("source", "target")
-        front = front.join(done, ["source", "target"], "left_anti")
-        seen = seen.unionByName(nxt.select("source", "target", "node"))
-        seen = keep(seen)
-    return found.select("source", "target", "path", (F.size("path") - 1).alias("length"))
+        nxt = keep(nxt)
+        hit = nxt.where("node = target")
+        found = found.unionByName(hit)
+        front = nxt.join(hit.select("source", "target"), ["source", "target"], "left_anti")
+        seen = keep(seen.unionByName(nxt.select("source", "target", "node")))
+    found = keep(found.select("source", "target", "path"))
+    ends = F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path") - 1).alias("b"))
+    hop = found.select("source", "target", F.posexplode(ends).alias("nth", "s")).select("source", "target", "nth", F.least("s.a", "s.b").alias("lo"), F.greatest("s.a", "s.b").alias("hi"))
+    one = edges.groupBy(F.least("source_id", "target_id").alias("lo"), F.greatest("source_id", "target_id").alias("hi")).agg(F.min("edge_id").alias("edge_id"))
+    used = hop.join(one, ["lo", "hi"]).groupBy("source", "target").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "edge_id"))), lambda x: x["edge_id"]).alias("edges"))
+    none = F.array().cast(used.schema["edges"].dataType)
+    return found.join(used, ["source", "target"], "left").select("source", "target", "path", F.coalesce("edges", none).alias("edges"), (F.size("path") - 1).alias("length"))
 
 
 def prerequisite_edges(edges: DataFrame) -> DataFrame:
@@ -102,17 +110,19 @@ def prerequisite_chain(edges: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def explain_concepts(concepts: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per concept: its prerequisites, dependents and related ones (sorted ids), counts of edges in and out."""
+    """Per concept: its prerequisites, dependents and neighbours by other relations (sorted ids), counts of edges in and out."""
     pre = prerequisite_edges(edges)
     needs = pre.groupBy(F.col("source_id").alias("concept_id")).agg(F.array_sort(F.collect_set("target_id")).alias("prerequisites"))
     wanted = pre.groupBy(F.col("target_id").alias("concept_id")).agg(F.array_sort(F.collect_set("source_id")).alias("dependents"))
+    near = both_ways(edges).join(pre.select("edge_id").distinct(), "edge_id", "left_anti").where("node <> other")
+    related = near.groupBy(F.col("node").alias("concept_id")).agg(F.array_sort(F.collect_set("other")).alias("related"))
     out = edges.groupBy(F.col("source_id").alias("concept_id")).agg(F.count("*").alias("n_out"))
     into = edges.groupBy(F.col("target_id").alias("concept_id")).agg(F.count("*").alias("n_in"))
     df = concepts.select("concept_id")
-    for other in (needs, wanted, out, into):
+    for other in (needs, wanted, related, out, into):
         df = df.join(other, "concept_id", "left")
     none = F.expr("cast(array() as array<bigint>)")
-    return df.select("concept_id", *[F.coalesce(c, none).alias(c) for c in ("prerequisites", "dependents")], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_out", "n_in")])
+    return df.select("concept_id", *[F.coalesce(c, none).alias(c) for c in ("prerequisites", "dependents", "related")], *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_out", "n_in")])
 
 
 def subgraph(edges: DataFrame, roots: DataFrame, radius: int = 2) -> tuple[DataFrame, DataFrame]:

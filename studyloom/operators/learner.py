@@ -96,14 +96,18 @@ def stability_days(df_mastery: Column, confidence: Column, reviews: Column, mist
 
 
 def retention(df: DataFrame, as_of: str) -> DataFrame:
-    """Adds stability, retention, due (predicted forgetting), days_until_due and urgency."""
+    """Adds stability, retention, due (predicted forgetting), days_until_due and urgency.
+
+    A record that was never reviewed counts from its updated_at, where there is such a column.
+    """
+    last = F.coalesce("last_reviewed", "updated_at") if "updated_at" in df.columns else F.col("last_reviewed")
     now = F.lit(as_of).cast("timestamp")
     base = clamp(F.col("mastery")) * 0.7 + clamp(F.col("confidence")) * 0.3
     until = F.floor(F.greatest(F.lit(0.0), F.col("stability") * F.log(F.greatest(F.lit(0.05), base) / FORGETTING_THRESHOLD)))
     return (
         df.withColumn("stability", stability_days(F.col("mastery"), F.col("confidence"), F.col("review_count"), F.col("mistake_count")))
-        .withColumn("retention", clamp(base * F.exp(-days_since(F.col("last_reviewed"), now) / F.col("stability"))))
-        .withColumn("due", F.col("last_reviewed") + F.make_dt_interval(until.cast("int")))
+        .withColumn("retention", clamp(base * F.exp(-days_since(last, now) / F.col("stability"))))
+        .withColumn("due", last + F.make_dt_interval(until.cast("int")))
         .withColumn("days_until_due", F.datediff(F.to_date("due"), F.to_date(now)))
         .withColumn("urgency", clamp(F.lit(1.0) - F.col("retention") + F.when(F.col("days_until_due") <= 0, 0.25).otherwise(0.0)))
     )

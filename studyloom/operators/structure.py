@@ -6,6 +6,7 @@ lines; the windows partition by document.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -114,13 +115,6 @@ def changed_only(docs: DataFrame, processed: DataFrame) -> DataFrame:
     return docs.join(processed.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
-@F.pandas_udf(StringType())
-def nfkc(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Unicode compatibility composition; Spark has no function for it."""
-    for series in texts:
-        yield series.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
-
-
 @F.pandas_udf(StringType())
 def fold_diacritics(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Lower case without accents."""
@@ -133,19 +127,34 @@ def fold_key(c: Column) -> Column:
     return norm_key(fold_diacritics(c))
 
 
-def normalize_text(c: Column, compose: bool = True) -> Column:
-    """Line ends, quotes, dashes, dots and bullets in ASCII, single spaces, no space before a mark, no runs of blank lines; code fences keep their inner spacing."""
-    t = F.regexp_replace(c, "\r\n?", "\n")
-    t = nfkc(t) if compose else t
-    t = F.translate(t, "“”‘’–—• \t", "\"\"''---  ")
-    t = F.replace(t, F.lit("…"), F.lit("..."))
+# Characters of prose and their plain forms.
+PLAIN = str.maketrans({" ": " ", "\t": " ", "“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "—": "-", "–": "-", "…": "...", "•": "-", "·": "-"})
+CODE = str.maketrans({" ": " ", "\t": "    "})
+
 
-    def plain(p: Column) -> Column:
-        p = F.regexp_replace(F.regexp_replace(p, " +", " "), " ?\n ?", "\n")
-        return F.regexp_replace(F.regexp_replace(p, " ([,.;:!?])", "$1"), "\n{3,}", "\n\n")
+def normalized(text: str) -> str:
+    """One text: a fold over its lines, since a fence's marks tell what is code."""
+    out: list[str] = []
+    code = False
+    for line in unicodedata.normalize("NFKC", re.sub("\r\n?", "\n", text)).split("\n"):
+        if line.strip().startswith("```"):
+            out.append(line.strip())
+            code = not code
+            continue
+        line = line.translate(CODE).strip() if code else re.sub(r"\s+([,.;:!?])", r"\1", re.sub(r"\s+", " ", line.translate(PLAIN))).strip()
+        if line or not out or out[-1]:
+            out.append(line)
+    return "\n".join(out).strip("\n")
 
-    parts = F.transform(F.split(t, "```", -1), lambda p, i: F.when(i % 2 == 1, p).otherwise(plain(p)))
-    return F.regexp_replace(F.array_join(parts, "```"), r"^[ \n]+|[ \n]+$", "")
+
+@F.pandas_udf(StringType())
+def normalize_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Line ends, quotes, dashes, dots and bullets in ASCII, single spaces, no space before a mark, no runs of blank lines.
+
+    A line that begins with three backticks opens or closes code, where only tabs (four spaces) and outer spaces change.
+    """
+    for series in texts:
+        yield series.map(lambda t: None if t is None else normalized(t))
 
 
 def section_slug(title: Column) -> Column:

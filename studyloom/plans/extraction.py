@@ -9,6 +9,7 @@ from studyloom.operators import canonical, text
 from studyloom.operators import extraction as op
 from studyloom.plans._tables import edges, table
 from studyloom.plans.text import _KEY, _SENT
+from studyloom.sources.store import keep
 
 _PLAIN = ["doc_id", "text"]
 
@@ -35,7 +36,8 @@ def c6_topics(spark, d):
 
 
 def c11_definitions(spark, d):
-    return op.definitions(_candidates(spark, d), text.sentences(_docs(spark, d)))
+    c, s = keep(_candidates(spark, d)), text.sentences(_docs(spark, d))
+    return op.definitions(c, s, op.aliases(c, s))
 
 
 def c12_aliases(spark, d):
@@ -44,7 +46,8 @@ def c12_aliases(spark, d):
 
 
 def c14_evidence(spark, d):
-    return op.evidence(_candidates(spark, d), text.sentences(_docs(spark, d)))
+    c, s = keep(_candidates(spark, d)), text.sentences(_docs(spark, d))
+    return op.evidence(c, s, 2, op.aliases(c, s))
 
 
 def _scored(spark, d):
@@ -96,11 +99,17 @@ def d1_resolve_concepts(spark, d):
 
 
 def d2_canonicalize(spark, d):
+    """Known: every fourth part's name, and that with -3. New: names, the same in other spelling, with a number, and cut to one slug."""
     p = table(spark, d, "part")
-    canon = p.where("p_partkey % 4 = 0").groupBy("p_name").agg(F.min_by("p_type", "p_partkey").alias("t")).select(canonical.slug(F.col("p_name")).alias("canonical_id"), F.concat(F.lit("known "), F.col("p_name")).alias("name"), F.array("t").alias("aliases"))
     none = F.expr("cast(array() as array<string>)")
-    new = p.where("p_partkey % 4 > 0").select(F.col("p_partkey").alias("concept_id"), F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("Known "), F.col("p_name"))).otherwise(F.col("p_name")).alias("name"), F.when(F.col("p_partkey") % 3 == 0, F.array("p_type")).otherwise(none).alias("aliases"))
-    return canonical.canonicalize(new, canon)
+    known = p.where("p_partkey % 4 = 0").groupBy("p_name").agg(F.min_by("p_type", "p_partkey").alias("t"))
+    one = known.select(canonical.slug(F.col("p_name")).alias("canonical_id"), F.concat(F.lit("known "), F.col("p_name")).alias("name"), F.array("t").alias("aliases"))
+    two = known.select(F.concat(canonical.slug(F.col("p_name")), F.lit("-3")).alias("canonical_id"), F.concat(F.lit("third "), F.col("p_name")).alias("name"), none.alias("aliases"))
+    at = F.col("p_partkey") % 7
+    name = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("Known "), F.col("p_name"))).when(at == 0, F.concat("p_name", F.lit(" 2"))).when(at == 1, F.upper(F.concat("p_name", F.lit("!"))))
+    name = name.when(at == 2, F.concat(F.repeat(F.concat("p_name", F.lit(" ")), F.lit(8)), F.col("p_size").cast("string"))).when(at == 3, "!!!").otherwise(F.concat("p_name", F.lit(" "), (F.col("p_size") % 4).cast("string")))
+    new = p.where("p_partkey % 4 > 0").select(F.col("p_partkey").alias("concept_id"), name.alias("name"), F.when(F.col("p_partkey") % 3 == 0, F.array("p_type")).otherwise(none).alias("aliases"))
+    return canonical.canonicalize(new, one.unionByName(two))
 
 
 _RELATIONS = ("Requires", "part_of", "foo", " causes", "versus", "related-to", "depends_on", "example of", "uses", "PREREQUISITE_OF")
@@ -180,7 +189,7 @@ cand AS (SELECT * FROM (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id O
 _SAID = f"sk AS (SELECT *, {_KEY.format('sentence')} AS sentence_key FROM s), said AS (SELECT c.doc_id, c.key, c.term, c.rank, pos, sentence, sentence_key FROM cand c JOIN sk ON sk.doc_id = c.doc_id AND contains(' ' || sentence_key || ' ', ' ' || key || ' '))"
 _TRIG = "[" + ", ".join(f"' {v} '" for v in op.DEFINITION_TRIGGERS) + "]"
 _HK = _KEY.format("substr(sentence, 1, strpos(lower(sentence), t) - 1)")
-_FITS = f"strpos(lower(sentence), t) > 0 AND (starts_with({_HK}, key) OR ({_HK} <> '' AND starts_with(key, {_HK})))"
+_FITS = f"strpos(lower(sentence), t) > 0 AND (starts_with({_HK}, name) OR ({_HK} <> '' AND starts_with(name, {_HK})))"
 _DULL = _words(op.NOISE + op.GENERIC)
 _LIMITS = "CASE class " + " ".join(f"WHEN '{n}' THEN {m}" for n, (_, m) in op.CLASSES.items() if m) + " ELSE 1000000 END"
 _RELS = "[" + ", ".join(f"'{r}'" for r in _RELATIONS) + "][p_partkey % 10 + 1]"
@@ -194,15 +203,18 @@ def _case(x: str, table_: dict, other: str) -> str:
 _TYPE = _case("translate(lower(trim(r)), '_-', '  ')", canonical.TYPES, f"CASE WHEN upper(trim(r)) IN {_words(canonical.TYPE_NAMES)} THEN upper(trim(r)) END")
 _EXT = f"""c AS (SELECT p_partkey // 10 AS doc_id, (p_partkey // CASE WHEN p_partkey % 7 = 0 THEN 2 ELSE 1 END)::varchar AS key, CASE WHEN p_partkey % 6 = 0 THEN ' ' ELSE p_name END AS name, CASE WHEN p_size % 9 = 0 THEN '' ELSE p_type END AS definition, p_size / 45::double AS confidence, p_size / 40::double - 0.1::double AS importance FROM part),
 e0 AS (SELECT p_partkey, p_partkey // 10 AS doc_id, p_partkey::varchar AS source, (p_partkey + p_size % 3)::varchar AS target, {_RELS} AS r FROM part), e AS (SELECT * FROM e0 UNION ALL SELECT * FROM e0 WHERE p_partkey % 8 = 0)"""
+_ALIASES = f"""aw AS (SELECT doc_id, key, list_filter(string_split(term, ' '), lambda z: z <> '') AS w, list_filter(string_split(trim(regexp_replace(term, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda z: z <> '' AND lower(z) NOT IN {_DULL}) AS a FROM cand),
+ao AS (SELECT doc_id, key, unnest([array_to_string(w, '-'), array_to_string(w, '_'), CASE WHEN len(a) > 1 THEN upper(array_to_string(list_transform(a, lambda z: substr(z, 1, 1)), '')) ELSE '' END]) AS alias FROM aw WHERE len(w) > 1 UNION ALL SELECT doc_id, key, unnest(list_transform(regexp_extract_all(sentence, '\\(([^()]{{1,40}})\\)', 1), lambda z: trim(z))) FROM said UNION ALL SELECT doc_id, key, unnest(list_filter(list_transform(string_split(sentence, '/'), lambda z: trim(z)), lambda z: z <> '' AND {_meaningful('z')})) FROM said WHERE contains(sentence, '/')),
+au AS (SELECT doc_id, key, {_KEY.format('alias')} AS k, min(alias) AS alias FROM ao WHERE trim(alias) <> '' GROUP BY ALL),
+al AS (SELECT DISTINCT doc_id, key, k, alias FROM au WHERE k <> '' AND k <> key)"""
+_NAMED = "nm AS (SELECT doc_id, key, term, key AS name FROM cand UNION SELECT c.doc_id, c.key, c.term, al.k FROM cand c JOIN al ON al.doc_id = c.doc_id AND al.key = c.key), named AS (SELECT c.doc_id, c.key, c.term, c.name, pos, sentence, sentence_key FROM nm c JOIN sk ON sk.doc_id = c.doc_id AND contains(' ' || sentence_key || ' ', ' ' || name || ' '))"
 ORACLES = {
     "c4_candidate_concepts": f"WITH {_cand(18)} SELECT doc_id, rank, key, term FROM cand",
     "c5_meaningful_terms": f"WITH w AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), ' ')) AS w FROM documents) SELECT doc_id, count(*) AS n, count(*) FILTER ({_meaningful('w')}) AS n_meaningful FROM w GROUP BY doc_id",
     "c6_topics": f"WITH {_cand(5)}, t0 AS (SELECT doc_id, 0 AS k, 0 AS nth, source || ' ' || lang AS term FROM documents UNION ALL SELECT doc_id, 1, nth, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS n FROM hl WHERE {_meaningful('term')}) WHERE n <= 6 UNION ALL SELECT doc_id, 2, rank, term FROM cand), t1 AS (SELECT doc_id, {_KEY.format('term')} AS key, min((k, nth, trim(term))) AS f FROM t0 WHERE {_meaningful('term')} GROUP BY ALL) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY f[1], f[2], key))::int AS rank, f[3] AS topic FROM t1 WHERE key <> ''",
-    "c11_definitions": f"WITH {_cand(18)}, {_SAID}, h AS (SELECT *, list_filter(list_transform({_TRIG}, lambda t: CASE WHEN {_FITS} THEN {_frag('trim(substr(sentence, strpos(lower(sentence), t) + length(t)))')} END), lambda z: z IS NOT NULL)[1] AS hit FROM said), b AS (SELECT doc_id, key, min((hit IS NULL, pos, coalesce(hit, {_frag('sentence')}))) AS b FROM h GROUP BY ALL) SELECT c.doc_id, c.key, coalesce(b[3], c.term) AS definition, coalesce(NOT b[1], false) AS explicit FROM cand c LEFT JOIN b ON b.doc_id = c.doc_id AND b.key = c.key",
-    "c12_aliases": f"""WITH {_cand(18)}, {_SAID}, w AS (SELECT doc_id, key, list_filter(string_split(term, ' '), lambda z: z <> '') AS w, list_filter(string_split(trim(regexp_replace(term, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' '), lambda z: z <> '' AND lower(z) NOT IN {_DULL}) AS a FROM cand),
-o AS (SELECT doc_id, key, unnest([array_to_string(w, '-'), array_to_string(w, '_'), CASE WHEN len(a) > 1 THEN upper(array_to_string(list_transform(a, lambda z: substr(z, 1, 1)), '')) ELSE '' END]) AS alias FROM w WHERE len(w) > 1 UNION ALL SELECT doc_id, key, unnest(list_transform(regexp_extract_all(sentence, '\\(([^()]{{1,40}})\\)', 1), lambda z: trim(z))) FROM said UNION ALL SELECT doc_id, key, unnest(list_filter(list_transform(string_split(sentence, '/'), lambda z: trim(z)), lambda z: z <> '' AND {_meaningful('z')})) FROM said WHERE contains(sentence, '/')),
-u AS (SELECT doc_id, key, {_KEY.format('alias')} AS k, min(alias) AS alias FROM o WHERE trim(alias) <> '' GROUP BY ALL) SELECT doc_id, key, string_agg(alias, '|' ORDER BY alias) AS aliases FROM (SELECT DISTINCT doc_id, key, alias FROM u WHERE k <> '' AND k <> key) GROUP BY ALL""",
-    "c14_evidence": f"WITH {_cand(18)}, {_SAID}, r AS (SELECT doc_id, key, (row_number() OVER (PARTITION BY doc_id, key ORDER BY pos))::int AS nth, pos FROM said) SELECT * FROM r WHERE nth <= 2",
+    "c11_definitions": f"WITH {_cand(18)}, {_SAID}, {_ALIASES}, {_NAMED}, h AS (SELECT *, list_filter(list_transform({_TRIG}, lambda t, i: CASE WHEN {_FITS} THEN {{'i': i, 't': {_frag('trim(substr(sentence, strpos(lower(sentence), t) + length(t)))')}}} END), lambda z: z IS NOT NULL)[1] AS hit FROM named), b AS (SELECT doc_id, key, min((hit IS NULL, pos, hit.i, coalesce(hit.t, {_frag('sentence')}))) AS b FROM h GROUP BY ALL) SELECT c.doc_id, c.key, coalesce(b[4], c.term) AS definition, coalesce(NOT b[1], false) AS explicit FROM cand c LEFT JOIN b ON b.doc_id = c.doc_id AND b.key = c.key",
+    "c12_aliases": f"WITH {_cand(18)}, {_SAID}, {_ALIASES} SELECT doc_id, key, string_agg(alias, '|' ORDER BY alias) AS aliases FROM al GROUP BY ALL",
+    "c14_evidence": f"WITH {_cand(18)}, {_SAID}, {_ALIASES}, {_NAMED}, d AS (SELECT DISTINCT doc_id, key, pos FROM named), r AS (SELECT doc_id, key, (row_number() OVER (PARTITION BY doc_id, key ORDER BY pos))::int AS nth, pos FROM d) SELECT * FROM r WHERE nth <= 2 UNION ALL SELECT doc_id, key, 1, NULL FROM cand c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.doc_id = c.doc_id AND d.key = c.key)",
     "c18_fallback_relationships": f"WITH {_cand(18)}, {_SAID}, m AS (SELECT doc_id, pos, key, row_number() OVER (PARTITION BY doc_id, pos ORDER BY strpos(' ' || sentence_key || ' ', ' ' || key || ' '), key) AS n FROM said WHERE doc_id % 5 <> 0), p AS (SELECT DISTINCT doc_id, source, target FROM (SELECT doc_id, pos, max(key) FILTER (n = 1) AS source, max(key) FILTER (n = 2) AS target FROM m GROUP BY ALL) WHERE target IS NOT NULL), t AS (SELECT doc_id, max(key) FILTER (rank = 1) AS source, max(key) FILTER (rank = 2) AS target FROM cand WHERE doc_id % 5 <> 0 AND doc_id NOT IN (SELECT doc_id FROM p) GROUP BY doc_id) SELECT doc_id, source, target, 0.45::double AS confidence FROM p UNION ALL SELECT doc_id, source, target, 0.35::double FROM t WHERE target IS NOT NULL",
     "c19_sentence_classes": f"WITH {_S}, x AS (" + " UNION ALL ".join(f"SELECT doc_id, pos, sentence, '{n}' AS class FROM s WHERE {_any('lower(sentence)', cues)}" for n, (cues, _) in op.CLASSES.items()) + f"), r AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, class ORDER BY pos))::int AS nth FROM x) SELECT doc_id, class, nth, pos, CASE WHEN class = 'action' THEN CASE WHEN contains(lower(sentence), 'must') OR contains(lower(sentence), 'important') THEN 'high' ELSE 'medium' END END AS priority FROM r WHERE nth <= {_LIMITS}",
     "c21_merge_extractions": f"WITH {_S}, r AS (SELECT doc_id // 3 AS doc_id, pos, {_KEY.format('substr(sentence, 1, 6)')} AS key, substr(sentence, 1, 6) AS name, sentence, length(sentence) % 10 / 10::double AS i, pos % 7 / 7::double AS c FROM s), a AS (SELECT doc_id, key, string_agg(DISTINCT a, '|' ORDER BY a) AS aliases FROM (SELECT doc_id, key, unnest([substr(sentence, 7, 2), substr(sentence, 9, 1)]) AS a FROM r) GROUP BY ALL), m AS (SELECT doc_id, key, arg_min(name, (pos, name)) AS name, md5(arg_max(sentence, (length(sentence), sentence))) AS definition, round(max(i), 6) AS importance, round(max(c), 6) AS confidence, count(*) AS n_chunks FROM r GROUP BY ALL) SELECT * FROM m JOIN a USING (doc_id, key)",
@@ -212,10 +224,15 @@ u AS (SELECT doc_id, key, {_KEY.format('alias')} AS k, min(alias) AS alias FROM
     "d1_resolve_concepts": f"""WITH RECURSIVE p AS (SELECT p_partkey AS id, p_name || ' ' || (p_partkey // 40) AS name, p_type AS d, p_size / 50::double AS c, p_size % 7 / 7::double AS i, p_brand || ' ' || (p_partkey // 40) AS a FROM part), k AS (SELECT id, {_KEY.format('name')} AS k FROM p UNION SELECT id, {_KEY.format('a')} FROM p),
 r AS (SELECT id, id AS x FROM p UNION SELECT r.id, k2.id FROM r JOIN k k1 ON k1.id = r.x JOIN k k2 ON k2.k = k1.k), m AS (SELECT id, min(x) AS canonical_id FROM r GROUP BY id)
 SELECT canonical_id, arg_min(name, p.id) AS name, arg_max(d, (length(d), d)) AS definition, max(c) AS confidence, round(max(i), 9) AS importance, string_agg(DISTINCT a, '|' ORDER BY a) AS aliases, count(*) AS n_merged FROM p JOIN m ON m.id = p.id GROUP BY canonical_id""",
-    "d2_canonicalize": f"""WITH canon AS (SELECT {_SLUG.format('p_name')} AS cid, 'known ' || {_KEY.format('p_name')} AS nk, {_KEY.format('arg_min(p_type, p_partkey)')} AS ak FROM part WHERE p_partkey % 4 = 0 GROUP BY p_name), new AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'Known ' || p_name ELSE p_name END AS name, CASE WHEN p_partkey % 3 = 0 THEN {_KEY.format('p_type')} END AS ak FROM part WHERE p_partkey % 4 > 0),
-q AS (SELECT id, ak AS k FROM new WHERE ak IS NOT NULL UNION SELECT id, {_KEY.format('name')} FROM new), kn AS (SELECT cid, 0 AS r, ak AS k FROM canon UNION ALL SELECT cid, 1, nk FROM canon), h AS (SELECT id, min((r, cid)) AS h FROM q JOIN kn ON kn.k = q.k GROUP BY id),
-f AS (SELECT id, {_SLUG.format('name')} AS s, row_number() OVER (PARTITION BY {_SLUG.format('name')} ORDER BY id) AS n FROM new WHERE id NOT IN (SELECT id FROM h)), g AS (SELECT id, s, n + (s IN (SELECT cid FROM canon))::int AS n FROM f)
-SELECT id AS concept_id, h[2] AS canonical_id, false AS is_new FROM h UNION ALL SELECT id, CASE WHEN n = 1 THEN s ELSE s || '-' || n END, true FROM g""",
+    "d2_canonicalize": f"""WITH k0 AS (SELECT {_SLUG.format('p_name')} AS s, {_KEY.format('p_name')} AS nk, {_KEY.format('arg_min(p_type, p_partkey)')} AS ak FROM part WHERE p_partkey % 4 = 0 GROUP BY p_name),
+kn AS (SELECT s AS cid, 0 AS r, ak AS k FROM k0 UNION ALL SELECT s, 1, 'known ' || nk FROM k0 UNION ALL SELECT s || '-3', 1, 'third ' || nk FROM k0), tk AS (SELECT DISTINCT cid FROM kn),
+n0 AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'Known ' || p_name WHEN p_partkey % 7 = 0 THEN p_name || ' 2' WHEN p_partkey % 7 = 1 THEN upper(p_name || '!') WHEN p_partkey % 7 = 2 THEN repeat(p_name || ' ', 8) || p_size WHEN p_partkey % 7 = 3 THEN '!!!' ELSE p_name || ' ' || p_size % 4 END AS name, CASE WHEN p_partkey % 3 = 0 THEN {_KEY.format('p_type')} END AS ak FROM part WHERE p_partkey % 4 > 0),
+nw AS (SELECT *, {_KEY.format('name')} AS k, coalesce(nullif({_SLUG.format('name')}, ''), 'concept') AS s FROM n0), q AS (SELECT id, ak AS k FROM nw WHERE ak IS NOT NULL UNION SELECT id, k FROM nw WHERE k <> ''), h AS (SELECT id, min((r, cid)) AS h FROM q JOIN kn ON kn.k = q.k GROUP BY id),
+f AS (SELECT k, arg_min(s, id) AS s, min(id) AS id FROM nw WHERE id NOT IN (SELECT id FROM h) GROUP BY k), hd AS (SELECT s, min(id) AS id FROM f WHERE s NOT IN (SELECT cid FROM tk) GROUP BY s),
+u AS (SELECT regexp_extract(x, '^(.*)-([1-9][0-9]*)$', 1) AS s, list(DISTINCT regexp_extract(x, '^(.*)-([1-9][0-9]*)$', 2)::int) AS ns FROM (SELECT cid AS x FROM tk UNION SELECT s FROM hd) WHERE regexp_matches(x, '-[1-9][0-9]*$') GROUP BY 1),
+rs AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY id) AS n FROM f WHERE (s, id) NOT IN (SELECT (s, id) FROM hd)),
+m AS (SELECT rs.k, rs.s || '-' || list_filter(range(2, 10000), lambda i: NOT list_contains(coalesce(u.ns, []), i::int))[rs.n] AS cid FROM rs LEFT JOIN u ON u.s = rs.s UNION ALL SELECT f.k, f.s FROM f JOIN hd ON hd.id = f.id)
+SELECT id AS concept_id, h[2] AS canonical_id, false AS is_new FROM h UNION ALL SELECT nw.id, m.cid, true FROM nw JOIN m ON m.k = nw.k WHERE nw.id NOT IN (SELECT id FROM h)""",
     "d7_map_relation": f"WITH x AS (SELECT p_partkey, {_RELS} AS r FROM part) SELECT p_partkey, {_TYPE} AS type, {_case('lower(trim(r))', canonical.KINDS, chr(39) + 'relatedTo' + chr(39))} AS kind FROM x",
     "d8_sanitize_rejects": f"WITH {_EXT}, g AS (SELECT * FROM c WHERE trim(name) <> ''), i AS (SELECT DISTINCT doc_id, key FROM g), j AS (SELECT e.doc_id, CASE WHEN source = target THEN 'self loop' WHEN NOT EXISTS (SELECT 1 FROM i WHERE i.doc_id = e.doc_id AND i.key = e.source) OR NOT EXISTS (SELECT 1 FROM i WHERE i.doc_id = e.doc_id AND i.key = e.target) THEN 'dangling' WHEN {_TYPE} IS NULL THEN 'unsupported relation' ELSE 'kept edges' END AS reason FROM e UNION ALL SELECT doc_id, CASE WHEN trim(name) = '' THEN 'empty name' ELSE 'kept concepts' END FROM c) SELECT doc_id, reason, count(*) AS n FROM j GROUP BY ALL",
     "d9_validate_extraction": f"WITH {_EXT}, a AS (SELECT doc_id, 'duplicate concept' AS rule FROM c GROUP BY doc_id, key HAVING count(*) > 1 UNION ALL SELECT doc_id, 'duplicate relation' FROM e GROUP BY doc_id, source, target, r HAVING count(*) > 1 UNION ALL SELECT doc_id, 'empty definition' FROM c WHERE trim(definition) = '' UNION ALL SELECT doc_id, 'confidence out of range' FROM c WHERE confidence NOT BETWEEN 0 AND 1 UNION ALL SELECT x.doc_id, 'invalid reference' FROM (SELECT doc_id, unnest(list_distinct([source, target])) AS k FROM e) x WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = x.doc_id AND c.key = x.k)) SELECT doc_id, rule, count(*) AS n FROM a GROUP BY ALL",

@@ -23,7 +23,9 @@ def e3_ancestors(spark, d):
 
 def e4_shortest_paths(spark, d):
     p = table(spark, d, "part").where("p_partkey >= 6").select(F.col("p_partkey").alias("source"), F.floor(F.col("p_partkey") / 6).alias("target"))
-    return graph.shortest_paths(edges(spark, d), p, 3).select("source", "target", "length")
+    p = p.unionByName(p.select("source", F.col("source").alias("target")))
+    df = graph.shortest_paths(edges(spark, d), p, 3)
+    return df.select("source", "target", "length", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("path", "edges")])
 
 
 def e5_prerequisite_edges(spark, d):
@@ -36,7 +38,7 @@ def e6_prerequisite_chain(spark, d):
 
 def e7_explain_concepts(spark, d):
     df = graph.explain_concepts(concepts(spark, d), edges(spark, d))
-    return df.select("concept_id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("prerequisites", "dependents")], "n_out", "n_in")
+    return df.select("concept_id", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("prerequisites", "dependents", "related")], "n_out", "n_in")
 
 
 def e8_subgraph(spark, d):
@@ -198,10 +200,12 @@ ORACLES = {
     "e1_edges_of": f"{_E}, {_BOTH}, o AS (SELECT DISTINCT node, edge_id, confidence FROM two JOIN part ON p_partkey = node), k AS (SELECT node, (row_number() OVER (PARTITION BY node ORDER BY confidence DESC, edge_id))::int AS rank, edge_id FROM o) SELECT * FROM k WHERE rank <= 3",
     "e2_traverse": f"{_E}, {_OUT} SELECT * FROM reach",
     "e3_ancestors": f"{_E}, r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS distance FROM part UNION SELECT r.seed, e.source_id, r.distance + 1 FROM r JOIN edges e ON e.target_id = r.node WHERE r.distance < 2), g AS (SELECT seed, node, min(distance) AS distance FROM r GROUP BY ALL) SELECT * FROM g WHERE distance > 0",
-    "e4_shortest_paths": f"{_E}, {_BOTH}, r AS (SELECT p_partkey AS source, p_partkey // 6 AS target, p_partkey AS node, 0 AS length FROM part WHERE p_partkey >= 6 UNION SELECT r.source, r.target, t.other, r.length + 1 FROM r JOIN two t ON t.node = r.node WHERE r.length < 3) SELECT source, target, min(length) AS length FROM r WHERE node = target GROUP BY ALL",
+    "e4_shortest_paths": f"""{_E}, {_BOTH}, st AS (SELECT node, other, min(edge_id) AS edge_id FROM two GROUP BY ALL), r AS (SELECT p_partkey AS source, p_partkey // 6 AS target, p_partkey AS node, 0 AS length, [p_partkey] AS path, CAST([] AS BIGINT[]) AS es FROM part WHERE p_partkey >= 6
+  UNION ALL SELECT r.source, r.target, t.other, r.length + 1, list_append(r.path, t.other), list_append(r.es, t.edge_id) FROM r JOIN st t ON t.node = r.node WHERE r.length < 3 AND NOT list_contains(r.path, t.other)),
+h AS (SELECT source, target, min((length, path, es)) AS b FROM r WHERE node = target GROUP BY ALL) SELECT source, target, b[1] AS length, array_to_string(b[2], ',') AS path, array_to_string(b[3], ',') AS edges FROM h UNION ALL SELECT p_partkey, p_partkey, 0, p_partkey::varchar, '' FROM part WHERE p_partkey >= 6""",
     "e5_prerequisite_edges": f"{_E} SELECT edge_id FROM edges WHERE relation = 'REQUIRES'",
     "e6_prerequisite_chain": f"{_E}, {_PRE} SELECT * FROM pre",
-    "e7_explain_concepts": f"{_E} SELECT p_partkey AS concept_id, coalesce((SELECT string_agg(DISTINCT target_id::varchar, ',') FROM edges WHERE source_id = p_partkey AND relation = 'REQUIRES'), '') AS prerequisites, coalesce((SELECT array_to_string(list_sort(list(DISTINCT source_id)), ',') FROM edges WHERE target_id = p_partkey AND relation = 'REQUIRES'), '') AS dependents, (SELECT count(*) FROM edges WHERE source_id = p_partkey) AS n_out, (SELECT count(*) FROM edges WHERE target_id = p_partkey) AS n_in FROM part",
+    "e7_explain_concepts": f"{_E} SELECT p_partkey AS concept_id, coalesce((SELECT string_agg(DISTINCT target_id::varchar, ',') FROM edges WHERE source_id = p_partkey AND relation = 'REQUIRES'), '') AS prerequisites, coalesce((SELECT array_to_string(list_sort(list(DISTINCT source_id)), ',') FROM edges WHERE target_id = p_partkey AND relation = 'REQUIRES'), '') AS dependents, coalesce((SELECT array_to_string(list_sort(list(DISTINCT CASE WHEN source_id = p_partkey THEN target_id ELSE source_id END)), ',') FROM edges WHERE (source_id = p_partkey OR target_id = p_partkey) AND source_id <> target_id AND relation <> 'REQUIRES'), '') AS related, (SELECT count(*) FROM edges WHERE source_id = p_partkey) AS n_out, (SELECT count(*) FROM edges WHERE target_id = p_partkey) AS n_in FROM part",
     "e8_subgraph": f"{_E}, {_BOTH}, n AS (SELECT DISTINCT node AS seed, other AS node FROM two JOIN part ON p_partkey = node UNION SELECT p_partkey, p_partkey FROM part), c AS (SELECT seed, count(*) AS n_nodes FROM n GROUP BY seed), i AS (SELECT a.seed, count(*) AS n_edges FROM edges e JOIN n a ON a.node = e.source_id JOIN n b ON b.node = e.target_id AND a.seed = b.seed GROUP BY a.seed) SELECT seed, n_nodes, n_edges FROM c LEFT JOIN i USING (seed)",
     "e12_graph_stats": f"{_E}, {_BOTH}, u AS (SELECT DISTINCT node, other FROM two), p AS (SELECT p_partkey AS id FROM part), inn AS (SELECT DISTINCT node, other FROM u WHERE node IN (SELECT id FROM p) AND other IN (SELECT id FROM p)), z AS (SELECT 1 AS node UNION SELECT inn.other FROM z JOIN inn ON inn.node = z.node) SELECT (SELECT count(*) FROM p) AS n_concepts, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM p WHERE id NOT IN (SELECT node FROM z)) + 1 AS n_components, round((SELECT count(*) FROM inn) / (SELECT count(*) FROM p)::double, 9) AS average_degree",
     "e13_bottlenecks": f"{_E}, {_OUT}, {_BOTH}, g AS (SELECT node, count(DISTINCT edge_id) AS centrality FROM two GROUP BY node), w AS (SELECT seed, count(*) AS n FROM reach WHERE distance > 0 GROUP BY seed) SELECT p_partkey AS concept_id, coalesce(centrality, 0) AS centrality, coalesce(n, 0) AS n_downstream FROM part LEFT JOIN g ON node = p_partkey LEFT JOIN w ON seed = p_partkey ORDER BY centrality DESC, n_downstream DESC, p_partkey::varchar LIMIT 20",

@@ -146,7 +146,8 @@ _HITS = "h AS (SELECT p_partkey // 12 AS query_id, p_partkey AS hit_id, ['lexica
 _TITLE = r"trim(CASE WHEN starts_with(t, '#') THEN regexp_replace(t, '^[# ]+', '') WHEN regexp_matches(t, '^\d+(?:\.\d+)*[.)]?\s+') THEN regexp_replace(t, '^\d+(?:\.\d+)*[.)]?\s+', '') WHEN ends_with(t, ':') THEN regexp_replace(t, ':$', '') ELSE t END)"
 _LEVEL = r"least(6, CASE WHEN starts_with(t, '#') THEN length(regexp_extract(t, '^#+')) WHEN regexp_extract(t, '^\d+(?:\.\d+)*[.)]?\s+') <> '' THEN greatest(1, len(list_filter(string_split(trim(regexp_extract(t, '^\d+(?:\.\d+)*[.)]?\s+')), '.'), lambda p: p <> ''))) ELSE 1 END)"
 _TREE = f"{_LINES}, hd AS (SELECT k.doc_id, k.line_no AS line, {_LEVEL} AS level, {_TITLE} AS title FROM k JOIN tr ON tr.doc_id = k.doc_id AND tr.line_no = k.line_no WHERE kind = 'heading'), tree AS (SELECT doc_id, 'section-' || level || '-' || row_number() OVER (PARTITION BY doc_id ORDER BY line) || '-' || regexp_replace(regexp_replace(lower(trim(title)), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-|-$', '', 'g') AS section_id, line, level, title, coalesce((SELECT max(b.line) FROM hd b WHERE b.doc_id = a.doc_id AND b.line < a.line AND b.level < a.level), -1) AS parent_line FROM hd a)"
-_CLEAN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(p, ' +', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), ' ([,.;:!?])', '\\1', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')"
+_TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_MARKS = r"""regexp_replace(regexp_replace(replace(translate(line, '“”„‘’—–•· ' || chr(9), '\"\"\"''''----  '), '…', '...'), '\s+', ' ', 'g'), '\s+([,.;:!?])', '\1', 'g')""".replace('\\"', '"')
 ORACLES = {
     "e9_expand": f"{_E}, x AS (SELECT source_id AS node, target_id AS nxt, confidence, row_number() OVER (PARTITION BY source_id ORDER BY confidence DESC, edge_id) AS n FROM edges UNION ALL SELECT target_id, source_id, confidence, row_number() OVER (PARTITION BY target_id ORDER BY confidence DESC, edge_id) FROM edges), s AS (SELECT node, nxt, max(confidence) AS c FROM x WHERE n <= 3 GROUP BY ALL), a AS (SELECT p_partkey AS q, nxt AS node, c FROM part JOIN s ON node = p_partkey WHERE nxt <> p_partkey), b AS (SELECT a.q, s.nxt AS node, max(s.c) AS c FROM a JOIN s ON s.node = a.node WHERE s.nxt <> a.q AND (a.q, s.nxt) NOT IN (SELECT (q, node) FROM a) GROUP BY ALL), u AS (SELECT p_partkey AS query_id, p_partkey AS node, 0 AS distance, 1.0::double AS c FROM part UNION ALL SELECT q, node, 1, c FROM a UNION ALL SELECT q, node, 2, c FROM b), r AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY distance, c DESC, node))::int AS rank, node, distance FROM u) SELECT * FROM r WHERE rank <= 10",
     "e10_query_terms": f"WITH q AS (SELECT item_id, list_filter(string_split({_KEY.format('text')}, ' '), lambda x: x <> '') AS w FROM benchmark) SELECT DISTINCT item_id AS query_id, unnest([array_to_string(w, ' ')] || w || list_transform(range(1, len(w)), lambda i: array_to_string(list_slice(w, i, i + 1), ' ')) || list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS term FROM q WHERE len(w) > 0",
@@ -160,7 +161,11 @@ ORACLES = {
     "k1_graph_rerank": f"{_E}, {MASTERY}, g AS (SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY id), w AS (SELECT DISTINCT source_id FROM edges LEFT JOIN mastery ON concept_id = target_id WHERE relation = 'REQUIRES' AND coalesce(mastery, 0.5) < 0.5), b AS (SELECT DISTINCT target_id FROM edges WHERE relation = 'REQUIRES') SELECT p_partkey AS concept_id, round(least(1::double, greatest(0::double, p_size / 60::double + least(0.18::double, coalesce(n, 0) * 0.03::double) + CASE WHEN p_partkey IN (SELECT target_id FROM b) AND mastery < 0.65 THEN 0.14 ELSE 0 END::double - CASE WHEN p_partkey IN (SELECT source_id FROM w) THEN 0.18 ELSE 0 END::double)), 9) AS importance FROM part JOIN mastery ON concept_id = p_partkey LEFT JOIN g ON g.id = p_partkey",
     "g4_text_similarity": f"SELECT doc_id, CASE WHEN {_KEY.format('text')} = '' OR text IS NULL THEN 0 ELSE 1 END::double AS similarity FROM documents",
     "g7_grade_answers": f"WITH p AS (SELECT p_partkey AS answer_id, {_KEY.format('''CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) ELSE split_part(p_name, ' ', 1) || ' ' || p_type END''')} AS a, {_KEY.format('p_name')} AS e, CASE WHEN p_size % 3 = 0 THEN [] ELSE [{_KEY.format('p_name')}, {_KEY.format('''split_part(p_type, ' ', 1)''')}, {_KEY.format('''split_part(p_name, ' ', 1)''')}] END AS k, p_size / 50::double AS s FROM part), o AS (SELECT *, CASE WHEN len(k) = 0 THEN 0 ELSE len(list_filter(k, lambda z: contains(a, z)))::double / len(k) END AS o FROM p), g AS (SELECT *, greatest(s, o) AS b FROM o) SELECT answer_id, CASE WHEN a = e OR b >= 0.9 THEN 'correct' WHEN b >= 0.75 THEN 'mostlyCorrect' WHEN b >= 0.6 OR o >= 0.5 THEN 'partialUnderstanding' ELSE 'incorrect' END AS grade, CASE WHEN a = e OR b >= 0.9 THEN 1 WHEN b >= 0.75 THEN 0.85 WHEN b >= 0.6 THEN 0.7 WHEN o >= 0.5 THEN 0.6 ELSE 0 END::double AS score, round(CASE WHEN a = e THEN 1 ELSE o END, 9)::double AS keyword_overlap FROM g",
-    "b1_normalize_text": f"WITH t AS (SELECT doc_id, replace(translate(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '“”‘’–—• ' || chr(9), '\"\"''''---  '), '…', '...') AS t FROM documents), p AS (SELECT doc_id, array_to_string(list_transform(string_split(t, '```'), lambda p, i: CASE WHEN i % 2 = 0 THEN p ELSE {_CLEAN} END), '```') AS t FROM t) SELECT doc_id, md5(regexp_replace(t, '^[ \\n]+|[ \\n]+$', '', 'g')) AS text_md5 FROM p",
+    "b1_normalize_text": rf"""WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+f AS (SELECT *, starts_with({_TRIM.format('line')}, '```') AS fence, sum(starts_with({_TRIM.format('line')}, '```')::int) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 AS code FROM l),
+k AS (SELECT doc_id, n, fence, CASE WHEN fence THEN {_TRIM.format('line')} WHEN code THEN {_TRIM.format("replace(line, chr(9), '    ')")} ELSE {_TRIM.format(_MARKS)} END AS t FROM f),
+b AS (SELECT *, t = '' AND coalesce(lag(t) OVER (PARTITION BY doc_id ORDER BY n) = '', false) AS gone FROM k)
+SELECT d.doc_id, md5(CASE WHEN d.text IS NOT NULL THEN regexp_replace(coalesce(t, ''), '^\n+|\n+$', '', 'g') END) AS text_md5 FROM documents d LEFT JOIN (SELECT doc_id, string_agg(t, chr(10) ORDER BY n) AS t FROM b WHERE NOT gone GROUP BY doc_id) x ON x.doc_id = d.doc_id""",
     "b6_section_tree": f"WITH {_TREE} SELECT doc_id, section_id, line::int AS line, level::int AS level, title, parent_line::int AS parent_line FROM tree",
     "b9_block_views": f"WITH {_LINES} SELECT k.doc_id, kind AS view, k.line_no::int AS line, t AS text FROM k JOIN tr ON tr.doc_id = k.doc_id AND tr.line_no = k.line_no WHERE kind NOT IN ('paragraph', 'blank') AND NOT starts_with(t, '```')",
     "b12_section_complexity": f"WITH {_BLOCKS}, ct AS (SELECT g.doc_id, block, any_value(g.kind) AS kind, min(g.line_no) AS a, string_agg(tr.line, chr(10) ORDER BY g.line_no) AS content FROM g JOIN tr ON tr.doc_id = g.doc_id AND tr.line_no = g.line_no WHERE g.kind <> 'blank' GROUP BY ALL), s AS (SELECT *, coalesce(last_value(CASE WHEN kind = 'heading' THEN a END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY a), -1) AS sec FROM ct), x AS (SELECT doc_id, sec::int AS section_line, sum({_WORDS.format('content')})::bigint AS n_words, sum(len({_SENT.format('content')}))::bigint AS n_sentences, count(*) FILTER (kind <> 'paragraph') AS n FROM s GROUP BY ALL) SELECT doc_id, section_line, n_words, n_sentences, round(least(1::double, n::double / greatest(1, n_sentences)), 9) AS density, greatest(1, ceil(n_words / 180::double))::bigint AS minutes FROM x",

@@ -197,6 +197,60 @@ def test_normalized_text(spark):
         "Cell   membranes\r\n\r\n\r\n  regulate    transport\u2026": "Cell membranes\n\nregulate transport...",
         "\u201cNeural\u201d \ufb01bers \u2013 and\u00a0non breaking .": '"Neural" fibers - and non breaking.',
         "a  b\n```\nx   =  1\n```\n c ,d": "a b\n```\nx   =  1\n```\nc,d",
+        "a\n ```py\n\tx\ty “q”\n```\nb\tc “q” inline ``` x  y\n\n\nz": 'a\n```py\nx    y “q”\n```\nb c "q" inline ``` x y\n\nz',
     }
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", structure.normalize_text(F.col("t")).alias("n")).collect()
     assert {r.t: r.n for r in rows} == cases
+
+
+def test_new_concepts_get_ids_of_their_own(spark):
+    from studyloom.operators.canonical import canonicalize
+
+    def ids(canon, new):
+        known = spark.createDataFrame([(c, n, []) for c, n in canon], "canonical_id string, name string, aliases array<string>")
+        rows = canonicalize(spark.createDataFrame([(i, n, a) for i, (n, a) in enumerate(new)], "concept_id long, name string, aliases array<string>"), known).collect()
+        assert len(rows) == len(new)
+        return [r.canonical_id for r in sorted(rows)]
+
+    # "x!y" and "X-Y" are one new concept; "x y 2" is another, and has its own id
+    assert ids([("x", "x"), ("x-2", "other")], [("x!y", []), ("X-Y", []), ("x y 2", [])]) == ["x-y", "x-y", "x-y-2"]
+    assert ids([("a-b", "one"), ("a-b-2", "two")], [("A b", []), ("A b", [])]) == ["a-b-3", "a-b-3"]
+    long = "w" * 60
+    assert ids([("w" * 48 + "-3", "z")], [(long, []), (long + "v", []), (long + "u", []), (f"{long[:48]} 2", [])]) == ["w" * 48, "w" * 48 + "-2", "w" * 48 + "-4", "w" * 48 + "-5"]
+    assert ids([], [("!!!", []), ("?", None), ("concept", [])]) == ["concept", "concept", "concept-2"]
+    assert ids([("k", "name"), ("j", "name")], [("NAME", []), ("other", ["Name "])]) == ["j", "j"]
+
+
+def test_aliases_are_names(spark):
+    from studyloom.operators.extraction import aliases, definitions, evidence
+
+    said = ["CNN models are fast", "CNN is a kind of network", "A convolutional neural network (CNN) sees", "İİİ İstanbul is a city", "nothing"]
+    sentences = spark.createDataFrame([(1, i, s) for i, s in enumerate(said)], "doc_id long, pos int, sentence string")
+    concepts = spark.createDataFrame([(1, "convolutional neural network", "Convolutional neural network"), (1, "iii istanbul", "İİİ İstanbul"), (1, "absent thing", "Absent thing")], "doc_id long, key string, term string")
+    concepts = concepts.selectExpr("doc_id", "case when key = 'iii istanbul' then trim(regexp_replace(lower(term), '[^\\\\p{L}\\\\p{N}]+', ' ')) else key end as key", "term")
+    known = aliases(concepts, sentences)
+    key = [r.key for r in concepts.collect()][1]
+    found = {(r.key, r.nth): r.pos for r in evidence(concepts, sentences, 2, known).collect()}
+    assert found["convolutional neural network", 1] == 0 and found["convolutional neural network", 2] == 1 and found["absent thing", 1] is None
+    text = {r.key: (r.definition, r.explicit) for r in definitions(concepts, sentences, known).collect()}
+    assert text["convolutional neural network"][1] and text["absent thing"] == ("Absent thing", False) and text[key] == ("a city", True)
+
+
+def test_paths_of_equal_ends_and_their_edges(spark):
+    from studyloom.operators.graph import shortest_paths
+
+    edges = spark.createDataFrame([(1, "a", "b", "r", 1.0), (2, "b", "a", "r", 1.0), (3, "b", "c", "r", 1.0), (4, "a", "d", "r", 1.0)], "edge_id long, source_id string, target_id string, relation string, confidence double")
+    pairs = spark.createDataFrame([("a", "a"), ("a", "c"), ("d", "c"), ("a", "z"), (None, "a")], "source string, target string")
+    got = {(r.source, r.target): (r.path, r.edges, r.length) for r in shortest_paths(edges, pairs).collect()}
+    assert got == {("a", "a"): (["a"], [], 0), ("a", "c"): (["a", "b", "c"], [1, 3], 2), ("d", "c"): (["d", "a", "b", "c"], [4, 1, 3], 3)}
+
+
+def test_unreviewed_records_count_from_their_update(spark):
+    import datetime
+
+    from studyloom.operators.learner import retention
+
+    at = datetime.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(0.9, 0.9, 0, 0, None, at), (0.9, 0.9, 0, 0, at, None)], "mastery double, confidence double, review_count int, mistake_count int, last_reviewed timestamp, updated_at timestamp")
+    one, two = retention(df, "2024-02-01").collect()
+    assert one.due == two.due and one.due is not None and one.retention == two.retention
