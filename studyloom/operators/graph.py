@@ -56,17 +56,20 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 4) -> DataFr
     Of equally short ones the smallest list of nodes; of parallel edges the smallest id. A pair of equal ends is a path of one node.
     """
     steps = keep(_steps(edges, "both"))
-    start = pairs.select("source", "target", F.col("source").alias("node"), F.array("source").alias("path")).where("source is not null and target is not null").distinct()
-    found, front = start.where("source = target"), start.where("source <> target")
-    seen = front.select("source", "target", "node")
+    wanted = pairs.select("source", "target").where("source is not null and target is not null").distinct()
+    found = wanted.where("source = target").select("source", "target", F.array("source").alias("path"))
+    wanted = wanted.where("source <> target")
+    # one frontier a source, whatever the number of its targets
+    front = wanted.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
+    seen = front.select("source", "node")
     for _ in range(depth):
-        nxt = front.join(steps, "node").select("source", "target", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
-        nxt = nxt.join(seen, ["source", "target", "node"], "left_anti").groupBy("source", "target", "node").agg(F.min("path").alias("path"))
-        nxt = keep(nxt)
-        hit = nxt.where("node = target")
+        nxt = front.join(steps, "node").select("source", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path"))
+        nxt = keep(nxt.join(seen, ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("path").alias("path")))
+        hit = nxt.withColumnRenamed("node", "target").join(wanted, ["source", "target"], "left_semi")
         found = found.unionByName(hit)
-        front = nxt.join(hit.select("source", "target"), ["source", "target"], "left_anti")
-        seen = keep(seen.unionByName(nxt.select("source", "target", "node")))
+        wanted = keep(wanted.join(hit, ["source", "target"], "left_anti"))
+        front = nxt.join(wanted.select("source").distinct(), "source", "left_semi")
+        seen = keep(seen.unionByName(nxt.select("source", "node")))
     found = keep(found.select("source", "target", "path"))
     ends = F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("a"), F.slice("path", F.lit(2), F.size("path") - 1).alias("b"))
     hop = found.select("source", "target", F.posexplode(ends).alias("nth", "s")).select("source", "target", "nth", F.least("s.a", "s.b").alias("lo"), F.greatest("s.a", "s.b").alias("hi"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES: list[str] = ["text", "structure", "concepts", "learner", "graph", "planning", "study", "extraction", "retrieval", "linking", "responses", "streams", "phrases"]
+MODULES: list[str] = ["text", "structure", "concepts", "learner", "graph", "planning", "study", "extraction", "retrieval", "linking", "responses", "streams", "phrases", "graph_search"]
 
 
 def queries() -> dict[str, Callable]:
