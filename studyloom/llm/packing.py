@@ -6,13 +6,19 @@ corpus; the plan is made from them alone and says, for runs of pieces of a lengt
 their rank, which sequences and offsets they take:
 
 1. lengths over a fifth of the capacity are large; sorted, they are cut into groups of
-   equal cardinality and rounded up to their group's largest length;
+   equal cardinality and rounded up to their group's largest length; as many lengths as
+   there may be groups, or fewer, are a group each;
 2. configurations of these few sizes are optimised by column generation (a linear
-   program whose new columns are knapsacks), and rounded down;
-3. actual lengths take the places of the rounded ones, longest first; a sequence that this
-   leaves with a little room, too small for small documents, is given up again;
+   program whose new columns are knapsacks of at most four pieces), and rounded down;
+3. actual lengths take the places of the rounded ones, longest first, the last place of a
+   sequence what the others leave room for;
 4. large pieces left over and all small ones go, longest first, where they fit best.
 
+Step 3 leaves sequences some room, and small pieces may not fill it. So it is tried with
+several least rooms below which a sequence (but a full one) is given up again, and where that
+comes to more than a thousandth above the tokens' bound, also without filling sequences in
+twos. The plan with the fewest sequences is taken, of equal ones that which gives up least.
+
 Ranks within a length are counted in two steps (salted counts, then places in a salt),
 so no task gets all pieces of a common length.
 
@@ -25,7 +31,7 @@ from __future__ import annotations
 
 import os
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -41,10 +47,14 @@ from studyloom.llm._text import NOT_SPACE, Words, byte_class, slices, spread, te
 
 CAPACITY = 2048
 END = 0
-GROUPS = 48
+GROUPS = 160
 LARGE_SHARE = 5
-#: Sequences whose room after step 3 is less than this, but not 0, are undone: no document may be short enough for it.
-LEAST_ROOM = 256
+#: Sequences whose room after step 3 is less than this, but not 0, are undone; tried in turn.
+LEAST_ROOMS = (1, 8, 32, 64, 128, 256)
+#: Lengths that are looked at for a place whose sequence the next one is to fill.
+EXACT = 256
+#: A plan is near enough to the bound if it has one sequence more for so many.
+NEAR = 1000
 #: Words that an encoder remembers; beyond, it starts anew.
 KNOWN_WORDS = 1_000_000
 SALT_ROWS = 20_000
@@ -207,11 +217,13 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
 
 def linear_groups(counts: np.ndarray, least: int, groups: int) -> list[list[tuple[int, int]]]:
     """Lengths from the longest down to ``least`` as (length, pieces), cut into groups of about equal cardinality."""
-    total = int(counts[least:].sum())
+    total, lengths = int(counts[least:].sum()), np.flatnonzero(counts[least:])[::-1] + least
     if not total:
         return []
+    if len(lengths) <= groups:
+        return [[(int(x), int(counts[x]))] for x in lengths]
     size, out, room = -(-total // groups), [[]], -(-total // groups)
-    for length in range(len(counts) - 1, least - 1, -1):
+    for length in lengths.tolist():
         n = int(counts[length])
         while n:
             if not room:
@@ -224,28 +236,29 @@ def linear_groups(counts: np.ndarray, least: int, groups: int) -> list[list[tupl
 
 
 def best_knapsack(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The counts of sizes of the largest value that fit the capacity."""
-    best, take = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    on = np.flatnonzero(values > 1e-12)
-    for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        fits = on[sizes[on] <= room]
-        if len(fits):
-            gain = values[fits] + best[room - sizes[fits]]
-            k = int(np.argmax(gain))
-            if gain[k] > best[room] + 1e-12:
-                best[room], take[room] = gain[k], fits[k]
-    counts, room = np.zeros(len(sizes), np.int64), capacity
-    while room > 0:
-        if take[room] < 0:
-            room -= 1
-        else:
-            counts[take[room]] += 1
-            room -= sizes[take[room]]
-    return float(best[capacity]), counts
-
-
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[np.ndarray, int]]:
+    """The counts of at most four sizes of the largest value that fit the capacity, by pairs of pairs."""
+    m = len(sizes)
+    worth = np.append(np.maximum(values, 0), 0.0)  # the last one is no piece
+    size = np.append(sizes, 0)
+    a, b = np.triu_indices(m + 1)
+    total, gain = size[a] + size[b], worth[a] + worth[b]
+    order = np.lexsort((-gain, total))
+    order = order[total[order] <= capacity]
+    best, pair = np.full(capacity + 1, -1.0), np.zeros(capacity + 1, np.int64)
+    first = order[np.concatenate([[True], np.diff(total[order]) > 0])]
+    best[total[first]], pair[total[first]] = gain[first], first
+    upto = np.maximum.accumulate(best)  # the best pair within a room, and where it is
+    where = np.maximum.accumulate(np.where(best >= upto, np.arange(capacity + 1), 0))
+    both = np.where(best >= 0, best + upto[::-1], -1.0)
+    at = int(np.argmax(both))
+    counts = np.zeros(m + 1, np.int64)
+    for k in (pair[at], pair[where[capacity - at]]):
+        counts[a[k]] += 1
+        counts[b[k]] += 1
+    return float(both[at]), counts[:m]
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 2000) -> list[tuple[np.ndarray, int]]:
     """Column generation for the fewest sequences: configurations and whole numbers of times to use them."""
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
@@ -268,23 +281,84 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
 
 
 class Block:
-    """A run of sequences with the same lengths inside; each length goes with the rank of its first piece."""
+    """A run of sequences with the same lengths inside; each length goes with the rank of its first piece. planned: how many of them a configuration placed."""
 
-    __slots__ = ("n", "room", "parts")
+    __slots__ = ("n", "room", "parts", "planned")
 
-    def __init__(self, n: int, room: int, parts: list[tuple[int, int]]):
-        self.n, self.room, self.parts = n, room, parts
+    def __init__(self, n: int, room: int, parts: list[tuple[int, int]], planned: int = 0):
+        self.n, self.room, self.parts, self.planned = n, room, parts, planned
 
     def split(self, n: int) -> Block:
         """Takes the first n sequences away, as a block of their own."""
-        first = Block(n, self.room, list(self.parts))
+        first = Block(n, self.room, list(self.parts), self.planned)
         self.n -= n
         self.parts = [(length, rank + n) for length, rank in self.parts]
         return first
 
 
-def plan_blocks(counts: np.ndarray, capacity: int, groups: int = GROUPS, large_share: int = LARGE_SHARE, least_room: int = LEAST_ROOM) -> list[Block]:
+def substituted(counts: np.ndarray, capacity: int, groups: int, large_share: int, exact: int = EXACT) -> list[tuple[int, list[int]]]:
+    """Steps 1 to 3: numbers of sequences, and the actual lengths in them.
+
+    In a configuration the longest piece that is left goes to each place, as far as the place's size allows;
+    the last two take the first that fill the sequence, of some of the longest for the first of them, or else
+    the last takes the longest that the others leave room for. So rounding up costs next to nothing.
+    """
+    least = capacity // large_share + 1
+    by_size: dict[int, int] = defaultdict(int)
+    for g in linear_groups(counts, least, groups):
+        by_size[g[0][0]] += sum(n for _, n in g)
+    if not by_size:
+        return []
+    sizes = np.array(sorted(by_size, reverse=True))
+    left = {int(x): int(counts[x]) for x in np.flatnonzero(counts[least:]) + least}
+    known, out = sorted(left), []
+    for pattern, times in configurations(sizes, np.array([by_size[s] for s in sizes]), capacity):
+        places = [int(s) for s, n in zip(sizes, pattern, strict=True) for _ in range(int(n))]
+        while times:
+            lengths: list[int] = []
+            for i, size in enumerate(places):
+                room = capacity - sum(lengths)
+                k = bisect_right(known, size if i + 1 < len(places) else room) - 1
+                if i + 2 == len(places):
+                    full = (x for x in reversed(known[max(k + 1 - exact, 0) : k + 1]) if left[x] > lengths.count(x) and left.get(room - x, 0) > [*lengths, x].count(room - x))
+                    if x := next(full, 0):
+                        lengths += [x, room - x]
+                        break
+                while k >= 0 and left[known[k]] <= lengths.count(known[k]):
+                    k -= 1
+                if k >= 0:
+                    lengths.append(known[k])
+            if len(lengths) < len(places):
+                break
+            n = min(times, *(left[x] // lengths.count(x) for x in lengths))
+            out.append((n, lengths))
+            times -= n
+            for x in lengths:
+                left[x] -= n
+                if not left[x]:
+                    del known[bisect_left(known, x)]
+    return out
+
+
+def plan_blocks(counts: np.ndarray, capacity: int, groups: int = GROUPS, large_share: int = LARGE_SHARE, least_rooms: tuple[int, ...] = LEAST_ROOMS) -> list[Block]:
     """counts[l]: pieces of length l, from 0 to the capacity."""
+    bound = -(-int((counts * np.arange(len(counts))).sum()) // capacity)
+    best: list[Block] | None = None
+    for exact in (EXACT, 0):
+        placed = substituted(np.append(counts[:capacity], 0), capacity, groups, large_share, exact)
+        for least in least_rooms:
+            blocks = best_fit(counts, capacity, [p for p in placed if (room := capacity - sum(p[1])) == 0 or room >= least])
+            if best is None or sum(b.n for b in blocks) < sum(b.n for b in best):
+                best = blocks
+            if sum(b.n for b in best) == bound:
+                return best
+        if sum(b.n for b in best) * NEAR <= bound * (NEAR + 1):
+            break
+    return best or []
+
+
+def best_fit(counts: np.ndarray, capacity: int, placed: list[tuple[int, list[int]]]) -> list[Block]:
+    """Step 4 on top of what is placed: all other pieces, longest first, where they leave the least room."""
     used = np.zeros(len(counts), np.int64)  # the next rank of each length
     left = counts.astype(np.int64).copy()
     blocks: list[Block] = []
@@ -297,39 +371,7 @@ def plan_blocks(counts: np.ndarray, capacity: int, groups: int = GROUPS, large_s
 
     if n := int(left[capacity]):
         blocks.append(Block(n, 0, [(capacity, take(capacity, n))]))
-    grouped = linear_groups(left, capacity // large_share + 1, groups)
-    by_size: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for g in grouped:
-        by_size[g[0][0]] += g
-    if by_size:
-        sizes = np.array(sorted(by_size, reverse=True))
-        demand = np.array([sum(n for _, n in by_size[s]) for s in sizes])
-        stock = {i: list(reversed(by_size[s])) for i, s in enumerate(sizes)}  # longest last
-        for pattern, times in configurations(sizes, demand, capacity):
-            slots = [i for i in range(len(sizes)) for _ in range(int(pattern[i]))]
-            have = min([times, *(sum(n for _, n in stock[i]) // int(pattern[i]) for i in set(slots))])
-            runs = []  # by slot: the lengths that it takes in turn
-            for i in slots:
-                need, mine = have, []
-                while need:
-                    length, n = stock[i].pop()
-                    if n > need:
-                        stock[i].append((length, n - need))
-                        n = need
-                    mine.append([length, n])
-                    need -= n
-                runs.append(mine)
-            while have:
-                n = min(r[0][1] for r in runs)
-                lengths = [r[0][0] for r in runs]
-                room = capacity - sum(lengths)
-                if room == 0 or room >= least_room:
-                    blocks.append(Block(n, room, [(x, take(x, n)) for x in lengths]))
-                for r in runs:
-                    r[0][1] -= n
-                    if not r[0][1]:
-                        r.pop(0)
-                have -= n
+    blocks += [Block(n, capacity - sum(lengths), [(x, take(x, n)) for x in lengths], len(lengths)) for n, lengths in placed]
     rooms: dict[int, list[Block]] = defaultdict(list)
     for b in blocks:
         rooms[b.room].append(b)
