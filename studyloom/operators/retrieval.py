@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from studyloom.functions import text as fn
@@ -134,23 +139,38 @@ def graph_rerank(items: DataFrame, edges: DataFrame, mastery: DataFrame) -> Data
     return df.select("concept_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("importance") + plus)).alias("importance"))
 
 
-def hashed_embedding(docs: DataFrame, dimension: int = DIMENSION) -> DataFrame:
-    """docs: doc_id, text. Words count 1 and pairs .75 in their buckets; unit length, zeros without words."""
+@F.pandas_udf(T.ArrayType(T.FloatType()))
+def _unit_counts(buckets: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Buckets of words and of pairs, and the dimension: weighted counts of unit length, zeros without words."""
+    for words, pairs, dimension in buckets:
+        out = []
+        for w, p, n in zip(words, pairs, dimension, strict=True):
+            v = np.bincount(w, minlength=n) + PAIR_WEIGHT * np.bincount(p, minlength=n)
+            out.append((v / (np.sqrt((v * v).sum()) or 1.0)).astype(np.float32))
+        yield pd.Series(out)
+
+
+def xx_bucket(term: Column, dimension: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(dimension)).cast("int")
+
+
+def md5_bucket(term: Column, dimension: int) -> Column:
+    """By a hash that other engines have, too."""
+    return (F.conv(F.substring(F.md5(term), 1, 7), 16, 10).cast("int") % dimension).cast("int")
+
+
+def hashed_embedding(docs: DataFrame, dimension: int = DIMENSION, bucket: Callable[[Column, int], Column] = xx_bucket) -> DataFrame:
+    """docs: doc_id, text. Words count 1 and pairs .75 in their buckets; unit length, zeros without words. A document stays in its row."""
     w = F.filter(F.split(fn.norm_key(F.coalesce("text", F.lit(""))), " "), lambda x: x != "")
-    most = F.greatest(F.size("w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("w", 1, most), F.slice("w", 2, most), lambda a, b: F.concat(a, F.lit(" "), b))
-    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(dimension)).cast("int")
-    parts = F.concat(F.transform("w", lambda x: F.struct(bucket(x).alias("b"), F.lit(1.0).alias("v"))), F.transform(pairs, lambda x: F.struct(bucket(x).alias("b"), F.lit(PAIR_WEIGHT).alias("v"))))
-    summed = docs.select("doc_id", w.alias("w")).select("doc_id", F.explode(parts).alias("p")).groupBy("doc_id", "p.b").agg(F.sum("p.v").alias("v"))
-    row = summed.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    places = F.sequence(F.lit(0), F.lit(dimension - 1))
-    dense = F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i) / F.col("norm"), F.lit(0.0)).cast("float"))
-    return docs.select("doc_id").join(row, "doc_id", "left").select("doc_id", dense.alias("embedding"))
-
-
-def text_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
+    rows = docs.select("doc_id", w.alias("w")).withColumn("most", F.greatest(F.size("w") - 1, F.lit(0)))
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.col("most")), F.slice("w", F.lit(2), F.col("most")), lambda a, b: F.concat(a, F.lit(" "), b))
+    buckets = [F.transform(terms, lambda x: bucket(x, dimension)) for terms in (F.col("w"), pairs)]
+    return rows.select("doc_id", _unit_counts(*buckets, F.lit(dimension)).alias("embedding"))
+
+
+def text_similarity(a: DataFrame, b: DataFrame, bucket: Callable[[Column, int], Column] = xx_bucket) -> DataFrame:
     """a, b: doc_id, text. Cosine of the hashed embeddings of equal ids, 0 where one has no words."""
-    both = hashed_embedding(a).join(hashed_embedding(b).withColumnRenamed("embedding", "other"), "doc_id")
+    both = hashed_embedding(a, DIMENSION, bucket).join(hashed_embedding(b, DIMENSION, bucket).withColumnRenamed("embedding", "other"), "doc_id")
     return both.select("doc_id", F.aggregate(F.zip_with("embedding", "other", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x).alias("similarity"))
 
 

@@ -32,9 +32,16 @@ def c15_relation_kind(spark, d):
     return s.groupBy(kind.alias("relation"), F.round(c17, 6).alias("c17_confidence")).agg(F.count("*").alias("n"))
 
 
+def _words_named(spark, d):
+    """Concepts: each word of a benchmark item by itself, so that sentences name several."""
+    w = F.filter(F.split(fn.norm_key(F.col("text")), " "), lambda x: F.length(x) > 3)
+    words = table(spark, d, "benchmark").select("item_id", F.posexplode(w).alias("nth", "name"))
+    return words.groupBy("name").agg(F.min(F.col("item_id") * 1000 + F.col("nth")).alias("concept_id")).select("concept_id", "name")
+
+
 def c16_relationships(spark, d):
     s = _sentences(spark, d)
-    return op.extract_relationships(op.mentions(s, _named(spark, d)), s)
+    return op.extract_relationships(op.mentions(s, _words_named(spark, d)), s)
 
 
 def c9_concept_scores(spark, d):
@@ -76,12 +83,13 @@ _S = f"s AS (SELECT doc_id, unnest(range(len(x)))::int AS pos, unnest(x) AS sent
 _STEM = "list_transform(string_split({0}, ' '), lambda w: regexp_replace(w, 's$', ''))"
 _KIND = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(sentence, '{c}')" for c in cues) + f" THEN '{k}'" for k, cues in op.RELATION_CUES.items()) + " ELSE 'relatedTo' END"
 _NAMED = f"c AS (SELECT item_id AS concept_id, list_slice(list_filter(string_split({_KEY.format('text')}, ' '), lambda w: w <> ''), 1, 2) AS n FROM benchmark), cn AS (SELECT concept_id, len(n) AS n, array_to_string(list_transform(n, lambda w: regexp_replace(w, 's$', '')), ' ') AS gram FROM c WHERE len(n) > 0)"
+_SINGLE = f"bw AS (SELECT item_id, list_filter(string_split({_KEY.format('text')}, ' '), lambda x: length(x) > 3) AS x FROM benchmark), sw AS (SELECT item_id * 1000 + unnest(range(len(x))) AS id, unnest(x) AS name FROM bw), cn AS (SELECT min(id) AS concept_id, array_to_string({_STEM.format('name')}, ' ') AS gram, 1 AS n FROM sw GROUP BY name)"
 _MEN = f"{_S}, {_NAMED}, w AS (SELECT doc_id, pos, {_STEM.format(_KEY.format('sentence'))} AS w FROM s), g AS (SELECT doc_id, pos, n, unnest(range(len(w) - n + 1))::int AS place, w FROM w, (SELECT DISTINCT n FROM cn) WHERE len(w) >= n), m AS (SELECT doc_id, pos, concept_id, min(place) AS place FROM g JOIN cn ON cn.n = g.n AND cn.gram = array_to_string(list_slice(w, place + 1, place + g.n), ' ') GROUP BY ALL)"
 _SUBSEQ = "regexp_matches({1}, array_to_string(list_transform(string_split({0}, ''), lambda ch: regexp_escape(ch)), '.*'))"
 ORACLES = {
     "c8_mentions": f"WITH {_MEN} SELECT * FROM m",
     "c15_relation_kind": f"WITH {_S}, t AS (SELECT pos, sentence || CASE pos % 3 WHEN 0 THEN ' leads to x' WHEN 1 THEN ' includes y' ELSE '' END AS sentence FROM s), k AS (SELECT *, {_KIND} AS relation FROM t) SELECT relation, round(least(1::double, greatest(0.25::double, 0.52::double + CASE WHEN contains(lower(sentence), lower(relation)) THEN 0.12 ELSE 0 END + CASE WHEN pos % 2 = 0 THEN 0.08 ELSE 0 END + CASE WHEN pos % 5 = 0 THEN 0.08 ELSE 0 END - CASE WHEN relation = 'relatedTo' THEN 0.08 ELSE 0 END)), 6) AS c17_confidence, count(*) AS n FROM k GROUP BY ALL",
-    "c16_relationships": f"WITH {_MEN}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY place, concept_id) AS k FROM m), p AS (SELECT doc_id, pos, max(concept_id) FILTER (k = 1) AS source_id, max(concept_id) FILTER (k = 2) AS target_id FROM r GROUP BY ALL) SELECT doc_id, pos, source_id, target_id, {_KIND} AS relation FROM p JOIN s USING (doc_id, pos) WHERE target_id IS NOT NULL",
+    "c16_relationships": f"WITH {_MEN.replace(_NAMED, _SINGLE)}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos ORDER BY place, concept_id) AS k FROM m), p AS (SELECT doc_id, pos, max(concept_id) FILTER (k = 1) AS source_id, max(concept_id) FILTER (k = 2) AS target_id FROM r GROUP BY ALL) SELECT doc_id, pos, source_id, target_id, {_KIND} AS relation FROM p JOIN s USING (doc_id, pos) WHERE target_id IS NOT NULL",
     "c9_concept_scores": f"SELECT p_partkey, round(least(1::double, 0.22::double + p_size / 20::double * 0.16::double + CASE WHEN p_size % 3 = 0 THEN 0.18 ELSE 0 END + CASE WHEN p_size % 4 = 0 THEN 0.12 ELSE 0 END), 9) AS importance, round(least(1::double, 0.2::double + least(0.35::double, len(list_filter(string_split({_KEY.format('p_name')}, ' '), lambda w: w <> '')) * 0.06::double) + CASE WHEN contains(p_name, '=') OR contains(p_name, '→') OR contains(p_name, '->') THEN 0.2 ELSE 0 END + CASE WHEN p_size % 5 <= 1 THEN 0.1 ELSE 0 END), 9) AS c10_difficulty, round(least(1::double, 0.38::double + CASE WHEN p_size % 2 = 0 THEN 0.2 ELSE 0 END + CASE WHEN p_size % 3 = 0 THEN 0.1 ELSE 0 END + least(0.3::double, (p_size % 7) * 0.08::double)), 9) AS c13_confidence FROM part",
     "c20_strategy": f"WITH t AS (SELECT greatest(1, {_WORDS.format('text')} // 4) AS n FROM documents) SELECT CASE WHEN n < 240 THEN 'singlePass' WHEN n < 900 THEN 'mapReduce' ELSE 'hierarchical' END AS tier, CASE WHEN n < 240 THEN 18 WHEN n < 900 THEN 28 ELSE 36 END AS concept_limit, count(*) AS n FROM t GROUP BY ALL",
     "j6_completeness": "WITH x AS (SELECT p_brand, (p_partkey % 11) / 10::double AS s, (p_partkey % 7) / 6::double AS d, greatest(p_size / 50::double, 0.1::double) AS w, p_partkey % 9 = 0 AS v FROM part), y AS (SELECT *, CASE WHEN s <= 0 THEN 'missing' WHEN s >= 0.75 AND d >= 0.65 THEN 'covered' WHEN s >= 0.4 OR d >= 0.35 THEN 'partial' ELSE 'missing' END AS state FROM x), g AS (SELECT p_brand, sum(CASE WHEN NOT v THEN w ELSE 0 END) AS total, sum(CASE WHEN v THEN -0.12::double * w WHEN state = 'covered' THEN w WHEN state = 'partial' THEN 0.55::double * w ELSE 0 END) AS got FROM y GROUP BY p_brand) SELECT p_brand, round(CASE WHEN total > 0 THEN greatest(0::double, least(1::double, got / total)) ELSE 0 END, 9) AS completeness FROM g",

@@ -78,10 +78,10 @@ def k1_graph_rerank(spark, d):
 
 
 def g4_text_similarity(spark, d):
-    """Equal texts in lower case and other spacing are as similar as can be; blank ones aren't at all."""
+    """Each document's text and that of the next one. Buckets by md5, which SQL has as well."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    other = docs.select("doc_id", F.lower(F.regexp_replace("text", " ", "  ")).alias("text"))
-    return op.text_similarity(docs, other).select("doc_id", F.round("similarity", 5).alias("similarity"))
+    df = op.text_similarity(docs, docs.withColumn("doc_id", F.col("doc_id") - 1), op.md5_bucket)
+    return df.select("doc_id", F.round("similarity", 5).alias("similarity"))
 
 
 def g7_grade_answers(spark, d):
@@ -159,7 +159,11 @@ ORACLES = {
     "f12_final_order": f"WITH {_HITS} SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY (kind = 'note') DESC, round(relevance, 9) DESC, updated_at DESC NULLS LAST, hit_id))::int AS rank, hit_id FROM h",
     "f13_citations": f"WITH {_HITS} SELECT query_id, hit_id, kind, note_id AS id, title AS source_title, substr(content, 1, 9) AS snippet FROM h WHERE n_sources > 0",
     "k1_graph_rerank": f"{_E}, {MASTERY}, g AS (SELECT id, count(*) AS n FROM (SELECT source_id AS id FROM edges UNION ALL SELECT target_id FROM edges) GROUP BY id), w AS (SELECT DISTINCT source_id FROM edges LEFT JOIN mastery ON concept_id = target_id WHERE relation = 'REQUIRES' AND coalesce(mastery, 0.5) < 0.5), b AS (SELECT DISTINCT target_id FROM edges WHERE relation = 'REQUIRES') SELECT p_partkey AS concept_id, round(least(1::double, greatest(0::double, p_size / 60::double + least(0.18::double, coalesce(n, 0) * 0.03::double) + CASE WHEN p_partkey IN (SELECT target_id FROM b) AND mastery < 0.65 THEN 0.14 ELSE 0 END::double - CASE WHEN p_partkey IN (SELECT source_id FROM w) THEN 0.18 ELSE 0 END::double)), 9) AS importance FROM part JOIN mastery ON concept_id = p_partkey LEFT JOIN g ON g.id = p_partkey",
-    "g4_text_similarity": f"SELECT doc_id, CASE WHEN {_KEY.format('text')} = '' OR text IS NULL THEN 0 ELSE 1 END::double AS similarity FROM documents",
+    "g4_text_similarity": f"""WITH w AS (SELECT doc_id, list_filter(string_split({_KEY.format("coalesce(text, '')")}, ' '), lambda x: x <> '') AS w FROM documents),
+t AS (SELECT doc_id, unnest(w) AS t, 1.0::double AS v FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), {op.PAIR_WEIGHT}::double FROM w),
+e AS MATERIALIZED (SELECT doc_id, ('0x' || substr(md5(t), 1, 7))::bigint % {op.DIMENSION} AS b, sum(v) AS v FROM t GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM e GROUP BY doc_id),
+c AS (SELECT x.doc_id, sum(x.v * y.v) AS s FROM e x JOIN e y ON y.doc_id = x.doc_id + 1 AND y.b = x.b GROUP BY x.doc_id)
+SELECT a.doc_id, round(coalesce(s / (x.n * y.n), 0), 5) AS similarity FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 LEFT JOIN c ON c.doc_id = a.doc_id LEFT JOIN n x ON x.doc_id = a.doc_id LEFT JOIN n y ON y.doc_id = b.doc_id""",
     "g7_grade_answers": f"WITH p AS (SELECT p_partkey AS answer_id, {_KEY.format('''CASE WHEN p_partkey % 4 = 0 THEN upper(p_name) ELSE split_part(p_name, ' ', 1) || ' ' || p_type END''')} AS a, {_KEY.format('p_name')} AS e, CASE WHEN p_size % 3 = 0 THEN [] ELSE [{_KEY.format('p_name')}, {_KEY.format('''split_part(p_type, ' ', 1)''')}, {_KEY.format('''split_part(p_name, ' ', 1)''')}] END AS k, p_size / 50::double AS s FROM part), o AS (SELECT *, CASE WHEN len(k) = 0 THEN 0 ELSE len(list_filter(k, lambda z: contains(a, z)))::double / len(k) END AS o FROM p), g AS (SELECT *, greatest(s, o) AS b FROM o) SELECT answer_id, CASE WHEN a = e OR b >= 0.9 THEN 'correct' WHEN b >= 0.75 THEN 'mostlyCorrect' WHEN b >= 0.6 OR o >= 0.5 THEN 'partialUnderstanding' ELSE 'incorrect' END AS grade, CASE WHEN a = e OR b >= 0.9 THEN 1 WHEN b >= 0.75 THEN 0.85 WHEN b >= 0.6 THEN 0.7 WHEN o >= 0.5 THEN 0.6 ELSE 0 END::double AS score, round(CASE WHEN a = e THEN 1 ELSE o END, 9)::double AS keyword_overlap FROM g",
     "b1_normalize_text": rf"""WITH l AS (SELECT doc_id, unnest(range(len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(regexp_replace(text, '\r\n?', chr(10), 'g'), chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
 f AS (SELECT *, starts_with({_TRIM.format('line')}, '```') AS fence, sum(starts_with({_TRIM.format('line')}, '```')::int) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 AS code FROM l),
