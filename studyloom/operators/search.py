@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from studyloom.functions import text as fn
-from studyloom.operators.text import terms
+from studyloom.operators.text import counted_terms
+from studyloom.sources.store import keep
 
 K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
@@ -15,8 +16,8 @@ BLOCK_QUERIES = 32
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """Postings: doc_id, term, tf. Counts combine before the shuffle."""
-    return terms(docs).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """docs: doc_id (its key), text. Postings: doc_id, term, tf, counted in the document's row."""
+    return counted_terms(docs).select("doc_id", "term", F.col("n").alias("tf"))
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -28,15 +29,14 @@ def query_tokens(queries: DataFrame) -> DataFrame:
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """query_id, rank, doc_id, score: documents with all terms of a query, best first.
 
-    Lengths and document frequencies come from all documents. Postings of terms that no
-    query asks for are dropped before anything is joined by document.
+    Lengths and document frequencies come from all documents. A posting has its document's
+    length with it, and meets the queries by its term; only asked terms go any further.
     """
     asked = query_tokens(queries)
     length = F.size(F.filter(F.split(fn.norm_key(F.coalesce("text", F.lit(""))), " "), lambda w: w != ""))
-    sized = docs.select("doc_id", "text", length.alias("dl"))
-    totals = sized.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))  # one row
+    totals = docs.agg(F.count("*").alias("n_docs"), F.avg(length).alias("avg_dl"))  # one row
     wanted = asked.select("term").distinct()
-    postings = build_index(docs).join(wanted, "term").join(sized.select("doc_id", "dl"), "doc_id")
+    postings = keep(counted_terms(docs).select("doc_id", "term", F.col("n").alias("tf"), F.col("n_words").alias("dl")).join(wanted, "term"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     hits = asked.join(postings, "term").join(df, "term").crossJoin(F.broadcast(totals))
     idf = F.greatest(F.lit(IDF_FLOOR), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))

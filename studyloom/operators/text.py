@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
+from heapq import nsmallest
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from studyloom.functions import text as fn
 
+#: Rows of a batch that goes back to Spark.
+ROWS = 50_000
+
 
 def sentences(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(fn.sentence_array(F.col("text"))).alias("pos", "sentence"))
@@ -36,22 +45,57 @@ def terms(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.filter(F.split(fn.norm_key(F.coalesce("text", F.lit(""))), " "), lambda w: w != "")).alias("pos", "term"))
 
 
+def _from_words(docs: DataFrame, made: Callable[[list[str]], Iterable[tuple]], columns: str) -> DataFrame:
+    """docs: doc_id (its key), text. Rows that a function makes of a document's normalised words, in the document's row: nothing is shuffled."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = to_arrow_schema(T._parse_datatype_string(f"doc_id {kind}, {columns}"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], []
+            for i, key in enumerate(batch.column("key").to_pylist()):
+                found = list(made([w for w in key.split(" ") if w]))
+                at += [i] * len(found)
+                out += found
+                if len(out) > ROWS or i + 1 == batch.num_rows:
+                    ids = batch.column("doc_id").take(pa.array(at, pa.int64()))
+                    fields = zip(*out, strict=True) if out else [[] for _ in schema.names[1:]]
+                    yield pa.RecordBatch.from_arrays([ids, *[pa.array(list(v), t) for v, t in zip(fields, schema.types[1:], strict=True)]], names=schema.names)
+                    at, out = [], []
+
+    words = docs.select("doc_id", fn.norm_key(F.coalesce("text", F.lit(""))).alias("key"))
+    return words.mapInArrow(rows, f"doc_id {kind}, {columns}")
+
+
+def counted_terms(docs: DataFrame) -> DataFrame:
+    """doc_id, term, n, n_words: how often each word occurs in a document of so many words."""
+    return _from_words(docs, lambda words: ((t, n, len(words)) for t, n in Counter(words).items()), "term string, n long, n_words long")
+
+
+def _heaviest(weights: Counter, k: int) -> list[tuple[str, int, int]]:
+    """The k heaviest terms with their weight and rank; ties by term."""
+    best = nsmallest(k, weights.items(), key=lambda e: (-e[1], e[0]))
+    return [(t, w, i) for i, (t, w) in enumerate(best, 1)]
+
+
 def term_frequency(docs: DataFrame, stop: list[str] = fn.STOP_WORDS) -> DataFrame:
-    """Counts by document without stop words; the list is a fixed one, so a filter does."""
-    return terms(docs).where(~F.col("term").isin(*stop)).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    """Counts by document without stop words."""
+    return counted_terms(docs).where(~F.col("term").isin(*stop)).select("doc_id", "term", "n")
 
 
 def top_keywords(docs: DataFrame, k: int, stop: list[str] = fn.STOP_WORDS) -> DataFrame:
-    """The k heaviest words (1 an occurrence) and word pairs (2); ties by term."""
-    kept = F.transform(F.filter(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != ""), lambda w: F.when((F.length(w) > 2) & ~w.isin(*stop), w))
-    # pairs within the row: no join, no shuffle before the counts
-    most = F.greatest(F.size("w") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("w", 1, most), F.slice("w", 2, most), lambda a, b: F.concat(a, F.lit(" "), b))
-    both = F.concat(F.transform("w", lambda x: F.struct(x.alias("term"), F.lit(1).alias("weight"))), F.transform(pairs, lambda x: F.struct(x.alias("term"), F.lit(2).alias("weight"))))
-    rows = docs.select("doc_id", kept.alias("w")).select("doc_id", F.explode(both).alias("e")).where("e.term is not null")
-    counted = rows.groupBy("doc_id", F.col("e.term").alias("term")).agg(F.sum("e.weight").alias("weight"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))
-    return counted.withColumn("rank", rank).where(F.col("rank") <= k)
+    """The k heaviest words (1 an occurrence) and word pairs (2); ties by term. Words of two letters or fewer and stop words part pairs."""
+    dull = frozenset(stop)
+
+    def weighed(words: list[str]) -> list[tuple]:
+        kept = [w if len(w) > 2 and w not in dull else None for w in words]
+        weights = Counter(w for w in kept if w)
+        for a, b in zip(kept, kept[1:], strict=False):
+            if a and b:
+                weights[f"{a} {b}"] += 2
+        return _heaviest(weights, k)
+
+    return _from_words(docs, weighed, "term string, weight long, rank int")
 
 
 def concept_doc_frequency(docs: DataFrame, k: int = 12) -> DataFrame:
@@ -59,9 +103,9 @@ def concept_doc_frequency(docs: DataFrame, k: int = 12) -> DataFrame:
     return top_keywords(docs, k).groupBy("term").agg(F.count("*").alias("n_docs"))
 
 
-def frequent_terms(docs: DataFrame, k: int = 8) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "term"))
-    return term_frequency(docs).withColumn("rank", rank).where(F.col("rank") <= k)
+def frequent_terms(docs: DataFrame, k: int = 8, stop: list[str] = fn.STOP_WORDS) -> DataFrame:
+    dull = frozenset(stop)
+    return _from_words(docs, lambda words: _heaviest(Counter(w for w in words if w not in dull), k), "term string, n long, rank int")
 
 
 def text_quality(docs: DataFrame, ideal: int = 600) -> DataFrame:
