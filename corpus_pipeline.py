@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns documents with the columns it got;
 the last returns packed pieces. A driver writes what a stage returns and reads it again
 for the next one; ``run`` does the same in the shared folder.
+
+Null and empty texts are documents like others: the classifier scores them, nothing in them repeats or
+is contaminated, and each is packed as its end token. Rows without an id are scored by their text and
+columns, stay in the stages by lines and by similarity, and are packed with a null id. Equal rows are
+judged alike. Of rows that share an id with different texts the smallest text is the document for the
+stages by lines and by similarity, and the others stay whole. A document that loses all its lines goes.
+Very long texts are read whole. Other columns, of any name, pass through all stages but the last. An
+empty table has no documents and no pieces; without labels nothing is rejected.
 """
 
 from __future__ import annotations
