@@ -58,6 +58,17 @@ def export_rows(events: DataFrame) -> DataFrame:
     return events.select(F.concat_ws(",", *cells, quoted(meta)).alias("line"))
 
 
+# The header of an export, by column.
+CSV_HEADER = {"id": "id", "schema_version": "schemaVersion", "timestamp": "timestamp", "event_type": "eventType", "session_id": "sessionID", "note_id": "noteID", "metadata": "metadata"}
+
+
+def export_events_csv(events: DataFrame, path: str) -> None:
+    """CSV files with the fixed header, quoted only where a comma, quote or line end asks for it; times in ISO 8601, metadata as JSON with sorted keys."""
+    shown = {"metadata": F.to_json(F.map_from_entries(F.array_sort(F.map_entries("metadata")))), "timestamp": F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss'Z'")}
+    rows = events.select(*[shown.get(c, F.col(c)).cast("string").alias(h) for c, h in CSV_HEADER.items()])
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
 def accept_signals(accepted: DataFrame) -> DataFrame:
     """accepted: proposal_id, generated, final. The signal that an accepted text gives, by how much it was edited."""
     kind = edit_class(F.col("generated"), F.col("final"))
