@@ -139,14 +139,14 @@ def graph_rerank(items: DataFrame, edges: DataFrame, mastery: DataFrame) -> Data
     return df.select("concept_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("importance") + plus)).alias("importance"))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _unit_counts(buckets: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Buckets of words and of pairs, and the dimension: weighted counts of unit length, zeros without words."""
     for words, pairs, dimension in buckets:
         out = []
         for w, p, n in zip(words, pairs, dimension, strict=True):
             v = np.bincount(w, minlength=n) + PAIR_WEIGHT * np.bincount(p, minlength=n)
-            out.append((v / (np.sqrt((v * v).sum()) or 1.0)).astype(np.float32))
+            out.append(v / (np.sqrt((v * v).sum()) or 1.0))
         yield pd.Series(out)
 
 
