@@ -48,7 +48,7 @@ from studyloom.llm.components import components
 
 SMALL_SET = 64
 #: Of so many segments that may differ, one more is added that a set may leave out.
-LEAVE_OUT = 4
+LEAVE_OUT = 8
 FLUSH_ENTRIES = 600_000
 BUCKET_ENTRIES = 1_000_000
 BLOCK_ROWS = 1024
