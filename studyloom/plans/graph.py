@@ -188,7 +188,7 @@ QUERIES = {f.__name__: f for f in (e1_edges_of, e2_traverse, e3_ancestors, e4_sh
 _E = f"WITH RECURSIVE {EDGES}"
 _BOTH = "two AS (SELECT source_id AS node, target_id AS other, edge_id, confidence FROM edges UNION ALL SELECT target_id, source_id, edge_id, confidence FROM edges)"
 _OUT = "r AS (SELECT p_partkey AS seed, p_partkey AS node, 0 AS distance FROM part UNION SELECT r.seed, e.target_id, r.distance + 1 FROM r JOIN edges e ON e.source_id = r.node WHERE r.distance < 8), reach AS (SELECT seed, node, min(distance) AS distance FROM r GROUP BY ALL)"
-_PRE = "c AS (SELECT p_partkey AS target, p_partkey AS node, 0 AS distance FROM part UNION SELECT c.target, e.target_id, c.distance + 1 FROM c JOIN edges e ON e.source_id = c.node AND e.relation = 'REQUIRES' WHERE c.distance < 16), chain AS (SELECT target, node, max(distance) AS distance FROM c WHERE distance > 0 GROUP BY ALL), pre AS (SELECT *, (row_number() OVER (PARTITION BY target ORDER BY distance DESC, node::varchar))::int AS place FROM chain)"
+_PRE = "c AS (SELECT p_partkey AS target, p_partkey AS node, 0 AS distance FROM part UNION SELECT c.target, e.target_id, c.distance + 1 FROM c JOIN edges e ON e.source_id = c.node AND e.relation = 'REQUIRES' WHERE c.distance < 64), chain AS (SELECT target, node, max(distance) AS distance FROM c WHERE distance > 0 GROUP BY ALL), pre AS (SELECT *, (row_number() OVER (PARTITION BY target ORDER BY distance DESC, node::varchar))::int AS place FROM chain)"
 _TASKS = f"""{MASTERY}, t AS (SELECT concept_id::varchar AS concept, 0.9::double - mastery / 10 AS priority, 'weakConcept' AS reason, 2 AS depth, 4 AS dup, 4 AS ord FROM mastery WHERE mastery < 0.5 UNION ALL SELECT concept_id::varchar, 0.7::double + mistake_count / 8.0::double, 'reviewDue', -1, 1, 3 FROM mastery WHERE mistake_count > 1),
 h AS (SELECT *, (reason = 'reviewDue' AND priority >= 1)::int AS high FROM t), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY concept ORDER BY high DESC, dup DESC, priority DESC, depth DESC) AS k FROM h) WHERE k = 1),
 plan AS (SELECT concept, reason, priority, row_number() OVER (ORDER BY CASE WHEN high = 1 THEN 6 ELSE ord END DESC, depth, priority DESC, reason, concept) AS place FROM b)"""
