@@ -180,6 +180,7 @@ def score_vs_gold(outputs: DataFrame, gold: DataFrame, fields: list[str]) -> Dat
 def combined(df: DataFrame) -> DataFrame:
     """df: note_id, heuristic, gold (null without a reference), seconds, memory_mb, hallucinations. Weighted score and signals."""
     gold = F.coalesce("gold", "heuristic")
+    # Names of signals, and from what they are given.
     signals = F.array_compact(
         F.array(
             F.when(F.col("heuristic") >= 0.8, "strong_heuristic_performance").otherwise("heuristic_coverage_needs_work"),
