@@ -205,9 +205,12 @@ def memory_score(mastered: Column, missed: Column) -> Column:
 
 
 def quiz_progress(attempts: DataFrame) -> DataFrame:
-    """attempts: quiz_id, correct, total. Rounded mean and best percentage, and how many attempts pass at 70."""
+    """attempts: quiz_id, correct, total. Rounded mean and best percentage, and how many attempts pass at 70.
+
+    Rounded to nine digits first, so that halves go up whatever the order of the sum.
+    """
     percent = F.when(F.col("total") > 0, F.col("correct") / F.col("total") * 100.0).otherwise(0.0)
-    return attempts.groupBy("quiz_id").agg(F.count("*").alias("n_attempts"), F.round(F.avg(percent)).cast("int").alias("average"), F.round(F.max(percent)).cast("int").alias("best"), F.count_if(percent >= 70).alias("n_passed"))
+    return attempts.groupBy("quiz_id").agg(F.count("*").alias("n_attempts"), F.round(F.round(F.avg(percent), 9)).cast("int").alias("average"), F.round(F.round(F.max(percent), 9)).cast("int").alias("best"), F.count_if(percent >= 70).alias("n_passed"))
 
 
 def bucket_outcome(score: Column) -> Column:

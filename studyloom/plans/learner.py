@@ -153,7 +153,7 @@ SELECT note_id, concept_id, round(mastery, 9) AS mastery, round(ease, 9) AS ease
     "h12_merge_ranked": f"{_S}, m AS (SELECT concept_id, round(mastery, 9) AS mastery FROM states), u AS (SELECT * FROM (SELECT 0 AS list_rank, concept_id, mastery FROM m ORDER BY mastery, concept_id::varchar LIMIT 60) UNION ALL SELECT * FROM (SELECT 1, concept_id, mastery + 1 FROM m ORDER BY mastery DESC, concept_id::varchar LIMIT 60)) SELECT concept_id, round(max_by(mastery, list_rank), 9) AS mastery, max(list_rank) AS list_rank FROM u GROUP BY concept_id",
     "h13_mastery_state": f"{_S}, m AS (SELECT round(mastery, 9) AS m FROM states) SELECT {_STATE.format(0.8, 0.6, 0.4)} AS learner, {_STATE.format(0.8, 0.55, 0.35)} AS graph, count(*) AS n FROM m GROUP BY ALL",
     "h14_memory_score": f"{_S} SELECT note_id, concept_id, round(CASE WHEN review_count = 0 THEN 0.5 ELSE (review_count - mistake_count)::double / review_count END, 9) AS memory FROM states",
-    "h15_quiz_progress": f"WITH {REVIEWS}, q AS (SELECT concept_id AS quiz_id, ts::date AS day, count(*) FILTER (outcome IN ('correct', 'easy')) / count(*)::double * 100::double AS p FROM reviews GROUP BY ALL) SELECT quiz_id, count(*) AS n_attempts, round(avg(p))::int AS average, round(max(p))::int AS best, count(*) FILTER (p >= 70) AS n_passed FROM q GROUP BY quiz_id",
+    "h15_quiz_progress": f"WITH {REVIEWS}, q AS (SELECT concept_id AS quiz_id, ts::date AS day, count(*) FILTER (outcome IN ('correct', 'easy')) / count(*)::double * 100::double AS p FROM reviews GROUP BY ALL) SELECT quiz_id, count(*) AS n_attempts, round(round(avg(p), 9))::int AS average, round(round(max(p), 9))::int AS best, count(*) FILTER (p >= 70) AS n_passed FROM q GROUP BY quiz_id",
     "h16_bucket_outcome": f"WITH {REVIEWS} SELECT CASE WHEN value % 1::double >= 0.75 THEN 'correct' WHEN value % 1::double >= 0.4 THEN 'partial' ELSE 'incorrect' END AS outcome, count(*) AS n FROM reviews GROUP BY ALL",
     "h17_review_history": f"WITH {REVIEWS}, r AS (SELECT concept_id, (row_number() OVER (PARTITION BY concept_id ORDER BY ts DESC, event_id DESC))::int AS rank, event_id, outcome FROM reviews) SELECT * FROM r WHERE rank <= 5",
     "h18_mastery_histogram": f"{_S} SELECT note_id, least(9, floor(round(mastery, 9) * 10))::int AS bin, count(*) AS n FROM states GROUP BY ALL",

@@ -9,3 +9,10 @@ def test_a_chain_of_as_many_nodes_as_levels_goes_on(spark):
     edges = spark.createDataFrame([(i, i, i - 1, "REQUIRES", 1.0) for i in range(1, n + 1)], "edge_id long, source_id long, target_id long, relation string, confidence double")
     got = graph.prerequisite_chain(edges, spark.createDataFrame([(n,)], "concept_id long")).orderBy("place").collect()
     assert [(r.node, r.distance) for r in got] == [(i, n - i) for i in range(n)]
+
+
+def test_halves_go_up_whatever_the_order_of_the_sum(spark):
+    """A mean of exactly 12.5, which in this order of doubles sums to 12.499999999999998."""
+    rows = [("a", 1, 6), ("a", 1, 3), ("a", 0, 3), ("a", 0, 7)]
+    attempts = spark.createDataFrame(rows, "quiz_id string, correct long, total long").coalesce(1)
+    assert learner.quiz_progress(attempts).first().average == 13
