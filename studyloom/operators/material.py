@@ -82,11 +82,11 @@ def best_match(source: DataFrame, notes: DataFrame) -> DataFrame:
 
 
 def review_priority(items: DataFrame) -> DataFrame:
-    """items: lecture_id, title, state, importance, visual. Missing and partial ones and missed pictures (+.1), ranked by lecture."""
+    """items: lecture_id, title, state, importance, visual. Missing and partial ones and missed pictures (+.1), ranked by lecture: by priority, title, then state."""
     rows = items.where("visual or state in ('missing', 'partial')").withColumn("importance", F.col("importance") + F.when(F.col("visual"), 0.1).otherwise(0.0))
     state = F.when(F.col("visual"), "missing").otherwise(F.col("state"))
     rows = rows.withColumn("state", state).withColumn("priority", F.round(F.col("importance") * F.when(state == "missing", 1.35).otherwise(1.05), 9))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lecture_id").orderBy(F.desc("priority"), F.lower("title"), "title"))).select("lecture_id", "rank", "title", "state", "priority")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lecture_id").orderBy(F.desc("priority"), F.lower("title"), "title", "state"))).select("lecture_id", "rank", "title", "state", "priority")
 
 
 def coverage_report(items: DataFrame, completeness: DataFrame) -> DataFrame:

@@ -16,3 +16,10 @@ def test_halves_go_up_whatever_the_order_of_the_sum(spark):
     rows = [("a", 1, 6), ("a", 1, 3), ("a", 0, 3), ("a", 0, 7)]
     attempts = spark.createDataFrame(rows, "quiz_id string, correct long, total long").coalesce(1)
     assert learner.quiz_progress(attempts).first().average == 13
+
+
+def test_equal_priorities_and_titles_go_by_state(spark):
+    """.7 missing and .9 partial both have the priority .945."""
+    rows = [(i, "same", s, x, False) for i in range(40) for s, x in ((("missing", 0.7), ("partial", 0.9)) if i % 2 else (("partial", 0.9), ("missing", 0.7)))]
+    got = material.review_priority(spark.createDataFrame(rows, "lecture_id long, title string, state string, importance double, visual boolean")).where("rank = 1")
+    assert {r.state for r in got.collect()} == {"missing"}
