@@ -90,9 +90,9 @@ def review_priority(items: DataFrame) -> DataFrame:
 
 
 def coverage_report(items: DataFrame, completeness: DataFrame) -> DataFrame:
-    """items: lecture_id, state, visual. completeness: lecture_id, completeness. Counts by state and a sentence."""
+    """items: lecture_id, state, visual. completeness: lecture_id, completeness. Counts by state and a sentence; its percentage is rounded to nine digits first, so that halves go up whatever the order of the sum."""
     concept = ~F.col("visual")
     counts = items.groupBy("lecture_id").agg(F.count_if(concept).alias("n"), *[F.count_if(concept & (F.col("state") == s)).alias(s) for s in ("missing", "partial", "covered")], F.count_if(F.col("visual")).alias("visual"))
     # The sentence of a report.
-    text = F.format_string("%d%% completeness across %d lecture concepts, with %d missing, %d partial, %d covered, and %d missing visual cues.", F.round(F.col("completeness") * 100).cast("int"), "n", "missing", "partial", "covered", "visual")
+    text = F.format_string("%d%% completeness across %d lecture concepts, with %d missing, %d partial, %d covered, and %d missing visual cues.", F.round(F.round(F.col("completeness") * 100, 9)).cast("int"), "n", "missing", "partial", "covered", "visual")
     return counts.join(completeness, "lecture_id").select("lecture_id", "missing", "partial", "covered", "visual", text.alias("summary"))

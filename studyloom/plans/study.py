@@ -224,5 +224,5 @@ SELECT note_id, round(missing, 9) AS missing, round(repetition, 9) AS repetition
 x AS (SELECT a.lecture_id, a.id AS concept_id, b.id AS b, CASE WHEN a.k = b.k THEN 1 WHEN contains(a.k, b.k) OR contains(b.k, a.k) THEN greatest(0.82, len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))) ELSE len(list_intersect(a.w, b.w))::double / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) END AS s FROM w a JOIN w b ON a.lecture_id = b.lecture_id AND a.id % 2 = 0 AND b.id % 2 = 1 AND len(list_intersect(a.w, b.w)) > 0),
 m AS (SELECT lecture_id, concept_id, arg_max(b, (round(s, 9), -b)) AS note_concept_id, round(max(s), 9) AS score FROM x GROUP BY ALL) SELECT w.lecture_id, id AS concept_id, note_concept_id, coalesce(score, 0) AS score FROM w LEFT JOIN m ON m.lecture_id = w.lecture_id AND concept_id = id WHERE id % 2 = 0""",
     "j8_review_priority": f"WITH {_COV}, r AS (SELECT lecture_id, title, CASE WHEN visual THEN 'missing' ELSE state END AS state, round((importance + CASE WHEN visual THEN 0.1 ELSE 0 END::double) * CASE WHEN visual OR state = 'missing' THEN 1.35 ELSE 1.05 END::double, 9) AS priority FROM items WHERE visual OR state <> 'covered') SELECT lecture_id, (row_number() OVER (PARTITION BY lecture_id ORDER BY priority DESC, lower(title), title, state))::int AS rank, state, round(priority, 6) AS priority FROM r",
-    "j10_coverage_report": f"WITH {_COV}, c AS (SELECT lecture_id, count(*) FILTER (NOT visual) AS n, count(*) FILTER (NOT visual AND state = 'missing') AS missing, count(*) FILTER (NOT visual AND state = 'partial') AS partial, count(*) FILTER (NOT visual AND state = 'covered') AS covered, count(*) FILTER (visual) AS visual, sum(CASE WHEN visual THEN 0 ELSE greatest(importance, 0.1) END) AS t, sum(CASE WHEN visual THEN -0.12 * greatest(importance, 0.1) WHEN state = 'covered' THEN greatest(importance, 0.1) WHEN state = 'partial' THEN 0.55 * greatest(importance, 0.1) ELSE 0 END) AS g FROM items GROUP BY lecture_id) SELECT lecture_id, missing, partial, covered, visual, format('{{}}% completeness across {{}} lecture concepts, with {{}} missing, {{}} partial, {{}} covered, and {{}} missing visual cues.', round(greatest(0, least(1, g / t)) * 100)::int, n, missing, partial, covered, visual) AS summary FROM c",
+    "j10_coverage_report": f"WITH {_COV}, c AS (SELECT lecture_id, count(*) FILTER (NOT visual) AS n, count(*) FILTER (NOT visual AND state = 'missing') AS missing, count(*) FILTER (NOT visual AND state = 'partial') AS partial, count(*) FILTER (NOT visual AND state = 'covered') AS covered, count(*) FILTER (visual) AS visual, sum(CASE WHEN visual THEN 0 ELSE greatest(importance, 0.1) END) AS t, sum(CASE WHEN visual THEN -0.12 * greatest(importance, 0.1) WHEN state = 'covered' THEN greatest(importance, 0.1) WHEN state = 'partial' THEN 0.55 * greatest(importance, 0.1) ELSE 0 END) AS g FROM items GROUP BY lecture_id) SELECT lecture_id, missing, partial, covered, visual, format('{{}}% completeness across {{}} lecture concepts, with {{}} missing, {{}} partial, {{}} covered, and {{}} missing visual cues.', round(round(greatest(0, least(1, g / t)) * 100, 9))::int, n, missing, partial, covered, visual) AS summary FROM c",
 }

@@ -23,3 +23,9 @@ def test_equal_priorities_and_titles_go_by_state(spark):
     rows = [(i, "same", s, x, False) for i in range(40) for s, x in ((("missing", 0.7), ("partial", 0.9)) if i % 2 else (("partial", 0.9), ("missing", 0.7)))]
     got = material.review_priority(spark.createDataFrame(rows, "lecture_id long, title string, state string, importance double, visual boolean")).where("rank = 1")
     assert {r.state for r in got.collect()} == {"missing"}
+
+
+def test_half_a_percent_goes_up(spark):
+    items = spark.createDataFrame([(1, "covered", False)], "lecture_id long, state string, visual boolean")
+    share = spark.createDataFrame([(1, 0.53499999999999992)], "lecture_id long, completeness double")
+    assert material.coverage_report(items, share).first().summary.startswith("54%")
