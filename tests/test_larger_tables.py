@@ -1,6 +1,6 @@
 """Rules that only show on larger tables: long chains, halves and ties."""
 
-from studyloom.operators import graph, learner, material
+from studyloom.operators import graph, learner, material, near_names
 
 
 def test_a_chain_of_as_many_nodes_as_levels_goes_on(spark):
@@ -29,3 +29,13 @@ def test_half_a_percent_goes_up(spark):
     items = spark.createDataFrame([(1, "covered", False)], "lecture_id long, state string, visual boolean")
     share = spark.createDataFrame([(1, 0.53499999999999992)], "lecture_id long, completeness double")
     assert material.coverage_report(items, share).first().summary.startswith("54%")
+
+
+def test_names_meet_by_rare_terms_only(spark):
+    """Names that begin alike but are not similar hardly meet; those with one word changed do."""
+    rows = [(i, f"the part of the {i} and {i + 1000} with {i + 2000} in {i + 3000}") for i in range(200)] + [(900 + i, f"the part of the {i} and {i + 1000} with {i + 2000} in the {i + 3000}") for i in range(5)]
+    names = spark.createDataFrame(rows, "rep long, name string")
+    heads = near_names.rare_terms(names.select("rep", near_names.weighted_terms(names.name).alias("terms")), 0.8)
+    met = heads.join(heads.withColumnRenamed("rep", "b"), "t").where("rep < b").select("rep", "b").distinct().count()
+    pairs = near_names.near_duplicates(names.withColumnRenamed("rep", "concept_id"), 0.8)[1].collect()
+    assert {(r.a, r.b) for r in pairs} == {(i, 900 + i) for i in range(5)} and met < 50
