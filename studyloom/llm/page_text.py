@@ -14,9 +14,9 @@ block goes, and only if ARTICLE_SHARE of the streams (ARTICLE_PAGES at least) ha
 of a page, and passages that some articles share, stay.
 
 A host with much text is dealt into shards by a hash of the stream (equal streams meet, and count
-once; tasks send one of those they hold). Each shard has its own suffix array; windows that are
-on a quarter of the least share there are added up by host, so that all pages of a host are
-judged alike. Words are 16-bit hashes in the streams, windows 64-bit ones of those. Windows
+once; tasks send one of those they hold). Each shard has its own suffix array; windows that have
+the least share in one of them are counted in all of them, so a host's counts are exact whatever
+its size. Words are 16-bit hashes in the streams, windows 64-bit ones of those. Windows
 of a host go to tasks for at most PASS_WINDOWS in all; more take several passes over hosts.
 
 A null page, or one without text, has an empty text. Each row gets a row; repeated page_ids are
@@ -283,35 +283,73 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["host", "content", "stream"])
 
 
+def _joined(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct streams, their tokens in a row, the end of each token's stream, and its number."""
+    streams = sorted(set(table.column("stream").to_pylist()))
+    sizes = np.array([len(s) // 2 for s in streams], np.int64)
+    return streams, np.frombuffer(b"".join(streams), "<u2"), np.repeat(np.cumsum(sizes), sizes), np.repeat(np.arange(len(streams)), sizes)
+
+
+_WINDOWS = "host string, window long, pages long"
+
+
+def _counted(host: str | None, windows: np.ndarray, pages: np.ndarray) -> pa.Table:
+    return pa.table([pa.array([host] * len(windows), pa.string()), pa.array(windows, pa.int64()), pa.array(pages, pa.int64())], names=["host", "window", "pages"])
+
+
 def _shard_windows(table: pa.Table) -> pa.Table:
-    """Windows that pages of the shard repeat, with the number of its distinct streams that do; and that of all (window 0)."""
+    """Windows that the share of the shard's distinct streams have, with their number; and that of all (window 0).
+
+    What the share of a host's streams has, the share of at least one shard's streams has.
+    """
     host, shards = table.column("host")[0].as_py(), table.column("shards")[0].as_py()
-    streams = sorted(set(table.column("stream").to_pylist()))
-    tokens = np.frombuffer(b"".join(streams), "<u2")
-    sizes = np.array([len(s) // 2 for s in streams])
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    page = np.repeat(np.arange(len(streams)), sizes)
+    streams, tokens, ends, page = _joined(table)
+    least = OPEN_SHARE * len(streams) - 1e-6 if shards > 1 else max(OPEN_PAGES, OPEN_SHARE * len(streams))
+    if least <= 1:  # few long streams: one of them is enough
+        h = np.unique(window_hashes(tokens, ends, LEAST_WORDS))
+        h = h[h != 0]
+        return _counted(host, np.concatenate([[0], h.view(np.int64)]), np.concatenate([[len(streams)], np.ones(len(h), np.int64)]))
     at, rank = repeated_windows(tokens, ends, LEAST_WORDS)
     first = np.flatnonzero(np.diff(rank, prepend=-1))
     _, pages = np.unique(np.unique(rank * len(streams) + page[at]) // len(streams), return_counts=True)
-    share = OPEN_SHARE / (4 if shards > 1 else 1)
-    common = pages >= max(2 if shards > 1 else OPEN_PAGES, share * len(streams))
+    common = pages >= least
     starts = at[first][common]
     h = np.full(len(starts), 0, np.uint64)
     if len(starts):
         span = starts[:, None] + np.arange(LEAST_WORDS)
         h = window_hashes(tokens[span].ravel(), np.repeat((np.arange(len(starts)) + 1) * LEAST_WORDS, LEAST_WORDS), LEAST_WORDS)[::LEAST_WORDS]
-    windows, counts = np.concatenate([[0], h.view(np.int64)]), np.concatenate([[len(streams)], pages[common]])
-    return pa.table([pa.array([host] * len(windows), pa.string()), pa.array(windows, pa.int64()), pa.array(counts, pa.int64())], names=["host", "window", "pages"])
+    return _counted(host, np.concatenate([[0], h.view(np.int64)]), np.concatenate([[len(streams)], pages[common]]))
+
+
+def _shard_counts(streams: pa.Table, windows: pa.Table) -> pa.Table:
+    """How many of the shard's distinct streams have each of the host's windows."""
+    if not streams.num_rows or not windows.num_rows:
+        return _counted(None, np.zeros(0, np.int64), np.zeros(0, np.int64))
+    known, tokens, ends, page = _joined(streams)
+    wanted = np.unique(windows.column("window").to_numpy())
+    h = window_hashes(tokens, ends, LEAST_WORDS).view(np.int64)
+    at = np.flatnonzero((h != 0) & np.isin(h, wanted))
+    which, n = np.unique(np.unique(np.searchsorted(wanted, h[at]) * len(known) + page[at]) // len(known), return_counts=True)
+    return _counted(streams.column("host")[0].as_py(), wanted[which], n)
 
 
 def host_windows(pages: DataFrame) -> DataFrame:
     """host, window, share: what hosts repeat often enough to be boilerplate; always: enough inside articles too."""
     pages = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
     sizes = keep(pages.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length("html")) / SHARD_BYTES)).cast("long").alias("shards")).where("shards > 1"))
-    streams = pages.mapInArrow(_streams, "host string, content long, stream binary").join(sizes, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1).cast("long")))
-    shard = streams.withColumn("shard", F.pmod("content", "shards")).groupBy("host", "shards", "shard").applyInArrow(_shard_windows, "host string, window long, pages long")
-    found = keep(shard.groupBy("host", "window").agg(F.sum("pages").alias("pages")))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        streams = rows.mapInArrow(_streams, "host string, content long, stream binary").join(sizes, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1).cast("long")))
+        return streams.withColumn("shard", F.pmod("content", "shards"))
+
+    found = keep(dealt(pages).groupBy("host", "shards", "shard").applyInArrow(_shard_windows, _WINDOWS))
+    # hosts of several shards: what may be common is counted in all of them
+    several = found.join(sizes, "host")
+    shards = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")
+    asked = several.where("window <> 0").select("host", "window", "shards").distinct().select("host", "window", shards)
+    counts = dealt(pages.join(sizes.select("host"), "host", "left_semi")).groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInArrow(_shard_counts, _WINDOWS)
+    found = found.join(sizes, "host", "left_anti").unionByName(several.where("window = 0").select("host", "window", "pages")).unionByName(counts)
+    found = keep(found.groupBy("host", "window").agg(F.sum("pages").alias("pages")))
     total = found.where("window = 0").select("host", F.col("pages").alias("total"))
     often = lambda share, least: (F.col("pages") >= share * F.col("total")) & (F.col("pages") >= least)
     both = found.where("window <> 0").join(total, "host").where(often(OPEN_SHARE, OPEN_PAGES))

@@ -114,3 +114,16 @@ def test_host_repeats(spark, monkeypatch):
     monkeypatch.setattr(page_text, "PASS_WINDOWS", 20)
     assert sorted(map(str, main_text(df).collect())) == sorted(map(str, rows_got))
     assert main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_shards_of_a_page_or_two_change_nothing(spark, monkeypatch):
+    rng = random.Random(3)
+    say = lambda n: " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 9999)}" for _ in range(n))
+    often, seldom = say(20), say(20)
+    rows = [(i, f"http://h.example/{i}", f"<p>{say(30)}</p><div>{often if i % 5 < 2 else ''}</div><div>{seldom if i % 5 == 4 else ''}</div>", "h", "t") for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = {r.page_id: r.text for r in main_text(df).collect()}
+    assert not any(often in t for t in whole.values()) and sum(seldom in t for t in whole.values()) == 4
+    for size in (250, 900):
+        monkeypatch.setattr(page_text, "SHARD_BYTES", size)
+        assert {r.page_id: r.text for r in main_text(df).collect()} == whole
