@@ -1,6 +1,6 @@
 """Rules that only show on larger tables: long chains, halves and ties."""
 
-from studyloom.operators import graph, learner, material, near_names
+from studyloom.operators import extraction, graph, learner, material, near_names
 
 
 def test_a_chain_of_as_many_nodes_as_levels_goes_on(spark):
@@ -39,3 +39,10 @@ def test_names_meet_by_rare_terms_only(spark):
     met = heads.join(heads.withColumnRenamed("rep", "b"), "t").where("rep < b").select("rep", "b").distinct().count()
     pairs = near_names.near_duplicates(names.withColumnRenamed("rep", "concept_id"), 0.8)[1].collect()
     assert {(r.a, r.b) for r in pairs} == {(i, 900 + i) for i in range(5)} and met < 50
+
+
+def test_an_acronym_has_one_letter_a_word(spark):
+    """A word that begins with a sharp s, in capitals SS, still gives one letter."""
+    concepts = spark.createDataFrame([(1, "x", "Alpha ßein Gamma"), (2, "y", "ŉa Beta")], "doc_id long, key string, term string")
+    got = {r.doc_id: r.a for r in concepts.select("doc_id", extraction.acronym(concepts.term).alias("a")).collect()}
+    assert got == {1: "AẞG", 2: "ŉB"}
