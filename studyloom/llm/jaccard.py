@@ -20,7 +20,7 @@ number of its sets that share it; members that met inside a task are known to sh
 Candidates are settled in rounds, all exact: each member against its signature's smallest
 member first; where a signature's members are not yet in one component, those outside its
 largest one against a member of that, a few times, with another member each; and what is
-still apart by all pairs from different components, in blocks. Sketches (a byte for each of many finer
+still apart by all pairs from different components, in blocks, for all signatures of one smallest member together. Sketches (a byte for each of many finer
 segments) give a lower bound of the difference that dismisses most pairs; the others
 are verified on whole sets, which come together once for all pairs of a block.
 
@@ -134,11 +134,16 @@ class Sets:
             self.hashes.append(total)
 
     def sketch(self, i: int, size: int) -> bytes:
-        """A byte for each of ``size`` segments."""
+        """A byte for each of ``size`` segments: the sum of its shingles' bytes, so that halves add up to the sketch of half the size."""
         u = self.elements[self.at[i] : self.at[i + 1]]
-        total = np.zeros(size, np.uint64)
-        np.add.at(total, (mix(u + np.uint64(23)) % np.uint64(size)).astype(np.int64), mix(u))
-        return (mix(total) >> np.uint64(56)).astype(np.uint8).tobytes()
+        total = np.zeros(size, np.uint8)
+        np.add.at(total, (mix(u + np.uint64(23)) % np.uint64(size)).astype(np.int64), (mix(u) >> np.uint64(56)).astype(np.uint8))
+        return total.tobytes()
+
+
+def folded(sketches: np.ndarray, size: int) -> np.ndarray:
+    """Sketches (rows of bytes) at a smaller size, a power of two."""
+    return sketches.reshape(len(sketches), -1, size).sum(1, dtype=np.uint8)
 
 
 def sketch_size(n: int, percent: int) -> int:
@@ -293,7 +298,8 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             x, y = batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist()
             n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            on = [len(s) != len(t) or bool(_may_link(n_a[i], n_b[i], np.frombuffer(s, np.uint8), np.frombuffer(t, np.uint8), percent)) for i, (s, t) in enumerate(zip(x, y, strict=True))]
+            at = lambda s, t: folded(np.frombuffer(s, np.uint8)[None], min(len(s), len(t)))[0]
+            on = [bool(_may_link(n_a[i], n_b[i], at(s, t), at(t, s), percent)) for i, (s, t) in enumerate(zip(x, y, strict=True))]
             found = pa.RecordBatch.from_arrays([batch.column("key"), batch.column("a"), batch.column("b"), pa.array(np.maximum(n_a, n_b))], ["key", "a", "b", "n"])
             yield found.filter(pa.array(on, pa.bool_()))
 
@@ -347,7 +353,10 @@ def cross_pairs(members: DataFrame, labels: DataFrame, pivots: DataFrame, sets:
     """Pairs that share a signature, are in different components, and may be similar by their sketches."""
     labelled = members.join(labels, members.doc_id == labels.node, "left").select("signature", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     mixed = labelled.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo <> hi and size > 2").select("signature", "size")
-    left = labelled.join(mixed, "signature").join(pivots, "signature").join(sets.select("doc_id", "n", "sketch"), "doc_id")
+    # all signatures of one pivot together, so that a set goes on once for them and a pair is told once
+    left = labelled.join(mixed.select("signature"), "signature").join(pivots, "signature").groupBy("pivot", "doc_id", "label").agg(F.collect_list("signature").alias("signatures"))
+    left = keep(left)
+    left = left.join(left.groupBy("pivot").agg(F.count("*").alias("size")), "pivot").join(sets.select("doc_id", "n", "sketch"), "doc_id")
     blocks = F.ceil(F.col("size") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     dealt = left.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -356,32 +365,37 @@ def cross_pairs(members: DataFrame, labels: DataFrame, pivots: DataFrame, sets:
     def compare(table: pa.Table) -> pa.Table:
         doc, n, label, pivot, block = (table.column(c).to_numpy() for c in ("doc_id", "n", "label", "pivot", "own"))
         sketches, a, b = table.column("sketch").to_pylist(), [], []
-        for size in sorted(set(map(len, sketches))):
-            at = np.array([i for i, s in enumerate(sketches) if len(s) == size])
-            s = np.frombuffer(b"".join(sketches[i] for i in at), np.uint8).reshape(-1, size)
-            two = len(np.unique(block)) > 1
-            for x in range(len(at) - 1):
-                y = np.arange(x + 1, len(at))
-                y = y[label[at[y]] != label[at[x]]]
-                y = y[(doc[at[y]] != pivot[0]) & (doc[at[x]] != pivot[0])]
-                if two:
-                    y = y[block[at[y]] != block[at[x]]]
-                y = y[_may_link(n[at[x]], n[at[y]], s[x], s[y], percent)] if len(y) else y
-                a.append(np.full(len(y), doc[at[x]]))
-                b.append(doc[at[y]])
-        # sketches of different sizes can't be compared: such pairs are left to the verification
         sizes = np.array(list(map(len, sketches)))
-        if len(set(sizes.tolist())) > 1:
-            for x in range(len(doc)):
-                y = np.flatnonzero((sizes > sizes[x]) & (label != label[x]) & (np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent))
+        held = table.column("signatures").combine_chunks()
+        starts, flat = held.offsets.to_numpy(), held.values.to_numpy()
+        row = np.repeat(np.arange(len(doc)), np.diff(starts))
+        _, number = np.unique(flat, return_inverse=True)
+        members = row[np.argsort(number, kind="stable")]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(number))])
+        names, counts = np.unique(label, return_counts=True)
+        home = label == names[np.argmax(counts)]
+        two = len(np.unique(block)) > 1
+        # of two in different components one is outside the largest
+        for x in np.flatnonzero(~home & (doc != pivot)):
+            met = np.zeros(len(doc), bool)
+            for k in number[starts[x] : starts[x + 1]]:
+                met[members[ends[k] : ends[k + 1]]] = True
+            met &= (label != label[x]) & (doc != pivot) & (home | (np.arange(len(doc)) > x))
+            if two:
+                met &= block != block[x]
+            met &= np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent
+            for z in np.unique(sizes[met]):
+                y, size = np.flatnonzero(met & (sizes == z)), min(z, sizes[x])
+                s = folded(np.frombuffer(b"".join(sketches[k] for k in y), np.uint8).reshape(-1, z), size)
+                y = y[_may_link(n[x], n[y], folded(np.frombuffer(sketches[x], np.uint8)[None], size), s, percent)]
                 a.append(np.full(len(y), doc[x]))
                 b.append(doc[y])
         a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (a, b))
-        key = np.full(len(a), table.column("signature")[0].as_py())
+        key = np.full(len(a), pivot[0])
         return pa.table([pa.array(key, pa.int64()), pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(np.full(len(a), n.max()), pa.int64())], names=["key", "a", "b", "n"])
 
-    found = dealt.select("signature", "i", "j", "own", "doc_id", "n", "label", "pivot", "sketch").groupBy("signature", "i", "j").applyInArrow(compare, "key long, a long, b long, n long")
-    # signatures that share a pair: it stays with the smallest, so that the pairs of similar sets stay together
+    found = dealt.select("pivot", "i", "j", "own", "doc_id", "n", "label", "signatures", "sketch").groupBy("pivot", "i", "j").applyInArrow(compare, "key long, a long, b long, n long")
+    # pivots that share a pair: it stays with the smallest, so that the pairs of similar sets stay together
     return found.groupBy("a", "b").agg(F.min(F.struct("key", "n")).alias("x")).select("x.key", "a", "b", "x.n")
 
 

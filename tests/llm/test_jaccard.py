@@ -85,3 +85,13 @@ def test_drop_similar_keeps_other_texts_of_an_id(spark):
     rows = [(1, text, "p"), (2, text, "q"), (2, other, "r"), (2, text, "s"), (None, text, "t")]
     kept = drop_similar(spark.createDataFrame(rows, SCHEMA))
     assert sorted(r.n_shingles for r in kept.collect()) == ["p", "r", "t"]
+
+
+def test_sketches_of_different_sizes_dismiss_pairs(spark):
+    """Sets of about 1,100 and 1,200 shingles have sketches of 512 and 1,024 bytes; half of each is the other's."""
+    text = lambda n: " ".join(f"w{i}" if i < 600 else f"{n} {i}" for i in range(n - 300 if n > 600 else n))
+    df = spark.createDataFrame([(1, text(1165)), (2, text(1230))], "doc_id long, text string")
+    sets = jaccard.set_table(df, 5, 80).cache()
+    rows = {r.doc_id: r for r in sets.collect()}
+    assert len(rows[1].sketch) < len(rows[2].sketch) and rows[1].n > 0.8 * rows[2].n
+    assert jaccard.likely(spark.createDataFrame([(1, 1, 2)], "key long, a long, b long"), sets, 80).count() == 0
