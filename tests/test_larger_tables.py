@@ -1,6 +1,6 @@
 """Rules that only show on larger tables: long chains, halves and ties."""
 
-from studyloom.operators import extraction, graph, learner, material, near_names
+from studyloom.operators import extraction, graph, learner, material, near_names, search
 
 
 def test_a_chain_of_as_many_nodes_as_levels_goes_on(spark):
@@ -46,3 +46,14 @@ def test_an_acronym_has_one_letter_a_word(spark):
     concepts = spark.createDataFrame([(1, "x", "Alpha ßein Gamma"), (2, "y", "ŉa Beta")], "doc_id long, key string, term string")
     got = {r.doc_id: r.a for r in concepts.select("doc_id", extraction.acronym(concepts.term).alias("a")).collect()}
     assert got == {1: "AẞG", 2: "ŉB"}
+
+
+def test_vectors_meet_in_blocks_and_no_pair_is_a_row(spark):
+    """Copies go by id; vectors with nulls, zeros or another length keep their places."""
+    rows = [(i, [1.0, 2.0, float(i // 3)]) for i in range(12)] + [(20, [0.0, 0.0, 0.0]), (21, None), (22, [1.0, None, 2.0]), (23, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    top = search.cosine_top(df.where("vec_id in (0, 20)"), df, 14)
+    assert "Join" not in top._jdf.queryExecution().executedPlan().toString()
+    got = {(r.query_id, r.rank): (r.vec_id, r.score is None) for r in top.collect()}
+    assert [got[0, i] for i in range(1, 15)] == [(i, False) for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 20, 21, 22)]
+    assert [got[20, i][0] for i in range(1, 15)] == [*range(12), 21, 22]
