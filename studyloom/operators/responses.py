@@ -8,7 +8,7 @@ blank lines. Whatever of it can be read gives rows; ``failed`` tells where nothi
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -54,6 +54,11 @@ def balanced(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(lambda t: None if t is None else _balanced(t[min((i for i in (t.find("{"), t.find("[")) if i >= 0), default=len(t)) :]))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What is made of a value that is computed once a row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(" \t\r\n"))
 
@@ -101,8 +106,7 @@ def _items(payload: Column, field: str, schema: str) -> Column:
 def _blocks(norm: Column) -> Column:
     """Parts between dashes, or else between blank lines, as arrays of key and value."""
     full = lambda c: F.filter(F.transform(c, trimmed), lambda b: b != "")
-    dashed = full(F.split(norm, "---", -1))
-    parts = F.when(F.size(dashed) > 1, dashed).otherwise(full(F.split(norm, "\n\n", -1)))
+    parts = _once(full(F.split(norm, "---", -1)), lambda dashed: F.when(F.size(dashed) > 1, dashed).otherwise(full(F.split(norm, "\n\n", -1))))
 
     def fields(block: Column) -> Column:
         lines = F.filter(F.split(block, "\n", -1), lambda x: x.contains(":"))
@@ -140,15 +144,20 @@ def resolve_answer(answer: Column, options: Column, kind: Column) -> Column:
 
 
 def _card(b: Column) -> Column:
-    return F.struct(card_type(_field(b, "type")).alias("type"), _field(b, "front").alias("front"), _field(b, "back").alias("back"), _field(b, "why").alias("whyItMatters"))
+    return F.struct(_once(_field(b, "type"), card_type).alias("type"), _field(b, "front").alias("front"), _field(b, "back").alias("back"), _field(b, "why").alias("whyItMatters"))
 
 
 def _quiz(b: Column) -> Column:
-    kind = quiz_type(_field(b, "type"))
     options = F.filter(F.array(*[_field(b, f"option{x}") for x in "abcd"]), lambda o: o != "")
-    answer = resolve_answer(_field(b, "answer"), options, kind)
-    shown = F.when((kind == "true_false") & (F.size(options) == 0), F.array(F.lit("True"), F.lit("False"))).otherwise(options)
-    return F.struct(kind.alias("type"), _field(b, "prompt").alias("prompt"), shown.alias("options"), answer.alias("correctAnswer"), _field(b, "explanation").alias("explanation"), _listed(_field(b, "keywords")).alias("keywords"))
+    asked = F.struct(_once(_field(b, "type"), quiz_type).alias("kind"), options.alias("options"), _field(b, "answer").alias("answer"))
+
+    def item(x: Column) -> Column:
+        kind, options = x["kind"], x["options"]
+        shown = F.when((kind == "true_false") & (F.size(options) == 0), F.array(F.lit("True"), F.lit("False"))).otherwise(options)
+        answer = resolve_answer(x["answer"], options, kind)
+        return F.struct(kind.alias("type"), _field(b, "prompt").alias("prompt"), shown.alias("options"), answer.alias("correctAnswer"), _field(b, "explanation").alias("explanation"), _listed(_field(b, "keywords")).alias("keywords"))
+
+    return _once(asked, item)
 
 
 def _tutor(b: Column) -> Column:
@@ -166,12 +175,12 @@ def parse_items(responses: DataFrame, kind: str) -> DataFrame:
     norm = responses.select("id", _lines_of(F.coalesce("text", F.lit(""))).alias("norm"))
     # the repaired whole, and only where that gives nothing its section
     whole = norm.withColumn("payload", repair_json(F.coalesce(_fenced(F.col("norm")), F.col("norm")))).withColumn("section", repair_json(_section(F.col("norm"), titles)))
-    whole = whole.withColumn("items", F.coalesce(_items(F.col("payload"), field, schema), _items(F.col("section"), field, schema)))
+    items_of = lambda c: _once(F.col(c), lambda x: _items(x, field, schema))
     asked = NEEDED[kind]
     sound = lambda items: F.filter(items, lambda x: F.reduce(F.array(*[trimmed(F.coalesce(x[a], F.lit(""))) != "" for a in asked]), F.lit(True), lambda a, b: a & b))
-    read = F.coalesce(sound(F.col("items")), F.expr(f"cast(array() as array<{schema}>)"))
+    read = F.coalesce(sound(F.coalesce(items_of("payload"), items_of("section"))), F.expr(f"cast(array() as array<{schema}>)"))
     blocks = F.transform(_blocks(F.col("norm")), _FROM_BLOCK[kind]).cast(f"array<{schema}>")
-    found = F.when(F.size(read) > 0, read).otherwise(sound(blocks))
+    found = _once(read, lambda x: F.when(F.size(x) > 0, x).otherwise(sound(blocks)))
     return whole.select("id", found.alias("items")).withColumn("failed", F.size("items") == 0)
 
 

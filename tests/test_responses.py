@@ -191,3 +191,11 @@ def test_near_names_find_what_all_pairs_find(spark):
         assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 5
     bits, bands = near_names.bands_for(10**9, 0.93, 0.95)
     assert bits == 30 and 1 - (1 - 0.8796**bits) ** bands >= 0.9
+
+
+def test_fields_of_a_block_are_found_once(spark):
+    """The plan holds the search of an option once or twice, not for each use of the answer."""
+    df = spark.range(4).selectExpr("id", "'Type: short\nPrompt: what\nAnswer: yes' as text")
+    parsed = responses.parse_items(df, "quiz")
+    assert parsed._jdf.queryExecution().optimizedPlan().toString().count("optiona") <= 2
+    assert {(r.type, r.correctAnswer) for r in responses.item_rows(parsed).collect()} == {("short_answer", "yes")}
