@@ -1,6 +1,6 @@
 """Rules that only show on larger tables: long chains, halves and ties."""
 
-from studyloom.operators import extraction, graph, learner, material, near_names, search
+from studyloom.operators import extraction, graph, learner, material, near_names, phrases, search
 
 
 def test_a_chain_of_as_many_nodes_as_levels_goes_on(spark):
@@ -57,3 +57,13 @@ def test_vectors_meet_in_blocks_and_no_pair_is_a_row(spark):
     got = {(r.query_id, r.rank): (r.vec_id, r.score is None) for r in top.collect()}
     assert [got[0, i] for i in range(1, 15)] == [(i, False) for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 20, 21, 22)]
     assert [got[20, i][0] for i in range(1, 15)] == [*range(12), 21, 22]
+
+
+def test_phrases_are_found_in_the_source_s_row(spark):
+    """Nothing is shuffled; equal scores by nine digits go by title, keys of other scripts and marks hold, null is no text."""
+    rows = [(1, "k", "Bb cc, Aa aa\nzz Zeta9 ½́; Ünder-Grün + ٣", 1.0, False), (2, "k", None, 1.0, True), (3, "k", "Diagram of cells", 0.0, True)]
+    found = phrases.phrases(spark.createDataFrame(rows, "source_id long, kind string, text string, weight double, visual boolean"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r.source_id, r.rank): (r.key, r.title, r.importance, r.lines) for r in found.collect()}
+    assert got[3, 1] == ("cells", "cells", 0.0, [0]) and got[3, 2] == ("diagram", "Diagram", 0.0, [0]) and not any(s == 2 for s, _ in got)
+    assert {x[:2] for (s, _), x in got.items() if s == 1} == {("zeta9", "Zeta9"), ("ünder grün", "Ünder Grün")}
