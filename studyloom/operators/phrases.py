@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from studyloom.functions.text import key_of
+
 # Words that part phrases.
 STOP = """a an and are as at be because but by can could did do does for from has have if in into is it its of on or our the their then there these this those
 to was we were with you your when where which while about over under between""".split()
@@ -36,7 +38,7 @@ def _in(c: str, kinds: str) -> bool:
 # of a line: sentence ends part fragments, other punctuation and white space parts tokens
 _MARKS = str.maketrans({c: " " for c in map(chr, range(sys.maxunicode + 1)) if c in "\t\x0b\f" or _in(c, "P")} | dict.fromkeys(".!?;", "\n"))
 _LINE, _PICTURE = re.compile("\r\n|[\n\r]"), re.compile("|".join(PICTURES))
-_DIGIT, _NAME, _NO_KEY = re.compile("[0-9]"), re.compile("[A-Z][a-z]+ [A-Z][a-z]+"), re.compile(r"[\W_]+")
+_DIGIT, _NAME = re.compile("[0-9]"), re.compile("[A-Z][a-z]+ [A-Z][a-z]+")
 
 
 @lru_cache(1 << 16)
@@ -76,12 +78,6 @@ def occurrences(text: str, visual: bool) -> Iterator[tuple[int, float, list[str]
                 yield line, boost, run
 
 
-def _key(title: str) -> str:
-    """Like norm_key."""
-    lower = title.lower()
-    return lower if lower.replace(" ", "").isalnum() else _NO_KEY.sub(" ", lower).strip(" ")
-
-
 def _form(title: str, ts: list[str]) -> tuple[float, float]:
     """What the form of a phrase gives for its base and its detail."""
     n = len(ts)
@@ -101,7 +97,7 @@ def _scored(text: str | None, weight: float | None, visual: bool | None, k: int)
         title = " ".join(ts)
         one = titled.get(title)
         if one is None:
-            one = titled[title] = found.setdefault(_key(title), [title, ts, 0.0, 0, []])
+            one = titled[title] = found.setdefault(key_of(title), [title, ts, 0.0, 0, []])
         one[2] += boost
         one[3] += 1
         if not one[4] or one[4][-1] != line:

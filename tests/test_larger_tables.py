@@ -67,3 +67,17 @@ def test_phrases_are_found_in_the_source_s_row(spark):
     got = {(r.source_id, r.rank): (r.key, r.title, r.importance, r.lines) for r in found.collect()}
     assert got[3, 1] == ("cells", "cells", 0.0, [0]) and got[3, 2] == ("diagram", "Diagram", 0.0, [0]) and not any(s == 2 for s, _ in got)
     assert {x[:2] for (s, _), x in got.items() if s == 1} == {("zeta9", "Zeta9"), ("ünder grün", "Ünder Grün")}
+
+
+def test_candidates_are_found_in_the_document_s_row(spark):
+    """Nothing is shuffled, the limit ends the search, and a sentence's key is made once for all names."""
+    many = ". ".join(f"Cell Wall{i} is here" for i in range(30))
+    rows = [(1, "Ülo Ärm: the A-B test, is x = 2. NASA\n# Head line\nüber"), (2, None), (3, many), (4, "  \n.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = extraction.candidate_concepts(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {d: [r.term for r in sorted(found.collect(), key=lambda r: r["rank"]) if r.doc_id == d] for d in (1, 2, 3, 4)}
+    assert got == {1: ["Ülo Ärm", "Ülo Ärm: the A-B test,", "A-B", "# Head line"], 2: [], 3: [f"Cell Wall{i}" for i in range(18)], 4: []}
+    plain = [r for r in ("is", "Xy", "ab-", "Cell", "٣٤", "general topic", "a b c d e f g h", "Zoë") if extraction.meaningful_key(r)]
+    terms = spark.createDataFrame([(r,) for r in ("is", "Xy", "ab-", "Cell", "٣٤", "general topic", "a b c d e f g h", "Zoë")], "t string")
+    assert plain == [r.t for r in terms.where(extraction.is_meaningful(terms.t)).collect()]
