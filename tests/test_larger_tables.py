@@ -1,6 +1,10 @@
 """Rules that only show on larger tables: long chains, halves and ties."""
 
-from studyloom.operators import extraction, graph, learner, material, near_names, phrases, search
+import gc
+
+import pyarrow as pa
+
+from studyloom.operators import extraction, graph, learner, material, near_names, phrases, planning, repair, search
 
 
 def test_a_chain_of_as_many_nodes_as_levels_goes_on(spark):
@@ -81,3 +85,24 @@ def test_candidates_are_found_in_the_document_s_row(spark):
     plain = [r for r in ("is", "Xy", "ab-", "Cell", "٣٤", "general topic", "a b c d e f g h", "Zoë") if extraction.meaningful_key(r)]
     terms = spark.createDataFrame([(r,) for r in ("is", "Xy", "ab-", "Cell", "٣٤", "general topic", "a b c d e f g h", "Zoë")], "t string")
     assert plain == [r.t for r in terms.where(extraction.is_meaningful(terms.t)).collect()]
+
+
+def test_gaps_read_the_notes_once(spark):
+    """What a note has and lacks is kept, so that counting reads no note again."""
+    notes = spark.createDataFrame([(1, "A Database with an INDEX"), (2, "a database"), (3, None), (4, "transaction")], "note_id long, text string")
+    got = planning.mapped_gaps(notes, {"database": ("index", "transaction", "normalization")})
+    assert "LocalTableScan" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "MapInArrow" not in plan
+    assert {(r.note_id, r.need, r.n_notes) for r in got.collect()} == {(1, "transaction", 1), (2, "index", 1), (2, "transaction", 1)}
+
+
+def test_a_batch_of_texts_is_repaired_a_few_at_a_time():
+    """However long a batch, no list holds more than a few of its texts as strings of Python."""
+    batch, most = pa.array(["a\n\n\nb", None] * 500), []
+
+    def made(text):
+        if len(most) % 200 == 0:
+            most.append(max((len(x) for x in gc.get_objects() if type(x) is list and len(x) > 8 and x[0] == "a\n\n\nb"), default=0))
+        return repair.clean_text(text)
+
+    out = repair._each(batch, made)
+    assert out.to_pylist() == ["a\n\nb", None] * 500 and max(most) <= repair.TEXTS and repair._each(batch[:0], made).to_pylist() == []
