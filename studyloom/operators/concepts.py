@@ -71,24 +71,24 @@ def mentions(sentences: DataFrame, concepts: DataFrame) -> DataFrame:
     key = F.array_join(_stem(F.split(fn.norm_key(F.col("name")), " ")), " ")
     named = concepts.select("concept_id", key.alias("gram")).where("gram <> ''").withColumn("n", F.size(F.split("gram", " ")))
     named = named.withColumn("head", F.array_join(F.slice(F.split("gram", " "), 1, NGRAM), " "))
-    lengths = sorted(r.n for r in named.select(F.least("n", F.lit(NGRAM)).alias("n")).distinct().collect())  # NGRAM values at most
+    known = sorted(r.n for r in named.select(F.least("n", F.lit(NGRAM + 1)).alias("n")).distinct().collect())  # NGRAM + 1 values at most
     words = sentences.select("doc_id", "pos", _stem(F.split(fn.norm_key(F.col("sentence")), " ")).alias("w"))
-    grams = None
-    for n in lengths:
-        starts = F.sequence(F.lit(1), F.size("w") - n + 1)
-        one = words.where(F.size("w") >= n).select("doc_id", "pos", F.posexplode(F.transform(starts, _window_of(n))).alias("at", "gram"))
-        grams = one if grams is None else grams.unionByName(one)
-    if grams is None:
-        grams = words.select("doc_id", "pos", F.lit(0).alias("at"), F.lit("").alias("gram"))
-    met = grams.withColumnRenamed("gram", "head").join(named.select("concept_id", "gram", "head", "n"), "head")
-    short = met.where(F.col("n") <= NGRAM).select("doc_id", "pos", "concept_id", "at")
-    whole = F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ") == F.col("gram")
-    long = met.where(F.col("n") > NGRAM).join(words, ["doc_id", "pos"]).where(whole).select("doc_id", "pos", "concept_id", "at")
-    return short.unionByName(long).groupBy("doc_id", "pos", "concept_id").agg(F.min("at").alias("at"))
-
-
-def _window_of(n: int):
-    return lambda i: F.array_join(F.slice(F.col("w"), i, n), " ")
+    # the windows of all lengths from one reading; outer: else Spark makes the array twice, first for a filter on its size
+    windows = F.flatten(F.array(*[_windows(n) for n in sorted({min(n, NGRAM) for n in known})])) if known else _windows(1)
+    grams = words.select("doc_id", "pos", F.explode_outer(windows).alias("g")).where("g is not null").select("doc_id", "pos", "g.at", F.col("g.head").alias("head"))
+    met = grams.join(named.select("concept_id", "gram", "head", "n"), "head")
+    found = met.where(F.col("n") <= NGRAM).select("doc_id", "pos", "concept_id", "at")
+    if known and known[-1] > NGRAM:
+        whole = F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " ") == F.col("gram")
+        found = found.unionByName(met.where(F.col("n") > NGRAM).join(words, ["doc_id", "pos"]).where(whole).select("doc_id", "pos", "concept_id", "at"))
+    return found.groupBy("doc_id", "pos", "concept_id").agg(F.min("at").alias("at"))
+
+
+def _windows(n: int) -> Column:
+    """Each n words of w in turn, with their place from 0."""
+    head = lambda i: F.get(F.col("w"), i - 1) if n == 1 else F.array_join(F.slice(F.col("w"), i, n), " ")
+    every = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.struct((i - 1).alias("at"), head(i).alias("head")))
+    return F.when(F.size("w") >= n, every).otherwise(F.expr("cast(array() as array<struct<at: int, head: string>>)"))
 
 
 def extract_relationships(found: DataFrame, sentences: DataFrame) -> DataFrame:

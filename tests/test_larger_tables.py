@@ -4,7 +4,7 @@ import gc
 
 import pyarrow as pa
 
-from studyloom.operators import extraction, graph, learner, material, near_names, phrases, planning, repair, search
+from studyloom.operators import concepts, extraction, graph, learner, material, near_names, phrases, planning, repair, search
 
 
 def test_a_chain_of_as_many_nodes_as_levels_goes_on(spark):
@@ -106,3 +106,15 @@ def test_a_batch_of_texts_is_repaired_a_few_at_a_time():
 
     out = repair._each(batch, made)
     assert out.to_pylist() == ["a\n\nb", None] * 500 and max(most) <= repair.TEXTS and repair._each(batch[:0], made).to_pylist() == []
+
+
+def test_mentions_read_the_sentences_once(spark):
+    """One reading for windows of all lengths, and a second one only where a name is longer than a window."""
+    sentences = spark.createDataFrame([(1, 0, "The cell wall of plants"), (1, 1, ""), (2, 0, "walls"), (3, 0, "a b c d e f g h")], "doc_id long, pos int, sentence string")
+    names = [("1", "wall"), ("2", "Cell walls"), ("3", "b c d e f g h")]
+    for several in (names[:2], names):
+        found = concepts.mentions(sentences, spark.createDataFrame(several, "concept_id string, name string"))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate explode") == (1 if several is not names else 2)
+        got = {(r.doc_id, r.pos, r.concept_id, r["at"]) for r in found.collect()}
+        assert got == {(1, 0, "1", 2), (1, 0, "2", 1), (2, 0, "1", 0)} | ({(3, 0, "3", 1)} if several is names else set())
