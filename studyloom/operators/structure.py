@@ -1,7 +1,7 @@
 """Blocks of documents (doc_id, text): line kinds, then runs of lines of one kind (gaps and islands).
 
-A document's lines are one row's text, so its islands are found within the row's own
-lines; the windows partition by document.
+A document's lines are one row's text, so its lines' kinds and its islands are found in the
+row, in one pass, and no line is shuffled; windows over blocks or headings partition by document.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,69 +18,103 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from studyloom.functions.text import n_words, norm_key, sentence_array, token_estimate
+from studyloom.operators.text import from_text
+from studyloom.sources.store import keep
 
 _NUMBERED = r"^\d+(?:\.\d+)*[.)]?\s+"
+# as Spark's expressions have them: digits and white space of ASCII, and an end before a last line end
+_NUMBER, _WORD, _BULLET, _LISTED = (re.compile(p, re.ASCII) for p in (_NUMBERED, r"\S+", r"[-*+]\s", r"\d+[.)]\s"))
+_OPERATOR, _CLOSED = re.compile("[=→⇒+−×÷^]"), re.compile("[.?!](?:\r|\x85|\u2028|\u2029)?\\Z")
 
 
-def heading_level(line: Column) -> Column:
-    """Level of a heading line, null for others; line without outer white space."""
-    hashes = F.length(F.regexp_extract(line, "^(#+)", 1))
-    number = F.trim(F.regexp_extract(line, f"({_NUMBERED})", 1))
-    rest = F.trim(F.regexp_replace(line, _NUMBERED, ""))
-    capital = lambda c: F.substring(c, 1, 1).rlike(r"^\p{Lu}")
-    parts = F.size(F.filter(F.split(number, r"\."), lambda p: p != ""))
-    short = (F.length(line) <= 72) & capital(line) & ~line.rlike(r"[\p{P}]") & (n_words(line) <= 8)
-    return (
-        F.when(hashes > 0, F.when(F.trim(F.regexp_replace(line, "^[# ]+", "")) != "", hashes))
-        .when(number != "", F.when(capital(rest), F.greatest(F.lit(1), parts)))
-        .when(line.endswith(":") & (F.length(line) <= 80) & capital(line), 1)
-        .when(short, 1)
-    )
+def _of(c: str, kinds: str) -> bool:
+    return unicodedata.category(c).startswith(kinds)
+
+
+def heading_level(t: str) -> int | None:
+    """Level of a heading line, None for others; line without outer blanks."""
+    if t.startswith("#"):
+        return len(t) - len(t.lstrip("#")) if t.lstrip("# ") else None
+    if number := _NUMBER.match(t):
+        rest = t[number.end() :].strip(" ")
+        parts = sum(p != "" for p in number[0].strip(" ").split("."))
+        return max(1, parts) if rest and _of(rest[0], "Lu") else None
+    if t == "" or not _of(t[0], "Lu"):
+        return None
+    if t.endswith(":") and len(t) <= 80:
+        return 1
+    short = len(t) <= 72 and word_count(t) <= 8 and not any(_of(c, "P") for c in t)
+    return 1 if short else None
 
 
 def heading_title(line: Column) -> Column:
-    bare = F.when(line.startswith("#"), F.regexp_replace(line, "^[# ]+", "")).when(line.rlike(_NUMBERED), F.regexp_replace(line, _NUMBERED, "")).when(line.endswith(":"), F.regexp_replace(line, ":$", "")).otherwise(line)
-    return F.when(heading_level(line).isNotNull(), F.trim(bare))
+    """Of a heading line."""
+    return F.trim(F.when(line.startswith("#"), F.regexp_replace(line, "^[# ]+", "")).when(line.rlike(_NUMBERED), F.regexp_replace(line, _NUMBERED, "")).when(line.endswith(":"), F.regexp_replace(line, ":$", "")).otherwise(line))
+
+
+def word_count(text: str) -> int:
+    """n_words of a string in a task's batch."""
+    return len(_WORD.findall(text))
 
 
-def is_table_row(line: Column) -> Column:
-    return (F.regexp_count(line, F.lit(r"\|")) >= 2) & (F.size(F.filter(F.split(line, r"\|"), lambda c: c != "")) >= 3)
+def is_table_row(t: str) -> bool:
+    return t.count("|") >= 2 and sum(c != "" for c in t.split("|")) >= 3
 
 
-def is_equation(line: Column) -> Column:
-    operators = F.regexp_count(line, F.lit("[=→⇒+−×÷^]"))
-    return line.startswith("$") | line.startswith("\\[") | ((operators > 0) & ~line.rlike(r"[.?!]$") & ((n_words(line) <= 12) | (operators >= 2)))
+def is_equation(t: str) -> bool:
+    if t.startswith(("$", "\\[")):
+        return True
+    operators = len(_OPERATOR.findall(t))
+    return operators > 0 and not _CLOSED.search(t) and (operators >= 2 or word_count(t) <= 12)
 
 
-def line_kind(line: Column) -> Column:
-    """Of a trimmed line outside code fences: equation, heading, quote, lists, table, paragraph or blank."""
-    return (
-        F.when(line == "", "blank").when(is_equation(line), "equation").when(heading_level(line).isNotNull(), "heading").when(line.startswith(">"), "quote")
-        .when(line.rlike(r"^[-*+]\s+"), "bulletedList").when(line.rlike(r"^\d+[.)]\s+"), "numberedList").when(is_table_row(line), "table").otherwise("paragraph")
-    )
+def line_kind(t: str) -> str:
+    """Of a line without outer blanks outside code fences: equation, heading, quote, lists, table, paragraph or blank."""
+    if t == "":
+        return "blank"
+    if is_equation(t):
+        return "equation"
+    if heading_level(t) is not None:
+        return "heading"
+    if t[0] == ">":
+        return "quote"
+    if _BULLET.match(t):
+        return "bulletedList"
+    if _LISTED.match(t):
+        return "numberedList"
+    return "table" if is_table_row(t) else "paragraph"
+
+
+def lines_of(text: str) -> Iterator[tuple[int, str, str, int | None]]:
+    """Number, line, kind and code fence of each line: a fold, since a fence's marks tell what is code."""
+    marks = 0
+    for i, line in enumerate(text.split("\n")):
+        t = line.strip(" ")
+        if mark := t.startswith("```"):
+            marks += 1
+        code = mark or marks % 2 == 1
+        yield i, line, "codeBlock" if code else line_kind(t), (marks + 1) // 2 if code else None
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line and kind; lines of a code fence, its marks too, are codeBlock."""
-    df = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    fence = F.trim("line").startswith("```").cast("int")
-    upto = F.sum(fence).over(order)
-    kind = F.when((upto % 2 == 1) | (fence == 1), "codeBlock").otherwise(line_kind(F.trim("line")))
-    return df.withColumn("kind", kind).withColumn("fence", F.when(F.col("kind") == "codeBlock", F.floor((upto + 1) / 2)))
+    return from_text(docs.where("text is not null"), F.col("text"), lines_of, "line_no int, line string, kind string, fence long")
+
+
+def _blocks_of(text: str) -> Iterator[tuple[str, int, int, str, int]]:
+    """Kind, first and last line, content and number of words of each run of lines of one kind."""
+    for (kind, _, _), run in groupby(lines_of(text), lambda x: (x[2], x[3], x[0] if x[2] == "heading" else None)):
+        if kind != "blank":
+            held = list(run)
+            content = "\n".join(x[1] for x in held)
+            yield kind, held[0][0], held[-1][0], content, word_count(content)
 
 
 def detect_blocks(docs: DataFrame) -> DataFrame:
     """doc_id, block_id, kind, start_line, end_line, content, tokens; headings stand alone, blank lines part blocks."""
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    df = lines(docs)
-    before, fence = F.lag("kind").over(order), F.lag("fence").over(order)
-    opens = (F.col("kind") == "heading") | before.isNull() | (before != F.col("kind")) | ~fence.eqNullSafe(F.col("fence"))
-    df = df.withColumn("opens", opens.cast("int")).withColumn("block", F.sum("opens").over(order)).where("kind <> 'blank'")
-    grouped = df.groupBy("doc_id", "block", "kind").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("ls"))
-    content = F.array_join(F.transform("ls", lambda x: x["line"]), "\n")
-    out = grouped.select("doc_id", F.concat_ws("-", "kind", "start_line", "end_line").alias("block_id"), "kind", "start_line", "end_line", content.alias("content"))
-    return out.withColumn("tokens", token_estimate(F.col("content"), F.col("kind"), F.col("end_line") - F.col("start_line") + 1))
+    found = from_text(docs.where("text is not null"), F.col("text"), _blocks_of, "kind string, start_line int, end_line int, content string, n_words int")
+    tokens = token_estimate(F.col("content"), F.col("kind"), F.col("end_line") - F.col("start_line") + 1, F.col("n_words"))
+    return found.select("doc_id", F.concat_ws("-", "kind", "start_line", "end_line").alias("block_id"), "kind", "start_line", "end_line", "content", tokens.alias("tokens"))
 
 
 def split_sections(blocks: DataFrame) -> DataFrame:
@@ -161,10 +196,17 @@ def section_slug(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(title)), r"[^\p{L}\p{N}]+", "-"), "^-|-$", "")
 
 
+def _headings_of(text: str) -> Iterator[tuple[int, str, int]]:
+    for i, line, kind, _ in lines_of(text):
+        if kind == "heading":
+            t = line.strip(" ")
+            yield i, t, heading_level(t)
+
+
 def section_tree(docs: DataFrame) -> DataFrame:
     """doc_id, section_id, line, level, title, parent_line: headings as a tree; the parent is the last one before of a smaller level (-1: none)."""
-    heads = lines(docs).where("kind = 'heading'").select("doc_id", F.col("line_no").alias("line"), F.trim("line").alias("t"))
-    heads = heads.select("doc_id", "line", F.least(F.lit(6), heading_level(F.col("t"))).alias("level"), heading_title(F.col("t")).alias("title"))
+    heads = from_text(docs.where("text is not null"), F.col("text"), _headings_of, "line int, t string, level int")
+    heads = heads.select("doc_id", "line", F.least(F.lit(6), "level").alias("level"), heading_title(F.col("t")).alias("title"))
     doc = Window.partitionBy("doc_id").orderBy("line")
     before = doc.rowsBetween(Window.unboundedPreceding, -1)
     # of each level the last heading so far; the nearest of those above is the parent
@@ -202,17 +244,21 @@ def validate_structure(blocks: DataFrame, tree: DataFrame) -> DataFrame:
     """blocks: doc_id, block_id, start_line, end_line, tokens. tree: that of section_tree. doc_id, rule, n of each breach."""
     count = lambda df, rule: df.groupBy("doc_id").agg(F.count("*").alias("n")).select("doc_id", F.lit(rule).alias("rule"), "n")
     order = Window.partitionBy("doc_id").orderBy("start_line", "block_id")
+    same = Window.partitionBy("doc_id", "block_id").orderBy("start_line")
+    blocks = blocks.select("doc_id", "block_id", "start_line", "end_line", "tokens")
+    marked = blocks.withColumn("before", F.lag("end_line").over(order)).withColumn("nth", F.row_number().over(same))
+    # all rules of blocks in one pass; a repeated block counts once, with its second row
+    breaches = {"repeated block": F.col("nth") == 2, "lines out of order": F.col("end_line") < F.col("start_line"), "overlapping blocks": F.col("before") >= F.col("start_line"), "no tokens": (F.col("tokens") < 1) | F.col("tokens").isNull()}
+    counted = marked.groupBy("doc_id").agg(F.array(*[F.struct(F.lit(rule).alias("rule"), F.count_if(c).alias("n")) for rule, c in breaches.items()]).alias("found"))
+    tree = keep(tree)
     parents = tree.select("doc_id", F.col("line").alias("parent_line"), F.col("level").alias("above"))
     linked = tree.where("parent_line >= 0").join(parents, ["doc_id", "parent_line"], "left")
     rules = [
-        count(blocks.groupBy("doc_id", "block_id").count().where("count > 1"), "repeated block"),
-        count(blocks.where("end_line < start_line"), "lines out of order"),
-        count(blocks.withColumn("before", F.lag("end_line").over(order)).where("before >= start_line"), "overlapping blocks"),
-        count(blocks.where("tokens < 1 or tokens is null"), "no tokens"),
+        counted.select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.rule", "f.n").where("n > 0"),
         count(linked.where("above is null"), "unknown parent"),
         count(linked.where("above >= level"), "parent not above"),
         count(tree.groupBy("doc_id", "section_id").count().where("count > 1"), "repeated section"),
-    ]
+    ]
     out = rules[0]
     for r in rules[1:]:
         out = out.unionByName(r)

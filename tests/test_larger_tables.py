@@ -4,7 +4,7 @@ import gc
 
 import pyarrow as pa
 
-from studyloom.operators import concepts, extraction, graph, learner, material, near_names, phrases, planning, repair, search
+from studyloom.operators import concepts, extraction, graph, learner, material, near_names, phrases, planning, repair, search, structure
 
 
 def test_a_chain_of_as_many_nodes_as_levels_goes_on(spark):
@@ -118,3 +118,16 @@ def test_mentions_read_the_sentences_once(spark):
         assert plan.count("Generate explode") == (1 if several is not names else 2)
         got = {(r.doc_id, r.pos, r.concept_id, r["at"]) for r in found.collect()}
         assert got == {(1, 0, "1", 2), (1, 0, "2", 1), (2, 0, "1", 0)} | ({(3, 0, "3", 1)} if several is names else set())
+
+
+def test_blocks_are_found_in_the_document_s_row(spark):
+    """No line is shuffled; fences, odd white space, numbers and ends of other scripts hold, and all rules of blocks read them once."""
+    text = "# Ünder\n1.2) Bb\n ```py\n# no\n\n```\nx + y = z ?\r\na|b|c\n* i\n\x0b\n٣ kk\n1. low\nAa, b:\n#  "
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
+    blocks = structure.detect_blocks(df)
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
+    kinds = ["heading-0-0", "heading-1-1", "codeBlock-2-5", "paragraph-6-6", "table-7-7", "bulletedList-8-8", "paragraph-9-10", "numberedList-11-11", "heading-12-12", "paragraph-13-13"]
+    assert [r.block_id for r in blocks.orderBy("start_line").collect()] == kinds
+    found = structure.validate_structure(blocks.unionByName(blocks), structure.section_tree(df))
+    assert found._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 2
+    assert {(r.doc_id, r.rule, r.n) for r in found.collect()} == {(1, "repeated block", 10), (1, "overlapping blocks", 10)}
