@@ -4,7 +4,7 @@ import gc
 
 import pyarrow as pa
 
-from studyloom.operators import concepts, extraction, graph, learner, material, near_names, phrases, planning, repair, search, structure
+from studyloom.operators import chunks, concepts, extraction, graph, learner, material, near_names, phrases, planning, repair, search, structure
 
 
 def test_a_chain_of_as_many_nodes_as_levels_goes_on(spark):
@@ -131,3 +131,15 @@ def test_blocks_are_found_in_the_document_s_row(spark):
     found = structure.validate_structure(blocks.unionByName(blocks), structure.section_tree(df))
     assert found._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 2
     assert {(r.doc_id, r.rule, r.n) for r in found.collect()} == {(1, "repeated block", 10), (1, "overlapping blocks", 10)}
+
+
+def test_chunks_are_found_in_the_document_s_row(spark):
+    """A section over the budget is cut by paragraphs and lines, the next one is whole; nothing is shuffled."""
+    words = lambda c, n: " ".join([c] * n)
+    text = "\n".join([words("a", 50), "Bob: b", "", words("c", 70), words("d", 70), "# Two", " e "])
+    df = spark.createDataFrame([(1, text), (2, None), (3, "# X")], "doc_id long, text string")
+    got = chunks.semantic_chunks(df, 100)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = [(r.doc_id, r.section_line, r.first_line, r.last_line, r.content) for r in got.orderBy("doc_id", "chunk").collect()]
+    long = [(1, -1, 3, 4, words("c", 70)), (1, -1, 3, 4, words("c", 70) + "\n" + words("d", 70))]
+    assert rows == [(1, -1, 0, 1, words("a", 50) + "\n\nBob: b"), (1, -1, 1, 1, "Bob: b"), *long, (1, 5, 6, 6, "e"), (3, -1, 0, 0, "")]
