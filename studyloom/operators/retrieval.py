@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -139,39 +140,69 @@ def graph_rerank(items: DataFrame, edges: DataFrame, mastery: DataFrame) -> Data
     return df.select("concept_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("importance") + plus)).alias("importance"))
 
 
+def xx_bucket(term: Column, dimension: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(dimension)).cast("int")
+
+
+def _md5_buckets(terms: Iterable[bytes], dimension: int) -> np.ndarray:
+    """By a hash that other engines have, too: the first seven hex digits, of many terms at once."""
+    return (np.frombuffer(b"".join([md5(t).digest() for t in terms]), ">u4")[::4] >> 4).astype(np.int64) % dimension
+
+
+def _unit(words: np.ndarray, pairs: np.ndarray, dimension: int) -> np.ndarray:
+    """Weighted counts of the buckets of words and of pairs, of unit length; zeros without words."""
+    v = np.bincount(words, minlength=dimension) + PAIR_WEIGHT * np.bincount(pairs, minlength=dimension)
+    return v / (np.sqrt((v * v).sum()) or 1.0)
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _unit_counts(buckets: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Buckets of words and of pairs, and the dimension: weighted counts of unit length, zeros without words."""
     for words, pairs, dimension in buckets:
-        out = []
-        for w, p, n in zip(words, pairs, dimension, strict=True):
-            v = np.bincount(w, minlength=n) + PAIR_WEIGHT * np.bincount(p, minlength=n)
-            out.append(v / (np.sqrt((v * v).sum()) or 1.0))
-        yield pd.Series(out)
+        yield pd.Series([_unit(*x) for x in zip(words, pairs, dimension, strict=True)])
 
 
-def xx_bucket(term: Column, dimension: int) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(dimension)).cast("int")
+def _by_md5(dimension: int):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def embedded(keys: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for series in keys:
+            out = []
+            for key in series:
+                w = key.encode().split()
+                out.append(_unit(_md5_buckets(w, dimension), _md5_buckets(map(b" ".join, zip(w, w[1:], strict=False)), dimension), dimension))
+            yield pd.Series(out)
 
+    return embedded
 
-def md5_bucket(term: Column, dimension: int) -> Column:
-    """By a hash that other engines have, too."""
-    return (F.conv(F.substring(F.md5(term), 1, 7), 16, 10).cast("int") % dimension).cast("int")
 
+def hashed_embedding(docs: DataFrame, dimension: int = DIMENSION, hashed: str = "xxhash64") -> DataFrame:
+    """docs: doc_id, text. Words count 1 and pairs .75 in their buckets; unit length, zeros without words. A document stays in its row.
 
-def hashed_embedding(docs: DataFrame, dimension: int = DIMENSION, bucket: Callable[[Column, int], Column] = xx_bucket) -> DataFrame:
-    """docs: doc_id, text. Words count 1 and pairs .75 in their buckets; unit length, zeros without words. A document stays in its row."""
-    w = F.filter(F.split(fn.norm_key(F.coalesce("text", F.lit(""))), " "), lambda x: x != "")
-    rows = docs.select("doc_id", w.alias("w")).withColumn("most", F.greatest(F.size("w") - 1, F.lit(0)))
+    hashed: xxhash64, which Spark has, or md5, which other engines have as well.
+    """
+    key = fn.norm_key(F.coalesce("text", F.lit("")))
+    if hashed == "md5":
+        return docs.select("doc_id", _by_md5(dimension)(key).alias("embedding"))
+    rows = docs.select("doc_id", F.filter(F.split(key, " "), lambda x: x != "").alias("w")).withColumn("most", F.greatest(F.size("w") - 1, F.lit(0)))
     pairs = F.zip_with(F.slice("w", F.lit(1), F.col("most")), F.slice("w", F.lit(2), F.col("most")), lambda a, b: F.concat(a, F.lit(" "), b))
-    buckets = [F.transform(terms, lambda x: bucket(x, dimension)) for terms in (F.col("w"), pairs)]
+    buckets = [F.transform(terms, lambda x: xx_bucket(x, dimension)) for terms in (F.col("w"), pairs)]
     return rows.select("doc_id", _unit_counts(*buckets, F.lit(dimension)).alias("embedding"))
 
 
-def text_similarity(a: DataFrame, b: DataFrame, bucket: Callable[[Column, int], Column] = xx_bucket) -> DataFrame:
+@F.pandas_udf(T.DoubleType())
+def _dot(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for x, y in pairs:
+        yield pd.Series([float(np.dot(a, b)) for a, b in zip(x, y, strict=True)], dtype="float64")
+
+
+def embedding_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b: doc_id, embedding (unit length or zeros). Cosine of those of equal ids."""
+    both = a.select("doc_id", "embedding").join(b.select("doc_id", F.col("embedding").alias("other")), "doc_id")
+    return both.select("doc_id", _dot("embedding", "other").alias("similarity"))
+
+
+def text_similarity(a: DataFrame, b: DataFrame, hashed: str = "xxhash64") -> DataFrame:
     """a, b: doc_id, text. Cosine of the hashed embeddings of equal ids, 0 where one has no words."""
-    both = hashed_embedding(a, DIMENSION, bucket).join(hashed_embedding(b, DIMENSION, bucket).withColumnRenamed("embedding", "other"), "doc_id")
-    return both.select("doc_id", F.aggregate(F.zip_with("embedding", "other", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x).alias("similarity"))
+    return embedding_similarity(hashed_embedding(a, DIMENSION, hashed), hashed_embedding(b, DIMENSION, hashed))
 
 
 def grade_answers(df: DataFrame) -> DataFrame:

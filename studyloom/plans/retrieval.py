@@ -10,6 +10,7 @@ from studyloom.operators import structure
 from studyloom.plans._tables import EDGES, MASTERY, concepts, edges, mastery, table
 from studyloom.plans.structure import _BLOCKS, _LINES
 from studyloom.plans.text import _KEY, _SENT, _WORDS
+from studyloom.sources.store import keep
 
 
 def e9_expand(spark, d):
@@ -79,8 +80,8 @@ def k1_graph_rerank(spark, d):
 
 def g4_text_similarity(spark, d):
     """Each document's text and that of the next one. Buckets by md5, which SQL has as well."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    df = op.text_similarity(docs, docs.withColumn("doc_id", F.col("doc_id") - 1), op.md5_bucket)
+    made = keep(op.hashed_embedding(_docs(spark, d), hashed="md5"))
+    df = op.embedding_similarity(made, made.withColumn("doc_id", F.col("doc_id") - 1))
     return df.select("doc_id", F.round("similarity", 5).alias("similarity"))
 
 

@@ -1,10 +1,12 @@
 """Rules that only show on larger tables: long chains, halves and ties."""
 
 import gc
+import hashlib
+import math
 
 import pyarrow as pa
 
-from studyloom.operators import chunks, concepts, extraction, graph, learner, material, near_names, phrases, planning, repair, search, structure
+from studyloom.operators import chunks, concepts, extraction, graph, learner, material, near_names, phrases, planning, repair, retrieval, search, structure
 
 
 def test_a_chain_of_as_many_nodes_as_levels_goes_on(spark):
@@ -143,3 +145,18 @@ def test_chunks_are_found_in_the_document_s_row(spark):
     rows = [(r.doc_id, r.section_line, r.first_line, r.last_line, r.content) for r in got.orderBy("doc_id", "chunk").collect()]
     long = [(1, -1, 3, 4, words("c", 70)), (1, -1, 3, 4, words("c", 70) + "\n" + words("d", 70))]
     assert rows == [(1, -1, 0, 1, words("a", 50) + "\n\nBob: b"), (1, -1, 1, 1, "Bob: b"), *long, (1, 5, 6, 6, "e"), (3, -1, 0, 0, "")]
+
+
+def test_text_is_hashed_by_md5_in_its_row_as_by_a_plain_loop(spark):
+    text = "Ünder grün; one, two two\n٣ one"
+    words = "ünder grün one two two ٣ one".split()
+    want = [0.0] * 16
+    for t, v in [(w, 1.0) for w in words] + [(f"{a} {b}", 0.75) for a, b in zip(words, words[1:], strict=False)]:
+        want[int(hashlib.md5(t.encode()).hexdigest()[:7], 16) % 16] += v
+    df = spark.createDataFrame([(1, text), (2, None), (3, "one")], "doc_id long, text string")
+    made = retrieval.hashed_embedding(df, 16, "md5")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString() and "conv(" not in made._jdf.queryExecution().analyzed().toString()
+    got = {r.doc_id: r.embedding for r in made.collect()}
+    norm = math.sqrt(sum(x * x for x in want))
+    assert all(abs(x - y / norm) < 1e-12 for x, y in zip(got[1], want, strict=True)) and not any(got[2]) and max(got[3]) == 1
+    assert [round(r.similarity, 9) for r in retrieval.embedding_similarity(made, made).orderBy("doc_id").collect()] == [1, 0, 1]
