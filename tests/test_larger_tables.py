@@ -6,7 +6,7 @@ import math
 
 import pyarrow as pa
 
-from studyloom.operators import chunks, concepts, extraction, graph, learner, material, near_names, phrases, planning, repair, retrieval, search, structure
+from studyloom.operators import chunks, concepts, extraction, graph, learner, material, near_names, phrases, planning, repair, retrieval, search, structure, text
 
 
 def test_a_chain_of_as_many_nodes_as_levels_goes_on(spark):
@@ -160,3 +160,14 @@ def test_text_is_hashed_by_md5_in_its_row_as_by_a_plain_loop(spark):
     norm = math.sqrt(sum(x * x for x in want))
     assert all(abs(x - y / norm) < 1e-12 for x, y in zip(got[1], want, strict=True)) and not any(got[2]) and max(got[3]) == 1
     assert [round(r.similarity, 9) for r in retrieval.embedding_similarity(made, made).orderBy("doc_id").collect()] == [1, 0, 1]
+
+
+def test_evidence_is_found_in_the_document_s_row(spark):
+    """As the operator over sentences has it: by key, acronym, joined words, brackets and slashes; what no sentence names is its own evidence."""
+    texts = [(1, "Alpha Beta is (aß one) here. The AB works. Nothing! So alpha-beta/Gamma Ray ends. Then Gamma Ray. aß one\nGamma ray ß"), (2, None), (3, "Straße Übung: x means y.\nSÜ (q) = z"), (4, "# Head Line\n")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = extraction.evidence_in_texts(df)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    concepts, said = extraction.candidate_concepts(df), text.sentences(df)
+    want = extraction.evidence(concepts, said, 2, extraction.aliases(concepts, said))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("doc_id = 1 and nth = 2").count()
