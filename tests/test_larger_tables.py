@@ -3,6 +3,7 @@
 import gc
 import hashlib
 import math
+import random
 
 import pyarrow as pa
 
@@ -171,3 +172,30 @@ def test_evidence_is_found_in_the_document_s_row(spark):
     concepts, said = extraction.candidate_concepts(df), text.sentences(df)
     want = extraction.evidence(concepts, said, 2, extraction.aliases(concepts, said))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("doc_id = 1 and nth = 2").count()
+
+
+def test_paths_are_sought_from_both_ends(spark):
+    """A hub at the far end of a search isn't entered; lengths, ties and parallel edges are those of a plain search."""
+    rng = random.Random(3)
+    rows = [(i, *rng.sample(range(14), 2)) for i in range(18)] + [(100 + i, 50, 51 + i) for i in range(60)] + [(200, 0, 50), (201, 50, 0)]
+    edges = spark.createDataFrame([(*r, "x", 1.0) for r in rows], "edge_id long, source_id long, target_id long, relation string, confidence double")
+    beside, ids = {}, {}
+    for e, a, b in rows:
+        for x, y in ((a, b), (b, a)):
+            beside.setdefault(x, set()).add(y)
+            ids[x, y] = min(e, ids.get((x, y), e))
+    want = {}
+    for a in (0, 3, 5):
+        level, seen = {a: [a]}, {a}
+        for _ in range(6):
+            want |= {(a, b): p for b, p in level.items()}
+            seen |= set(level)
+            level = {y: min(p + [y] for x, p in level.items() if y in beside[x]) for y in {y for x in level for y in beside.get(x, ())} - seen}
+    pairs = [(a, b) for a in (0, 3, 5) for b in (*range(14), 50, 60)]
+    for depth in (1, 4, 5):
+        got = graph.shortest_paths(edges, spark.createDataFrame([*pairs, (None, 1)], "source long, target long"), depth).collect()
+        assert {(r.source, r.target): r.path for r in got} == {k: p for k, p in want.items() if k in pairs and len(p) <= depth + 1}
+        assert all(r.edges == [ids[x] for x in zip(r.path, r.path[1:], strict=False)] and r.length == len(r.edges) for r in got)
+    ends = spark.createDataFrame([(5,)], "end long")
+    steps = graph._steps(edges, "both")
+    assert graph._ball(steps, ends, 2, False).count() < graph._ball(steps, ends, 4, False).count()
