@@ -23,6 +23,9 @@ from studyloom.streaming.events import LATE
 
 KEY = ["note_id", "concept_id"]
 OUTCOMES = sorted(MASTERY_STEP)
+INCORRECT = OUTCOMES.index("incorrect")
+#: What mastery and confidence gain by the number of an outcome; the last one is that of any other.
+STEPS = [(MASTERY_STEP[o], CONFIDENCE_STEP.get(o, 0.0)) for o in OUTCOMES] + [(0.0, 0.0)]
 DAY = 86_400_000_000
 _STATE = "mastery double, confidence double, reviews long, mistakes long, last long, due long, waiting binary"
 _WAITING = np.dtype([("at", "<i8"), ("id", "<i8"), ("outcome", "<i4")])
@@ -46,25 +49,27 @@ class Learner:
 
     def add(self, rows: pd.DataFrame) -> None:
         new = np.empty(len(rows), _WAITING)
-        new["at"], new["id"] = rows["at"], rows["event_id"]
-        new["outcome"] = rows["outcome"].map({o: i for i, o in enumerate(OUTCOMES)}).fillna(-1)
+        new["at"], new["id"], new["outcome"] = (rows[c].to_numpy() for c in ("at", "event_id", "outcome"))
         self.waiting = np.concatenate([self.waiting, new])
 
-    def settle(self, upto: float) -> list[int]:
-        """Folds what happened up to then; the dates that passed without a review before."""
+    def settle(self, upto: float, alarm: bool) -> list[int]:
+        """Folds what happened up to then; with alarm, the dates that passed without a review before, which no one else asks for."""
         passed = []
         ready = self.waiting["at"] <= upto
-        for e in np.sort(self.waiting[ready], order=["at", "id"]):
-            at, outcome = int(e["at"]), OUTCOMES[e["outcome"]] if e["outcome"] >= 0 else ""
+        events = self.waiting[ready]
+        self.waiting = self.waiting[~ready]
+        order = np.lexsort((events["id"], events["at"]))
+        for at, outcome in zip(events["at"][order].tolist(), events["outcome"][order].tolist(), strict=True):
             if self.due is not None and self.due < at:
                 passed.append(self.due)
-            self.mastery = min(1.0, max(0.0, self.mastery + MASTERY_STEP.get(outcome, 0.0)))
-            self.confidence = min(1.0, max(0.0, self.confidence + CONFIDENCE_STEP.get(outcome, 0.0)))
+            more, surer = STEPS[outcome]
+            self.mastery = min(1.0, max(0.0, self.mastery + more))
+            self.confidence = min(1.0, max(0.0, self.confidence + surer))
             self.reviews += 1
-            self.mistakes += outcome == "incorrect"
+            self.mistakes += outcome == INCORRECT
             self.last = at
-            self.due = due_at(self.mastery, self.confidence, self.reviews, self.mistakes, at)
-        self.waiting = self.waiting[~ready]
+            if alarm:
+                self.due = due_at(self.mastery, self.confidence, self.reviews, self.mistakes, at)
         if self.due is not None and self.due < upto:
             passed.append(self.due)
             self.due = None
@@ -79,7 +84,8 @@ class Learner:
 
 
 def _events(events: DataFrame, late: str) -> DataFrame:
-    return events.withWatermark("ts", late).select(*KEY, "ts", F.unix_micros("ts").alias("at"), "event_id", "outcome")
+    known = F.array_position(F.array(*map(F.lit, OUTCOMES)), F.col("outcome")).cast("int") - 1
+    return events.withWatermark("ts", late).select(*KEY, "ts", F.unix_micros("ts").alias("at"), "event_id", F.coalesce(known, F.lit(-1)).alias("outcome"))
 
 
 def _keyed(events: DataFrame, more: str) -> T.StructType:
@@ -99,10 +105,10 @@ def running_mastery(events: DataFrame, late: str = LATE) -> DataFrame:
             for rows in batches:
                 learner.add(rows)
                 got = True
-        learner.settle(_settled_upto(state))
+        learner.settle(_settled_upto(state), alarm=False)
         learner.save(state, alarm=False)
         if got:
-            learner.settle(math.inf)  # for this row only: what waits may still get earlier events
+            learner.settle(math.inf, alarm=False)  # for this row only: what waits may still get earlier events
             yield pd.DataFrame({**{k: [v] for k, v in zip(KEY, key, strict=True)}, "mastery": [learner.mastery], "confidence": [learner.confidence], "review_count": [learner.reviews], "mistake_count": [learner.mistakes], "last_reviewed": [pd.Timestamp(learner.last, unit="us", tz="UTC")]})
 
     return _stateful(events, fold, "mastery double, confidence double, review_count long, mistake_count long, last_reviewed timestamp", "update", late)
@@ -116,7 +122,7 @@ def due_alerts(events: DataFrame, late: str = LATE) -> DataFrame:
         if not state.hasTimedOut:
             for rows in batches:
                 learner.add(rows)
-        passed = learner.settle(_settled_upto(state))
+        passed = learner.settle(_settled_upto(state), alarm=True)
         learner.save(state, alarm=True)
         if passed:
             yield pd.DataFrame({**{k: [v] * len(passed) for k, v in zip(KEY, key, strict=True)}, "due": pd.to_datetime(passed, unit="us", utc=True)})
