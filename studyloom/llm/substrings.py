@@ -9,9 +9,9 @@ windows in a row with one anchor are a segment of at most 80 bytes. Then
 2. only segments with shared anchors go to shards, by anchor. Equal segments are settled
    at once: all but the one with the smallest document are covered. Anchors in a large
    share of the documents are dealt out by single windows instead, so none fills a shard;
-3. where an anchor has different segments left, the shard builds the Burrows-Wheeler
-   transform of their bytes and expands intervals breadth-first, backward, a byte a
-   level. A level sets the common prefixes of its length; after ``length`` levels those
+3. of the different segments of an anchor those that are alike on one side of it too stay;
+   the shard builds the Burrows-Wheeler transform of their bytes and expands intervals
+   breadth-first, backward, a byte a level. A level sets the common prefixes of its length; after ``length`` levels those
    not set are as long or longer, and mark windows that are equal;
 4. spans meet their document again, and what they cover is removed.
 
@@ -37,11 +37,14 @@ from studyloom.llm._text import chain, mix, slices, spread, text_bytes
 
 LENGTH = 50
 GRAM = 20
-PIECE = 1 << 20
+#: Texts are hashed this many bytes at a time, so that the arrays stay in a core's cache.
+PIECE = 1 << 16
 FLUSH = 400_000
 BUCKET_ENTRIES = 1_000_000
 SLICE = 1 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 4 << 20
+#: Segments of a task go on in lots of about this size, so that lots times shards stays far below the number of segments.
+LOT_BYTES = 8 << 20
 #: Anchors in more than this share of all documents (and HOT_LEAST documents) are dealt by window. A
 #: document has a bounded number of anchors per byte, so there are few: their number follows from the share.
 HOT_SHARE, HOT_LEAST = 0.005, 4096
@@ -52,6 +55,22 @@ def _words(data: np.ndarray, big: bool = False) -> np.ndarray:
     return np.ndarray((max(0, len(data) - 7),), ">u8" if big else "<u8", data, 0, (1,))
 
 
+_HIGH = ~np.uint64((1 << 24) - 1)
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """A hash of the GRAM bytes from each byte on."""
+    words = _words(data).copy()  # once: what isn't aligned is slow to read
+    n = len(data) - GRAM + 1
+    h = words[:n] * _ODD[0]
+    for at, odd in ((8, _ODD[1]), (GRAM - 8, _ODD[2])):
+        h += words[at : at + n] * odd
+    h ^= h >> np.uint64(32)
+    h *= _ODD[3]
+    return h
+
+
 class Anchors:
     """Segments of a batch of texts: text, number in the text, first window, windows, and the anchor's hash."""
 
@@ -67,19 +86,17 @@ class Anchors:
                 if hi == offsets[end]:
                     break
             at = end
-        self.start, self.n, self.hash = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(3))
+        self.start, self.n, self.hash, self.text = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.int64) for i in range(4))
         self.hash = self.hash.astype(np.uint64)
-        self.text = np.searchsorted(offsets, self.start, "right") - 1
         self.number = np.arange(len(self.start)) - np.searchsorted(self.text, np.arange(len(offsets)))[self.text] if len(self.start) else self.text
 
-    def _part(self, lo: int, hi: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    def _part(self, lo: int, hi: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
         if hi - lo < length:
             return none
-        words = _words(self.data[lo:hi])
-        n = hi - lo - GRAM + 1
-        gram = mix(words[:n] + mix(words[8 : n + 8] + mix(words[GRAM - 8 : n + GRAM - 8] + np.uint64(0))))
-        key = (gram & ~np.uint64((1 << 24) - 1)) | np.arange(n, dtype=np.uint64)
+        gram = _grams(self.data[lo:hi])
+        key = gram & _HIGH
+        key |= np.arange(len(gram), dtype=np.uint64)
         span, least = length - GRAM + 1, key
         width = 1
         while 2 * width <= span:
@@ -87,22 +104,22 @@ class Anchors:
             width *= 2
         windows = hi - lo - length + 1
         least = np.minimum(least[:windows], least[span - width : span - width + windows])
-        inside = self.offsets[(self.offsets > lo) & (self.offsets < hi)] - lo
-        whole = np.ones(windows, np.int8)
-        edge = np.zeros(windows + 1, np.int64)
-        np.add.at(edge, np.clip(inside - length + 1, 0, windows), 1)
-        np.add.at(edge, np.clip(inside, 0, windows), -1)
-        whole = np.cumsum(edge[:-1]) == 0
-        at = np.flatnonzero(whole)
-        if not len(at):
-            return none
-        least = least[at]
-        new = np.ones(len(at), bool)
-        new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
+        new = np.ones(windows, bool)
+        np.not_equal(least[1:], least[:-1], out=new[1:])
+        # windows that cross from text to text are runs of their own, which go
+        texts = np.arange(np.searchsorted(self.offsets, lo, "right") - 1, np.searchsorted(self.offsets, hi, "left"))
+        edges = self.offsets[texts[1:]] - lo
+        new[edges[edges < windows]] = True
+        across = edges - length + 1
+        new[across[(across >= 0) & (across < windows)]] = True
         first = np.flatnonzero(new)
-        anchor = gram[(least[first] & np.uint64((1 << 24) - 1)).astype(np.int64)]
+        n = np.diff(first, append=windows)
+        text = texts[np.searchsorted(self.offsets[texts], first + lo, "right") - 1]
+        on = np.flatnonzero(first + lo + length <= self.offsets[text + 1])
+        first = first[on]
+        anchor = gram[(least[first] & ~_HIGH).astype(np.int64)]
         # the smallest of many hashes is small: mixed again, so that buckets are even
-        return at[first] + lo, np.diff(np.append(first, len(at))), mix(anchor + np.uint64(7))
+        return first + lo, n[on], mix(anchor + np.uint64(7)), text[on]
 
 
 def span_hashes(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,7 +136,8 @@ def span_hashes(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple
 
 def _bytes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The spans' bytes end to end."""
-    return data[spread(start, size)]
+    parts = [data[spread(start[i : i + 8192], size[i : i + 8192])] for i in range(0, len(start), 8192)]  # an index takes eight times the bytes
+    return np.concatenate(parts) if parts else data[:0]
 
 
 class Segments:
@@ -150,25 +168,42 @@ class Segments:
         self.covered = doc[gone], start[gone], size[gone]
 
 
-def _pack(columns: list[np.ndarray]) -> list[bytes]:
-    return [np.ascontiguousarray(c).tobytes() for c in columns]
+def _blobs(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The values from cut to cut, as binaries."""
+    offsets = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(table: pa.Table, column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """A column of binaries as numbers end to end, and n + 1 offsets."""
+    data, offsets = text_bytes(pa.concat_arrays(table.column(column).chunks))
+    kind = np.dtype(kind)
+    return np.frombuffer(data.tobytes(), kind), offsets // kind.itemsize
 
 
 _SPANS = "doc_id long, starts binary, sizes binary"
 
 
-def _span_rows(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[list, list, list]:
+def _span_rows(doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[pa.Array]:
     """Spans by document."""
     order = np.argsort(doc, kind="stable")
     doc, start, size = doc[order], start[order], size[order]
     cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.empty(0, np.int64)
-    split = [np.split(x, cut[1:]) if len(cut) else [] for x in (start.astype(np.int64), size.astype(np.int64))]
-    return doc[cut].tolist(), [x.tobytes() for x in split[0]], [x.tobytes() for x in split[1]]
+    cuts = np.append(cut, len(doc))
+    return [pa.array(doc[cut], pa.int64()), _blobs(start.astype(np.int64), cuts), _blobs(size.astype(np.int64), cuts)]
 
 
 # --- 1. shared anchors -----------------------------------------------------------------
 
 
+def _by_hash(sig: np.ndarray) -> np.ndarray:
+    """The order of the hashes by their upper 40 bits or more, those that are alike in these as they come."""
+    if len(sig) >> 24:
+        return np.argsort(sig, kind="stable")
+    low = np.uint64((1 << len(sig).bit_length()) - 1)
+    return (np.sort((sig & ~low) | np.arange(len(sig), dtype=np.uint64)) & low).astype(np.int64)
+
+
 def shared_anchors(docs: DataFrame, n_bytes: int, hot: int, length: int) -> DataFrame:
     """doc_id and numbers (int32 of its anchors) where other texts have the anchor too; without a doc_id: common anchors."""
     buckets = max(1, -(-n_bytes // 14 // BUCKET_ENTRIES))
@@ -185,7 +220,7 @@ def shared_anchors(docs: DataFrame, n_bytes: int, hot: int, length: int) -> Data
         sig, number = np.concatenate([h[2] for h in held]), np.concatenate([h[4] for h in held])
         of = np.concatenate([h[3] + n for h, n in zip(held, base, strict=False)])
         on = np.flatnonzero(chosen[of])
-        order = on[np.argsort(sig[on], kind="stable")]  # a document's entries stay together
+        order = on[_by_hash(sig[on])]  # a document's entries stay together
         sig, number, doc, text = sig[order], number[order], ids[of[order]], texts[of[order]]
         first = np.ones(len(sig), bool)
         first[1:] = sig[1:] != sig[:-1]
@@ -201,11 +236,12 @@ def shared_anchors(docs: DataFrame, n_bytes: int, hot: int, length: int) -> Data
                 rows.append((-1 - (int(doc[part[0]]) + k) % buckets, sig[:0], number[part], doc[part], text[part], begin[:0], begin[:0]))
         on = np.flatnonzero(~several[group] | first)
         sig, doc, text, number, lead = sig[on], doc[on], text[on], number[on], np.flatnonzero(first[on])
-        cuts = np.searchsorted(sig, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)) if buckets > 1 else np.empty(0, np.int64)
+        cuts = np.searchsorted(sig, (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64) & _HIGH) if buckets > 1 else np.empty(0, np.int64)
         bounds = np.concatenate([[0], cuts, [len(sig)]])
+        lead, count = lead[several], count[several]
+        first_of = np.searchsorted(lead, bounds)
         for b in range(buckets):
-            lo, hi = bounds[b], bounds[b + 1]
-            mine = np.flatnonzero((lead >= lo) & (lead < hi) & several)
+            lo, hi, mine = bounds[b], bounds[b + 1], slice(first_of[b], first_of[b + 1])
             if hi > lo:
                 rows.append((b, sig[lo:hi], number[lo:hi], doc[lo:hi], text[lo:hi], lead[mine] - lo, count[mine]))
         out: dict[str, list] = {n: [] for n in [*names, "known", "texts"]}
@@ -291,63 +327,73 @@ _SIX = ~np.uint64(0xFFFF)
 
 def covered_spans(docs: DataFrame, common: np.ndarray, shards: int, length: int) -> DataFrame:
     """docs: doc_id, text, lists (binary numbers of shared anchors). Spans by document, any number of rows each."""
-    held = docs.sparkSession.sparkContext.broadcast(np.sort(common))  # bounded, see HOT_SHARE
+    hot_ones = docs.sparkSession.sparkContext.broadcast(np.sort(common))  # bounded, see HOT_SHARE
+    names, kind = ["shard", "doc_id", "x", "y", "of", "doc", "start"], np.uint8 if length < 128 else np.int32
+
+    def picked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Shard, bytes, size, document and start of the segments that go on."""
+        data, offsets = text_bytes(batch.column("text"))
+        data = np.ascontiguousarray(data)
+        a = Anchors(data, offsets, length)
+        lists = [np.unique(np.frombuffer(b"".join(x), np.int32)) for x in batch.column("lists").to_pylist()]
+        bounds = np.searchsorted(a.text, np.arange(batch.num_rows))
+        pick = np.concatenate([b + x for b, x in zip(bounds, lists, strict=True)]) if len(a.start) else np.empty(0, np.int64)
+        at, n, sig, text = a.start[pick], a.n[pick], a.hash[pick] & _SIX, a.text[pick]
+        hot = np.isin(sig, hot_ones.value)
+        windows, of = spread(at[hot], n[hot]), np.repeat(np.flatnonzero(hot), n[hot])
+        at = np.concatenate([at[~hot], windows])
+        size = np.concatenate([n[~hot] + length - 1, np.full(len(windows), length)])
+        text = np.concatenate([text[~hot], text[of]])
+        shard = (sig[~hot] >> np.uint64(20)) % np.uint64(shards)
+        own = span_hashes(_words(data), windows, np.full(len(windows), length))[0] % np.uint64(shards) + np.uint64(shards)
+        return np.concatenate([shard, own]).astype(np.int64), _bytes(data, at, size), size, batch.column("doc_id").to_numpy()[text], at - offsets[text]
+
+    def lot(held: list) -> Iterator[pa.RecordBatch]:
+        """What equal segments of the lot cover, by document, and one row a shard."""
+        shard, data, size, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
+        if not len(size):
+            return
+        s = Segments(shard, data, np.cumsum(size) - size, size, doc, start)
+        spans = _span_rows(*s.covered)
+        none = pa.nulls(len(spans[0]), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(none), -1)), *spans, none, none, none], names)
+        place = np.cumsum(s.size) - s.size
+        order = np.argsort(s.key, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        of = rank[s.of]
+        by = np.argsort(of, kind="stable")
+        of, key, size = of[by], s.key[order], s.size[order]
+        cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        cuts = np.append(cut, len(key))
+        ends, rows = np.append(0, np.cumsum(size))[cuts], np.searchsorted(of, cuts)
+        of = (of - np.repeat(cut, np.diff(rows))).astype(np.int32)
+        columns = [_blobs(_bytes(s.data, place[order], size), ends), _blobs(size.astype(kind), cuts), _blobs(of, rows), _blobs(s.doc[by], rows), _blobs(s.start[by], rows)]
+        yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.nulls(len(cut), pa.int64()), *columns], names)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
         for whole in batches:
             for batch in slices(whole, "text"):
-                data, offsets = text_bytes(batch.column("text"))
-                data = np.ascontiguousarray(data)
-                a = Anchors(data, offsets, length)
-                lists = [np.unique(np.frombuffer(b"".join(x), np.int32)) for x in batch.column("lists").to_pylist()]
-                bounds = np.searchsorted(a.text, np.arange(batch.num_rows))
-                pick = np.concatenate([b + x for b, x in zip(bounds, lists, strict=True)]) if len(a.start) else np.empty(0, np.int64)
-                at, n, sig, text = a.start[pick], a.n[pick], a.hash[pick] & _SIX, a.text[pick]
-                hot = np.isin(sig, held.value)
-                windows, of = spread(at[hot], n[hot]), np.repeat(np.flatnonzero(hot), n[hot])
-                at = np.concatenate([at[~hot], windows])
-                size = np.concatenate([n[~hot] + length - 1, np.full(len(windows), length)])
-                text = np.concatenate([text[~hot], text[of]])
-                doc = batch.column("doc_id").to_numpy()[text]
-                if not len(at):
-                    continue
-                shard = (sig[~hot] >> np.uint64(20)) % np.uint64(shards)
-                own = span_hashes(_words(data), windows, np.full(len(windows), length))[0] % np.uint64(shards) + np.uint64(shards)
-                s = Segments(np.concatenate([shard, own]).astype(np.int64), data, at, size, doc, at - offsets[text])
-                ids, starts, sizes = _span_rows(*s.covered)
-                rows = [(-1, i, x, y, b"", b"", b"") for i, x, y in zip(ids, starts, sizes, strict=True)]
-                place = np.concatenate([[0], np.cumsum(s.size)])
-                order = np.argsort(s.key, kind="stable")
-                rank = np.empty(len(order), np.int64)
-                rank[order] = np.arange(len(order))
-                by = np.argsort(rank[s.of], kind="stable")
-                cuts = np.flatnonzero(np.append(True, s.key[order][1:] != s.key[order][:-1]))
-                for lo, hi in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                    mine = order[lo:hi]
-                    own_rows = by[np.searchsorted(rank[s.of][by], lo) : np.searchsorted(rank[s.of][by], hi)]
-                    rows.append((int(s.key[mine[0]]), None, *_pack([_bytes(s.data, place[mine], s.size[mine]), s.size[mine].astype(np.uint8 if length < 128 else np.int32), (rank[s.of[own_rows]] - lo).astype(np.int32), s.doc[own_rows], s.start[own_rows]])))
-                kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[i]) for i in range(7)], ["shard", "doc_id", "x", "y", "of", "doc", "start"])
+                held.append(picked(batch))
+                if sum(len(x[1]) for x in held) > LOT_BYTES:
+                    yield from lot(held)
+                    held = []
+        if held:
+            yield from lot(held)
 
     def settle(table: pa.Table) -> pa.Table:
         number = table.column("shard")[0].as_py()
-        data, size, of, doc, start, n = [], [], [], [], [], 0
-        for x, y, o, d, s in zip(*[table.column(c).to_pylist() for c in ("x", "y", "of", "doc", "start")], strict=True):
-            data.append(np.frombuffer(x, np.uint8))
-            size.append(np.frombuffer(y, np.uint8 if length < 128 else np.int32).astype(np.int64))
-            of.append(np.frombuffer(o, np.int32).astype(np.int64) + n)
-            doc.append(np.frombuffer(d, np.int64))
-            start.append(np.frombuffer(s, np.int64))
-            n += len(size[-1])
-        data, size, of, doc, start = (np.concatenate(v) for v in (data, size, of, doc, start))
+        data, _ = _values(table, "x", np.uint8)
+        size, rows = _values(table, "y", kind)
+        of, places = _values(table, "of", np.int32)
+        size, of = size.astype(np.int64), of + np.repeat(rows[:-1], np.diff(places))
         at = (np.cumsum(size) - size)[of]
-        seg = Segments(at, data, at, size[of], doc, start)
+        seg = Segments(at, data, at, size[of], _values(table, "doc", np.int64)[0], _values(table, "start", np.int64)[0])
         spans = [seg.covered]
         if number < shards:
             spans.append(common_windows(seg, length))
-        doc, start, size = (np.concatenate(v) for v in zip(*spans, strict=True))
-        ids, starts, sizes = _span_rows(doc, start, size)
-        return pa.table([pa.array(ids, pa.int64()), pa.array(starts, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "starts", "sizes"])
+        return pa.table(_span_rows(*(np.concatenate(v) for v in zip(*spans, strict=True))), names=["doc_id", "starts", "sizes"])
 
     dealt = docs.mapInArrow(deal, "shard long, doc_id long, x binary, y binary, of binary, doc binary, start binary")
     mixed = dealt.withColumn("shard", F.when(F.col("shard") < 0, -1 - F.pmod("doc_id", F.lit(shards))).otherwise(F.col("shard")))
@@ -363,21 +409,55 @@ def covered_spans(docs: DataFrame, common: np.ndarray, shards: int, length: int)
 def common_windows(s: Segments, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (document, start, size) of windows that different segments share and a smaller document has."""
     nothing = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    if len(np.unique(s.owner)) < 2:
+    on = meeting(s, length)
+    if not len(on):
         return nothing
-    low, n = repeated_windows(s.data, s.size, s.owner, length)
-    # low: windows as positions in s.data; the segment, and all places where its document has it
-    end = np.cumsum(s.size)
-    seg = np.searchsorted(end, low, "right")
-    inner = low - (end - s.size)[seg]
+    size = s.size[on]
+    low, n = repeated_windows(_bytes(s.data, (np.cumsum(s.size) - s.size)[on], size), size, s.owner[on], length)
+    # low: windows as positions in those segments' bytes; the segment, and all places where its document has it
+    end = np.cumsum(size)
+    k = np.searchsorted(end, low, "right")
+    inner = low - (end - size)[k]
     if not len(low):
         return nothing
+    seg = on[k]
     by = np.argsort(s.of, kind="stable")
     lo, hi = np.searchsorted(s.of[by], seg, "left"), np.searchsorted(s.of[by], seg, "right")
     place = by[spread(lo, hi - lo)]
     return s.doc[place], s.start[place] + np.repeat(inner, hi - lo), np.repeat(n, hi - lo)
 
 
+def meeting(s: Segments, length: int) -> np.ndarray:
+    """Numbers of the segments that may share a window with another owner's.
+
+    A window has its anchor in the same place wherever it is, with half of its other
+    bytes or more on the left of it, or more than half on the right. So equal windows
+    are in segments that are alike in their anchor and in one of these halves; most that
+    share an anchor by chance are alike in neither, and the more text the more of them.
+    """
+    if not len(s.size):
+        return np.empty(0, np.int64)
+    at, rest = np.cumsum(s.size) - s.size, length - GRAM
+    gram, least = _grams(s.data), np.full(len(at), np.iinfo(np.uint64).max)
+    for i in range(rest + 1):  # the anchor of the segment's first window
+        np.minimum(least, (gram[at + i] & _HIGH) | np.uint64(i), out=least)
+    anchor, words = (least & ~_HIGH).astype(np.int64), _words(s.data)
+    left, right = rest // 2, rest - rest // 2 + 1
+    found = np.zeros(len(at), bool)
+    for on, before, size in ((anchor >= left, left, left + GRAM), (anchor + GRAM + right <= s.size, 0, GRAM + right)):
+        on = np.flatnonzero(on)
+        h = span_hashes(words, (at + anchor)[on] - before, np.full(len(on), size))[0]
+        order = np.argsort(h, kind="stable")
+        on, h = on[order], h[order]
+        new = np.append(True, h[1:] != h[:-1]) if len(h) else np.empty(0, bool)
+        begin = np.flatnonzero(new)
+        if len(begin):
+            owner = s.owner[on]
+            several = np.minimum.reduceat(owner, begin) < np.maximum.reduceat(owner, begin)
+            found[on[several[np.cumsum(new) - 1]]] = True
+    return np.flatnonzero(found)
+
+
 def repeated_windows(data: np.ndarray, size: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and sizes of runs of windows that a smaller owner's string has too."""
     stop = 0xFF  # not in UTF-8
@@ -404,15 +484,25 @@ def repeated_windows(data: np.ndarray, size: np.ndarray, owner: np.ndarray, leng
 
 def suffix_order(text: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of text[:n] in the order of their first ``length`` bytes or more, and each one's place."""
-    rank = np.unique(_words(text, big=True)[:n], return_inverse=True)[1]
+    words = _words(text, big=True)[:n].astype(np.uint64)
+    order = np.argsort(words)
+    rank, first = np.empty(n, np.int64), np.ones(n, bool)  # rank: the place of the first suffix that is alike so far
+    first[1:] = words[order[1:]] != words[order[:-1]]
+    rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     depth = 8
     while depth <= length:
-        after = np.zeros(n, np.int64)
-        if depth < n:
-            after[:-depth] = rank[depth:] + 1
-        rank = np.unique(rank * (int(rank.max()) + 2) + after, return_inverse=True)[1]
+        open_ = np.flatnonzero(~(first & np.append(first[1:], True)))  # places of suffixes that aren't told apart yet
+        if not len(open_):
+            break
+        at = order[open_]
+        after = np.where(at + depth < n, rank[np.minimum(at + depth, n - 1)] + 1, 0)
+        key = rank[at] * (n + 1) + after
+        by = np.argsort(key)
+        at, key = at[by], key[by]
+        order[open_] = at
+        first[open_[1:]] = key[1:] != key[:-1]
+        rank[at] = open_[np.maximum.accumulate(np.where(first[open_], np.arange(len(at)), 0))]
         depth *= 2
-    order = np.argsort(rank, kind="stable")
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     return order, place
@@ -459,6 +549,8 @@ def bounded_prefixes(text: np.ndarray, order: np.ndarray, length: int, stop: int
 
 def _merge(starts: list[bytes], sizes: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The union of spans, as starts and ends."""
+    if not starts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     a = np.frombuffer(b"".join(starts), np.int64)
     b = a + np.frombuffer(b"".join(sizes), np.int64)
     order = np.argsort(a, kind="stable")
@@ -480,7 +572,8 @@ def with_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     found = keep(shared_anchors(docs, total[1], max(HOT_LEAST, int(HOT_SHARE * total[0])), length))
     common = [np.frombuffer(r.numbers, np.uint64) for r in found.where("doc_id is null").collect()]  # bounded, see HOT_SHARE
     shared = found.where("doc_id is not null").join(classes.select("doc_id", "rep"), "doc_id").groupBy(F.col("rep").alias("doc_id")).agg(F.collect_list("numbers").alias("lists"))
-    shards = max(1, -(-total[1] // SHARD_BYTES))
+    entries = found.where("doc_id is not null").agg(F.coalesce(F.sum(F.octet_length("numbers")), F.lit(0))).first()[0] // 4
+    shards = max(1, -(-entries * (2 * length - GRAM) // SHARD_BYTES))  # a segment's size is less than that
     marked = docs.join(shared, "doc_id")
     spans = covered_spans(marked, np.concatenate([np.empty(0, np.uint64), *common]), shards, length)
     grouped = spans.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("sizes").alias("sizes"))

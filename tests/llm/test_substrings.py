@@ -76,3 +76,53 @@ def test_bounded_prefixes():
         n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         if 0xFF not in a[: n + 1]:
             assert found[i] == (n if n < 12 else -1)
+
+
+def _segments(texts, length=50):
+    """All segments of texts of documents 0, 1, ..., as one shard gets them."""
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    a = substrings.Anchors(data, offsets, length)
+    return substrings.Segments(a.hash.astype(np.int64), data, a.start, a.n + length - 1, a.text, a.start - offsets[a.text])
+
+
+def test_only_segments_that_may_meet_reach_the_transform(monkeypatch):
+    """Texts that share no more than an anchor cost no transform, however many; those that share a passage do."""
+    rng = random.Random(7)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    common, passage, seen = noise(30), noise(70), []
+    whole = substrings.repeated_windows
+    monkeypatch.setattr(substrings, "repeated_windows", lambda data, *a: seen.append(len(data)) or whole(data, *a))
+    apart = [noise(60) + common + noise(60) for _ in range(200)]
+    assert [len(x) for x in substrings.common_windows(_segments(apart), 50)] == [0, 0, 0] and not seen
+    texts = [*apart, noise(90) + passage + noise(90), noise(90) + passage + noise(90)]
+    doc, start, size = substrings.common_windows(_segments(texts), 50)
+    assert sum(seen) < 1000 and set(doc) == {201}
+    assert all(90 <= a and a + n <= 160 for a, n in zip(start, size, strict=True))
+
+
+def test_segments_left_out_of_the_transform_share_nothing(monkeypatch):
+    rng, meeting = random.Random(11), substrings.meeting
+    for length, alphabet in ((50, "ab "), (50, "abcdefgh"), (21, "abc"), (20, "ab"), (64, "abcd")):
+        parts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(10, 70))) for _ in range(12)]
+        texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 8))) for _ in range(30)]
+        covered = []
+        for chosen in (meeting, lambda s, _: np.arange(len(s.size))):
+            monkeypatch.setattr(substrings, "meeting", chosen)
+            spans = substrings.common_windows(_segments(texts, length), length)
+            covered.append({(d, a + i) for d, a, n in zip(*spans, strict=True) for i in range(n)})
+    assert covered[0] == covered[1] and bool(covered[0]) == (length > 20)  # of 20 bytes, a segment is a window
+
+
+def test_shards_follow_what_is_shared(spark, monkeypatch):
+    """Text that nothing shares makes no shards."""
+    rng, asked = random.Random(13), []
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    passage = noise(300)
+    docs = [(d, noise(200_000) + (passage if d % 20 == 0 else "")) for d in range(40)]
+    df = spark.createDataFrame([(d, t, "", 1) for d, t in docs], SCHEMA).coalesce(1)
+    spans = substrings.covered_spans
+    monkeypatch.setattr(substrings, "covered_spans", lambda docs, common, shards, length: asked.append(shards) or spans(docs, common, shards, length))
+    removed = {r.doc_id: r.n_removed for r in removal_digest(df).collect()}
+    assert asked == [1] and {d: n for d, n in removed.items() if n} == {20: 300}
